@@ -81,15 +81,17 @@ DIRTY_COLUMNS = ["l_orderkey", "l_linenumber", "quantity", "qty_scaled", "price"
 
 
 def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """One row of quality metrics per line item, so that the scoring rules meet all their branches."""
+    """One row of quality metrics per line item, so that the scoring rules meet all their branches.
+
+    Whole and half numbers only: the two engines then agree on every rounding."""
     limits = Thresholds()
     rows = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber",
         F.round(F.col("l_discount") * 300, 1).alias("missing_percentage"),
-        F.round(F.col("l_tax") * F.col("l_tax") * 2000, 1).alias("duplicate_percentage"),
+        (F.round(F.col("l_tax") * F.col("l_tax") * 5000) / 2).alias("duplicate_percentage"),
         F.when(F.col("l_linenumber") < 7, F.col("l_quantity") / 2).alias("imbalance_ratio"),
-        F.round(F.col("l_extendedprice") / 5000, 1).alias("outlier_percentage"),
-        F.when(F.col("l_returnflag") != "N", F.round(F.col("l_partkey") % 400 / 10, 1)).alias("anomaly_percentage"),
+        (F.round(F.col("l_extendedprice") / 2500) / 2).alias("outlier_percentage"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_partkey") % 80 / 2).alias("anomaly_percentage"),
         F.col("l_suppkey").alias("n_anomalies"),
     )
     states = {"missing": ("missing_percentage", limits.missing_values),
@@ -128,7 +130,7 @@ COMPONENTS_SQL = """
     CASE WHEN anomaly_percentage IS NULL THEN 'outliers' ELSE 'detectors' END AS integrity_source"""
 
 ADVICE_SQL = """
-    round(overall, 2) AS overall_score,
+    round_even(overall, 2) AS overall_score,
     CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 80 THEN 'Very Good' WHEN overall >= 70 THEN 'Good'
       WHEN overall >= 60 THEN 'Acceptable' WHEN overall >= 50 THEN 'Fair' ELSE 'Poor' END AS rating,
     CASE WHEN overall >= 90 THEN 'Dataset is production-ready with excellent quality.'
@@ -150,10 +152,10 @@ OVERALL_SQL = "completeness * 0.25::DOUBLE + consistency * 0.25::DOUBLE + balanc
 METRIC_ROWS = f"""WITH measured AS (
   SELECT l_orderkey, l_linenumber,
     round(l_discount * 300, 1) AS missing_percentage,
-    round(l_tax * l_tax * 2000, 1) AS duplicate_percentage,
+    round(l_tax * l_tax * 5000) / 2 AS duplicate_percentage,
     CASE WHEN l_linenumber < 7 THEN l_quantity / 2 END AS imbalance_ratio,
-    round(l_extendedprice / 5000, 1) AS outlier_percentage,
-    CASE WHEN l_returnflag <> 'N' THEN round((l_partkey % 400)::DOUBLE / 10, 1) END AS anomaly_percentage,
+    round(l_extendedprice / 2500) / 2 AS outlier_percentage,
+    CASE WHEN l_returnflag <> 'N' THEN (l_partkey % 80)::DOUBLE / 2 END AS anomaly_percentage,
     l_suppkey AS n_anomalies
   FROM lineitem),
 rated AS (
@@ -212,15 +214,16 @@ def scan_json(spark, sf):
     return readers.scan_json(spark, path, lines=True)
 
 
-@query("detect_kind", """WITH named AS (
-  SELECT url, regexp_extract(rtrim(url, '/'), '[^/]*$') AS name FROM pages),
-suffixed AS (SELECT url, lower(regexp_extract(name, '^.+[.]([^.]+)$', 1)) AS suffix FROM named)
+@query("detect_kind", """WITH paths AS (
+  SELECT url || ending AS url FROM pages,
+    (VALUES (''), ('.csv'), ('.xls'), ('.parquet'), ('.json'), ('.jpeg'), ('.txt')) v(ending)),
+suffixed AS (
+  SELECT url, lower(regexp_extract(regexp_extract(rtrim(url, '/'), '[^/]*$'), '^.+[.]([^.]+)$', 1)) AS suffix FROM paths)
 SELECT url, CASE WHEN suffix IN ('xlsx', 'xls') THEN 'excel' WHEN suffix IN ('jpg', 'jpeg', 'png', 'bmp') THEN 'image'
     WHEN suffix = 'txt' THEN 'text' WHEN suffix IN ('csv', 'parquet', 'json') THEN suffix ELSE 'unknown' END AS file_type,
   CASE WHEN suffix IN ('csv', 'xlsx', 'xls', 'parquet', 'json') THEN 'tabular'
     WHEN suffix IN ('jpg', 'jpeg', 'png', 'bmp') THEN 'image' WHEN suffix = 'txt' THEN 'text' ELSE 'unknown' END AS kind
-FROM (SELECT url, suffix FROM suffixed UNION ALL
-  SELECT url || '.' || ext, ext FROM pages, (VALUES ('csv'), ('xls'), ('parquet'), ('json'), ('jpeg'), ('txt')) v(ext))""")
+FROM suffixed""")
 def detect_kind(spark, sf):
     """Page addresses as they are, and with each kind of suffix."""
     endings = F.array(*[F.lit(s) for s in ["", ".csv", ".XLS", ".parquet", ".json", ".JPEG", ".txt"]])
@@ -269,11 +272,11 @@ def find_text_column(spark, sf):
     return text_types.find_text_column(table(spark, sf, "documents"))
 
 
-@query("dataset_metadata", """SELECT count(*) AS n_samples, 5 AS n_features, unnest([0, 1, 2, 3, 4]) AS position,
-  unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS "column",
-  unnest(list_transform([typeof(min(doc_id)), typeof(min(text)), typeof(min(lang)), typeof(min(source)),
-    typeof(min(n_chars))], x -> CASE x WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' ELSE x END)) AS type
-FROM documents""")
+@query("dataset_metadata", """SELECT n_samples, 5 AS n_features, position, "column",
+  CASE kind WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' ELSE kind END AS type
+FROM (""" + " UNION ALL ".join(
+    f"SELECT count(*) AS n_samples, {i} AS position, '{c}' AS \"column\", typeof(min({c})) AS kind FROM documents"
+    for i, c in enumerate(["doc_id", "text", "lang", "source", "n_chars"])) + ")")
 def dataset_metadata(spark, sf):
     return metadata.table_metadata(table(spark, sf, "documents"))
 
@@ -678,7 +681,7 @@ def score_overall(spark, sf):
     WHEN balance >= 60 THEN 'Moderate imbalance' ELSE 'Severe imbalance' END AS balance_text,
   CASE WHEN integrity >= 90 THEN 'Minimal anomalies' WHEN integrity >= 75 THEN 'Some anomalies'
     WHEN integrity >= 60 THEN 'Notable anomalies' ELSE 'High anomaly rate' END AS integrity_text,
-  coalesce(anomaly_percentage, outlier_percentage) AS integrity_metric, round(integrity, 2) AS integrity_score
+  coalesce(anomaly_percentage, outlier_percentage) AS integrity_metric, round_even(integrity, 2) AS integrity_score
 FROM scored""")
 def score_details(spark, sf):
     detailed = scoring.score_details(scoring.health_score(metric_rows(spark, sf)))
@@ -700,7 +703,7 @@ def score_formula(spark, sf):
 
 
 @query("weighted_components", METRIC_ROWS + " UNION ALL ".join(
-    f"SELECT l_orderkey, l_linenumber, '{c}' AS component, {c} AS score, round({c} * 0.25::DOUBLE, 2) AS weighted FROM components"
+    f"SELECT l_orderkey, l_linenumber, '{c}' AS component, {c} AS score, round_even({c} * 0.25::DOUBLE, 2) AS weighted FROM components"
     for c in scoring.COMPONENTS))
 def weighted_components(spark, sf):
     return scoring.weighted_components(scoring.score_components(metric_rows(spark, sf)), KEY)

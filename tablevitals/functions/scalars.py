@@ -43,7 +43,7 @@ NUMERIC_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([i
 def percentage(part: Column, whole: Column) -> Column:
     """``part`` in percent of ``whole``, two decimals; 0.0 when ``whole`` is 0."""
     part, whole = part.cast("double"), whole.cast("double")
-    share = F.round(F.try_divide(part, whole) * 100, 2)
+    share = F.bround(F.try_divide(part, whole) * 100, 2)
     return F.when(whole == 0, F.lit(0.0)).otherwise(share)
 
 
@@ -59,14 +59,14 @@ def truncate_text(text: Column, max_length: int = 100) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """A byte count with two decimals and the largest fitting unit, in steps of 1024."""
+    """A byte count with two decimals (half to even) and the largest fitting unit, in steps of 1024."""
     size = size.cast("double")
     label = None
     for power, unit in enumerate(["B", "KB", "MB", "GB", "TB"]):
-        scaled = F.format_string("%.2f " + unit, size / float(1024 ** power))
+        scaled = F.format_string("%.2f " + unit, F.bround(size / float(1024 ** power), 2))
         fits = size < float(1024 ** (power + 1))
         label = F.when(fits, scaled) if label is None else label.when(fits, scaled)
-    return label.otherwise(F.format_string("%.2f PB", size / float(1024 ** 5)))
+    return label.otherwise(F.format_string("%.2f PB", F.bround(size / float(1024 ** 5), 2)))
 
 
 def _lookup(table: dict[str, str], key: Column, default: str) -> Column:

@@ -50,7 +50,7 @@ def anomaly_summary(rows: DataFrame, label: str = "anomaly_label") -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("n_anomalies"),
-        F.round(F.try_divide(F.sum(label), F.count(F.lit(1))) * 100, 2).alias("anomaly_percentage"),
+        F.bround(F.try_divide(F.sum(label), F.count(F.lit(1))) * 100, 2).alias("anomaly_percentage"),
     )
 
 

@@ -29,9 +29,10 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     columns = list(columns if columns is not None else numeric_columns(df))
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
-    center = centers(df, columns)
     # Deviations from the column means keep the sums of products free of cancellation.
-    data = df.select([(as_double(df, c) - center[f"c{i}"]).alias(f"d{i}") for i, c in enumerate(columns)])
+    data = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)],
+                     centers(df, columns).alias("center"))
+    data = data.select([(F.col(f"x{i}") - F.col(f"center.c{i}")).alias(f"d{i}") for i in range(len(columns))])
     sums = _narrow_sums(data) if len(columns) <= NARROW_COLUMNS else _wide_sums(data)
     n = F.col("n")
     cross = F.col("sij") - F.try_divide(F.col("si") * F.col("sj"), n)

@@ -46,7 +46,7 @@ def duplicate_summary(df: DataFrame, subset: Sequence[str] | None = None) -> Dat
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"),
     )
-    share = F.round(F.try_divide("n_duplicates", "n_rows") * 100, 2)
+    share = F.bround(F.try_divide("n_duplicates", "n_rows") * 100, 2)
     return totals.withColumn("duplicate_percentage", share)
 
 
@@ -87,7 +87,7 @@ def validate_table(df: DataFrame) -> DataFrame:
         missing["n_columns"].alias("n_cols"),
         (doubles["n_duplicates"] > 0).alias("has_duplicates"),
         (missing["total_missing"] > 0).alias("has_missing"),
-        F.round(size / float(1024 ** 2), 2).alias("size_mb"),
+        F.bround(size / float(1024 ** 2), 2).alias("size_mb"),
     )
 
 

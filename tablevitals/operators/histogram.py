@@ -26,20 +26,20 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
     names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
     ends = finite.agg(F.array(*[F.struct(F.min(f"v{i}").alias("lo"), F.max(f"v{i}").alias("hi"))
                                 for i in range(len(columns))]).alias("ends")).scalar()
-    cells = []
-    for i in range(len(columns)):
-        flat = ends[i]["lo"] == ends[i]["hi"]
-        low = ends[i]["lo"] - F.when(flat, 0.5).otherwise(0.0)
-        high = ends[i]["hi"] + F.when(flat, 0.5).otherwise(0.0)
-        x = F.col(f"v{i}")
-        position = F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
-        # The ends travel with the bin: they are constants per column, so the grouping stays small.
-        cells.append(F.when(x.isNotNull(), F.struct(
-            F.lit(i).alias("i"), position.alias("bin"), low.alias("lo"), high.alias("hi"))))
-    counted = (
-        finite.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
-        .groupBy("i", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("count"))
+    cells = [F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("x")))
+             for i in range(len(columns))]
+    flat = F.col("end.lo") == F.col("end.hi")
+    # The ends travel with the bin: they are constants per column, so the grouping stays small.
+    rows = (
+        finite.select("*", ends.alias("ends"))
+        .select(F.explode(F.array(*cells)).alias("cell"), "ends").filter("cell IS NOT NULL")
+        .select("cell.i", "cell.x", F.get("ends", F.col("cell.i")).alias("end"))
+        .select("i", "x", F.when(flat, F.col("end.lo") - 0.5).otherwise(F.col("end.lo")).alias("lo"),
+                F.when(flat, F.col("end.hi") + 0.5).otherwise(F.col("end.hi")).alias("hi"))
     )
+    position = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    counted = rows.groupBy("i", F.least(position, F.lit(bins - 1)).cast("int").alias("bin"), "lo", "hi").agg(
+        F.count(F.lit(1)).alias("count"))
     width = (F.col("hi") - F.col("lo")) / bins
     return counted.select(
         names.alias("column"), "bin",

@@ -72,7 +72,7 @@ def missing_total(df: DataFrame) -> DataFrame:
         F.max("n_rows").alias("n_rows"),
         F.count(F.lit(1)).cast("int").alias("n_columns"),
         F.sum("missing").alias("total_missing"),
-        F.round(F.try_divide(F.sum("missing"), F.sum("n_rows")) * 100, 2).alias("missing_percentage"),
+        F.bround(F.try_divide(F.sum("missing"), F.sum("n_rows")) * 100, 2).alias("missing_percentage"),
     )
 
 
@@ -120,7 +120,7 @@ def logical_size(df: DataFrame) -> DataFrame:
         rows = [F.struct(F.lit(c).alias("column"), F.col(f"b{i}").cast("long").alias("bytes"))
                 for i, c in enumerate(group)]
         parts.append(sized.select(F.inline(F.array(*rows))))
-    return union_all(parts).withColumn("mb", F.round(F.col("bytes") / float(1024 ** 2), 2))
+    return union_all(parts).withColumn("mb", F.bround(F.col("bytes") / float(1024 ** 2), 2))
 
 
 def impute_zero(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:

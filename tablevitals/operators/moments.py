@@ -35,17 +35,19 @@ def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> Data
                 "skewness double, kurtosis double")
     parts = []
     for group in chunks(columns, COLUMNS_PER_AGGREGATE):
-        center = centers(df, group)
+        # The subquery's struct becomes one column, so that it is planned once, not once per use.
+        data = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(group)],
+                         centers(df, group).alias("center"))
         aggregates = []
         for i, c in enumerate(group):
-            x = as_double(df, c)
-            d = x - center[f"c{i}"]
+            x = F.col(f"x{i}")
+            d = x - F.col(f"center.c{i}")
             aggregates += [
                 F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.min(x).alias(f"min{i}"),
                 F.max(x).alias(f"max{i}"), F.sum(d).alias(f"s1_{i}"), F.sum(d * d).alias(f"s2_{i}"),
                 F.sum(d * d * d).alias(f"s3_{i}"), F.sum(d * d * d * d).alias(f"s4_{i}"),
             ]
-        sums = df.agg(*aggregates)
+        sums = data.agg(*aggregates)
         rows = [F.struct(
             F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"mean{i}").alias("mean"),
             F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.col(f"s1_{i}").alias("s1"),
@@ -87,8 +89,11 @@ def standard_scale(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -
         x = zero_imputed(df, c)
         stats += [F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"sd{i}")]
     fitted = df.agg(F.struct(*stats).alias("fitted")).scalar()
+    names = [f"k{i}" for i in range(len(keep))]
+    data = df.select(*[col(c).alias(n) for c, n in zip(keep, names)],
+                     *[zero_imputed(df, c).alias(f"x{i}") for i, c in enumerate(columns)], fitted.alias("fitted"))
     scaled = []
     for i, c in enumerate(columns):
-        sd = F.when(fitted[f"sd{i}"] == 0, F.lit(1.0)).otherwise(fitted[f"sd{i}"])
-        scaled.append(((zero_imputed(df, c) - fitted[f"mean{i}"]) / sd).alias(c))
-    return df.select(*[col(c) for c in keep], *scaled)
+        sd = F.when(F.col(f"fitted.sd{i}") == 0, F.lit(1.0)).otherwise(F.col(f"fitted.sd{i}"))
+        scaled.append(((F.col(f"x{i}") - F.col(f"fitted.mean{i}")) / sd).alias(c))
+    return data.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *scaled)

@@ -154,8 +154,8 @@ def _tagged(data: DataFrame, ranges: list[_Range], tag) -> DataFrame:
                 cell = F.when(r.holds(col(c)), value) if cell is None else cell.when(r.holds(col(c)), value)
         if cell is not None:
             cells.append(cell)
-    rows = data.select(F.explode(F.array_compact(F.array(*cells))).alias("cell"))
-    return rows.select("cell.*")
+    rows = data.select(F.explode(F.array(*cells)).alias("cell"))
+    return rows.filter("cell IS NOT NULL").select("cell.*")
 
 
 def _bin(r: _Range, value: Column) -> list[Column]:

@@ -58,7 +58,7 @@ def check_outliers(df: DataFrame, thresholds: Thresholds = Thresholds(), method:
     state = status(F.col("outlier_share"), thresholds.outliers)
     return outlier_total(iqr_outliers(df, method=method)).select(
         state.alias("status"), outlier_severity(state).alias("severity"),
-        F.round("outlier_share", 2).alias("outlier_percentage"))
+        F.bround("outlier_share", 2).alias("outlier_percentage"))
 
 
 def check_types(df: DataFrame) -> DataFrame:

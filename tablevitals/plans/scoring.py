@@ -8,6 +8,8 @@ The rules work on any number of rows, one per table, group or day.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,12 @@ CLOSING = [
 ]
 
 
+def _text(pattern: str, *values: Column) -> Column:
+    """Formatted text; floats are rounded half to even first, as Java's own rule is half up."""
+    digits = [int(d) if d else None for d in re.findall(r"%(?:[.](\d))?[dfs]", pattern)]
+    return F.format_string(pattern, *[v if d is None else F.bround(v, d) for v, d in zip(values, digits)])
+
+
 def _below(value: Column, steps: list[tuple[float, float]], beyond: Column) -> Column:
     out = F.when(value.isNull(), F.lit(None).cast("double"))
     for limit, score in steps:
@@ -150,11 +158,11 @@ def weakest_component() -> Column:
 def _advice(overall: Column) -> Column:
     weakest = weakest_component()
     by_weakest = (
-        F.when(weakest == "balance", F.format_string(
+        F.when(weakest == "balance", _text(
             WEAKEST_ADVICE["balance"], F.coalesce(F.col("imbalance_ratio").cast("double"), F.lit(1.0))))
-        .when(weakest == "completeness", F.format_string(
+        .when(weakest == "completeness", _text(
             WEAKEST_ADVICE["completeness"], F.col("missing_percentage").cast("double")))
-        .when(weakest == "consistency", F.format_string(
+        .when(weakest == "consistency", _text(
             WEAKEST_ADVICE["consistency"], F.col("duplicate_percentage").cast("double")))
         .otherwise(WEAKEST_ADVICE["integrity"])
     )
@@ -173,7 +181,7 @@ def health_score(metrics: DataFrame, weights: Weights = Weights()) -> DataFrame:
     overall = F.col("overall")
     return scored.select(
         *[c for c in scored.columns if c != "overall"],
-        F.round(overall, 2).alias("overall_score"),
+        F.bround(overall, 2).alias("overall_score"),
         rating(overall).alias("rating"),
         _advice(overall).alias("recommendation"),
     )
@@ -189,7 +197,7 @@ def score_details(scored: DataFrame) -> DataFrame:
         F.col("outlier_percentage"))
     measured = {"completeness": F.col("missing_percentage"), "consistency": F.col("duplicate_percentage"),
                 "balance": F.col("imbalance_ratio"), "integrity": source}
-    details = [F.struct(F.round(F.col(c), 2).alias("score"), measured[c].cast("double").alias("metric"),
+    details = [F.struct(F.bround(F.col(c), 2).alias("score"), measured[c].cast("double").alias("metric"),
                         interpretation(c).alias("interpretation")).alias(f"{c}_details") for c in COMPONENTS]
     return scored.select("*", *details)
 
@@ -197,7 +205,7 @@ def score_details(scored: DataFrame) -> DataFrame:
 def weighted_components(scored: DataFrame, keep: list[str], weights: Weights = Weights()) -> DataFrame:
     """Long form: ``keep`` columns, component, score, weighted (score x weight, two decimals)."""
     rows = [F.struct(F.lit(c).alias("component"), F.col(c).alias("score"),
-                     F.round(F.col(c) * F.lit(w), 2).alias("weighted"))
+                     F.bround(F.col(c) * F.lit(w), 2).alias("weighted"))
             for c, w in weights.normalized().items()]
     return scored.select(*keep, F.inline(F.array(*rows)))
 
@@ -207,7 +215,7 @@ def score_formula(weights: Weights = Weights()) -> Column:
     shares = weights.normalized()
     terms = " + ".join(["(%.1f × %.2f)"] * len(COMPONENTS)) + " = %.2f"
     numbers = [x for c in COMPONENTS for x in (F.col(c), F.lit(shares[c]))]
-    return F.format_string(terms, *numbers, weighted_sum(weights))
+    return _text(terms, *numbers, weighted_sum(weights))
 
 
 def recommendations() -> Column:
@@ -223,14 +231,14 @@ def recommendations() -> Column:
     lines = [
         F.when(alarming("missing_severity"), IMPUTE),
         F.when(alarming("duplicates_severity"), DEDUPLICATE),
-        F.when(mild, F.format_string(MILD_IMBALANCE[0], ratio)),
+        F.when(mild, _text(MILD_IMBALANCE[0], ratio)),
         F.when(mild, MILD_IMBALANCE[1]),
-        F.when(strong, F.format_string(STRONG_IMBALANCE, ratio)),
-        F.when(many, F.format_string(MANY_ANOMALIES[0], count, share)),
+        F.when(strong, _text(STRONG_IMBALANCE, ratio)),
+        F.when(many, _text(MANY_ANOMALIES[0], count, share)),
         *[F.when(many, text) for text in MANY_ANOMALIES[1:]],
-        F.when(some, F.format_string(SOME_ANOMALIES[0], count, share)),
+        F.when(some, _text(SOME_ANOMALIES[0], count, share)),
         *[F.when(some, text) for text in SOME_ANOMALIES[1:]],
-        F.when(few, F.format_string(FEW_ANOMALIES, share)),
+        F.when(few, _text(FEW_ANOMALIES, share)),
         _from(overall, CLOSING),
     ]
     return F.array_compact(F.array(*lines))
@@ -241,17 +249,17 @@ def key_findings() -> Column:
     ratio, share = F.col("imbalance_ratio").cast("double"), F.col("anomaly_percentage").cast("double")
 
     def measured(label: str, value: str, state: str) -> Column:
-        return F.when(F.col(value).isNotNull(), F.format_string(
+        return F.when(F.col(value).isNotNull(), _text(
             label + ": %.2f%% [%s]", F.col(value).cast("double"), F.upper(state)))
 
     balanced = F.col("balance_status") != "not_applicable"
     lines = [
         measured("Missing Values", "missing_percentage", "missing_status"),
         measured("Duplicates", "duplicate_percentage", "duplicates_status"),
-        F.when(balanced, F.format_string("Class Imbalance: %.2f:1 [%s]", ratio, F.upper("balance_status"))),
+        F.when(balanced, _text("Class Imbalance: %.2f:1 [%s]", ratio, F.upper("balance_status"))),
         F.when(balanced & (ratio > 5),
                "  Common in churn/attrition datasets; manageable with standard techniques"),
-        F.when(share.isNotNull(), F.format_string(
+        F.when(share.isNotNull(), _text(
             "Statistical Outliers: %d detected (%.2f%%)", F.col("n_anomalies").cast("long"), share)),
         F.when(share.isNotNull(), "  ML-based detection; not necessarily data errors"),
         F.when(share.isNotNull(), "  Includes rare combinations, edge cases, legitimate extremes"),
