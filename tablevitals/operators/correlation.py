@@ -53,16 +53,14 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 def _narrow_sums(data: DataFrame) -> DataFrame:
     k = len(data.columns)
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     sums, rows = [], []
-    for i, j in pairs:
-        a, b = F.col(f"d{i}"), F.col(f"d{j}")
-        both = a.isNotNull() & b.isNotNull()
-        terms = {"n": F.lit(1.0), "si": a, "sj": b, "sii": a * a, "sjj": b * b, "sij": a * b}
-        sums += [F.coalesce(F.sum(F.when(both, t)), F.lit(0.0)).alias(f"{s}_{i}_{j}") for s, t in terms.items()]
-        rows.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                             *[F.col(f"{s}_{i}_{j}").alias(s) for s in terms]))
-    return data.agg(*sums).select(F.inline(F.array(*rows)))
+    for i, j in [(i, j) for i in range(k) for j in range(i + 1, k)]:
+        a, b = f"d{i}", f"d{j}"
+        terms = {"n": "1D", "si": a, "sj": b, "sii": f"{a} * {a}", "sjj": f"{b} * {b}", "sij": f"{a} * {b}"}
+        both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+        sums += [f"coalesce(sum(CASE WHEN {both} THEN {t} END), 0D) AS {s}_{i}_{j}" for s, t in terms.items()]
+        rows.append(f"struct({i} AS i, {j} AS j, " + ", ".join(f"{s}_{i}_{j} AS {s}" for s in terms) + ")")
+    return data.selectExpr(*sums).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _wide_sums(data: DataFrame) -> DataFrame:

@@ -23,27 +23,31 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
     infinite = [F.lit(float("inf")), F.lit(float("-inf"))]
     finite = df.select([F.when(~as_double(df, c).isin(infinite), as_double(df, c)).alias(f"v{i}")
                         for i, c in enumerate(columns)])
-    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
-    ends = finite.agg(F.array(*[F.struct(F.min(f"v{i}").alias("lo"), F.max(f"v{i}").alias("hi"))
-                                for i in range(len(columns))]).alias("ends")).scalar()
-    cells = [F.when(F.col(f"v{i}").isNotNull(), F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("x")))
-             for i in range(len(columns))]
-    flat = F.col("end.lo") == F.col("end.hi")
-    # The ends travel with the bin: they are constants per column, so the grouping stays small.
-    rows = (
-        finite.select("*", ends.alias("ends"))
-        .select(F.explode(F.array(*cells)).alias("cell"), "ends").filter("cell IS NOT NULL")
-        .select("cell.i", "cell.x", F.get("ends", F.col("cell.i")).alias("end"))
-        .select("i", "x", F.when(flat, F.col("end.lo") - 0.5).otherwise(F.col("end.lo")).alias("lo"),
-                F.when(flat, F.col("end.hi") + 0.5).otherwise(F.col("end.hi")).alias("hi"))
+    first = finite.agg(F.array(*[F.struct(F.min(f"v{i}").alias("lo"), F.max(f"v{i}").alias("hi"))
+                                 for i in range(len(columns))]).alias("ends"))
+    # A constant column gets a range of width 1 around its value.
+    ends = first.select(F.transform("ends", lambda e: F.struct(
+        F.when(e["lo"] == e["hi"], e["lo"] - 0.5).otherwise(e["lo"]).alias("lo"),
+        F.when(e["lo"] == e["hi"], e["hi"] + 0.5).otherwise(e["hi"]).alias("hi"))).alias("ends")).scalar()
+    keys = []
+    for i in range(len(columns)):
+        x, lo, hi = F.col(f"v{i}"), F.col("ends")[i]["lo"], F.col("ends")[i]["hi"]
+        position = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        keys.append(F.when(x.isNotNull(), position + i * bins))
+    # Column and bin as one number keep the map-side hash tables small.
+    counted = (
+        finite.select("*", ends.alias("ends")).select(F.explode(F.array(*keys)).alias("key"))
+        .filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("count"))
     )
-    position = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    counted = rows.groupBy("i", F.least(position, F.lit(bins - 1)).cast("int").alias("bin"), "lo", "hi").agg(
-        F.count(F.lit(1)).alias("count"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    return counted.select(
-        names.alias("column"), "bin",
-        (F.col("lo") + F.col("bin") * width).alias("low"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("high"),
+    names = F.array(*[F.lit(c) for c in columns])
+    placed = counted.select(
+        F.floor(F.col("key") / bins).cast("int").alias("i"), (F.col("key") % bins).alias("bin"), "count",
+        ends.alias("ends"),
+    ).select(F.get(names, F.col("i")).alias("column"), "bin", F.get("ends", F.col("i")).alias("end"), "count")
+    width = (F.col("end.hi") - F.col("end.lo")) / bins
+    return placed.select(
+        "column", "bin",
+        (F.col("end.lo") + F.col("bin") * width).alias("low"),
+        (F.col("end.lo") + (F.col("bin") + 1) * width).alias("high"),
         "count",
     )

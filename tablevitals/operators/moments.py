@@ -38,22 +38,15 @@ def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         # The subquery's struct becomes one column, so that it is planned once, not once per use.
         data = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(group)],
                          centers(df, group).alias("center"))
-        aggregates = []
-        for i, c in enumerate(group):
-            x = F.col(f"x{i}")
-            d = x - F.col(f"center.c{i}")
-            aggregates += [
-                F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.min(x).alias(f"min{i}"),
-                F.max(x).alias(f"max{i}"), F.sum(d).alias(f"s1_{i}"), F.sum(d * d).alias(f"s2_{i}"),
-                F.sum(d * d * d).alias(f"s3_{i}"), F.sum(d * d * d * d).alias(f"s4_{i}"),
-            ]
-        sums = data.agg(*aggregates)
-        rows = [F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"mean{i}").alias("mean"),
-            F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.col(f"s1_{i}").alias("s1"),
-            F.col(f"s2_{i}").alias("s2"), F.col(f"s3_{i}").alias("s3"), F.col(f"s4_{i}").alias("s4"),
-        ) for i, c in enumerate(group)]
-        parts.append(sums.select(F.inline(F.array(*rows))))
+        data = data.selectExpr("*", *[f"x{i} - center.c{i} AS d{i}" for i in range(len(group))])
+        powers = {"s1": "d{i}", "s2": "d{i} * d{i}", "s3": "d{i} * d{i} * d{i}", "s4": "d{i} * d{i} * d{i} * d{i}"}
+        sums = data.selectExpr(*[text for i in range(len(group)) for text in (
+            f"count(x{i}) AS n{i}", f"avg(x{i}) AS mean{i}", f"min(x{i}) AS min{i}", f"max(x{i}) AS max{i}",
+            *[f"sum({term.format(i=i)}) AS {name}_{i}" for name, term in powers.items()])])
+        rows = [F.struct(F.lit(c).alias("column"), F.expr(
+            f"struct(n{i} AS n, mean{i} AS mean, min{i} AS min, max{i} AS max, s1_{i} AS s1, s2_{i} AS s2, "
+            f"s3_{i} AS s3, s4_{i} AS s4)").alias("sums")) for i, c in enumerate(group)]
+        parts.append(sums.select(F.inline(F.array(*rows))).select("column", "sums.*"))
     return _shape(union_all(parts))
 
 

@@ -4,7 +4,7 @@ Spark's ``percentile`` keeps every distinct value of a group in one buffer of on
 memory holds once a column has billions of distinct values. Here the wanted ranks are narrowed down
 instead: count the values in a few thousand equal-width bins, keep the bins holding the ranks, repeat
 inside them until few values are left, and read the ranks off those. Every pass is one scan with a
-map-side combined count; what is shuffled and collected depends on the number of columns and bins
+map-side combined aggregate; what is shuffled and collected depends on the number of columns and bins
 only. Bins are computed by subtraction, multiplication and floor, which keep the order of the
 doubles, so the ranks stay exact.
 """
@@ -12,13 +12,13 @@ doubles, so the ranks stay exact.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevitals.functions.columns import as_double, chunks, col, numeric_columns
+from tablevitals.functions.columns import MAX_DOUBLE, as_double, chunks, numeric_columns
 
 #: Bins per interval and pass.
 BINS = 4096
@@ -35,6 +35,9 @@ COLUMNS_PER_SCAN = 20
 #: A pass that keeps more than this share of an interval is followed by a split at sketched quantiles.
 POOR_SHRINK = 0.5
 
+#: Ranges per aggregate of their ends.
+ENDS_PER_AGGREGATE = 40
+
 SCHEMA = "column string, p double, value double"
 
 
@@ -53,8 +56,16 @@ class _Range:
     def done(self) -> bool:
         return self.low == self.high or self.rows <= FEW_ROWS
 
-    def holds(self, value: Column) -> Column:
-        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+    @property
+    def holds(self) -> str:
+        """SQL condition: the column's value lies in the range."""
+        return f"({self.column} >= {_literal(self.low)} AND {self.column} <= {_literal(self.high)})"
+
+
+def _literal(value: float) -> str:
+    if math.isinf(value):
+        return "double('Infinity')" if value > 0 else "double('-Infinity')"
+    return f"{value!r}D"
 
 
 def quantiles(df: DataFrame, probabilities: Sequence[float], columns: Sequence[str] | None = None,
@@ -95,10 +106,8 @@ def _builtin(data: DataFrame, probabilities: Sequence[float], exact: bool) -> di
 
 def _exact(data: DataFrame, probabilities: Sequence[float], small_rows: int) -> dict[str, list[float | None]]:
     columns = data.columns
-    stats = data.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[f(c).alias(f"{c}_{f.__name__}") for c in columns for f in (F.count, F.min, F.max)],
-    ).first()
+    stats = data.selectExpr(
+        "count(1) AS n", *[f"{f}({c}) AS {c}_{f}" for c in columns for f in ("count", "min", "max")]).first()
     if stats["n"] <= small_rows:
         return _builtin(data, probabilities, exact=True)
     ranges = []
@@ -140,56 +149,66 @@ def _select(data: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], floa
     return _read_off(data, finished)
 
 
-def _tagged(data: DataFrame, ranges: list[_Range], tag) -> DataFrame:
-    """One row per value inside a range: the range's number and ``tag(range, value)`` fields.
+# The expressions below are SQL text over the short column names v0, v1, ...: with dozens of ranges,
+# building them Column by Column would take longer than running them.
+
+def _cells(ranges: list[_Range], tag: Callable[[int, _Range], str]) -> str:
+    """An array with, per column, ``tag(number, range)`` of the range a value falls into, else NULL.
 
-    The ranges of a column are disjoint, so a cell gives one row at most.
+    The ranges of a column are disjoint, so a cell has one tag at most.
     """
     cells = []
-    for c in data.columns:
-        cell = None
-        for i, r in enumerate(ranges):
-            if r.column == c:
-                value = F.struct(F.lit(i).alias("range"), *tag(r, col(c)), col(c).alias("x"))
-                cell = F.when(r.holds(col(c)), value) if cell is None else cell.when(r.holds(col(c)), value)
-        if cell is not None:
-            cells.append(cell)
-    rows = data.select(F.explode(F.array(*cells)).alias("cell"))
-    return rows.filter("cell IS NOT NULL").select("cell.*")
-
-
-def _bin(r: _Range, value: Column) -> list[Column]:
-    # Infinite ends get bins of their own; a span beyond the largest double is halved first.
-    low, high = max(r.low, -1.7976931348623157e308), min(r.high, 1.7976931348623157e308)
-    half = 0.5 if math.isinf(high - low) else 1.0
-    scale = BINS / max(high * half - low * half, 5e-324)
-    if math.isinf(scale):
-        position = (value * half - F.lit(low * half)) / F.lit(high * half - low * half) * BINS
-    else:
-        position = (value * half - F.lit(low * half)) * F.lit(scale)
-    inside = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(BINS)), position))),
-                     F.lit(BINS - 1)).cast("int")
-    bins = F.when(value < F.lit(low), F.lit(-1)).when(value > F.lit(high), F.lit(BINS)).otherwise(inside)
-    return [bins.alias("bin")]
+    for name in dict.fromkeys(r.column for r in ranges):
+        cases = [f"WHEN {r.holds} THEN {tag(i, r)}" for i, r in enumerate(ranges) if r.column == name]
+        cells.append(f"CASE {' '.join(cases)} END")
+    return f"array({', '.join(cells)})"
+
+
+def _bin(r: _Range) -> str:
+    """Bin -1..BINS of a value inside the range."""
+    x, span = r.column, r.high - r.low
+    if math.isfinite(span) and math.isfinite(BINS / span):
+        return f"least(int(floor(({x} - {_literal(r.low)}) * {_literal(BINS / span)})), {BINS - 1})"
+    # Infinite ends get bins of their own; a span no double can hold, or can divide, is scaled first.
+    low, high = max(r.low, -MAX_DOUBLE), min(r.high, MAX_DOUBLE)
+    unit = 0.25 if math.isinf(high - low) else 1.0
+    span = max(high * unit - low * unit, 5e-324)
+    share = f"({x} * {_literal(unit)} - {_literal(low * unit)}) / {_literal(span)}"
+    steps = f"least(int(floor(greatest(0D, least(1D, {share})) * {BINS})), {BINS - 1})"
+    return f"CASE WHEN {x} < {_literal(low)} THEN -1 WHEN {x} > {_literal(high)} THEN {BINS} ELSE {steps} END"
 
 
 def _by_bins(data: DataFrame, ranges: list[_Range]) -> list[_Range]:
     """Narrow every range to the bins that hold its ranks, and those bins to their actual ends."""
-    counted = _tagged(data, ranges, _bin).groupBy("range", "bin").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
-    upto = F.sum("rows").over(Window.partitionBy("range").orderBy("bin"))
-    running = counted.withColumn("upto", upto)
-    wanted = [(F.col("range") == i) & (F.col("upto") > rank - r.below) & (F.col("upto") - F.col("rows") <= rank - r.below)
-              for i, r in enumerate(ranges) for rank in r.ranks]
-    keep = wanted[0]
-    for condition in wanted[1:]:
-        keep = keep | condition
+    # Range and bin as one number: the map-side hash tables stay as small and fast as can be.
+    width = BINS + 2
+    keys = _cells(ranges, lambda i, r: f"{_bin(r)} + {i * width + 1}")
+    counted = (
+        data.selectExpr(f"explode({keys}) AS key").filter("key IS NOT NULL")
+        .groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+        .selectExpr(f"int(key DIV {width}) AS range", f"key % {width} - 1 AS bin", "rows")
+    )
+    hits = [(ranges[i], *hit) for i, *hit in _at_ranks(counted, "bin", ranges)]
+    ends: list[tuple[float, float]] = []
+    for group in chunks(hits, ENDS_PER_AGGREGATE):
+        inside = [f"CASE WHEN {r.holds} AND {_bin(r)} = {b} THEN {r.column} END" for r, b, *_ in group]
+        row = data.selectExpr(*[f"{f}({x}) AS {f}{i}" for i, x in enumerate(inside) for f in ("min", "max")]).first()
+        ends += [(row[f"min{i}"], row[f"max{i}"]) for i in range(len(group))]
+    return [_Range(r.column, low, high, below, rows, ranks)
+            for (r, _, below, rows, ranks), (low, high) in zip(hits, ends)]
+
+
+def _at_ranks(counted: DataFrame, position: str, ranges: list[_Range]) -> list[tuple]:
+    """Where the ranks lie in rows (range, position, rows): number, position, below, rows, ranks."""
+    upto = F.sum("rows").over(Window.partitionBy("range").orderBy(position))  # a few thousand rows each
+    keep = " OR ".join(f"(range = {i} AND upto > {k - r.below} AND upto - rows <= {k - r.below})"
+                       for i, r in enumerate(ranges) for k in r.ranks)
     out = []
-    for row in running.filter(keep).collect():  # one row per wanted rank at most
+    for row in counted.withColumn("upto", upto).filter(keep).collect():  # one row per wanted rank at most
         r = ranges[row["range"]]
         below = r.below + row["upto"] - row["rows"]
         ranks = tuple(k for k in r.ranks if below <= k < below + row["rows"])
-        out.append(_Range(r.column, row["low"], row["high"], below, row["rows"], ranks))
+        out.append((row["range"], row[position], below, row["rows"], ranks))
     return out
 
 
@@ -201,19 +220,19 @@ def _by_sketch(data: DataFrame, ranges: list[_Range]) -> list[_Range]:
     """
     accuracy = 10_000
     asked = [(r, k) for r in ranges for k in r.ranks]
-    row = data.agg(*[
-        F.percentile_approx(F.when(r.holds(col(r.column)), col(r.column)), F.array(*[
-            F.lit(min(1.0, max(0.0, (k - r.below) / r.rows + step / accuracy))) for step in (-2, 2)
-        ]), accuracy).alias(f"q{i}") for i, (r, k) in enumerate(asked)]).first()
-    splits = [(r, k, row[i][0], row[i][1]) for i, (r, k) in enumerate(asked)]
-    counts = data.agg(*[c for i, (r, k, low, high) in enumerate(splits) for c in (
-        F.count(F.when(r.holds(col(r.column)) & (col(r.column) < F.lit(low)), 1)).alias(f"b{i}"),
-        F.count(F.when(col(r.column).between(F.lit(low), F.lit(high)), 1)).alias(f"m{i}"))]).first()
+    points = [[min(1.0, max(0.0, (k - r.below) / r.rows + step / accuracy)) for step in (-2, 2)] for r, k in asked]
+    row = data.selectExpr(*[
+        f"percentile_approx(CASE WHEN {r.holds} THEN {r.column} END, array({a!r}D, {b!r}D), {accuracy}) AS q{i}"
+        for i, ((r, _), (a, b)) in enumerate(zip(asked, points))]).first()
+    ends = [(_literal(row[i][0]), _literal(row[i][1])) for i in range(len(asked))]
+    counts = data.selectExpr(*[c for i, ((r, _), (low, high)) in enumerate(zip(asked, ends)) for c in (
+        f"count_if({r.holds} AND {r.column} < {low}) AS b{i}",
+        f"count_if({r.column} BETWEEN {low} AND {high}) AS m{i}")]).first()
     out: list[_Range] = []
-    for i, (r, k, low, high) in enumerate(splits):
+    for i, (r, k) in enumerate(asked):
         below, rows = r.below + counts[f"b{i}"], counts[f"m{i}"]
         if below <= k < below + rows and rows < r.rows:
-            out.append(_Range(r.column, low, high, below, rows, (k,)))
+            out.append(_Range(r.column, row[i][0], row[i][1], below, rows, (k,)))
         else:
             out.append(_Range(r.column, r.low, r.high, r.below, r.rows, (k,)))
     return _disjoint(out)
@@ -239,17 +258,13 @@ def _read_off(data: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], fl
     open_ranges = [r for r in ranges if r.low != r.high]
     if not open_ranges:
         return found
-    counted = _tagged(data, open_ranges, lambda r, v: []).groupBy("range", "x").agg(F.count(F.lit(1)).alias("rows"))
-    # At most FEW_ROWS rows per range are left for this window.
-    upto = F.sum("rows").over(Window.partitionBy("range").orderBy("x"))
-    running = counted.withColumn("upto", upto)
-    keep = F.lit(False)
-    for i, r in enumerate(open_ranges):
-        for k in r.ranks:
-            rank = k - r.below
-            keep = keep | ((F.col("range") == i) & (F.col("upto") > rank) & (F.col("upto") - F.col("rows") <= rank))
-    for row in running.filter(keep).collect():  # one row per wanted rank at most
-        r = open_ranges[row["range"]]
-        first = r.below + row["upto"] - row["rows"]
-        found.update({(r.column, k): row["x"] for k in r.ranks if first <= k < first + row["rows"]})
+    values = _cells(open_ranges, lambda i, r: f"struct({i} AS range, {r.column} AS x)")
+    # At most FEW_ROWS rows per range are left, and few of the table's rows hold one.
+    counted = (
+        data.filter(" OR ".join(r.holds for r in open_ranges))
+        .selectExpr(f"explode({values}) AS cell").filter("cell IS NOT NULL").select("cell.*")
+        .groupBy("range", "x").agg(F.count(F.lit(1)).alias("rows"))
+    )
+    for i, x, _, _, ranks in _at_ranks(counted, "x", open_ranges):
+        found.update({(open_ranges[i].column, k): x for k in ranks})
     return found
