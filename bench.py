@@ -17,7 +17,7 @@ HEADLINE = [
     "duplicate_texts", "numeric_moments", "numeric_quantiles", "correlation_matrix", "correlation_wide",
     "high_correlations", "class_balance", "iqr_outliers", "numeric_as_string", "histogram_numeric",
     "missing_pattern", "categorical_columns", "standard_scale", "validate_table", "scan_text_lines",
-    "score_components", "recommendations", "health_score", "percentile_labels", "anomaly_combine",
+    "score_components", "health_score", "percentile_labels", "anomaly_combine",
     "iforest_score", "pca_recon_score", "anomaly_ensemble", "audit_report",
 ]
 

@@ -14,7 +14,7 @@ from tablevitals.operators.anomaly.forest import fit_forest, forest_score
 from tablevitals.operators.anomaly.network import fit_network, network_error
 from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
 from tablevitals.operators.quantiles import quantile_values
-from tablevitals.session import materialize
+from tablevitals.session import materialize, spread_small
 
 #: Added to the span of a min-max score (fixed value).
 SPAN_GUARD = 1e-8
@@ -102,6 +102,8 @@ def detect(df: DataFrame, key: Sequence[str] = (), columns: Sequence[str] | None
     if not columns:
         return Detection(None, {name: "skipped: no numeric columns" for name in config.detectors})
     n_rows = df.count()
+    width = 8 * (len(columns) + len(key))
+    df = spread_small(df.select(*[col(c) for c in dict.fromkeys([*key, *columns])]), n_rows * width)
     if not n_rows:
         return Detection(None, {name: "skipped: no rows" for name in config.detectors})
     raw: dict[str, Column] = {}

@@ -124,7 +124,10 @@ def fit_forest(df: DataFrame, columns: Sequence[str], params: ForestParams = For
         return pd.DataFrame({"tree": [tree], "feature": [parts[0]], "threshold": [parts[1]], "path": [parts[2]]})
 
     samples = draw_samples(df, columns, params, n_rows, key)
-    trees = samples.groupBy("tree").applyInPandas(build, TREE_SCHEMA).orderBy("tree").collect()
+    # A fixed partition count: adaptive execution would merge these small groups into one task.
+    tasks = min(params.n_estimators, df.sparkSession.sparkContext.defaultParallelism)
+    grown = samples.repartition(tasks, "tree").groupBy("tree").applyInPandas(build, TREE_SCHEMA)
+    trees = sorted(grown.collect(), key=lambda t: t["tree"])
     return {
         "feature": np.array([t["feature"] for t in trees], dtype=np.int64),
         "threshold": np.array([t["threshold"] for t in trees]),

@@ -20,21 +20,27 @@ def iqr_fences(df: DataFrame, columns: Sequence[str] | None = None, multiplier:
                method: str = "exact") -> dict[str, tuple[float | None, float | None]]:
     """Lower and upper fence per numeric column."""
     quartiles = quantile_values(df, [0.25, 0.75], columns, method)
-    fences = {}
-    for name, (q1, q3) in quartiles.items():
-        spread = None if q1 is None else q3 - q1
-        fences[name] = (None, None) if q1 is None else (q1 - multiplier * spread, q3 + multiplier * spread)
-    return fences
+    return {name: fences_of(q1, q3, multiplier) for name, (q1, q3) in quartiles.items()}
+
+
+def fences_of(q1: float | None, q3: float | None,
+              multiplier: float = IQR_MULTIPLIER) -> tuple[float | None, float | None]:
+    if q1 is None:
+        return None, None
+    return q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = IQR_MULTIPLIER,
-                 method: str = "exact") -> DataFrame:
-    """One row per numeric column: n_rows, lower, upper, outliers (strictly outside the fences)."""
+                 method: str = "exact", fences: dict | None = None) -> DataFrame:
+    """One row per numeric column: n_rows, lower, upper, outliers (strictly outside the fences).
+
+    ``fences`` takes ends that are known already, which saves the search for the quartiles.
+    """
     columns = list(columns if columns is not None else numeric_columns(df))
     schema = "column string, n_rows long, lower double, upper double, outliers long"
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
-    fences = iqr_fences(df, columns, multiplier, method)
+    fences = iqr_fences(df, columns, multiplier, method) if fences is None else fences
     parts = []
     for group in chunks(columns, COLUMNS_PER_AGGREGATE):
         counts = []

@@ -5,19 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevitals.config import Config
 from tablevitals.functions.columns import columns_with_role
 from tablevitals.operators.anomaly.detect import Detection, detect
-from tablevitals.operators.correlation import correlation_matrix
+from tablevitals.operators.correlation import correlation_matrix, high_correlations
 from tablevitals.operators.duplicates import duplicate_rows, duplicate_summary
-from tablevitals.operators.missing import basic_info, logical_size, missing_by_column, missing_total
+from tablevitals.operators.missing import basic_info, logical_size, missing_by_column
 from tablevitals.operators.moments import numeric_moments
-from tablevitals.operators.quantiles import quantiles
+from tablevitals.operators.outliers import fences_of
+from tablevitals.operators.quantiles import quantile_values
 from tablevitals.plans.checks import table_metrics
-from tablevitals.plans.scoring import health_score, key_findings, recommendations, score_details
+from tablevitals.plans.scoring import (COMPONENTS, health_score, key_findings, recommendations, score_details,
+                                       score_formula)
+from tablevitals.session import scratch_path, spread_small
 from tablevitals.sources.metadata import dataset_metadata
 from tablevitals.sources.readers import Dataset, load
 from tablevitals.sources.writers import save_flags, save_json
@@ -25,18 +28,48 @@ from tablevitals.sources.writers import save_flags, save_json
 
 @dataclass
 class Profile:
-    """The profile sections as DataFrames."""
-
-    basic_info: DataFrame
-    size: DataFrame
-    missing: DataFrame
-    missing_columns: DataFrame
-    duplicates: DataFrame
-    duplicate_rows: DataFrame | None
+    """The profile sections; the DataFrames are lazy, ``bytes`` and ``quartiles`` are small values."""
+
+    df: DataFrame
     roles: dict[str, list[str]]
-    statistics: DataFrame
-    medians: DataFrame
-    correlations: DataFrame
+    bytes: dict[str, int]
+    quartiles: dict[str, list[float | None]]
+    key: Sequence[str] = ()
+
+    @property
+    def basic_info(self) -> DataFrame:
+        return basic_info(self.df)
+
+    @property
+    def missing(self) -> DataFrame:
+        return missing_by_column(self.df)
+
+    @property
+    def duplicates(self) -> DataFrame:
+        return duplicate_summary(self.df)
+
+    @property
+    def duplicate_rows(self) -> DataFrame | None:
+        return duplicate_rows(self.df, self.key) if self.key else None
+
+    @property
+    def statistics(self) -> DataFrame:
+        """Moments and median per numeric column."""
+        medians = [(c, values[1]) for c, values in self.quartiles.items()]
+        median = self.df.sparkSession.createDataFrame(medians, "column string, median double")
+        return numeric_moments(self.df).join(F.broadcast(median), "column")  # one row per column
+
+    @property
+    def correlations(self) -> DataFrame:
+        return correlation_matrix(self.df)
+
+    @property
+    def high_correlations(self) -> DataFrame:
+        return high_correlations(self.df)
+
+    @property
+    def fences(self) -> dict[str, tuple[float | None, float | None]]:
+        return {c: fences_of(q[0], q[2]) for c, q in self.quartiles.items()}
 
 
 @dataclass
@@ -52,25 +85,18 @@ class AuditResult:
 
 
 def profile_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config()) -> Profile:
+    """Profile a table. A small one is first spread over all cores (``profile.df``)."""
+    sizes = {row["column"]: row["bytes"] for row in logical_size(df).collect()}  # one row per column
+    df = spread_small(df, sum(sizes.values()))
     roles = {role: columns_with_role(df, role) for role in ("numeric", "categorical", "datetime")}
-    return Profile(
-        basic_info=basic_info(df),
-        size=logical_size(df),
-        missing=missing_total(df),
-        missing_columns=missing_by_column(df),
-        duplicates=duplicate_summary(df),
-        duplicate_rows=duplicate_rows(df, key) if key else None,
-        roles=roles,
-        statistics=numeric_moments(df),
-        medians=quantiles(df, [0.5], method=config.quantile_method),
-        correlations=correlation_matrix(df),
-    )
+    quartiles = quantile_values(df, [0.25, 0.5, 0.75], method=config.quantile_method)
+    return Profile(df, roles, sizes, quartiles, key)
 
 
 def score_table(df: DataFrame, detection: Detection | None = None, config: Config = Config(),
-                target: str | None = None) -> DataFrame:
+                target: str | None = None, fences: dict | None = None) -> DataFrame:
     """One scored row of a table; the anomaly columns are filled in when a detection is given."""
-    metrics = table_metrics(df, config.thresholds, config.quantile_method, target)
+    metrics = table_metrics(df, config.thresholds, config.quantile_method, target, fences)
     if detection is not None and detection.usable:
         found = detection.summary().select(F.struct("*").alias("s")).scalar()
         metrics = metrics.withColumns({"anomaly_percentage": found["anomaly_percentage"],
@@ -82,35 +108,37 @@ def audit_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config(
                 target: str | None = None) -> AuditResult:
     """Audit a table. ``key`` names the columns that identify a row, for the per-row results."""
     profile = profile_table(df, key, config)
-    detection = detect(df, key, config=config) if config.detectors else None
-    scores = score_table(df, detection, config, target)
+    detection = detect(profile.df, key, config=config) if config.detectors else None
+    scores = score_table(profile.df, detection, config, target, profile.fences)
     statuses = [F.struct(F.lit(k).alias("detector"), F.lit(v).alias("status"))
                 for k, v in (detection.status if detection else {}).items()]
-    no_status = F.array().cast("array<struct<detector:string,status:string>>")
 
-    def listed(frame: DataFrame):
+    def listed(frame: DataFrame) -> Column:
         """A section with one entry per column or column pair, as an array."""
         return frame.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("rows")).scalar()
 
-    medians = profile.medians.withColumnRenamed("value", "median").drop("p")
-    statistics = profile.statistics.join(F.broadcast(medians), "column", "left")  # one row per column
+    def texts(values: Sequence[str]) -> Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    check_columns = ["missing_percentage", "duplicate_percentage", "imbalance_ratio", "outlier_percentage"]
+    check_columns += [c for c in scores.columns if c.endswith(("_status", "_severity", "_issues"))]
+    score_columns = ["overall_score", "rating", "recommendation", "integrity_source", *COMPONENTS]
+    score_columns += [f"{c}_details" for c in COMPONENTS]
     report = scores.select(
         F.struct(
-            profile.basic_info.select(F.struct("*").alias("r")).scalar().alias("basic_info"),
-            profile.missing.select(F.struct("*").alias("r")).scalar().alias("missing_values"),
-            listed(profile.missing_columns).alias("columns_with_missing"),
-            profile.duplicates.select(F.struct("*").alias("r")).scalar().alias("duplicates"),
-            F.struct(*[F.array(*[F.lit(c) for c in v]).cast("array<string>").alias(f"{k}_columns")
-                       for k, v in profile.roles.items()]).alias("data_types"),
-            listed(statistics).alias("statistics"),
+            F.struct("n_rows", "n_columns", F.lit(sum(profile.bytes.values())).alias("bytes"),
+                     texts(df.columns).alias("columns")).alias("basic_info"),
+            F.struct("total_missing", "missing_percentage", listed(profile.missing).alias("columns")).alias(
+                "missing_values"),
+            F.struct("n_duplicates", "duplicate_percentage").alias("duplicates"),
+            F.struct(*[texts(v).alias(f"{k}_columns") for k, v in profile.roles.items()]).alias("data_types"),
+            listed(profile.statistics).alias("statistics"),
             listed(profile.correlations).alias("correlations"),
         ).alias("profile"),
-        F.struct(*[c for c in scores.columns if c.endswith(("_status", "_severity", "_issues")) or c in (
-            "missing_percentage", "duplicate_percentage", "imbalance_ratio", "outlier_percentage")]).alias("checks"),
-        F.struct("anomaly_percentage", "n_anomalies",
-                 (F.array(*statuses) if statuses else no_status).alias("detectors")).alias("anomalies"),
-        F.struct("overall_score", "rating", "recommendation", "integrity_source", "completeness", "consistency",
-                 "balance", "integrity", *[c for c in scores.columns if c.endswith("_details")]).alias("scores"),
+        F.struct(*check_columns).alias("checks"),
+        F.struct("anomaly_percentage", "n_anomalies", F.array(*statuses).cast(
+            "array<struct<detector:string,status:string>>").alias("detectors")).alias("anomalies"),
+        F.struct(*score_columns, score_formula(config.weights).alias("calculation")).alias("scores"),
         recommendations().alias("recommendations"),
         key_findings().alias("key_findings"),
         F.current_timestamp().alias("timestamp"),
@@ -128,7 +156,13 @@ def audit_dataset(spark: SparkSession, path: str, output: str | None = None, key
     metadata = dataset_metadata(dataset)
     if dataset.kind != "tabular":
         return AuditResult(metadata, None, None, None, metadata)
-    result = audit_table(dataset.data, key, config)
+    data = dataset.data
+    if not path.rstrip("/").endswith(".parquet"):
+        # An audit reads the table a dozen times: text formats are parsed once, then read by column.
+        copy = scratch_path(spark, "table")
+        data.write.parquet(copy)
+        data = spark.read.parquet(copy)
+    result = audit_table(data, key, config)
     result.metadata = metadata
     described = metadata.select(F.struct("*").alias("r")).scalar()
     result.report = result.report.select(described.alias("metadata"), "*")

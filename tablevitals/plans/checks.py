@@ -73,34 +73,37 @@ def check_types(df: DataFrame) -> DataFrame:
 
 
 def table_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), method: str = "exact",
-                  target: str | None = None) -> DataFrame:
-    """One metrics row for the scoring rules, each check a subquery that Spark runs side by side."""
-    def one(check: DataFrame) -> Column:
-        return check.select(F.struct("*").alias("row")).scalar()
-
-    missing = one(check_missing(df, thresholds))
-    doubles = one(check_duplicates(df, thresholds))
-    balance = one(check_balance(df, thresholds, target))
-    outliers = one(check_outliers(df, thresholds, method))
-    types = one(check_types(df))
-    checks = df.sparkSession.range(1).select(
-        missing.alias("missing"), doubles.alias("duplicates"), balance.alias("balance"),
-        outliers.alias("outliers"), types.alias("types"))
-    return checks.select(
-        F.col("missing.missing_percentage").alias("missing_percentage"),
-        F.col("missing.status").alias("missing_status"),
-        F.col("missing.severity").alias("missing_severity"),
-        F.col("duplicates.duplicate_percentage").alias("duplicate_percentage"),
-        F.col("duplicates.status").alias("duplicates_status"),
-        F.col("duplicates.severity").alias("duplicates_severity"),
-        F.col("balance.imbalance_ratio").alias("imbalance_ratio"),
-        F.col("balance.status").alias("balance_status"),
-        F.col("balance.severity").alias("balance_severity"),
-        F.col("outliers.outlier_percentage").alias("outlier_percentage"),
-        F.col("outliers.status").alias("outliers_status"),
-        F.col("outliers.severity").alias("outliers_severity"),
-        F.col("types.status").alias("types_status"),
-        F.col("types.issues").alias("types_issues"),
+                  target: str | None = None, fences: dict | None = None) -> DataFrame:
+    """One metrics row for the scoring rules, each part a subquery that Spark runs side by side."""
+    def one(part: DataFrame) -> Column:
+        return part.select(F.struct("*").alias("row")).scalar()
+
+    parts = df.sparkSession.range(1).select(
+        one(missing_total(df)).alias("missing"),
+        one(duplicate_summary(df)).alias("duplicates"),
+        one(class_balance(df, target)).alias("balance"),
+        one(outlier_total(iqr_outliers(df, method=method, fences=fences))).alias("outliers"),
+        one(check_types(df)).alias("types"),
+    )
+    states = {
+        "missing": status(F.col("missing.missing_percentage"), thresholds.missing_values),
+        "duplicates": status(F.col("duplicates.duplicate_percentage"), thresholds.duplicates),
+        "balance": status(F.col("balance.imbalance_ratio"), thresholds.class_imbalance),
+        "outliers": status(F.col("outliers.outlier_share"), thresholds.outliers),
+    }
+    # A table with rows and no numeric column has no outliers, though the check does not apply.
+    outlier_percentage = F.coalesce(F.bround("outliers.outlier_share", 2),
+                                    F.when(F.col("missing.n_rows") > 0, F.lit(0.0)))
+    return parts.select(
+        "missing.n_rows", "missing.n_columns", "missing.total_missing", "missing.missing_percentage",
+        "duplicates.n_duplicates", "duplicates.duplicate_percentage",
+        "balance.target", "balance.n_classes", "balance.imbalance_ratio",
+        "outliers.total_outliers", outlier_percentage.alias("outlier_percentage"),
+        *[state.alias(f"{name}_status") for name, state in states.items()],
+        F.col("types.status").alias("types_status"), F.col("types.issues").alias("types_issues"),
         F.lit(None).cast("double").alias("anomaly_percentage"),
         F.lit(None).cast("long").alias("n_anomalies"),
-    )
+    ).withColumns({
+        f"{name}_severity": (outlier_severity if name == "outliers" else severity)(F.col(f"{name}_status"))
+        for name in states
+    })

@@ -52,3 +52,18 @@ def materialize(df):
     """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Tables up to this size may be rewritten whole to spread their rows.
+SPREAD_UP_TO_BYTES = 256 * 1024 ** 2
+
+
+def spread_small(df, n_bytes: int):
+    """Give a small table enough partitions for all cores; a larger one is returned as it is.
+
+    A small table often sits in a single file split, which leaves one task to do every pass. Tables
+    beyond the limit have splits enough, and copying them would cost more than it saves.
+    """
+    if n_bytes > SPREAD_UP_TO_BYTES:
+        return df
+    return materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
