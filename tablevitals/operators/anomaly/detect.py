@@ -90,22 +90,23 @@ def _fit(name: str, df: DataFrame, columns: list[str], key: Sequence[str], confi
 
 
 def detect(df: DataFrame, key: Sequence[str] = (), columns: Sequence[str] | None = None,
-           config: Config = Config()) -> Detection:
+           config: Config = Config(), spread: bool = True) -> Detection:
     """Run the configured detectors over the numeric columns.
 
     The raw scores of all detectors are computed side by side in one pass and stored (reliably, with
     the key columns, not the whole rows); thresholds, scaling and labels then read that narrow table.
-    A detector that fails does not stop the other one.
+    A detector that fails does not stop the other one. ``spread`` lets a small table use all cores.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     status: dict[str, str] = {}
     if not columns:
         return Detection(None, {name: "skipped: no numeric columns" for name in config.detectors})
     n_rows = df.count()
-    width = 8 * (len(columns) + len(key))
-    df = spread_small(df.select(*[col(c) for c in dict.fromkeys([*key, *columns])]), n_rows * width)
     if not n_rows:
         return Detection(None, {name: "skipped: no rows" for name in config.detectors})
+    df = df.select(*[col(c) for c in dict.fromkeys([*key, *columns])])
+    if spread:
+        df = spread_small(df, n_rows * 8 * len(df.columns))
     raw: dict[str, Column] = {}
     for name in config.detectors:
         try:
@@ -119,9 +120,12 @@ def detect(df: DataFrame, key: Sequence[str] = (), columns: Sequence[str] | None
     ends = scored.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
     percentile = {"isolation_forest": 1 - config.forest.contamination,
                   "autoencoder": config.autoencoder.threshold_percentile / 100}
+    # Both thresholds in the same passes; each detector then takes its own percentile.
+    wanted = [percentile[n] for n in names]
+    cuts = quantile_values(scored, wanted, names, config.quantile_method)
     labels, scores = {}, {}
-    for name in names:
-        threshold = quantile_values(scored, [percentile[name]], [name], config.quantile_method)[name][0]
+    for i, name in enumerate(names):
+        threshold = cuts[name][i]
         low, high = ends[f"min_{name}"], ends[f"max_{name}"]
         labels[name] = (F.col(name) > threshold).cast("int")
         scores[name] = (F.col(name) - low) / (high - low + SPAN_GUARD)

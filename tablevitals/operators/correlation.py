@@ -42,13 +42,11 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     varies = (var_i > 1e-14 * F.col("sii")) & (var_j > 1e-14 * F.col("sjj"))
     r = F.when(varies, F.try_divide(cross, F.sqrt(var_i) * F.sqrt(var_j)))
     names = F.array(*[F.lit(c) for c in columns])
+    # Rounding may leave the unit range; greatest and least would turn a NULL into a bound.
+    bounded = F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     return sums.select(
-        F.element_at(names, F.col("i") + 1).alias("feature1"),
-        F.element_at(names, F.col("j") + 1).alias("feature2"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("correlation"),
-        "i", "j",
-    ).withColumn("correlation", F.when(F.isnan("correlation"), None).otherwise(F.col("correlation"))).select(
-        "feature1", "feature2", "correlation")
+        F.get(names, F.col("i")).alias("feature1"), F.get(names, F.col("j")).alias("feature2"),
+        bounded.alias("correlation"))
 
 
 def _narrow_sums(data: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def audit_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config(
                 target: str | None = None) -> AuditResult:
     """Audit a table. ``key`` names the columns that identify a row, for the per-row results."""
     profile = profile_table(df, key, config)
-    detection = detect(profile.df, key, config=config) if config.detectors else None
+    detection = detect(profile.df, key, config=config, spread=False) if config.detectors else None
     scores = score_table(profile.df, detection, config, target, profile.fences)
     statuses = [F.struct(F.lit(k).alias("detector"), F.lit(v).alias("status"))
                 for k, v in (detection.status if detection else {}).items()]
