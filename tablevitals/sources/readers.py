@@ -73,7 +73,7 @@ def _type_flags(value: Column, i: int) -> list[Column]:
     trimmed = F.trim(value)
     whole = value.rlike(INTEGER_TEXT) & trimmed.try_cast("bigint").isNotNull()
     return [
-        F.bool_and(whole).alias(f"int{i}"),
+        F.bool_and(F.when(value.isNotNull(), whole)).alias(f"int{i}"),
         F.bool_and(trimmed.rlike(NUMERIC_TEXT)).alias(f"num{i}"),
         F.bool_and(value.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"bool{i}"),
     ]
