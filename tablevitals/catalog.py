@@ -409,7 +409,7 @@ def basic_info(spark, sf):
     return missing.basic_info(dirty(spark, sf))
 
 
-@query("logical_size", DIRTY + """SELECT "column", bytes, round(bytes / 1048576.0::DOUBLE, 2) AS mb FROM (""" + " UNION ALL ".join(
+@query("logical_size", DIRTY + """SELECT "column", bytes, round_even(bytes / 1048576.0::DOUBLE, 2) AS mb FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", ({size})::BIGINT AS bytes FROM dirty" for c, size in zip(DIRTY_COLUMNS, [
         "count(*) * 8", "count(*) * 4", "count(*) * 8", "count(*) * 8", "count(*) * 8",
         "sum(strlen(returnflag))", "sum(strlen(qty_text))", "count(*) * 4"])) + ")")
@@ -417,7 +417,7 @@ def logical_size(spark, sf):
     return missing.logical_size(dirty(spark, sf))
 
 
-@query("logical_size_documents", """SELECT "column", bytes, round(bytes / 1048576.0::DOUBLE, 2) AS mb FROM (""" + " UNION ALL ".join(
+@query("logical_size_documents", """SELECT "column", bytes, round_even(bytes / 1048576.0::DOUBLE, 2) AS mb FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", ({size})::BIGINT AS bytes FROM documents" for c, size in [
         ("doc_id", "count(*) * 8"), ("text", "sum(strlen(text))"), ("lang", "sum(strlen(lang))"),
         ("source", "sum(strlen(source))"), ("n_chars", "count(*) * 8")]) + ")")
@@ -425,14 +425,14 @@ def logical_size_documents(spark, sf):
     return missing.logical_size(table(spark, sf, "documents"))
 
 
-@query("missing_by_column", DIRTY + f"""SELECT "column", missing, round(missing / n_rows * 100, 2) AS missing_pct
+@query("missing_by_column", DIRTY + f"""SELECT "column", missing, round_even(missing / n_rows * 100, 2) AS missing_pct
 FROM {MISSING_SQL} WHERE missing > 0""")
 def missing_by_column(spark, sf):
     return missing.missing_by_column(dirty(spark, sf))
 
 
 @query("missing_total", DIRTY + f"""SELECT max(n_rows) AS n_rows, count(*)::INTEGER AS n_columns,
-  sum(missing)::BIGINT AS total_missing, round(sum(missing) / sum(n_rows) * 100, 2) AS missing_percentage
+  sum(missing)::BIGINT AS total_missing, round_even(sum(missing) / sum(n_rows) * 100, 2) AS missing_percentage
 FROM {MISSING_SQL}""")
 def missing_total(spark, sf):
     return missing.missing_total(dirty(spark, sf))
@@ -449,7 +449,7 @@ def missing_pattern(spark, sf):
 
 
 @query("duplicate_summary", DIRTY + """SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS n_duplicates,
-  round(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage
+  round_even(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage
 FROM (SELECT count(*) AS n FROM dirty GROUP BY ALL, l_orderkey, l_linenumber, quantity, qty_scaled, price, returnflag,
   qty_text, target)""".replace("GROUP BY ALL, ", "GROUP BY "))
 def duplicate_summary(spark, sf):
@@ -457,7 +457,7 @@ def duplicate_summary(spark, sf):
 
 
 @query("duplicate_texts", """SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS n_duplicates,
-  round(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage FROM (SELECT count(*) AS n FROM documents GROUP BY text)""")
+  round_even(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage FROM (SELECT count(*) AS n FROM documents GROUP BY text)""")
 def duplicate_texts(spark, sf):
     return duplicates.duplicate_summary(table(spark, sf, "documents"), ["text"])
 
@@ -558,7 +558,7 @@ def class_weights(spark, sf):
 @query("validate_table", DIRTY + f"""SELECT count(*) > 0 AS is_valid, count(*) AS n_rows, 8 AS n_cols,
   (SELECT count(*) FROM dirty) > (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS has_duplicates,
   (SELECT sum(missing) FROM {MISSING_SQL}) > 0 AS has_missing,
-  round((count(*) * 40 + sum(strlen(returnflag)) + sum(strlen(qty_text)))::DOUBLE / 1048576, 2) AS size_mb
+  round_even((count(*) * 40 + sum(strlen(returnflag)) + sum(strlen(qty_text)))::DOUBLE / 1048576, 2) AS size_mb
 FROM dirty""")
 def validate_table(spark, sf):
     return duplicates.validate_table(dirty(spark, sf))
@@ -584,7 +584,7 @@ def histogram_numeric(spark, sf):
 # Scalar functions ---------------------------------------------------------------------------------
 
 @query("fn_percentage", """SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 0.0::DOUBLE
-  ELSE round(l_discount / l_tax * 100, 2) END AS pct FROM lineitem""")
+  ELSE round_even(l_discount / l_tax * 100, 2) END AS pct FROM lineitem""")
 def fn_percentage(spark, sf):
     pct = scalars.percentage(F.col("l_discount"), F.col("l_tax"))
     return table(spark, sf, "lineitem").select(*KEY, pct.alias("pct"))
@@ -617,8 +617,8 @@ def fn_format_bytes(spark, sf):
 
 # Checks and scores --------------------------------------------------------------------------------
 
-MISSING_PCT_SQL = f"(SELECT round(sum(missing) / sum(n_rows) * 100, 2) AS missing_percentage FROM {MISSING_SQL})"
-DUPLICATE_PCT_SQL = """(SELECT round(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage FROM (
+MISSING_PCT_SQL = f"(SELECT round_even(sum(missing) / sum(n_rows) * 100, 2) AS missing_percentage FROM {MISSING_SQL})"
+DUPLICATE_PCT_SQL = """(SELECT round_even(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage FROM (
   SELECT count(*) AS n FROM dirty GROUP BY l_orderkey, l_linenumber, quantity, qty_scaled, price, returnflag, qty_text, target))"""
 RATIO_SQL = """(SELECT max(n)::DOUBLE / min(n) AS imbalance_ratio FROM (
   SELECT count(*) AS n FROM dirty GROUP BY target))"""
@@ -644,7 +644,7 @@ def check_balance(spark, sf):
 
 
 @query("check_outliers", DIRTY + f"""SELECT status, CASE WHEN status IN ('fair', 'poor') THEN 'medium' ELSE 'low' END AS severity,
-  round(share, 2) AS outlier_percentage
+  round_even(share, 2) AS outlier_percentage
 FROM (SELECT *, {_status_sql('share', 2, 5, 10)} AS status FROM {SHARE_SQL})""")
 def check_outliers(spark, sf):
     return checks.check_outliers(dirty(spark, sf))
@@ -759,7 +759,7 @@ def key_findings(spark, sf):
 
 
 @query("health_score", DIRTY + f""", metrics AS (
-  SELECT *, round(share, 2) AS outlier_percentage, NULL::DOUBLE AS anomaly_percentage,
+  SELECT *, round_even(share, 2) AS outlier_percentage, NULL::DOUBLE AS anomaly_percentage,
     {_status_sql('imbalance_ratio', 1.5, 3, 5)} AS balance_status
   FROM {MISSING_PCT_SQL}, {DUPLICATE_PCT_SQL}, {RATIO_SQL}, {SHARE_SQL}),
 components AS (SELECT *, {COMPONENTS_SQL} FROM metrics),
@@ -817,7 +817,7 @@ def anomaly_combine(spark, sf):
 
 
 @query("anomaly_summary", COMBINED_SQL + """SELECT count(*) AS n_rows, sum(anomaly_label)::BIGINT AS n_anomalies,
-  round(sum(anomaly_label) / count(*) * 100, 2) AS anomaly_percentage FROM combined""")
+  round_even(sum(anomaly_label) / count(*) * 100, 2) AS anomaly_percentage FROM combined""")
 def anomaly_summary(spark, sf):
     return anomaly.anomaly_summary(_combined(spark, sf))
 
