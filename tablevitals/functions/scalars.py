@@ -96,9 +96,13 @@ def size_mb(n_bytes: Column) -> Column:
 
 
 def is_numeric_text(text: Column) -> Column:
-    """NULL, blank and numeric strings pass."""
+    """NULL, blank and numeric strings pass.
+
+    The first character rules out most prose before the pattern sees the text.
+    """
     trimmed = F.trim(text)
-    return text.isNull() | (trimmed == "") | trimmed.rlike(NUMERIC_TEXT)
+    may_start = F.substring(trimmed, 1, 1).isin(*"+-.0123456789iI")
+    return text.isNull() | (trimmed == "") | (may_start & trimmed.rlike(NUMERIC_TEXT))
 
 
 def normalize_scores(df: DataFrame, column: str, low: float = 0.0, high: float = 100.0,

@@ -20,7 +20,7 @@ from tablevitals.operators.quantiles import quantile_values
 from tablevitals.plans.checks import table_metrics
 from tablevitals.plans.scoring import (COMPONENTS, health_score, key_findings, recommendations, score_details,
                                        score_formula)
-from tablevitals.session import scratch_path, spread_small
+from tablevitals.session import materialize, spread_small
 from tablevitals.sources.metadata import dataset_metadata
 from tablevitals.sources.readers import Dataset, load
 from tablevitals.sources.writers import save_flags, save_json
@@ -159,9 +159,7 @@ def audit_dataset(spark: SparkSession, path: str, output: str | None = None, key
     data = dataset.data
     if not path.rstrip("/").endswith(".parquet"):
         # An audit reads the table a dozen times: text formats are parsed once, then read by column.
-        copy = scratch_path(spark, "table")
-        data.write.parquet(copy)
-        data = spark.read.parquet(copy)
+        data = materialize(data)
     result = audit_table(data, key, config)
     result.metadata = metadata
     described = metadata.select(F.struct("*").alias("r")).scalar()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", memory: str = "16g", shuffle_partitions: int = 8) -> SparkSession:
@@ -48,17 +49,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tablevitals-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df):
-    """Cut the lineage with a reliable checkpoint, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the table to the shared folder and read it back.
+
+    A lost executor then costs no recomputation, and later passes read only the columns they use.
+    What Parquet cannot hold (intervals, untyped NULLs) goes through a reliable checkpoint.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    try:
+        df.write.parquet(path)
+    except AnalysisException:
+        return df.checkpoint(eager=True)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Tables up to this size may be rewritten whole to spread their rows.
 SPREAD_UP_TO_BYTES = 256 * 1024 ** 2
 
 
-def spread_small(df, n_bytes: int):
+def spread_small(df: DataFrame, n_bytes: int) -> DataFrame:
     """Give a small table enough partitions for all cores; a larger one is returned as it is.
 
     A small table often sits in a single file split, which leaves one task to do every pass. Tables

@@ -329,3 +329,14 @@ def test_text_column(spark):
     frame = spark.createDataFrame([("x", "y" * 60, "z" * 90)], "a string, b string, c string")
     assert rows(text_types.find_text_column(frame)) == [{"text_column": "b", "label_column": "a"}]
     assert rows(text_types.find_text_column(frame.select("a"))) == [{"text_column": None, "label_column": None}]
+
+
+def test_materialize_keeps_every_type(spark):
+    from tablevitals.session import materialize
+
+    frame = spark.sql("SELECT 1 AS a, 'x' AS `b c`, array(1, 2) AS d, timestamp_ntz'2024-01-01' AS t, NULL AS nothing, "
+                      "INTERVAL '3' DAY AS i, CAST(1.5 AS DECIMAL(9, 2)) AS e")
+    for columns in (frame.columns, ["a", "b c", "d", "t", "e"]):
+        part = frame.select(*[f"`{c}`" for c in columns])
+        stored = materialize(part)
+        assert stored.dtypes == part.dtypes and rows(stored) == rows(part)
