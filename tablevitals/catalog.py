@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablevitals.config import AutoencoderParams, Config, Thresholds
 from tablevitals.functions import scalars
-from tablevitals.functions.columns import normalize
+from tablevitals.functions.columns import normalize, union_all
 from tablevitals.operators import classes, correlation, duplicates, histogram, missing, moments, outliers, quantiles
 from tablevitals.operators import text_types
 from tablevitals.operators.anomaly import detect as anomaly
@@ -21,9 +21,10 @@ from tablevitals.operators.anomaly.forest import fit_forest, forest_score
 from tablevitals.operators.anomaly.network import fit_network, network_error
 from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
 from tablevitals.plans import checks, scoring
-from tablevitals.plans.audit import audit_table, score_table
+from tablevitals.plans.audit import audit_table, plot_tables, score_table
 from tablevitals.session import scratch_path
 from tablevitals.sources import metadata, readers, writers
+from tablevitals.sources.sample_data import sample_rows
 
 KEY = ["l_orderkey", "l_linenumber"]
 DIRTY_NUMERIC = ["l_orderkey", "l_linenumber", "quantity", "qty_scaled", "price", "target"]
@@ -296,6 +297,13 @@ def preview_topn(spark, sf):
     return metadata.preview(table(spark, sf, "customer"), 5, ["c_custkey"])
 
 
+@query("gen_sample")
+def gen_sample(spark, sf):
+    """A synthetic row for every order."""
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return sample_rows(ids, ids.count(), keep=("id",))
+
+
 # Sinks --------------------------------------------------------------------------------------------
 
 @query("sink_json_roundtrip", "SELECT * FROM customer")
@@ -875,6 +883,15 @@ def anomaly_ensemble(spark, sf):
     return anomaly.detect(dirty(spark, sf), KEY).rows
 
 
+@query("plot_tables")
+def plot_tables_query(spark, sf):
+    """The numbers behind all plots, as rows of plot name and JSON."""
+    result = audit_table(dirty(spark, sf), KEY)
+    parts = [frame.select(F.lit(name).alias("plot"), F.to_json(F.struct("*")).alias("row"))
+             for name, frame in plot_tables(result).items()]
+    return union_all(parts)
+
+
 @query("audit_report")
 def audit_report(spark, sf):
     return audit_table(dirty(spark, sf), KEY).report.drop("timestamp")

@@ -80,6 +80,8 @@ class Config:
     autoencoder: AutoencoderParams = field(default_factory=AutoencoderParams)
     detectors: tuple[str, ...] = ("isolation_forest", "autoencoder")
     quantile_method: str = "exact"
+    #: Columns left out of the outlier check and the detectors, such as keys or the label.
+    exclude: tuple[str, ...] = ()
 
     @staticmethod
     def from_dict(data: dict) -> "Config":

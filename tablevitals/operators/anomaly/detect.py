@@ -97,7 +97,7 @@ def detect(df: DataFrame, key: Sequence[str] = (), columns: Sequence[str] | None
     the key columns, not the whole rows); thresholds, scaling and labels then read that narrow table.
     A detector that fails does not stop the other one. ``spread`` lets a small table use all cores.
     """
-    columns = list(columns if columns is not None else numeric_columns(df))
+    columns = list(columns if columns is not None else numeric_columns(df, config.exclude))
     status: dict[str, str] = {}
     if not columns:
         return Detection(None, {name: "skipped: no numeric columns" for name in config.detectors})

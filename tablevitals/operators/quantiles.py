@@ -95,6 +95,15 @@ def quantile_values(df: DataFrame, probabilities: Sequence[float], columns: Sequ
     return found
 
 
+def value_at_rank(df: DataFrame, column: str, rank: int) -> float:
+    """The ``rank``-th smallest non-null value of a column, counted from 0."""
+    data = df.select(as_double(df, column).alias("v0"))
+    stats = data.selectExpr("count(v0) AS n", "min(v0) AS low", "max(v0) AS high").first()
+    if not 0 <= rank < stats["n"]:
+        raise ValueError(f"rank {rank} of {stats['n']} values")
+    return _select(data, [_Range("v0", stats["low"], stats["high"], 0, stats["n"], (rank,))])["v0", rank]
+
+
 def _builtin(data: DataFrame, probabilities: Sequence[float], exact: bool) -> dict[str, list[float | None]]:
     points = F.array(*[F.lit(float(p)) for p in probabilities])
     if exact:

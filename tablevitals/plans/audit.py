@@ -9,23 +9,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevitals.config import Config
-from tablevitals.functions.columns import columns_with_role
-from tablevitals.operators.anomaly.detect import Detection, detect
+from tablevitals.functions.columns import columns_with_role, pick_target
+from tablevitals.operators.anomaly.detect import Detection, anomaly_threshold, detect
+from tablevitals.operators.classes import class_balance, class_distribution
 from tablevitals.operators.correlation import correlation_matrix, high_correlations
 from tablevitals.operators.duplicates import duplicate_rows, duplicate_summary
-from tablevitals.operators.missing import basic_info, logical_size, missing_by_column
+from tablevitals.operators.histogram import histogram
+from tablevitals.operators.missing import basic_info, logical_size, missing_by_column, missing_pattern
 from tablevitals.operators.moments import numeric_moments
 from tablevitals.operators.outliers import fences_of
 from tablevitals.operators.quantiles import quantile_values
 from tablevitals.plans.checks import table_metrics
 from tablevitals.plans.scoring import (COMPONENTS, health_score, key_findings, recommendations, score_details,
-                                       score_formula)
+                                       score_formula, weighted_components)
 from tablevitals.session import materialize, spread_small
 from tablevitals.sources.metadata import dataset_metadata
 from tablevitals.sources.readers import Dataset, load
 from tablevitals.sources.writers import save_flags, save_json
 
 
+#: The report lists all column pairs up to this many numeric columns; ``correlations`` always has them.
+MAX_LISTED_COLUMNS = 100
+
+#: Bins of the anomaly score plot (fixed value).
+SCORE_BINS = 50
+
+
 @dataclass
 class Profile:
     """The profile sections; the DataFrames are lazy, ``bytes`` and ``quartiles`` are small values."""
@@ -96,7 +105,7 @@ def profile_table(df: DataFrame, key: Sequence[str] = (), config: Config = Confi
 def score_table(df: DataFrame, detection: Detection | None = None, config: Config = Config(),
                 target: str | None = None, fences: dict | None = None) -> DataFrame:
     """One scored row of a table; the anomaly columns are filled in when a detection is given."""
-    metrics = table_metrics(df, config.thresholds, config.quantile_method, target, fences)
+    metrics = table_metrics(df, config.thresholds, config.quantile_method, target, fences, config.exclude)
     if detection is not None and detection.usable:
         found = detection.summary().select(F.struct("*").alias("s")).scalar()
         metrics = metrics.withColumns({"anomaly_percentage": found["anomaly_percentage"],
@@ -130,10 +139,12 @@ def audit_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config(
                      texts(df.columns).alias("columns")).alias("basic_info"),
             F.struct("total_missing", "missing_percentage", listed(profile.missing).alias("columns")).alias(
                 "missing_values"),
-            F.struct("n_duplicates", "duplicate_percentage").alias("duplicates"),
+            F.struct("n_duplicates", "duplicate_percentage", *(
+                [listed(profile.duplicate_rows).alias("first")] if key else [])).alias("duplicates"),
             F.struct(*[texts(v).alias(f"{k}_columns") for k, v in profile.roles.items()]).alias("data_types"),
             listed(profile.statistics).alias("statistics"),
-            listed(profile.correlations).alias("correlations"),
+            *([listed(profile.correlations).alias("correlations")]
+              if len(profile.roles["numeric"]) <= MAX_LISTED_COLUMNS else []),
         ).alias("profile"),
         F.struct(*check_columns).alias("checks"),
         F.struct("anomaly_percentage", "n_anomalies", F.array(*statuses).cast(
@@ -146,9 +157,35 @@ def audit_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config(
     return AuditResult(report, scores, profile, detection)
 
 
+def plot_tables(result: AuditResult) -> dict[str, DataFrame]:
+    """The numbers behind each plot of an audited table: small tables whatever the table's size."""
+    profile, detection = result.profile, result.detection
+    df = profile.df
+    tables = {
+        "components": weighted_components(result.scores, ["overall_score", "rating"]),
+        "missing_values": profile.missing,
+        "correlations": profile.correlations,
+    }
+    if profile.roles["numeric"]:
+        tables["feature_distributions"] = histogram(df)
+    position = next((k for k in profile.key if k in profile.roles["numeric"]), None)
+    if position:
+        tables["missing_pattern"] = missing_pattern(df, position)
+    target = pick_target(df)
+    label = class_balance(df, target)
+    # Only a label column has a class plot; the others would have as many bars as values.
+    is_label = label.select("n_classes").scalar().isNotNull()
+    tables["class_distribution"] = class_distribution(df.filter(is_label), target)
+    if detection and detection.usable:
+        cut = anomaly_threshold(detection.rows).scalar()
+        scores = histogram(detection.rows, ["anomaly_score"], SCORE_BINS)
+        tables["anomaly_scores"] = scores.withColumn("threshold", cut)
+    return tables
+
+
 def audit_dataset(spark: SparkSession, path: str, output: str | None = None, key: Sequence[str] = (),
                   config: Config = Config(), kind: str | None = None, format: str | None = None) -> AuditResult:
-    """Load a dataset, audit it and write report and per-row flags below ``output``.
+    """Load a dataset, audit it and write report, plot tables and per-row flags below ``output``.
 
     Texts and images have no table checks; their report holds the metadata and no score.
     """
@@ -167,6 +204,9 @@ def audit_dataset(spark: SparkSession, path: str, output: str | None = None, key
     if output:
         result.paths["report"] = f"{output.rstrip('/')}/audit_report"
         save_json(result.report, result.paths["report"])
+        for name, plot in plot_tables(result).items():
+            result.paths[name] = f"{output.rstrip('/')}/plots/{name}"
+            save_json(plot, result.paths[name])
         if result.detection and result.detection.usable:
             result.paths["flags"] = f"{output.rstrip('/')}/anomaly_flags"
             save_flags(result.detection.rows, result.paths["flags"])

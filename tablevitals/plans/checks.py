@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.config import Cascade, Thresholds
+from tablevitals.functions.columns import numeric_columns
 from tablevitals.operators.classes import class_balance
 from tablevitals.operators.duplicates import duplicate_summary
 from tablevitals.operators.missing import missing_total
@@ -73,16 +76,18 @@ def check_types(df: DataFrame) -> DataFrame:
 
 
 def table_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), method: str = "exact",
-                  target: str | None = None, fences: dict | None = None) -> DataFrame:
+                  target: str | None = None, fences: dict | None = None,
+                  exclude: Sequence[str] = ()) -> DataFrame:
     """One metrics row for the scoring rules, each part a subquery that Spark runs side by side."""
     def one(part: DataFrame) -> Column:
         return part.select(F.struct("*").alias("row")).scalar()
 
+    outliers = iqr_outliers(df, numeric_columns(df, exclude), method=method, fences=fences)
     parts = df.sparkSession.range(1).select(
         one(missing_total(df)).alias("missing"),
         one(duplicate_summary(df)).alias("duplicates"),
         one(class_balance(df, target)).alias("balance"),
-        one(outlier_total(iqr_outliers(df, method=method, fences=fences))).alias("outliers"),
+        one(outlier_total(outliers)).alias("outliers"),
         one(check_types(df)).alias("types"),
     )
     states = {

@@ -13,7 +13,7 @@ from tablevitals.operators.anomaly.forest import (draw_samples, expected_path, f
                                                   forest_scores, grow_tree)
 from tablevitals.operators.anomaly.network import fit_network, gradient, initial_weights, layer_sizes, network_error, reconstruct
 from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
-from tablevitals.plans.audit import audit_table, score_table
+from tablevitals.plans.audit import audit_table, plot_tables, score_table
 
 FEATURES = ["a", "b", "c"]
 
@@ -271,6 +271,18 @@ def test_audit_of_a_table(planted):
         ("a", "c"), ("b", "c")}
 
 
+def test_audit_without_the_label_and_key(planted):
+    data = planted.withColumn("label", (F.col("id") % 8 == 0).cast("int"))
+    result = audit_table(data, ["id"], Config(exclude=("id", "label")))
+    assert result.scores.first()["total_outliers"] < 100
+    tables = plot_tables(result)
+    assert set(tables) == {"components", "missing_values", "correlations", "feature_distributions", "missing_pattern",
+                           "class_distribution", "anomaly_scores"}
+    assert {r["label"]: r["count"] for r in tables["class_distribution"].collect()} == {0: 1750, 1: 250}
+    assert tables["anomaly_scores"].agg(F.sum("count")).first()[0] == 2000
+    assert plot_tables(audit_table(planted, ["id"]))["class_distribution"].count() == 0
+
+
 def test_audit_of_texts_only(spark):
     frame = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "x")], "s string, label string")
     row = audit_table(frame).scores.first()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablevitals.__main__ import main
 from tablevitals.sources import metadata, readers, writers
-from tablevitals.sources.sample_data import create_sample_data
+from tablevitals.sources.sample_data import create_sample_data, sample_rows
 
 
 def rows(frame):
@@ -140,6 +140,15 @@ def test_sample_data_does_not_depend_on_partitions(spark):
     assert first == second
 
 
+def test_sample_data_has_the_asked_number_of_anomalies(spark):
+    """Rows differ from the run without anomalies exactly where anomalies were planted."""
+    with_anomalies, without = (sample_rows(spark.range(3000), 3000, 1, ratio, keep=("id",)) for ratio in (0.1, 0.0))
+    other = without.select("id", F.col("feature_0").alias("plain"))
+    both = with_anomalies.join(other, "id").filter("feature_0 IS NOT NULL")
+    changed = both.filter("feature_0 != plain").count()
+    assert both.count() > 2700 and 260 <= changed <= 300
+
+
 def test_csv_roundtrip_of_sample_data(spark, tmp_path):
     frame = create_sample_data(spark, 200, 3)
     writers.save_csv(frame, str(tmp_path / "s.csv"))
@@ -170,6 +179,8 @@ def test_command_line(spark, tmp_path, capsys):
     report = spark.read.json(f"{out}/audit_report").first()
     assert report["metadata"]["n_samples"] == 400
     assert 0 <= report["scores"]["overall_score"] <= 100
+    bins = spark.read.json(f"{out}/plots/anomaly_scores")
+    assert bins.agg(F.sum("count")).first()[0] == 400
     flags = spark.read.parquet(f"{out}/anomaly_flags")
     assert flags.count() == 400
     assert flags.agg(F.sum("anomaly_label")).first()[0] == report["anomalies"]["n_anomalies"]
