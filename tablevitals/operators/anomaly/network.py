@@ -146,12 +146,18 @@ def fit_network(df: DataFrame, columns: Sequence[str], params: AutoencoderParams
     hold = F.pmod(F.xxhash64(F.lit(params.random_state), *identity), F.lit(parts)) < int(
         params.validation_split * parts)
     data = df.select(*z, hold.cast("int").alias("hold")).persist()  # recomputed where an executor is lost
-    sizes = layer_sizes(len(columns), params)
+    try:
+        return {"mean": mean, "sd": sd, **_train(data, layer_sizes(len(columns), params), params)}
+    finally:
+        data.unpersist()
+
+
+def _train(data: DataFrame, sizes: list[int], params: AutoencoderParams) -> dict:
     weights = initial_weights(sizes, params.random_state)
     state = np.concatenate([weights, np.zeros(2 * len(weights))])
     best, best_loss, waited, step, epochs = weights, float("inf"), 0, 0, 0
     for epoch in range(params.epochs + 1):
-        last = epoch == params.epochs
+        last = epoch == params.epochs  # one more pass, to measure the last weights
         new_state, loss, steps = _epoch(data, state, step, sizes, params, learn=not last)
         if loss is None or loss < best_loss:
             best, best_loss, waited = np.split(state, 3)[0], float("inf") if loss is None else loss, 0
@@ -160,8 +166,7 @@ def fit_network(df: DataFrame, columns: Sequence[str], params: AutoencoderParams
         if last or waited >= params.early_stopping_patience:
             break
         state, step, epochs = new_state, step + steps, epoch + 1
-    data.unpersist()
-    return {"mean": mean, "sd": sd, "weights": best, "sizes": sizes, "epochs": epochs,
+    return {"weights": best, "sizes": sizes, "epochs": epochs,
             "validation_loss": None if best_loss == float("inf") else best_loss}
 
 

@@ -19,6 +19,10 @@ from tablevitals.functions.scalars import percentage
 DIGEST_FROM_BYTES = 32
 
 
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.StringType, T.CharType, T.VarcharType, T.BinaryType))
+
+
 def _identity(df: DataFrame, name: str) -> Column:
     """What two equal values share, in at most 32 bytes for text.
 
@@ -26,7 +30,7 @@ def _identity(df: DataFrame, name: str) -> Column:
     and as a digest has 32 bytes and they have fewer, the two cannot be mistaken for one another.
     """
     value = clean(df, name)
-    if isinstance(df.schema[name].dataType, (T.StringType, T.CharType, T.VarcharType, T.BinaryType)):
+    if _is_text(df, name):
         return F.when(F.octet_length(value) < DIGEST_FROM_BYTES, value.cast("binary")).otherwise(
             F.unhex(F.sha2(value.cast("binary"), 256)))
     return value
@@ -36,13 +40,21 @@ def _identity_columns(df: DataFrame, subset: Sequence[str] | None) -> list[Colum
     return [_identity(df, c).alias(f"id_{i}") for i, c in enumerate(subset or df.columns)]
 
 
+def _copy_groups(df: DataFrame, subset: Sequence[str] | None, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct row: id_0, id_1, ..., ``keep`` columns, copies.
+
+    Summary and listing group alike, so that Spark shuffles once where one query needs both.
+    """
+    kept = [col(c).alias(f"key_{i}") for i, c in enumerate(keep)]
+    return df.groupBy(*_identity_columns(df, subset), *kept).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def duplicate_summary(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row: n_rows, n_duplicates (copies beyond the first), duplicate_percentage.
 
     NULLs equal each other, NaN equals NULL, 0.0 equals -0.0. ``subset`` limits the comparison.
     """
-    groups = df.groupBy(*_identity_columns(df, subset)).agg(F.count(F.lit(1)).alias("copies"))
-    totals = groups.agg(
+    totals = _copy_groups(df, subset).agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"),
     )
@@ -61,17 +73,21 @@ def duplicate_rows(df: DataFrame, key: Sequence[str], subset: Sequence[str] | No
     """
     key = list(key)
     if subset is None:
-        rest = [c for c in df.columns if c not in key]
-        ids = [_identity(df, c).alias(f"id_{i}") for i, c in enumerate(rest)]
-        groups = df.groupBy(*[clean(df, c).alias(c) for c in key], *ids).agg(F.count(F.lit(1)).alias("copies"))
-        first = groups.filter("copies > 1").orderBy(*key, *[f"id_{i}" for i in range(len(rest))]).limit(n)
+        # A text key may be grouped by its digest only, so its value comes along.
+        texts = [c for c in key if _is_text(df, c)]
+        names = [f"key_{texts.index(c)}" if c in texts else f"id_{df.columns.index(c)}" for c in key]
+        ids = [f"id_{i}" for i in range(len(df.columns))]
+        groups = _copy_groups(df, None, texts).filter("copies > 1")
+        first = groups.orderBy(*names, *ids).limit(n)
         copies = F.sequence(F.lit(1), F.least(F.col("copies") - 1, F.lit(n)).cast("int"))
-        return first.select(*key, F.explode(copies).alias("copy")).orderBy(*key, "copy").limit(n)
+        listed = first.select(*[F.col(x).alias(c) for x, c in zip(names, key)], F.explode(copies).alias("copy"))
+        return listed.orderBy(*[col(c) for c in key], "copy").limit(n)
     ids = [f"id_{i}" for i in range(len(subset))]
     rows = df.select(*[col(c) for c in key], *_identity_columns(df, subset))
-    rank = F.row_number().over(Window.partitionBy(*ids).orderBy(*key))
+    keys = [col(c) for c in key]
+    rank = F.row_number().over(Window.partitionBy(*ids).orderBy(*keys))
     ranked = rows.withColumn("rank", rank).filter(f"rank <= {n + 1}").filter("rank > 1")
-    return ranked.select(*key, (F.col("rank") - 1).alias("copy")).orderBy(*key, "copy").limit(n)
+    return ranked.select(*keys, (F.col("rank") - 1).alias("copy")).orderBy(*keys, "copy").limit(n)
 
 
 def validate_table(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from tablevitals.functions.columns import MAX_DOUBLE, as_double, chunks, numeric
 BINS = 4096
 
 #: An interval with at most this many rows is read off by counting its values.
-FEW_ROWS = 50_000
+FEW_ROWS = 200_000
 
 #: Up to this many rows Spark's own ``percentile`` is the quickest way.
 SMALL_TABLE_ROWS = 100_000
@@ -43,23 +43,31 @@ SCHEMA = "column string, p double, value double"
 
 @dataclass
 class _Range:
-    """Values of ``column`` in [low, high] hold the ranks; ``below`` values are smaller than low."""
+    """Neighbouring values of ``column``, ``rows`` many with ``below`` smaller ones, that hold the ranks.
+
+    ``holds`` is the SQL condition for them. The ends are None where they do not matter any more.
+    """
 
     column: str
-    low: float
-    high: float
+    holds: str
+    low: float | None
+    high: float | None
     below: int
     rows: int
     ranks: tuple[int, ...]
 
     @property
-    def done(self) -> bool:
-        return self.low == self.high or self.rows <= FEW_ROWS
+    def single(self) -> bool:
+        return self.low is not None and self.low == self.high
 
     @property
-    def holds(self) -> str:
-        """SQL condition: the column's value lies in the range."""
-        return f"({self.column} >= {_literal(self.low)} AND {self.column} <= {_literal(self.high)})"
+    def done(self) -> bool:
+        return self.single or self.rows <= FEW_ROWS
+
+
+def _between(column: str, low: float, high: float, below: int, rows: int, ranks: tuple[int, ...]) -> _Range:
+    holds = f"({column} >= {_literal(low)} AND {column} <= {_literal(high)})"
+    return _Range(column, holds, low, high, below, rows, ranks)
 
 
 def _literal(value: float) -> str:
@@ -101,7 +109,7 @@ def value_at_rank(df: DataFrame, column: str, rank: int) -> float:
     stats = data.selectExpr("count(v0) AS n", "min(v0) AS low", "max(v0) AS high").first()
     if not 0 <= rank < stats["n"]:
         raise ValueError(f"rank {rank} of {stats['n']} values")
-    return _select(data, [_Range("v0", stats["low"], stats["high"], 0, stats["n"], (rank,))])["v0", rank]
+    return _select(data, [_between("v0", stats["low"], stats["high"], 0, stats["n"], (rank,))])["v0", rank]
 
 
 def _builtin(data: DataFrame, probabilities: Sequence[float], exact: bool) -> dict[str, list[float | None]]:
@@ -124,7 +132,7 @@ def _exact(data: DataFrame, probabilities: Sequence[float], small_rows: int) ->
         n = stats[f"{c}_count"]
         if n:
             wanted = {r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
-            ranges.append(_Range(c, stats[f"{c}_min"], stats[f"{c}_max"], 0, n, tuple(sorted(wanted))))
+            ranges.append(_between(c, stats[f"{c}_min"], stats[f"{c}_max"], 0, n, tuple(sorted(wanted))))
     at_rank = _select(data, ranges)
     out: dict[str, list[float | None]] = {}
     for c in columns:
@@ -197,14 +205,19 @@ def _by_bins(data: DataFrame, ranges: list[_Range]) -> list[_Range]:
         .groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
         .selectExpr(f"int(key DIV {width}) AS range", f"key % {width} - 1 AS bin", "rows")
     )
-    hits = [(ranges[i], *hit) for i, *hit in _at_ranks(counted, "bin", ranges)]
-    ends: list[tuple[float, float]] = []
-    for group in chunks(hits, ENDS_PER_AGGREGATE):
-        inside = [f"CASE WHEN {r.holds} AND {_bin(r)} = {b} THEN {r.column} END" for r, b, *_ in group]
+    narrowed, large = [], []
+    for i, bin_number, below, rows, ranks in _at_ranks(counted, "bin", ranges):
+        r = ranges[i]
+        holds = f"({r.holds} AND {_bin(r)} = {bin_number})"
+        found = _Range(r.column, holds, None, None, below, rows, ranks)
+        (narrowed if found.done else large).append(found)
+    # A bin with many rows needs its ends: to see a single value, and to be cut into bins itself.
+    for group in chunks(large, ENDS_PER_AGGREGATE):
+        inside = [f"CASE WHEN {r.holds} THEN {r.column} END" for r in group]
         row = data.selectExpr(*[f"{f}({x}) AS {f}{i}" for i, x in enumerate(inside) for f in ("min", "max")]).first()
-        ends += [(row[f"min{i}"], row[f"max{i}"]) for i in range(len(group))]
-    return [_Range(r.column, low, high, below, rows, ranks)
-            for (r, _, below, rows, ranks), (low, high) in zip(hits, ends)]
+        narrowed += [_between(r.column, row[f"min{i}"], row[f"max{i}"], r.below, r.rows, r.ranks)
+                     for i, r in enumerate(group)]
+    return narrowed
 
 
 def _at_ranks(counted: DataFrame, position: str, ranges: list[_Range]) -> list[tuple]:
@@ -241,9 +254,9 @@ def _by_sketch(data: DataFrame, ranges: list[_Range]) -> list[_Range]:
     for i, (r, k) in enumerate(asked):
         below, rows = r.below + counts[f"b{i}"], counts[f"m{i}"]
         if below <= k < below + rows and rows < r.rows:
-            out.append(_Range(r.column, row[i][0], row[i][1], below, rows, (k,)))
+            out.append(_between(r.column, row[i][0], row[i][1], below, rows, (k,)))
         else:
-            out.append(_Range(r.column, r.low, r.high, r.below, r.rows, (k,)))
+            out.append(_between(r.column, r.low, r.high, r.below, r.rows, (k,)))
     return _disjoint(out)
 
 
@@ -255,7 +268,7 @@ def _disjoint(ranges: list[_Range]) -> list[_Range]:
         if last and last.column == r.column and r.low <= last.high:
             top = max((last, r), key=lambda x: x.high)
             rows = max(last.below + last.rows, top.below + top.rows) - last.below
-            merged[-1] = _Range(r.column, last.low, top.high, last.below, rows, tuple(sorted({*last.ranks, *r.ranks})))
+            merged[-1] = _between(r.column, last.low, top.high, last.below, rows, tuple(sorted({*last.ranks, *r.ranks})))
         else:
             merged.append(r)
     return merged
@@ -263,8 +276,8 @@ def _disjoint(ranges: list[_Range]) -> list[_Range]:
 
 def _read_off(data: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], float]:
     """The values at the ranks of small or single-value ranges."""
-    found = {(r.column, k): r.low for r in ranges if r.low == r.high for k in r.ranks}
-    open_ranges = [r for r in ranges if r.low != r.high]
+    found = {(r.column, k): r.low for r in ranges if r.single for k in r.ranks}
+    open_ranges = [r for r in ranges if not r.single]
     if not open_ranges:
         return found
     values = _cells(open_ranges, lambda i, r: f"struct({i} AS range, {r.column} AS x)")

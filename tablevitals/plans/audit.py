@@ -192,7 +192,11 @@ def audit_dataset(spark: SparkSession, path: str, output: str | None = None, key
     dataset: Dataset = load(spark, path, kind, format)
     metadata = dataset_metadata(dataset)
     if dataset.kind != "tabular":
-        return AuditResult(metadata, None, None, None, metadata)
+        result = AuditResult(metadata, None, None, None, metadata)
+        if output:
+            result.paths["report"] = f"{output.rstrip('/')}/audit_report"
+            save_json(metadata, result.paths["report"])
+        return result
     data = dataset.data
     if not path.rstrip("/").endswith(".parquet"):
         # An audit reads the table a dozen times: text formats are parsed once, then read by column.

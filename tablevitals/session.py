@@ -59,6 +59,8 @@ def materialize(df: DataFrame) -> DataFrame:
     try:
         df.write.parquet(path)
     except AnalysisException:
+        if not df.sparkSession.sparkContext.getCheckpointDir():
+            df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
         return df.checkpoint(eager=True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def save_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Header row, NULL as an empty cell, an empty string as ``""``."""
-    df.write.mode(mode).option("header", "true").option("escape", '"').option("emptyValue", '""').csv(path)
+    df.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
 
 
 def save_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

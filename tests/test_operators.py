@@ -180,6 +180,11 @@ def test_duplicate_rows_of_a_hot_row(spark):
     assert rows(duplicates.duplicate_summary(frame))[0]["n_duplicates"] == 999
 
 
+def test_duplicate_rows_with_a_text_key(spark):
+    frame = spark.createDataFrame([("k" * 40, 1), ("a", 1), ("k" * 40, 1), ("a", 2), ("k" * 40, 1)], "name string, v int")
+    assert rows(duplicates.duplicate_rows(frame, ["name"])) == [{"name": "k" * 40, "copy": 1}, {"name": "k" * 40, "copy": 2}]
+
+
 def test_duplicate_rows_over_a_subset(spark):
     frame = spark.range(1000).select("id", (F.col("id") % 300).alias("v"))
     found = rows(duplicates.duplicate_rows(frame, ["id"], ["v"], n=3))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablevitals.__main__ import main
+from tablevitals.plans.audit import audit_dataset
 from tablevitals.sources import metadata, readers, writers
 from tablevitals.sources.sample_data import create_sample_data, sample_rows
 
@@ -158,6 +159,22 @@ def test_csv_roundtrip_of_sample_data(spark, tmp_path):
         r["feature_0"] for r in rows(frame.orderBy("feature_0"))]
 
 
+def test_csv_tells_empty_from_null(spark, tmp_path):
+    frame = spark.createDataFrame([("", 1), (None, 2), ('a "b", c', 3)], "s string, n int")
+    writers.save_csv(frame, str(tmp_path / "c"))
+    lines = sorted(line for part in (tmp_path / "c").glob("part*") for line in part.read_text().splitlines())
+    assert [x for x in lines if x != "s,n"] == ['"",1', '"a ""b"", c",3', ",2"]
+    assert readers.scan_csv(spark, str(tmp_path / "c")).filter("n = 3").first()["s"] == 'a "b", c'
+
+
+def test_audit_of_a_text_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("hello")
+    result = audit_dataset(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert result.scores is None
+    assert spark.read.json(result.paths["report"]).first()["n_samples"] == 1
+
+
 def test_json_keeps_null_fields(spark, tmp_path):
     frame = spark.createDataFrame([(1, None)], "a long, b string")
     writers.save_json(frame, str(tmp_path / "j"))
