@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tablevitals.config import AutoencoderParams, Config, Thresholds
 from tablevitals.functions import scalars
 from tablevitals.functions.columns import normalize, union_all
-from tablevitals.operators import classes, correlation, duplicates, histogram, missing, moments, outliers, quantiles
-from tablevitals.operators import text_types
+from tablevitals.operators import (classes, correlation, duplicates, features, histogram, missing, moments, outliers,
+                                   quantiles, text_types)
 from tablevitals.operators.anomaly import detect as anomaly
 from tablevitals.operators.anomaly.forest import fit_forest, forest_score
 from tablevitals.operators.anomaly.network import fit_network, network_error
@@ -364,7 +364,7 @@ def normalize_nan(spark, sf):
 @query("impute_zero", DIRTY + """SELECT l_orderkey, l_linenumber, coalesce(quantity, 0.0::DOUBLE) AS quantity, price,
   target::DOUBLE AS target FROM dirty""")
 def impute_zero(spark, sf):
-    return missing.impute_zero(dirty(spark, sf), ["quantity", "price", "target"], KEY)
+    return features.impute_zero(dirty(spark, sf), ["quantity", "price", "target"], KEY)
 
 
 @query("standard_scale", DIRTY + """SELECT l_orderkey, l_linenumber,
@@ -374,7 +374,7 @@ def impute_zero(spark, sf):
   round((target - (SELECT avg(target) FROM dirty)) / (SELECT stddev_pop(target) FROM dirty), 6) AS target
 FROM dirty""")
 def standard_scale(spark, sf):
-    scaled = moments.standard_scale(dirty(spark, sf), ["quantity", "price", "target"], KEY)
+    scaled = features.standard_scale(dirty(spark, sf), ["quantity", "price", "target"], KEY)
     return scaled.select(*KEY, *[F.round(c, 6).alias(c) for c in ["quantity", "price", "target"]])
 
 
@@ -569,7 +569,7 @@ def class_weights(spark, sf):
   round_even((count(*) * 40 + sum(strlen(returnflag)) + sum(strlen(qty_text)))::DOUBLE / 1048576, 2) AS size_mb
 FROM dirty""")
 def validate_table(spark, sf):
-    return duplicates.validate_table(dirty(spark, sf))
+    return checks.validate_table(dirty(spark, sf))
 
 
 @query("numeric_as_string", DIRTY + f"SELECT * FROM {TYPES_SQL}")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablevitals.functions.columns import clean, col
-from tablevitals.functions.scalars import percentage
 
 #: Strings of this many bytes and more are grouped by their 32-byte SHA-256 digest.
 DIGEST_FROM_BYTES = 32
@@ -88,23 +87,3 @@ def duplicate_rows(df: DataFrame, key: Sequence[str], subset: Sequence[str] | No
     rank = F.row_number().over(Window.partitionBy(*ids).orderBy(*keys))
     ranked = rows.withColumn("rank", rank).filter(f"rank <= {n + 1}").filter("rank > 1")
     return ranked.select(*keys, (F.col("rank") - 1).alias("copy")).orderBy(*keys, "copy").limit(n)
-
-
-def validate_table(df: DataFrame) -> DataFrame:
-    """One row: is_valid, n_rows, n_cols, has_duplicates, has_missing, size_mb."""
-    from tablevitals.operators.missing import logical_size, missing_total
-
-    missing = missing_total(df).select(F.struct("*").alias("m")).scalar()
-    doubles = duplicate_summary(df).select(F.struct("*").alias("d")).scalar()
-    size = logical_size(df).agg(F.sum("bytes").alias("bytes")).scalar()
-    return df.sparkSession.range(1).select(
-        (missing["n_rows"] > 0).alias("is_valid"),
-        missing["n_rows"].alias("n_rows"),
-        missing["n_columns"].alias("n_cols"),
-        (doubles["n_duplicates"] > 0).alias("has_duplicates"),
-        (missing["total_missing"] > 0).alias("has_missing"),
-        F.bround(size / float(1024 ** 2), 2).alias("size_mb"),
-    )
-
-
-__all__ = ["duplicate_summary", "duplicate_rows", "validate_table", "percentage"]

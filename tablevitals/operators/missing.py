@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablevitals.functions.columns import chunks, clean, col, normalize, role_of, union_all
+from tablevitals.functions.columns import chunks, clean, col, role_of, union_all
 from tablevitals.functions.scalars import percentage
 
 #: One aggregate keeps at most this many counters, so that it stays in whole-stage code generation.
@@ -121,14 +121,3 @@ def logical_size(df: DataFrame) -> DataFrame:
                 for i, c in enumerate(group)]
         parts.append(sized.select(F.inline(F.array(*rows))))
     return union_all(parts).withColumn("mb", F.bround(F.col("bytes") / float(1024 ** 2), 2))
-
-
-def impute_zero(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` columns plus the feature columns with NULL and NaN as 0 and +-inf clamped."""
-    from tablevitals.functions.columns import zero_imputed
-
-    return df.select(*[col(c) for c in keep], *[zero_imputed(df, c).alias(c) for c in columns])
-
-
-__all__ = ["basic_info", "column_roles", "missing_counts", "missing_by_column", "missing_total",
-           "missing_pattern", "logical_size", "impute_zero", "normalize"]

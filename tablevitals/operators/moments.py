@@ -1,4 +1,4 @@
-"""Moments of numeric columns, standard scaling."""
+"""Moments of numeric columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.functions.columns import as_double, chunks, col, numeric_columns, union_all
+from tablevitals.functions.columns import as_double, chunks, numeric_columns, union_all
 
 #: Columns per aggregate: eight buffer fields each stay below Spark's limit of 100 for code generation.
 COLUMNS_PER_AGGREGATE = 12
@@ -71,22 +71,3 @@ def _shape(sums: DataFrame) -> DataFrame:
         F.when(n >= 3, F.when(flat, F.lit(0.0)).otherwise(skewness)).alias("skewness"),
         F.when(n >= 4, F.when(flat, F.lit(0.0)).otherwise(kurtosis)).alias("kurtosis"),
     )
-
-
-def standard_scale(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """(x - mean) / population sd, NULL counted as 0 beforehand; sd 0 divides by 1."""
-    from tablevitals.functions.columns import zero_imputed
-
-    stats = []
-    for i, c in enumerate(columns):
-        x = zero_imputed(df, c)
-        stats += [F.avg(x).alias(f"mean{i}"), F.stddev_pop(x).alias(f"sd{i}")]
-    fitted = df.agg(F.struct(*stats).alias("fitted")).scalar()
-    names = [f"k{i}" for i in range(len(keep))]
-    data = df.select(*[col(c).alias(n) for c, n in zip(keep, names)],
-                     *[zero_imputed(df, c).alias(f"x{i}") for i, c in enumerate(columns)], fitted.alias("fitted"))
-    scaled = []
-    for i, c in enumerate(columns):
-        sd = F.when(F.col(f"fitted.sd{i}") == 0, F.lit(1.0)).otherwise(F.col(f"fitted.sd{i}"))
-        scaled.append(((F.col(f"x{i}") - F.col(f"fitted.mean{i}")) / sd).alias(c))
-    return data.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *scaled)

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from tablevitals.functions import scalars
 from tablevitals.functions.columns import normalize, pick_target
-from tablevitals.operators import classes, correlation, duplicates, histogram, missing, moments, outliers, quantiles
-from tablevitals.operators import text_types
+from tablevitals.operators import (classes, correlation, duplicates, features, histogram, missing, moments, outliers,
+                                   quantiles, text_types)
 from tablevitals.plans import checks
 
 NAN = float("nan")
@@ -72,7 +72,7 @@ def test_moments_of_few_rows(spark):
 
 def test_standard_scale_zero_sd_divides_by_one(spark):
     frame = spark.createDataFrame([(1, 4.0, 1.0), (2, 4.0, 3.0)], "id int, flat double, x double")
-    scaled = rows(moments.standard_scale(frame, ["flat", "x"], ["id"]).orderBy("id"))
+    scaled = rows(features.standard_scale(frame, ["flat", "x"], ["id"]).orderBy("id"))
     assert [r["flat"] for r in scaled] == [0.0, 0.0]
     assert [r["x"] for r in scaled] == [-1.0, 1.0]
 
@@ -250,7 +250,7 @@ def test_empty_table(spark):
     assert rows(duplicates.duplicate_summary(frame))[0]["duplicate_percentage"] is None
     assert rows(checks.check_missing(frame))[0]["status"] == "not_applicable"
     assert rows(checks.check_outliers(frame))[0]["status"] == "not_applicable"
-    assert rows(duplicates.validate_table(frame))[0]["is_valid"] is False
+    assert rows(checks.validate_table(frame))[0]["is_valid"] is False
 
 
 def test_odd_column_names(spark):
