@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.config import Config
-from tablevitals.functions.columns import col, numeric_columns
+from tablevitals.functions.columns import clean, col, numeric_columns
 from tablevitals.operators.anomaly.forest import fit_forest, forest_score
 from tablevitals.operators.anomaly.network import fit_network, network_error
 from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
@@ -60,6 +60,10 @@ def anomaly_threshold(rows: DataFrame, label: str = "anomaly_label", score: str
     return rows.agg(F.coalesce(lowest, F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
 
 
+#: Distinct keys per row, by a sketch, that a key identifying rows has at least.
+DISTINCT_KEY_SHARE = 0.8
+
+
 @dataclass
 class Detection:
     """``rows``: key columns, label and score per detector, anomaly_label and anomaly_score.
@@ -101,16 +105,20 @@ def detect(df: DataFrame, key: Sequence[str] = (), columns: Sequence[str] | None
     status: dict[str, str] = {}
     if not columns:
         return Detection(None, {name: "skipped: no numeric columns" for name in config.detectors})
-    n_rows = df.count()
+    identity = F.xxhash64(*[clean(df, k) for k in key]) if key else F.lit(0)
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(identity).alias("keys")).first()
+    n_rows = counted["rows"]
     if not n_rows:
         return Detection(None, {name: "skipped: no rows" for name in config.detectors})
+    # A key many rows share cannot draw for them; every row then draws for itself.
+    draw_key = key if counted["keys"] >= DISTINCT_KEY_SHARE * n_rows else ()
     df = df.select(*[col(c) for c in dict.fromkeys([*key, *columns])])
     if spread:
         df = spread_small(df, n_rows * 8 * len(df.columns))
     raw: dict[str, Column] = {}
     for name in config.detectors:
         try:
-            raw[name] = _fit(name, df, columns, key, config, n_rows)
+            raw[name] = _fit(name, df, columns, draw_key, config, n_rows)
         except Exception as error:  # noqa: BLE001 - any failure is reported, the others still run
             status[name] = f"failed: {error}"
     scored = _store(df, key, raw, status)

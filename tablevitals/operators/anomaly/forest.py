@@ -157,6 +157,11 @@ def forest_scores(x: np.ndarray, forest: dict) -> np.ndarray:
     return np.exp2(-out / len(forest["path"]) / forest["scale"])
 
 
+def as_matrix(batch: tuple[pd.Series, ...] | pd.Series) -> np.ndarray:
+    """Rows x features of a UDF batch; Spark hands over a bare Series where there is one feature."""
+    return np.column_stack([s.to_numpy(dtype=float) for s in (batch if isinstance(batch, tuple) else (batch,))])
+
+
 def forest_score(df: DataFrame, columns: Sequence[str], forest: dict) -> Column:
     """The anomaly score as a Column; only the feature columns travel to the Python workers."""
     model = df.sparkSession.sparkContext.broadcast(forest)
@@ -164,6 +169,6 @@ def forest_score(df: DataFrame, columns: Sequence[str], forest: dict) -> Column:
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(forest_scores(np.column_stack([s.to_numpy(dtype=float) for s in batch]), model.value))
+            yield pd.Series(forest_scores(as_matrix(batch), model.value))
 
     return score(*[zero_imputed(df, c) for c in columns])

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tablevitals.config import AutoencoderParams
 from tablevitals.functions.columns import clean
+from tablevitals.operators.anomaly.forest import as_matrix
 from tablevitals.operators.anomaly.reconstruction import feature_stats, standardized
+from tablevitals.session import few_partials
 
 #: Partial averages on the way to the final one.
 AVERAGING_GROUPS = 64
@@ -145,7 +147,7 @@ def fit_network(df: DataFrame, columns: Sequence[str], params: AutoencoderParams
     parts = 1000
     hold = F.pmod(F.xxhash64(F.lit(params.random_state), *identity), F.lit(parts)) < int(
         params.validation_split * parts)
-    data = df.select(*z, hold.cast("int").alias("hold")).persist()  # recomputed where an executor is lost
+    data = few_partials(df.select(*z, hold.cast("int").alias("hold"))).persist()  # recomputed where an executor is lost
     try:
         return {"mean": mean, "sd": sd, **_train(data, layer_sizes(len(columns), params), params)}
     finally:
@@ -178,7 +180,7 @@ def network_error(df: DataFrame, columns: Sequence[str], model: dict) -> Column:
     def error(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         weights, sizes = sent.value
         for batch in batches:
-            x = np.column_stack([s.to_numpy(dtype=float) for s in batch])
+            x = as_matrix(batch)
             yield pd.Series(np.square(reconstruct(x, weights, sizes)[-1] - x).mean(axis=1))
 
     return error(*standardized(df, columns, model["mean"], model["sd"]))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.functions.columns import chunks, zero_imputed
+from tablevitals.operators.anomaly.forest import as_matrix
+from tablevitals.session import few_partials
 
 #: Up to this many columns the products are plain SQL sums in generated code.
 NARROW_COLUMNS = 12
@@ -62,7 +64,7 @@ def _products(data: DataFrame) -> np.ndarray:
             [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j]),
              pa.array(np.full(len(i), rows), pa.int64())], names=["i", "j", "s", "n"])
 
-    summed = data.mapInArrow(matrix, "i int, j int, s double, n long").groupBy("i", "j").agg(
+    summed = few_partials(data).mapInArrow(matrix, "i int, j int, s double, n long").groupBy("i", "j").agg(
         F.sum("s").alias("s"), F.sum("n").alias("n"))
     out = np.zeros((k, k))
     for row in summed.collect():  # k * k / 2 rows
@@ -98,7 +100,7 @@ def pca_error(df: DataFrame, columns: Sequence[str], model: dict) -> Column:
     @F.pandas_udf("double")
     def error(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            along = np.column_stack([s.to_numpy(dtype=float) for s in batch]) @ residual
+            along = as_matrix(batch) @ residual
             yield pd.Series((along * along).sum(axis=1) / k)
 
     return error(*z)

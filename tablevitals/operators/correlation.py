@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablevitals.functions.columns import as_double, numeric_columns
 from tablevitals.operators.moments import centers
+from tablevitals.session import few_partials
 
 #: Pairs above this absolute correlation are reported (fixed value).
 HIGH_CORRELATION = 0.8
@@ -81,7 +82,7 @@ def _wide_sums(data: DataFrame) -> DataFrame:
              *[pa.array(m) for m in (n[i, j], si[i, j], si[j, i], sii[i, j], sii[j, i], sij[i, j])]],
             names=["i", "j", "n", "si", "sj", "sii", "sjj", "sij"])
 
-    parts = data.mapInArrow(matrices, PAIR_SUMS)
+    parts = few_partials(data).mapInArrow(matrices, PAIR_SUMS)
     return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in ("n", "si", "sj", "sii", "sjj", "sij")])
 
 

@@ -78,3 +78,16 @@ def spread_small(df: DataFrame, n_bytes: int) -> DataFrame:
     if n_bytes > SPREAD_UP_TO_BYTES:
         return df
     return materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+
+
+#: Tasks that hand in a large partial result each, at least.
+MIN_PARTIAL_TASKS = 1000
+
+
+def few_partials(df: DataFrame) -> DataFrame:
+    """Merge partitions (without a shuffle) where every task hands in a matrix or a weight vector.
+
+    A hundred thousand tasks would shuffle that many copies; two per core keep all cores busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(MIN_PARTIAL_TASKS, 2 * cores))

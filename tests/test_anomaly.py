@@ -220,6 +220,33 @@ def test_failed_scoring_is_told_apart(planted, monkeypatch):
     assert found.usable
 
 
+def test_shared_key_does_not_starve_its_rows(spark, monkeypatch):
+    """A third of the rows share one key: they must turn up in the samples all the same."""
+    frame = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.randn(1) + 50).otherwise(F.randn(2)).alias("x"))
+    seen = {}
+    original = detect_module.fit_forest
+
+    def spy(df, columns, params, key, n_rows):
+        seen["key"] = key
+        return original(df, columns, params, key, n_rows)
+
+    monkeypatch.setattr(detect_module, "fit_forest", spy)
+    found = detect(frame, ["k"], ["x"], Config(detectors=("isolation_forest",)))
+    assert seen["key"] == ()
+    labelled = found.rows.filter("k = 0").agg(F.avg("anomaly_label")).first()[0]
+    assert labelled < 0.3 and found.rows.count() == 60_000
+
+
+@pytest.mark.parametrize("kind", ["pca", "mlp"])
+def test_one_feature(planted, kind):
+    config = Config(autoencoder=AutoencoderParams(kind=kind, epochs=1))
+    found = detect(planted, ["id"], ["c"], config)
+    assert set(found.status.values()) == {"ok"}
+    assert PLANTED_IDS <= worst(found.rows, "isolation_forest_score", 40)
+
+
 def test_nothing_to_detect(spark):
     texts = spark.createDataFrame([("a",)], "s string")
     assert detect(texts).status == {"isolation_forest": "skipped: no numeric columns",
