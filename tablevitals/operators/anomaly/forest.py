@@ -54,8 +54,9 @@ def draw_samples(df: DataFrame, columns: Sequence[str], params: ForestParams, n_
     share = min(1.0, OVERDRAW * psi / n_rows + 64.0 / n_rows)  # of the rows, per tree
     if params.n_estimators * share <= 1.0:
         # Large table: one draw gives a row to one tree at most.
-        tree = F.floor(_uniform(F.xxhash64("draw", F.lit(seed))) / share).cast("int")
+        tree = F.floor(_uniform(F.xxhash64("draw", F.lit(seed))) / share)
         drawn = rows.withColumn("tree", tree).filter(F.col("tree") < params.n_estimators)
+        drawn = drawn.withColumn("tree", F.col("tree").cast("int"))
     else:
         # Small table: a row may serve several trees; only the chosen pairs are produced.
         trees = F.sequence(F.lit(0), F.lit(params.n_estimators - 1))

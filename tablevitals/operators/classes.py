@@ -53,7 +53,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
         .groupBy("label").agg(F.count(F.lit(1)).alias("count"))
     )
     totals = counts.agg(F.struct(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k")).alias("t")).scalar()
-    return counts.withColumn("weight", totals["n"] / (totals["k"] * F.col("count")))
+    return counts.withColumn("weight", totals["n"] / (totals["k"] * F.col("count").cast("double")))
 
 
 def categorical_columns(df: DataFrame, threshold: int = 10) -> DataFrame:

@@ -65,8 +65,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables up to this size may be rewritten whole to spread their rows.
+#: Tables up to this size may be rewritten whole to spread their rows, in parts of at least this size.
 SPREAD_UP_TO_BYTES = 256 * 1024 ** 2
+SPREAD_PART_BYTES = 1024 ** 2
 
 
 def spread_small(df: DataFrame, n_bytes: int) -> DataFrame:
@@ -77,7 +78,8 @@ def spread_small(df: DataFrame, n_bytes: int) -> DataFrame:
     """
     if n_bytes > SPREAD_UP_TO_BYTES:
         return df
-    return materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, 1 + n_bytes // SPREAD_PART_BYTES)
+    return materialize(df.repartition(parts))
 
 
 #: Tasks that hand in a large partial result each, at least.

@@ -110,6 +110,11 @@ def test_large_table_draw(spark):
     assert drawn.select("f0").distinct().count() > 25_500
 
 
+def test_draw_from_trillions_does_not_overflow(spark):
+    frame = spark.range(1000).select("id", F.rand(3).alias("x"))
+    assert draw_samples(frame, ["x"], ForestParams(), 5 * 10 ** 12, ["id"]).count() == 0
+
+
 def test_copies_weigh_in_by_number_without_a_key(spark):
     """A third of the rows are the same; so is about a third of each sample."""
     frame = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.rand(5)).alias("x"))

@@ -13,14 +13,32 @@ def db(sf):
     return connect(sf)
 
 
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_matches_sql(spark, sf, db, name):
-    assert difference(queries()[name](spark, sf), db, oracle_sql()[name]) is None
+    frame = queries()[name](spark, sf)
+    assert "CartesianProduct" not in plan(frame) and "NestedLoopJoin" not in plan(frame)
+    assert difference(frame, db, oracle_sql()[name]) is None
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
 def test_runs(spark, sf, name):
-    assert queries()[name](spark, sf).count() > 0
+    frame = queries()[name](spark, sf)
+    assert "CartesianProduct" not in plan(frame) and "NestedLoopJoin" not in plan(frame)
+    assert frame.count() > 0
+
+
+def test_scans_read_only_what_they_use(spark, sf):
+    assert "ReadSchema: struct<l_orderkey:bigint>" in plan(queries()["class_balance"](spark, sf))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(queries()["duplicate_texts_top100"](spark, sf))
+
+
+def test_groups_are_cut_before_the_shuffle(spark, sf):
+    text = plan(queries()["duplicate_texts_top100"](spark, sf))
+    assert text.index("WindowGroupLimit") < text.index("Exchange hashpartitioning") < text.rindex("WindowGroupLimit")
 
 
 def test_entry(spark):
