@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,9 +118,13 @@ def detect(df: DataFrame, key: Sequence[str] = (), columns: Sequence[str] | None
     if spread:
         df = spread_small(df, n_rows * 8 * len(df.columns))
     raw: dict[str, Column] = {}
-    for name in config.detectors:
+    with ThreadPoolExecutor(len(config.detectors)) as pool:  # the fits share the cluster
+        fit_in_thread = inheritable_thread_target(df.sparkSession)(_fit)
+        fits = {name: pool.submit(fit_in_thread, name, df, columns, draw_key, config, n_rows)
+                for name in config.detectors}
+    for name, fit in fits.items():
         try:
-            raw[name] = _fit(name, df, columns, draw_key, config, n_rows)
+            raw[name] = fit.result()
         except Exception as error:  # noqa: BLE001 - any failure is reported, the others still run
             status[name] = f"failed: {error}"
     scored = _store(df, key, raw, status)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from tablevitals.sources.writers import save_flags, save_json
 #: The report lists all column pairs up to this many numeric columns; ``correlations`` always has them.
 MAX_LISTED_COLUMNS = 100
 
+QUARTILES = (0.25, 0.5, 0.75)
+
 #: Bins of the anomaly score plot (fixed value).
 SCORE_BINS = 50
 
@@ -95,10 +99,17 @@ class AuditResult:
 
 def profile_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config()) -> Profile:
     """Profile a table. A small one is first spread over all cores (``profile.df``)."""
+    sizes, df = _prepare(df)
+    return _profile(df, sizes, quantile_values(df, QUARTILES, method=config.quantile_method), key)
+
+
+def _prepare(df: DataFrame) -> tuple[dict[str, int], DataFrame]:
     sizes = {row["column"]: row["bytes"] for row in logical_size(df).collect()}  # one row per column
-    df = spread_small(df, sum(sizes.values()))
+    return sizes, spread_small(df, sum(sizes.values()))
+
+
+def _profile(df: DataFrame, sizes: dict[str, int], quartiles: dict, key: Sequence[str]) -> Profile:
     roles = {role: columns_with_role(df, role) for role in ("numeric", "categorical", "datetime")}
-    quartiles = quantile_values(df, [0.25, 0.5, 0.75], method=config.quantile_method)
     return Profile(df, roles, sizes, quartiles, key)
 
 
@@ -116,8 +127,13 @@ def score_table(df: DataFrame, detection: Detection | None = None, config: Confi
 def audit_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config(),
                 target: str | None = None) -> AuditResult:
     """Audit a table. ``key`` names the columns that identify a row, for the per-row results."""
-    profile = profile_table(df, key, config)
-    detection = detect(profile.df, key, config=config, spread=False) if config.detectors else None
+    sizes, data = _prepare(df)
+    with ThreadPoolExecutor(2) as pool:  # independent jobs, which fill each other's idle cores
+        in_thread = inheritable_thread_target(df.sparkSession)
+        quartiles = pool.submit(in_thread(quantile_values), data, QUARTILES, method=config.quantile_method)
+        found = pool.submit(in_thread(detect), data, key, config=config, spread=False) if config.detectors else None
+    profile = _profile(data, sizes, quartiles.result(), key)
+    detection = found.result() if found else None
     scores = score_table(profile.df, detection, config, target, profile.fences)
     statuses = [F.struct(F.lit(k).alias("detector"), F.lit(v).alias("status"))
                 for k, v in (detection.status if detection else {}).items()]
