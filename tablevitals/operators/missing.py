@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 from tablevitals.functions.columns import chunks, clean, col, role_of, union_all
 from tablevitals.functions.scalars import percentage
 
-#: One aggregate keeps at most this many counters, so that it stays in whole-stage code generation.
-COUNTERS_PER_AGGREGATE = 80
+#: One aggregate keeps at most this many counters, so that it stays in whole-stage code generation
+#: and its methods below the 8000 bytes that the JVM compiles.
+COUNTERS_PER_AGGREGATE = 60
 
 #: Bytes of one value of the fixed-width types (fixed values).
 TYPE_WIDTHS = {

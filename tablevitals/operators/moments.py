@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tablevitals.functions.columns import as_double, chunks, numeric_columns, union_all
 
-#: Columns per aggregate: eight buffer fields each stay below Spark's limit of 100 for code generation.
-COLUMNS_PER_AGGREGATE = 12
+#: Columns per aggregate: eight buffer fields each stay below Spark's limit of 100 for code generation,
+#: and the generated methods below the 8000 bytes that the JVM compiles.
+COLUMNS_PER_AGGREGATE = 9
 
 #: A second central moment below this is rounding noise of a constant column (fixed value).
 ZERO_MOMENT = 1e-14

@@ -29,8 +29,8 @@ FEW_ROWS = 200_000
 #: Up to this many rows Spark's own ``percentile`` is the quickest way.
 SMALL_TABLE_ROWS = 100_000
 
-#: Columns per scan.
-COLUMNS_PER_SCAN = 20
+#: Columns per scan: the JVM compiles generated methods up to 8000 bytes only.
+COLUMNS_PER_SCAN = 10
 
 #: A pass that keeps more than this share of an interval is followed by a split at sketched quantiles.
 POOR_SHRINK = 0.5
@@ -280,12 +280,16 @@ def _read_off(data: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], fl
     open_ranges = [r for r in ranges if not r.single]
     if not open_ranges:
         return found
-    values = _cells(open_ranges, lambda i, r: f"struct({i} AS range, {r.column} AS x)")
+    names = list(dict.fromkeys(r.column for r in open_ranges))
+    cells = _cells(open_ranges, lambda i, r: str(i))
+    # The value is looked up after the range: one number per cell keeps the generated code small.
+    column_of = ", ".join(str(names.index(r.column)) for r in open_ranges)
+    x = f"get(array({', '.join(names)}), get(array({column_of}), range)) AS x"
     # At most FEW_ROWS rows per range are left, and few of the table's rows hold one.
     counted = (
         data.filter(" OR ".join(r.holds for r in open_ranges))
-        .selectExpr(f"explode({values}) AS cell").filter("cell IS NOT NULL").select("cell.*")
-        .groupBy("range", "x").agg(F.count(F.lit(1)).alias("rows"))
+        .selectExpr(*names, f"explode({cells}) AS range").filter("range IS NOT NULL")
+        .selectExpr("range", x).groupBy("range", "x").agg(F.count(F.lit(1)).alias("rows"))
     )
     for i, x, _, _, ranks in _at_ranks(counted, "x", open_ranges):
         found.update({(open_ranges[i].column, k): x for k in ranks})
