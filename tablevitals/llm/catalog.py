@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablevitals.llm.common import table
+from tablevitals.llm.bpe import encode_decode
+from tablevitals.llm.common import fold, table
 from tablevitals.llm.exact_dedup import exact_dedup
+from tablevitals.llm.language import identify_language
 from tablevitals.llm.line_dedup import line_dedup
 from tablevitals.llm.mixing import mix_sources
+from tablevitals.llm.near_dedup import near_dedup
 from tablevitals.llm.sharding import shard_by_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,11 +31,27 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op4_sharding, op6_mixing, op9_line_dedup)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    return identify_language(docs, F.col("lang"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_exact_dedup, op4_sharding, op6_mixing, op7_bpe, op8_near_dedup, op9_line_dedup, op10_language)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """

@@ -42,16 +42,13 @@ def heavy_groups(digests: DataFrame, counters: int) -> DataFrame:
     Such a digest loses less than half its count in the summaries, so a lower bound of 1 / (counters + 1) of the
     rows finds it. The bounds add up to the row count at most, so ``counters`` digests at most reach that.
     """
-    share = F.lit(1.0 / (counters + 1))
-    total = digests.agg(F.count("*").alias("total"))
+    share = digests.count() / (counters + 1)
     bounds = (digests.select("digest").mapInArrow(lambda b: misra_gries(b, counters), "digest binary, at_least long")
               .groupBy("digest").agg(F.sum("at_least").alias("at_least")))
-    candidates = materialize(bounds.join(F.broadcast(total), F.col("at_least") >= F.col("total") * share)
-                             .select("digest"))
+    candidates = materialize(bounds.where(F.col("at_least") >= share).select("digest"))
     groups = (digests.join(F.broadcast(candidates), "digest").groupBy("digest")
               .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    return materialize(groups.join(F.broadcast(total), F.col("group_size") >= 2 * F.col("total") * share)
-                       .drop("total"))
+    return materialize(groups.where(F.col("group_size") >= 2 * share))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
