@@ -6,8 +6,9 @@ of the buckets are first held against that estimate, then confirmed on the full
 
 A bucket is never expanded into all its pairs. First every text is held against the smallest one of each of its
 buckets. What is linked then forms components; only buckets whose texts lie in several components are looked at
-again, and only pairs across components, block by block: first each text's most similar partner, then, when these
-have been linked too, every pair that the sketches leave.
+again, block by block: first each text is held against its most similar partner in another component. When these
+have been linked too, each text that the sketches leave near some text of another component visits that component:
+it is held, exactly, against all its texts, and one link is enough.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ BANDS, ROWS, BITS = 32, 4, 256
 PERCENT = 75
 #: Estimates from 128 samples and 256 cells are off by 0.045; pairs that seem this far below are let go.
 LEAST_ESTIMATE = 0.53
-#: Texts of one bucket that one step compares with those of other components.
+#: Texts of one bucket whose sketches one step compares with those of other components.
 BLOCK = 4096
+#: Shingles of one component that one step compares with those of its visitors.
+BLOCK_ITEMS = 1_000_000
 #: Ids that may be broadcast at once (8 bytes each); more are shuffled.
 MOST_BROADCAST = 1_000_000
 SKETCH = [f"sketch{k}" for k in range(BITS // 64)]
@@ -83,47 +86,131 @@ def _alike(a: str, b: str) -> Column:
     return different <= MinHash(BANDS, ROWS, BITS).most_different_cells(LEAST_ESTIMATE)
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, items) of the documents in ``ids``."""
+    ids = materialize(ids.distinct())
+    few = ids.count() <= MOST_BROADCAST
+    return materialize(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(
+        _sets, "doc_id long, items array<long>"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds ``linked`` to pairs (a, b): whether their full sets share 75 of 100 shingles."""
     pairs = materialize(pairs)
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.count() <= MOST_BROADCAST
-    sets = materialize(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(
-        _sets, "doc_id long, items array<long>"))
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), texts)
     own, other = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return materialize(pairs.join(own, "a").join(other, "b").groupBy("a", "b").agg(
         F.max(100 * shared >= PERCENT * (F.size("items_a") + F.size("items_b") - shared)).alias("linked")))
 
 
-def _across(everything: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of one block, across components, that the sketches leave: all, or the best of each text.
+class _Postings:
+    """Which of some sets hold an item."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        items = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(items, kind="stable")
+        self.items, self.owner = items[order], owner[order]
+        self.ids, self.sizes = np.array(ids), np.array([len(s) for s in sets])
+
+    def linked(self, items: np.ndarray) -> int | None:
+        """The smallest id whose set is linked with this one."""
+        lo, hi = np.searchsorted(self.items, items, "left"), np.searchsorted(self.items, items, "right")
+        n = hi - lo
+        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.bincount(self.owner[at], minlength=len(self.ids))
+        near = 100 * shared >= PERCENT * (self.sizes + len(items) - shared)
+        return int(self.ids[near].min()) if near.any() else None
+
+
+def _held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a > b) between visitors and the texts of a block. Rows come sorted by (comp, block, visitor)."""
+    at, ids, sets, postings = None, [], [], None
+    for batch in batches:
+        found = []
+        items = batch.column("items")
+        values, offsets = items.flatten().to_numpy(zero_copy_only=False), np.diff(items.offsets.to_numpy()).cumsum()
+        begins = [0, *offsets.tolist()]
+        rows = zip(batch.column("comp").to_pylist(), batch.column("block").to_pylist(),
+                   batch.column("visitor").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
+        for k, (comp, block, visitor, doc) in enumerate(rows):
+            own = values[begins[k]:begins[k + 1]]
+            if at != (comp, block):
+                at, ids, sets, postings = (comp, block), [], [], None
+            if not visitor:
+                ids.append(doc)
+                sets.append(own.copy())
+                continue
+            if postings is None and ids:
+                postings = _Postings(ids, sets)
+            other = postings.linked(own) if postings else None
+            if other is not None:
+                found.append((max(doc, other), min(doc, other)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+
+def _visits_confirmed(visits: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of visitors: (doc_id, comp) rows; placed: the component of each text in question."""
+    visits = materialize(visits.distinct())
+    inside = materialize(placed.select("doc_id", "comp").distinct().join(
+        visits.select("comp").distinct(), "comp", "left_semi"))
+    sets = _sets_of(visits.select("doc_id").unionByName(inside.select("doc_id")), texts)
+    items = inside.join(sets.select("doc_id", F.size("items").alias("n")), "doc_id").groupBy("comp").agg(
+        F.ceil(F.sum("n") / BLOCK_ITEMS).alias("blocks"))
+    blocks = materialize(items)
+    members = inside.join(blocks, "comp").select(
+        "comp", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "doc_id", F.lit(False).alias("visitor"))
+    guests = visits.join(blocks, "comp").select(
+        "comp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "doc_id", F.lit(True).alias("visitor"))
+    rows = members.unionByName(guests).join(sets, "doc_id").select("comp", "block", "visitor", "doc_id", "items")
+    return rows.repartition("comp", "block").sortWithinPartitions("comp", "block", "visitor").mapInArrow(
+        _held_against, "a long, b long").distinct().withColumn("linked", F.lit(True))
+
+
+def _across(visits: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the sketches leave across components: each text's best partner (a, b), or its visits (doc_id, comp).
 
     Rows come sorted by (bucket, block); ``other`` marks the texts outside the bucket's main component, which are
-    held against all texts of the block.
+    held against all texts of the block. Of two such texts the larger one visits.
     """
     most = MinHash(BANDS, ROWS, BITS).most_different_cells(LEAST_ESTIMATE)
 
-    def of_group(doc, comp, other, sketch):
+    def of_group(doc, comp, main, other, sketch):
         found = []
         x, y = np.flatnonzero(other), np.flatnonzero(~other)
-        for at in range(0, len(x), 256):
+        y = y[np.argsort(comp[y], kind="stable")]
+        starts = np.flatnonzero(np.diff(comp[y], prepend=-1))
+        for at in range(0, len(x) if len(y) else 0, 256):
             mine = x[at:at + 256]
             cells = np.zeros((len(mine), len(y)), np.int32)
             for k in range(sketch.shape[1]):
                 cells += np.bitwise_count(sketch[mine, k][:, None] ^ sketch[y, k][None, :])
             cells[comp[mine][:, None] == comp[y][None, :]] = most + 1
-            if everything:
-                i, j = np.nonzero(cells <= most)
-            elif len(y):
-                i, j = np.arange(len(mine)), cells.argmin(axis=1)
-                near = cells[i, j] <= most
-                i, j = i[near], j[near]
+            if visits:
+                near = (cells <= most) & ((comp[y] == main)[None, :] | (doc[mine][:, None] > doc[y][None, :]))
+                i, j = np.nonzero(np.logical_or.reduceat(near, starts, axis=1))
+                found.append(np.stack([doc[mine[i]], comp[y[starts[j]]]], axis=1))
             else:
-                continue
-            found.append(np.stack([doc[mine[i]], doc[y[j]]], axis=1))
+                j = cells.argmin(axis=1)
+                near = cells[np.arange(len(mine)), j] <= most
+                found.append(np.stack([doc[mine[near]], doc[y[j[near]]]], axis=1))
         return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
+    def emit(table, cuts):
+        doc, comp, main = (table[c].to_numpy() for c in ("doc_id", "comp", "main"))
+        other = table["other"].to_numpy(zero_copy_only=False)
+        sketch = np.stack([table[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+        for lo, hi in zip(cuts, cuts[1:]):
+            pairs = of_group(doc[lo:hi], comp[lo:hi], main[lo], other[lo:hi], sketch[lo:hi])
+            for at in range(0, len(pairs), 100_000):
+                part = pairs[at:at + 100_000]
+                if visits:
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["doc_id", "comp"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(part.max(axis=1)), pa.array(part.min(axis=1))], names=["a", "b"])
+
     def run(batches):
         held = None
         for batch in batches:
@@ -136,33 +223,27 @@ def _across(everything: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 held = held.slice(cuts[-1]).combine_chunks()
         if held is not None and held.num_rows:
             yield from emit(held, [0, held.num_rows])
-
-    def emit(table, cuts):
-        doc, comp = table["doc_id"].to_numpy(), table["comp"].to_numpy()
-        other = table["other"].to_numpy(zero_copy_only=False)
-        sketch = np.stack([table[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
-        for lo, hi in zip(cuts, cuts[1:]):
-            pairs = of_group(doc[lo:hi], comp[lo:hi], other[lo:hi], sketch[lo:hi])
-            for at in range(0, len(pairs), 100_000):
-                part = np.sort(pairs[at:at + 100_000], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 1]), pa.array(part[:, 0])], names=["a", "b"])
     return run
 
 
-def _candidates_across(members: DataFrame, marks: DataFrame, labels: DataFrame, everything: bool) -> DataFrame:
-    """Pairs (a > b) of texts in one bucket and different components. members: (bucket, doc_id)."""
-    placed = materialize(members.join(labels, members["doc_id"] == labels["node"], "left").select(
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds each text's component to members (bucket, doc_id)."""
+    return materialize(members.join(labels, members["doc_id"] == labels["node"], "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp")))
+
+
+def _split_buckets(placed: DataFrame, marks: DataFrame, visits: bool) -> DataFrame:
+    """What ``_across`` finds in buckets with several components."""
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     split = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"),
                                          F.count("*").alias("comps")).where("comps > 1")
              .select("bucket", F.col("main.comp").alias("main"), F.ceil(F.col("total") / BLOCK).alias("blocks")))
-    open_rows = placed.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    outside = open_rows.where("comp <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = open_rows.withColumn("other", F.lit(False)).unionByName(outside.withColumn("other", F.lit(True)))
-    rows = rows.select("bucket", "block", "doc_id", "comp", "other").join(marks, "doc_id")
+    rows = placed.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    outside = rows.where("comp <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.withColumn("other", F.lit(False)).unionByName(outside.withColumn("other", F.lit(True)))
+    rows = rows.select("bucket", "block", "doc_id", "comp", "main", "other").join(marks, "doc_id")
     return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(
-        _across(everything), "a long, b long").distinct()
+        _across(visits), "doc_id long, comp long" if visits else "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,11 +275,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tested = _confirmed(stars, texts)
     labels = materialize(components(tested.where("linked")))
     members = members.drop("pivot").distinct()
-    for everything in (False, True):
-        more = _candidates_across(members, marks, labels, everything)
-        more = _confirmed(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts)
-        tested = tested.unionByName(more)
-        labels = materialize(components(tested.where("linked")))
+    placed = _placed(members, labels)
+    best = _split_buckets(placed, marks, visits=False).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = tested.unionByName(_confirmed(best, texts)).where("linked")
+    labels = materialize(components(links))
+    placed = _placed(members, labels)
+    visited = _visits_confirmed(_split_buckets(placed, marks, visits=True), placed, texts)
+    labels = materialize(components(links.unionByName(visited)))
 
     named = classes.join(labels, F.col("class") == F.col("node"), "left").select(
         "high", "low", F.coalesce("component", "class").alias("component"))
