@@ -14,7 +14,14 @@ from tablevitals.llm.language import identify_language
 from tablevitals.llm.line_dedup import line_dedup
 from tablevitals.llm.mixing import mix_sources
 from tablevitals.llm.near_dedup import near_dedup
+from tablevitals.llm.neighbours import nearest_neighbours
 from tablevitals.llm.sharding import shard_by_bytes
+from tablevitals.llm.token_counts import token_counts, write_token_files
+from tablevitals.llm.toxicity import score_toxicity
+from tablevitals.session import scratch_path
+
+#: The end-of-document id of the byte-level vocabulary, which has no token of its own there.
+END_OF_DOCUMENT = 50256
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +30,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents as flat token files, then finds their lengths in these alone."""
+    path = scratch_path(spark, "tokens")
+    write_token_files(table(spark, sf_dir, "documents"), path, END_OF_DOCUMENT)
+    shard = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")
+    return token_counts(spark, path, END_OF_DOCUMENT).select(shard.alias("shard"), "doc_no", "start", "n_tokens", "closed")
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -51,7 +76,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_exact_dedup, op4_sharding, op6_mixing, op7_bpe, op8_near_dedup, op9_line_dedup, op10_language)}
+    op1_exact_dedup, op2_token_counts, op3_neighbours, op4_sharding, op5_toxicity, op6_mixing, op7_bpe, op8_near_dedup,
+    op9_line_dedup, op10_language)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """

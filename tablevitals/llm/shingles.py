@@ -66,11 +66,13 @@ def _stretches(space: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]
         at = upto
 
 
-def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts lying end to end, and each text's first word; edges: where texts start, and the end."""
-    space = _SPACE[data]
+def word_hashes(data: np.ndarray, edges: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of texts lying end to end.
+
+    edges: where texts start, and the end of the last; space: marks the bytes that belong to no word. A-Z count as a-z.
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(edges), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     is_edge = np.zeros(len(data) + 1, bool)
     is_edge[edges] = True
     first, last = ~space, ~space
@@ -86,7 +88,16 @@ def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
         np.cumsum(_LETTER[data[lo:hi]] * power[:n], out=sums[1:])
         s = starts[a:b] - lo
         hashes[a:b] = (sums[ends[a:b] - lo] - sums[s]) * undo[s]
-    return mixed(hashes), np.searchsorted(starts, edges)
+    return mixed(hashes), starts, ends
+
+
+def end_to_end(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each starts, with the end of the last; a missing text is empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, body = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(body, np.uint8)[edges[0]:edges[-1]] if body else np.zeros(0, np.uint8)
+    return data, edges - edges[0]
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -94,11 +105,9 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased. Fewer than five words are one shingle.
     """
-    texts = texts.cast(pa.large_string()).fill_null("")
-    _, offsets, body = texts.buffers()
-    edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(body, np.uint8)[edges[0]:edges[-1]] if body else np.zeros(0, np.uint8)
-    words, first = word_hashes(data, edges - edges[0])
+    data, edges = end_to_end(texts)
+    words, starts, _ = word_hashes(data, edges, _SPACE[data])
+    first = np.searchsorted(starts, edges)
     n = len(words) - SHINGLE_WORDS + 1
     runs = np.zeros(max(n, 0), np.uint64)
     for k in range(SHINGLE_WORDS if n > 0 else 0):
@@ -124,6 +133,7 @@ class MinHash:
         self.factor = draw.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.shift = draw.integers(0, 2**32, bands * rows, dtype=np.uint32)
         self.in_band = draw.integers(0, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.of_sample = draw.integers(0, 2**63, bands * rows, dtype=np.uint64)
         self.of_band = draw.integers(0, 2**63, bands, dtype=np.uint64)
 
     def samples(self, sets: list[np.ndarray]) -> np.ndarray:
@@ -152,7 +162,7 @@ class MinHash:
         out = np.zeros((len(samples), self.bits // 64), np.uint64)
         rows = np.arange(len(samples))
         for k in range(samples.shape[1]):
-            cell = mixed(samples[:, k].astype(np.uint64) + self.of_band[k % self.bands] * np.uint64(2 * k + 1))
+            cell = mixed(samples[:, k].astype(np.uint64) + self.of_sample[k])
             cell %= np.uint64(self.bits)
             out[rows, (cell >> np.uint64(6)).astype(np.intp)] ^= np.uint64(1) << (cell & np.uint64(63))
         return out
