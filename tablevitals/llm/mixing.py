@@ -95,7 +95,7 @@ def round_last(sizes: list[int], wanted: list[float], parts: list[float], left:
 def _settle_blocks(level: int, seed: int) -> Callable[[pa.Table], pa.Table]:
     def settle_block(rows: pa.Table) -> pa.Table:
         """One block: the largest documents first, so that what is left over tends to be small."""
-        order = pc.sort_indices(rows, [("size", "descending"), ("doc_id", "ascending")], null_placement="at_start")
+        order = pc.sort_indices(rows, [("size", "descending"), ("doc_id", "ascending"), ("text_hash", "ascending")], null_placement="at_start")
         rows = rows.take(order)
         draw = random.Random(f"{seed} {level} {rows['source_no'][0]} {rows['block'][0]}")
         sizes, wanted = rows["size"].to_pylist(), rows["part"].to_pylist()
@@ -112,23 +112,26 @@ def _settle_blocks(level: int, seed: int) -> Callable[[pa.Table], pa.Table]:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = WEIGHTS, block_rows: int = 1024, fan_in: int = 64,
                 seed: int = 20) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, text_hash (xxhash64).
 
     Size is the number of words; a missing text has none and takes none. A missing source is a source of its
     own, the last in order. The words taken of a source miss its target by half a document at most, mostly by
-    much less (see ``round_last``); where the target is ``MOST_REPEATS`` times the source, they meet it. The draw depends on ids, sizes and ``seed`` alone, so reruns agree; rows alike in all columns are interchangeable.
+    much less (see ``round_last``); where the target is ``MOST_REPEATS`` times the source, they meet it. The draw
+    depends on ids, texts and ``seed`` alone, so reruns agree; rows alike in all columns are interchangeable. An
+    empty table gives none; other columns are ignored whatever their names.
     """
     sized = materialize(docs.select(
         ref(id_col).alias("doc_id"), ref(source_col).alias("source"),
-        F.regexp_count(whole_text(ref(text_col)), F.lit(WORD)).cast("long").alias("size")))
+        F.regexp_count(whole_text(ref(text_col)), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(ref(text_col)).alias("text_hash")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = materialize(source_targets(sizes, weights).withColumn("blocks", F.ceil(F.col("n_docs") / block_rows))
                           .withColumnRenamed("source", "of"))
     whole = F.floor(F.col("share") + 1e-12)
     rows = (sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source_no", "size", whole.alias("whole"),
+        "doc_id", "text_hash", "source_no", "size", whole.alias("whole"),
         F.greatest(F.lit(0.0), F.col("share") - whole).alias("part"),
-        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), "blocks").alias("block"), "blocks",
+        F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), "blocks").alias("block"), "blocks",
         F.lit(True).alias("open")))
     blocks = targets.agg(F.max("blocks")).first()[0] or 1
     done, level, kind = [], 0, rows.schema
@@ -145,4 +148,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return result.join(targets, "source_no").withColumn(
         "copies", (F.col("whole") + F.col("part")).cast("long")).select(
         "doc_id", F.col("of").alias("source"), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"))
+        (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
