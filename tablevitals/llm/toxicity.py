@@ -34,29 +34,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: tup
     return [row["text"] for row in found], [int(row["toxic"]) for row in found]
 
 
-def _odds(buckets: np.ndarray, text: np.ndarray, toxic: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Log odds ratio of each bucket by the number of toxic and of clean texts that have it.
+def _odds(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
+    """Log odds ratio of buckets from the number of toxic and of clean texts that have them.
 
     A few imagined texts of the common mixture keep rare buckets near 0.
     """
-    pairs = np.unique(buckets * np.int64(len(toxic)) + text)
-    bucket, is_toxic = pairs // len(toxic), toxic[pairs % len(toxic)]
-    share = toxic.mean()
-    bad = np.bincount(bucket[is_toxic == 1], minlength=n_buckets) + IMAGINED * share
-    good = np.bincount(bucket[is_toxic == 0], minlength=n_buckets) + IMAGINED * (1 - share)
-    return (np.clip(np.log(bad / share) - np.log(good / (1 - share)), -3, 3) / 2).astype(np.float32)
+    bad, good = (bad + IMAGINED * share) / share, (good + IMAGINED * (1 - share)) / (1 - share)
+    return (np.clip(np.log(bad) - np.log(good), -3, 3) / 2).astype(np.float32)
 
 
 def _odds_of(words: Words, toxic: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Odds of the word and n-gram buckets, from the texts marked in ``used``."""
-    text = np.repeat(np.arange(len(toxic)), np.diff(words.text_start))
-    ids, text = words.ids[used[text]], text[used[text]]
-    renumbered = (np.cumsum(used) - 1)[text]
-    counts = np.diff(words.gram_start)[ids]
-    at = np.repeat(words.gram_start[ids], counts) + np.arange(int(counts.sum())) - np.repeat(
-        np.cumsum(counts) - counts, counts)
-    return (_odds(words.bucket[ids], renumbered, toxic[used], recurrent.WORD_BUCKETS),
-            _odds(words.grams[at], np.repeat(renumbered, counts), toxic[used], recurrent.GRAM_BUCKETS))
+    by_word, by_gram = np.zeros((2, recurrent.WORD_BUCKETS)), np.zeros((2, recurrent.GRAM_BUCKETS))
+    for text in np.flatnonzero(used):
+        ids = np.unique(words.ids[words.text_start[text]:words.text_start[text + 1]])
+        counts = words.gram_start[ids + 1] - words.gram_start[ids]
+        at = np.repeat(words.gram_start[ids], counts) + np.arange(int(counts.sum())) - np.repeat(
+            np.cumsum(counts) - counts, counts)
+        by_word[toxic[text], np.unique(words.bucket[ids])] += 1
+        by_gram[toxic[text], np.unique(words.grams[at])] += 1
+    share = float(toxic[used].mean())
+    return _odds(by_word[1], by_word[0], share), _odds(by_gram[1], by_gram[0], share)
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = 12, batch: int = 256, turns: int = 3,
