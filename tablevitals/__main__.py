@@ -14,6 +14,8 @@ from tablevitals.sources.sample_data import create_sample_data
 from tablevitals.sources.writers import save_csv
 
 
+# The names, short forms and defaults of the options are the fixed command line interface.
+
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="tablevitals", description="Audit the quality of a dataset")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -24,6 +26,7 @@ def _parser() -> argparse.ArgumentParser:
     audit.add_argument("--key", default="", help="comma-separated columns that identify a row")
     audit.add_argument("--kind", choices=["tabular", "image", "text"])
     audit.add_argument("--format", choices=["csv", "json", "jsonl", "parquet"])
+    audit.add_argument("--multiline", action="store_true", help="CSV cells may hold line breaks")
     audit.add_argument("--verbose", "-v", action="store_true")
     sample = commands.add_parser("generate-sample", help="write a synthetic table as CSV")
     sample.add_argument("--output", "-o", default="sample_dataset.csv")
@@ -43,12 +46,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     logging.basicConfig(level=logging.INFO if args.verbose else logging.WARNING)
     config = Config.load(args.config) if args.config else Config()
     key = [k for k in args.key.split(",") if k]
-    result = audit_dataset(spark, args.file, args.output, key, config, args.kind, args.format)
+    result = audit_dataset(spark, args.file, args.output, key, config, args.kind, args.format, args.multiline)
     if result.scores is None:
         print(result.metadata.first().asDict())
         return 0
-    # A written report is read back, so that nothing is computed twice.
-    report = spark.read.json(result.paths["report"]) if "report" in result.paths else result.report
+    report = result.report
     row = report.select("scores", "recommendations", "key_findings").first()
     scores = row["scores"]
     print(f"Health score: {scores['overall_score']}/100 ({scores['rating']})")

@@ -7,7 +7,10 @@ stored as text and an uneven label, because the shipped tables have none of thes
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from tablevitals.config import AutoencoderParams, Config, Thresholds
 from tablevitals.functions import scalars
 from tablevitals.functions.columns import normalize, union_all
 from tablevitals.operators import (classes, correlation, duplicates, features, histogram, missing, moments, outliers,
-                                   quantiles, text_types)
+                                   profile, quantiles, text_types)
 from tablevitals.operators.anomaly import detect as anomaly
 from tablevitals.operators.anomaly.forest import fit_forest, forest_score
 from tablevitals.operators.anomaly.network import fit_network, network_error
@@ -82,17 +85,15 @@ DIRTY_COLUMNS = ["l_orderkey", "l_linenumber", "quantity", "qty_scaled", "price"
 
 
 def metric_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """One row of quality metrics per line item, so that the scoring rules meet all their branches.
-
-    Whole and half numbers only: the two engines then agree on every rounding."""
+    """One row of quality metrics per line item, so that the scoring rules meet all their branches."""
     limits = Thresholds()
     rows = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber",
-        F.round(F.col("l_discount") * 300, 1).alias("missing_percentage"),
-        (F.round(F.col("l_tax") * F.col("l_tax") * 5000) / 2).alias("duplicate_percentage"),
-        F.when(F.col("l_linenumber") < 7, F.col("l_quantity") / 2).alias("imbalance_ratio"),
-        (F.round(F.col("l_extendedprice") / 2500) / 2).alias("outlier_percentage"),
-        F.when(F.col("l_returnflag") != "N", F.col("l_partkey") % 80 / 2).alias("anomaly_percentage"),
+        (F.col("l_discount") * 300 + F.col("l_orderkey") % 7 / 8).alias("missing_percentage"),
+        (F.col("l_tax") * F.col("l_tax") * 2500).alias("duplicate_percentage"),
+        F.when(F.col("l_linenumber") < 7, F.col("l_quantity") / 2 + F.col("l_orderkey") % 13 / 40).alias("imbalance_ratio"),
+        (F.col("l_extendedprice") / 5000).alias("outlier_percentage"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_partkey") % 800 / 20).alias("anomaly_percentage"),
         F.col("l_suppkey").alias("n_anomalies"),
     )
     states = {"missing": ("missing_percentage", limits.missing_values),
@@ -131,7 +132,7 @@ COMPONENTS_SQL = """
     CASE WHEN anomaly_percentage IS NULL THEN 'outliers' ELSE 'detectors' END AS integrity_source"""
 
 ADVICE_SQL = """
-    round_even(overall, 2) AS overall_score,
+    printf('%.2f', (overall)::DOUBLE)::DOUBLE AS overall_score,
     CASE WHEN overall >= 90 THEN 'Excellent' WHEN overall >= 80 THEN 'Very Good' WHEN overall >= 70 THEN 'Good'
       WHEN overall >= 60 THEN 'Acceptable' WHEN overall >= 50 THEN 'Fair' ELSE 'Poor' END AS rating,
     CASE WHEN overall >= 90 THEN 'Dataset is production-ready with excellent quality.'
@@ -152,11 +153,11 @@ OVERALL_SQL = "completeness * 0.25::DOUBLE + consistency * 0.25::DOUBLE + balanc
 
 METRIC_ROWS = f"""WITH measured AS (
   SELECT l_orderkey, l_linenumber,
-    round(l_discount * 300, 1) AS missing_percentage,
-    round(l_tax * l_tax * 5000) / 2 AS duplicate_percentage,
-    CASE WHEN l_linenumber < 7 THEN l_quantity / 2 END AS imbalance_ratio,
-    round(l_extendedprice / 2500) / 2 AS outlier_percentage,
-    CASE WHEN l_returnflag <> 'N' THEN (l_partkey % 80)::DOUBLE / 2 END AS anomaly_percentage,
+    l_discount * 300 + (l_orderkey % 7)::DOUBLE / 8 AS missing_percentage,
+    l_tax * l_tax * 2500 AS duplicate_percentage,
+    CASE WHEN l_linenumber < 7 THEN l_quantity / 2 + (l_orderkey % 13)::DOUBLE / 40 END AS imbalance_ratio,
+    l_extendedprice / 5000 AS outlier_percentage,
+    CASE WHEN l_returnflag <> 'N' THEN (l_partkey % 800)::DOUBLE / 20 END AS anomaly_percentage,
     l_suppkey AS n_anomalies
   FROM lineitem),
 rated AS (
@@ -215,36 +216,54 @@ def scan_json(spark, sf):
     return readers.scan_json(spark, path, lines=True)
 
 
+@query("load_json_lines", "SELECT conv_id, turn, role, text FROM conversations")
+def load_json_lines(spark, sf):
+    """A folder of line files, loaded without a hint."""
+    path = f"{scratch_path(spark, 'conversations')}.json"
+    writers.save_json(table(spark, sf, "conversations").repartition(3), path)
+    return readers.load(spark, path).data
+
+
+@query("load_json_documents", "SELECT conv_id, turn, role, text FROM conversations")
+def load_json_documents(spark, sf):
+    """One document per conversation, an array over several lines, loaded without a hint."""
+    path = f"{scratch_path(spark, 'conversations')}.json"
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("*")).alias("turns"))
+    body = F.replace(F.to_json("turns"), F.lit("},{"), F.lit("},\n{")).alias("value")
+    turns.select(body, F.col("conv_id").alias("of")).repartition("of").write.partitionBy("of").text(path)
+    return readers.load(spark, path).data.select("conv_id", "turn", "role", "text")
+
+
 @query("detect_kind", """WITH paths AS (
   SELECT url || ending AS url FROM pages,
-    (VALUES (''), ('.csv'), ('.xls'), ('.parquet'), ('.json'), ('.jpeg'), ('.txt')) v(ending)),
+    (VALUES (''), ('.csv'), ('.xls'), ('.parquet'), ('.json'), ('.jsonl'), ('.jpeg'), ('.txt')) v(ending)),
 suffixed AS (
   SELECT url, lower(regexp_extract(regexp_extract(rtrim(url, '/'), '[^/]*$'), '^.+[.]([^.]+)$', 1)) AS suffix FROM paths)
 SELECT url, CASE WHEN suffix IN ('xlsx', 'xls') THEN 'excel' WHEN suffix IN ('jpg', 'jpeg', 'png', 'bmp') THEN 'image'
-    WHEN suffix = 'txt' THEN 'text' WHEN suffix IN ('csv', 'parquet', 'json') THEN suffix ELSE 'unknown' END AS file_type,
-  CASE WHEN suffix IN ('csv', 'xlsx', 'xls', 'parquet', 'json') THEN 'tabular'
+    WHEN suffix = 'txt' THEN 'text' WHEN suffix IN ('jsonl', 'ndjson') THEN 'json' WHEN suffix IN ('csv', 'parquet', 'json') THEN suffix ELSE 'unknown' END AS file_type,
+  CASE WHEN suffix IN ('csv', 'xlsx', 'xls', 'parquet', 'json', 'jsonl', 'ndjson') THEN 'tabular'
     WHEN suffix IN ('jpg', 'jpeg', 'png', 'bmp') THEN 'image' WHEN suffix = 'txt' THEN 'text' ELSE 'unknown' END AS kind
 FROM suffixed""")
 def detect_kind(spark, sf):
     """Page addresses as they are, and with each kind of suffix."""
-    endings = F.array(*[F.lit(s) for s in ["", ".csv", ".XLS", ".parquet", ".json", ".JPEG", ".txt"]])
+    endings = F.array(*[F.lit(s) for s in ["", ".csv", ".XLS", ".parquet", ".json", ".JSONL", ".JPEG", ".txt"]])
     paths = table(spark, sf, "pages").select("url", F.explode(endings).alias("ending"))
     path = F.concat("url", "ending")
     return paths.select(F.concat("url", F.lower("ending")).alias("url"),
                         scalars.file_type(path).alias("file_type"), scalars.dataset_kind(path).alias("kind"))
 
 
-def _text_corpus(spark, sf):
-    """documents as text files, one folder per language; the file count grows with the table."""
-    path = scratch_path(spark, "corpus")
-    writer = table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang")
-    writer.option("maxRecordsPerFile", 50).text(path)
-    return path
-
-
-@query("detect_kind_dir", "SELECT CASE WHEN count(*) > 0 THEN 'text' END AS kind FROM documents")
+@query("detect_kind_dir", """SELECT conv_id, n_files, n_images, n_texts, CASE WHEN n_images * 2 > n_files THEN 'image'
+  WHEN n_texts * 2 > n_files THEN 'text' ELSE 'tabular' END AS kind
+FROM (SELECT conv_id, count(*) AS n_files, count(*) FILTER (conv_id % 4 < 2 AND (turn + conv_id) % 3 = 0) AS n_images,
+  count(*) FILTER (conv_id % 4 > 0 AND (turn + conv_id) % 3 > 0) AS n_texts FROM conversations GROUP BY conv_id)""")
 def detect_kind_dir(spark, sf):
-    return readers.directory_kind(readers.list_files(spark, _text_corpus(spark, sf))).select("kind")
+    """A folder per conversation with a file name per turn: images, texts, tables, and none in the majority."""
+    third = (F.col("turn") + F.col("conv_id")) % 3
+    of = F.col("conv_id") % 4
+    name = F.when((of < 2) & (third == 0), "a.jpg").when((of > 0) & (third > 0), "b.txt").otherwise("c.csv")
+    files = table(spark, sf, "conversations").select("conv_id", scalars.dataset_kind(name).alias("kind"))
+    return readers.directory_kind(files, ["conv_id"])
 
 
 @query("scan_text_lines", f"""SELECT trim(line, '{scalars.WHITESPACE}') AS text
@@ -256,13 +275,15 @@ def scan_text_lines(spark, sf):
     return readers.scan_text_lines(spark, path)
 
 
-@query("scan_text_dir", f"""SELECT 'lang=' || lang AS label,
-  sum(length(translate(text, '{scalars.WHITESPACE}', '')))::BIGINT AS n_chars FROM documents GROUP BY lang""")
+@query("scan_text_dir", f"""SELECT 'lang=' || lang AS label, doc_id, trim(text, '{scalars.WHITESPACE}') AS text
+FROM documents WHERE trim(text, '{scalars.WHITESPACE}') <> ''""")
 def scan_text_dir(spark, sf):
-    """Visible characters per folder, which do not depend on how rows fall into files."""
-    files = readers.scan_text_dir(spark, _text_corpus(spark, sf))
-    visible = F.length(F.translate("text", scalars.WHITESPACE, ""))
-    return files.groupBy("label").agg(F.sum(visible).alias("n_chars"))
+    """documents as text files, one per document, named by its id, in a folder per language."""
+    path = scratch_path(spark, "corpus")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs.repartition(8, "doc_id").write.partitionBy("doc_id", "lang").option("lineSep", "\n").text(path)
+    files = readers.scan_text_dir(spark, path)
+    return files.select("label", F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "text")
 
 
 @query("find_text_column", """SELECT CASE WHEN avg(length(text)) > 50 THEN 'text' WHEN avg(length(lang)) > 50 THEN 'lang'
@@ -304,6 +325,21 @@ def gen_sample(spark, sf):
     return sample_rows(ids, ids.count(), keep=("id",))
 
 
+@query("gen_sample_facts", """SELECT count(*) AS n_rows, 13 AS n_columns, true AS missing_share, true AS categories,
+  true AS minority_share, true AS centred FROM orders""")
+def gen_sample_facts(spark, sf):
+    """What is laid down about the synthetic rows: their number and columns, and shares up to chance."""
+    rows = gen_sample(spark, sf)
+    features = [c for c in rows.columns if c.startswith("feature_")]
+    cells = [F.avg(F.col(c).isNull().cast("int")).between(0.04, 0.06) for c in features]
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(len(rows.columns)).alias("n_columns"),
+        reduce(and_, cells).alias("missing_share"),
+        (F.sort_array(F.collect_set("category")) == F.array(*map(F.lit, "ABC"))).alias("categories"),
+        F.avg("target").between(0.27, 0.33).alias("minority_share"),
+        reduce(and_, [F.abs(F.avg(c)) < 0.2 for c in features]).alias("centred"))
+
+
 # Sinks --------------------------------------------------------------------------------------------
 
 @query("sink_json_roundtrip", "SELECT * FROM customer")
@@ -336,14 +372,23 @@ def sink_flags_roundtrip(spark, sf):
 
 # Projections and filters --------------------------------------------------------------------------
 
-@query("column_roles", DIRTY + """SELECT position, "column", CASE kind WHEN 'BIGINT' THEN 'bigint'
-  WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE kind END AS type,
-  CASE WHEN kind IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN kind = 'VARCHAR' THEN 'categorical' END AS role
-FROM (""" + " UNION ALL ".join(
-    f"SELECT {i} AS position, '{c}' AS \"column\", typeof(min({c})) AS kind FROM dirty"
-    for i, c in enumerate(DIRTY_COLUMNS)) + ")")
-def column_roles(spark, sf):
-    return missing.column_roles(dirty(spark, sf))
+PROFILE_SQL = "(" + " UNION ALL ".join(
+    f"""SELECT {i} AS position, '{c}' AS "column", '{kind}' AS type, '{role}' AS role, count(*) AS n_rows,
+    count(*) - count({c}) AS missing, printf('%.2f', ((count(*) - count({c})) / count(*) * 100)::DOUBLE)::DOUBLE AS missing_pct,
+    ({'sum(strlen(' + c + '))' if kind == 'string' else f'count(*) * {width}'})::BIGINT AS bytes,
+    {'NULL::DOUBLE' if kind == 'string' else f'min({c})::DOUBLE'} AS min,
+    {'NULL::DOUBLE' if kind == 'string' else f'max({c})::DOUBLE'} AS max,
+    {'NULL::DOUBLE' if kind == 'string' else f'round(avg({c}), 6)'} AS mean, count(DISTINCT {c}) <= 64 AS few_values,
+    {'bool_and(coalesce(' + c + " ~ '[0-9]+', true))" if kind == 'string' else 'NULL::BOOLEAN'} AS numeric_as_string
+  FROM dirty""" for i, (c, kind, role, width) in enumerate([
+    ("l_orderkey", "bigint", "numeric", 8), ("l_linenumber", "int", "numeric", 4), ("quantity", "double", "numeric", 8),
+    ("qty_scaled", "double", "numeric", 8), ("price", "double", "numeric", 8), ("returnflag", "string", "categorical", 0),
+    ("qty_text", "string", "categorical", 0), ("target", "int", "numeric", 4)])) + ")"
+
+
+@query("column_profile", DIRTY + f"SELECT * FROM {PROFILE_SQL}")
+def column_profile(spark, sf):
+    return profile.column_profile(dirty(spark, sf)).withColumn("mean", F.round("mean", 6))
 
 
 @query("categorical_columns", DIRTY + """SELECT position, "column", CASE WHEN text THEN NULL ELSE n END AS n_distinct
@@ -393,6 +438,15 @@ def duplicate_texts_top100(spark, sf):
     return duplicates.duplicate_rows(table(spark, sf, "documents"), ["doc_id"], ["text"])
 
 
+@query("duplicate_parts_top5000", """SELECT l_orderkey, l_linenumber, (rn - 1)::INTEGER AS copy FROM (
+  SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_quantity ORDER BY l_orderkey, l_linenumber) AS rn
+  FROM lineitem)
+WHERE rn > 1 ORDER BY l_orderkey, l_linenumber LIMIT 5000""")
+def duplicate_parts_top5000(spark, sf):
+    """A few groups that hold all rows, and a long list."""
+    return duplicates.duplicate_rows(table(spark, sf, "lineitem"), KEY, ["l_returnflag", "l_quantity"], n=5000)
+
+
 @query("iqr_keep_mask", DIRTY + """SELECT l_orderkey, l_linenumber,
   coalesce(quantity BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1), false) AS quantity_ok,
   price BETWEEN p1 - 1.5::DOUBLE * (p3 - p1) AND p3 + 1.5::DOUBLE * (p3 - p1) AS price_ok
@@ -417,7 +471,7 @@ def basic_info(spark, sf):
     return missing.basic_info(dirty(spark, sf))
 
 
-@query("logical_size", DIRTY + """SELECT "column", bytes, round_even(bytes / 1048576.0::DOUBLE, 2) AS mb FROM (""" + " UNION ALL ".join(
+@query("logical_size", DIRTY + """SELECT "column", bytes, printf('%.2f', (bytes / 1048576.0::DOUBLE)::DOUBLE)::DOUBLE AS mb FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", ({size})::BIGINT AS bytes FROM dirty" for c, size in zip(DIRTY_COLUMNS, [
         "count(*) * 8", "count(*) * 4", "count(*) * 8", "count(*) * 8", "count(*) * 8",
         "sum(strlen(returnflag))", "sum(strlen(qty_text))", "count(*) * 4"])) + ")")
@@ -425,7 +479,7 @@ def logical_size(spark, sf):
     return missing.logical_size(dirty(spark, sf))
 
 
-@query("logical_size_documents", """SELECT "column", bytes, round_even(bytes / 1048576.0::DOUBLE, 2) AS mb FROM (""" + " UNION ALL ".join(
+@query("logical_size_documents", """SELECT "column", bytes, printf('%.2f', (bytes / 1048576.0::DOUBLE)::DOUBLE)::DOUBLE AS mb FROM (""" + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", ({size})::BIGINT AS bytes FROM documents" for c, size in [
         ("doc_id", "count(*) * 8"), ("text", "sum(strlen(text))"), ("lang", "sum(strlen(lang))"),
         ("source", "sum(strlen(source))"), ("n_chars", "count(*) * 8")]) + ")")
@@ -433,14 +487,14 @@ def logical_size_documents(spark, sf):
     return missing.logical_size(table(spark, sf, "documents"))
 
 
-@query("missing_by_column", DIRTY + f"""SELECT "column", missing, round_even(missing / n_rows * 100, 2) AS missing_pct
+@query("missing_by_column", DIRTY + f"""SELECT "column", missing, printf('%.2f', (missing / n_rows * 100)::DOUBLE)::DOUBLE AS missing_pct
 FROM {MISSING_SQL} WHERE missing > 0""")
 def missing_by_column(spark, sf):
     return missing.missing_by_column(dirty(spark, sf))
 
 
 @query("missing_total", DIRTY + f"""SELECT max(n_rows) AS n_rows, count(*)::INTEGER AS n_columns,
-  sum(missing)::BIGINT AS total_missing, round_even(sum(missing) / sum(n_rows) * 100, 2) AS missing_percentage
+  sum(missing)::BIGINT AS total_missing, printf('%.2f', (sum(missing) / sum(n_rows) * 100)::DOUBLE)::DOUBLE AS missing_percentage
 FROM {MISSING_SQL}""")
 def missing_total(spark, sf):
     return missing.missing_total(dirty(spark, sf))
@@ -457,7 +511,7 @@ def missing_pattern(spark, sf):
 
 
 @query("duplicate_summary", DIRTY + """SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS n_duplicates,
-  round_even(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage
+  printf('%.2f', (sum(n - 1) / sum(n) * 100)::DOUBLE)::DOUBLE AS duplicate_percentage
 FROM (SELECT count(*) AS n FROM dirty GROUP BY ALL, l_orderkey, l_linenumber, quantity, qty_scaled, price, returnflag,
   qty_text, target)""".replace("GROUP BY ALL, ", "GROUP BY "))
 def duplicate_summary(spark, sf):
@@ -465,7 +519,7 @@ def duplicate_summary(spark, sf):
 
 
 @query("duplicate_texts", """SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS n_duplicates,
-  round_even(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage FROM (SELECT count(*) AS n FROM documents GROUP BY text)""")
+  printf('%.2f', (sum(n - 1) / sum(n) * 100)::DOUBLE)::DOUBLE AS duplicate_percentage FROM (SELECT count(*) AS n FROM documents GROUP BY text)""")
 def duplicate_texts(spark, sf):
     return duplicates.duplicate_summary(table(spark, sf, "documents"), ["text"])
 
@@ -481,19 +535,10 @@ def numeric_moments(spark, sf):
 
 
 @query("numeric_quantiles", DIRTY + " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", {p}::DOUBLE AS p, round(quantile_cont({c}::DOUBLE, {p}), 6) AS value FROM dirty"""
-    for c in DIRTY_NUMERIC for p in (0.25, 0.5, 0.75)))
-def numeric_quantiles(spark, sf):
-    found = quantiles.quantiles(dirty(spark, sf), [0.25, 0.5, 0.75])
-    return found.withColumn("value", F.round("value", 6))
-
-
-@query("numeric_quantiles_narrowing", DIRTY + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", {p}::DOUBLE AS p, round(quantile_cont({c}::DOUBLE, {p}), 6) AS value FROM dirty"""
     for c in DIRTY_NUMERIC for p in (0.05, 0.25, 0.5, 0.75, 0.95)))
-def numeric_quantiles_narrowing(spark, sf):
-    """The bounded-memory way on a table of any size."""
-    found = quantiles.quantiles(dirty(spark, sf), [0.05, 0.25, 0.5, 0.75, 0.95], small_rows=0)
+def numeric_quantiles(spark, sf):
+    found = quantiles.quantiles(dirty(spark, sf), [0.05, 0.25, 0.5, 0.75, 0.95])
     return found.withColumn("value", F.round("value", 6))
 
 
@@ -514,11 +559,20 @@ LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_q
     f"SELECT '{a}' AS feature1, '{b}' AS feature2, round(corr({a}, {b}), 6) + 0.0 AS correlation FROM lineitem"
     for i, a in enumerate(LINEITEM_NUMERIC) for b in LINEITEM_NUMERIC[i + 1:]))
 def correlation_wide(spark, sf):
-    """Eight columns: the pair sums come from matrix products."""
     found = correlation.correlation_pairs(table(spark, sf, "lineitem"))
     return found.withColumn("correlation", F.round("correlation", 6) + 0.0)
 
 
+@query("correlation_infinite", """SELECT 'event_id' AS feature1, 'user_id' AS feature2, round(corr(event_id, user_id), 6) AS correlation
+FROM events UNION ALL SELECT 'event_id', 'spiky', round(corr(event_id, value) FILTER (event_id % 7 <> 0), 6) FROM events
+UNION ALL SELECT 'user_id', 'spiky', round(corr(user_id, value) FILTER (event_id % 7 <> 0), 6) FROM events""")
+def correlation_infinite(spark, sf):
+    """Infinite cells count as missing, pair by pair."""
+    spike = F.when(F.col("event_id") % 14 == 0, float("inf")).when(F.col("event_id") % 7 == 0, float("-inf"))
+    events = table(spark, sf, "events").select("event_id", "user_id", spike.otherwise(F.col("value")).alias("spiky"))
+    return correlation.correlation_pairs(events).withColumn("correlation", F.round("correlation", 6))
+
+
 BALANCE_SQL = """SELECT count(*) AS n_classes, max(n) AS max_count, min(n) AS min_count,
   max(n)::DOUBLE / min(n) AS imbalance_ratio"""
 
@@ -566,7 +620,7 @@ def class_weights(spark, sf):
 @query("validate_table", DIRTY + f"""SELECT count(*) > 0 AS is_valid, count(*) AS n_rows, 8 AS n_cols,
   (SELECT count(*) FROM dirty) > (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS has_duplicates,
   (SELECT sum(missing) FROM {MISSING_SQL}) > 0 AS has_missing,
-  round_even((count(*) * 40 + sum(strlen(returnflag)) + sum(strlen(qty_text)))::DOUBLE / 1048576, 2) AS size_mb
+  printf('%.2f', ((count(*) * 40 + sum(strlen(returnflag)) + sum(strlen(qty_text)))::DOUBLE / 1048576)::DOUBLE)::DOUBLE AS size_mb
 FROM dirty""")
 def validate_table(spark, sf):
     return checks.validate_table(dirty(spark, sf))
@@ -592,7 +646,7 @@ def histogram_numeric(spark, sf):
 # Scalar functions ---------------------------------------------------------------------------------
 
 @query("fn_percentage", """SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 0.0::DOUBLE
-  ELSE round_even(l_discount / l_tax * 100, 2) END AS pct FROM lineitem""")
+  ELSE printf('%.2f', (l_discount / l_tax * 100)::DOUBLE)::DOUBLE END AS pct FROM lineitem""")
 def fn_percentage(spark, sf):
     pct = scalars.percentage(F.col("l_discount"), F.col("l_tax"))
     return table(spark, sf, "lineitem").select(*KEY, pct.alias("pct"))
@@ -625,8 +679,8 @@ def fn_format_bytes(spark, sf):
 
 # Checks and scores --------------------------------------------------------------------------------
 
-MISSING_PCT_SQL = f"(SELECT round_even(sum(missing) / sum(n_rows) * 100, 2) AS missing_percentage FROM {MISSING_SQL})"
-DUPLICATE_PCT_SQL = """(SELECT round_even(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage FROM (
+MISSING_PCT_SQL = f"(SELECT printf('%.2f', (sum(missing) / sum(n_rows) * 100)::DOUBLE)::DOUBLE AS missing_percentage FROM {MISSING_SQL})"
+DUPLICATE_PCT_SQL = """(SELECT printf('%.2f', (sum(n - 1) / sum(n) * 100)::DOUBLE)::DOUBLE AS duplicate_percentage FROM (
   SELECT count(*) AS n FROM dirty GROUP BY l_orderkey, l_linenumber, quantity, qty_scaled, price, returnflag, qty_text, target))"""
 RATIO_SQL = """(SELECT max(n)::DOUBLE / min(n) AS imbalance_ratio FROM (
   SELECT count(*) AS n FROM dirty GROUP BY target))"""
@@ -652,7 +706,7 @@ def check_balance(spark, sf):
 
 
 @query("check_outliers", DIRTY + f"""SELECT status, CASE WHEN status IN ('fair', 'poor') THEN 'medium' ELSE 'low' END AS severity,
-  round_even(share, 2) AS outlier_percentage
+  printf('%.2f', (share)::DOUBLE)::DOUBLE AS outlier_percentage
 FROM (SELECT *, {_status_sql('share', 2, 5, 10)} AS status FROM {SHARE_SQL})""")
 def check_outliers(spark, sf):
     return checks.check_outliers(dirty(spark, sf))
@@ -689,7 +743,7 @@ def score_overall(spark, sf):
     WHEN balance >= 60 THEN 'Moderate imbalance' ELSE 'Severe imbalance' END AS balance_text,
   CASE WHEN integrity >= 90 THEN 'Minimal anomalies' WHEN integrity >= 75 THEN 'Some anomalies'
     WHEN integrity >= 60 THEN 'Notable anomalies' ELSE 'High anomaly rate' END AS integrity_text,
-  coalesce(anomaly_percentage, outlier_percentage) AS integrity_metric, round_even(integrity, 2) AS integrity_score
+  coalesce(anomaly_percentage, 0)::DOUBLE AS integrity_metric, printf('%.2f', (integrity)::DOUBLE)::DOUBLE AS integrity_score
 FROM scored""")
 def score_details(spark, sf):
     detailed = scoring.score_details(scoring.health_score(metric_rows(spark, sf)))
@@ -701,17 +755,14 @@ def score_details(spark, sf):
 
 @query("score_formula", METRIC_ROWS + f"""SELECT l_orderkey, l_linenumber,
   printf('(%.1f × 0.25) + (%.1f × 0.25) + (%.1f × 0.25) + (%.1f × 0.25) = %.2f', completeness, consistency,
-    balance, integrity, {OVERALL_SQL}) AS formula FROM (SELECT l_orderkey, l_linenumber,
-  round(completeness) AS completeness, round(consistency) AS consistency, round(balance) AS balance,
-  round(integrity) AS integrity FROM components)""")
+    balance, integrity, {OVERALL_SQL}) AS formula FROM components""")
 def score_formula(spark, sf):
     scored = scoring.score_components(metric_rows(spark, sf))
-    whole = scored.withColumns({c: F.round(c) for c in scoring.COMPONENTS})
-    return whole.select(*KEY, scoring.score_formula().alias("formula"))
+    return scored.select(*KEY, scoring.score_formula().alias("formula"))
 
 
 @query("weighted_components", METRIC_ROWS + " UNION ALL ".join(
-    f"SELECT l_orderkey, l_linenumber, '{c}' AS component, {c} AS score, round_even({c} * 0.25::DOUBLE, 2) AS weighted FROM components"
+    f"SELECT l_orderkey, l_linenumber, '{c}' AS component, {c} AS score, printf('%.2f', ({c} * 0.25::DOUBLE)::DOUBLE)::DOUBLE AS weighted FROM components"
     for c in scoring.COMPONENTS))
 def weighted_components(spark, sf):
     return scoring.weighted_components(scoring.score_components(metric_rows(spark, sf)), KEY)
@@ -767,7 +818,7 @@ def key_findings(spark, sf):
 
 
 @query("health_score", DIRTY + f""", metrics AS (
-  SELECT *, round_even(share, 2) AS outlier_percentage, NULL::DOUBLE AS anomaly_percentage,
+  SELECT *, printf('%.2f', (share)::DOUBLE)::DOUBLE AS outlier_percentage, NULL::DOUBLE AS anomaly_percentage,
     {_status_sql('imbalance_ratio', 1.5, 3, 5)} AS balance_status
   FROM {MISSING_PCT_SQL}, {DUPLICATE_PCT_SQL}, {RATIO_SQL}, {SHARE_SQL}),
 components AS (SELECT *, {COMPONENTS_SQL} FROM metrics),
@@ -825,7 +876,7 @@ def anomaly_combine(spark, sf):
 
 
 @query("anomaly_summary", COMBINED_SQL + """SELECT count(*) AS n_rows, sum(anomaly_label)::BIGINT AS n_anomalies,
-  round_even(sum(anomaly_label) / count(*) * 100, 2) AS anomaly_percentage FROM combined""")
+  printf('%.2f', (sum(anomaly_label) / count(*) * 100)::DOUBLE)::DOUBLE AS anomaly_percentage FROM combined""")
 def anomaly_summary(spark, sf):
     return anomaly.anomaly_summary(_combined(spark, sf))
 
@@ -844,6 +895,52 @@ def anomaly_score_histogram(spark, sf):
     return histogram.histogram(_combined(spark, sf), ["anomaly_score"], bins=50).select("column", "bin", "count")
 
 
+@query("anomaly_labels_of_scores", """WITH scored AS (
+  SELECT event_id, abs(value) AS error, (user_id % 97)::DOUBLE AS isolation FROM events),
+ends AS (SELECT min(error) AS e_lo, max(error) AS e_hi, quantile_cont(error, 0.95) AS e_cut, min(isolation) AS i_lo,
+  max(isolation) AS i_hi, quantile_cont(isolation, 0.9) AS i_cut FROM scored)
+SELECT event_id, (isolation > i_cut)::INTEGER AS isolation_forest_label, (error > e_cut)::INTEGER AS autoencoder_label,
+  round((isolation - i_lo) / (i_hi - i_lo + 1e-8::DOUBLE), 9) AS isolation_forest_score,
+  round((error - e_lo) / (e_hi - e_lo + 1e-8::DOUBLE), 9) AS autoencoder_score,
+  (isolation > i_cut OR error > e_cut)::INTEGER AS anomaly_label,
+  round(((isolation - i_lo) / (i_hi - i_lo + 1e-8::DOUBLE) + (error - e_lo) / (e_hi - e_lo + 1e-8::DOUBLE)) / 2, 9) AS anomaly_score
+FROM scored, ends""")
+def anomaly_labels_of_scores(spark, sf):
+    """Thresholds, scaling and ensemble of the detector run, on raw scores that SQL knows too."""
+    raw = table(spark, sf, "events").select("event_id", F.abs("value").alias("autoencoder"),
+                                            (F.col("user_id") % 97).cast("double").alias("isolation_forest"))
+    rows, _ = anomaly.labelled(raw, ["event_id"], ["isolation_forest", "autoencoder"], Config())
+    return rows.withColumns({c: F.round(c, 9) for c in rows.columns if c.endswith("_score")})
+
+
+@query("pca_error_two_features", """WITH f AS (SELECT event_id, user_id::DOUBLE AS a, value AS b FROM events),
+z AS (SELECT event_id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS z1, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS z2 FROM f)
+SELECT event_id, round(power(z1 - sign(avg(z1 * z2) OVER ()) * z2, 2) / 4, 6) AS error FROM z""")
+def pca_error_two_features(spark, sf):
+    """Two standardised features have the axes (1, 1) and (1, -1); the weaker one is given up."""
+    data, features = table(spark, sf, "events"), ["user_id", "value"]
+    error = pca_error(data, features, fit_pca(data, features))
+    return data.select("event_id", F.round(error, 6).alias("error"))
+
+
+#: Two small trees: split feature, threshold and path length of each leaf, in level order.
+FIXED_FOREST = {"feature": [[0, 1, 1], [1, 0, 0]],
+                "threshold": [[200.0, 20.0, 60.0], [45.0, 80.0, float("inf")]],
+                "path": [[2.0, 3.5, 2.5, 2.0], [4.0, 2.0, 3.0, 9.0]], "depth": 2, "scale": 3.0}
+
+
+@query("forest_score_fixed", """SELECT event_id, round(power(2, -(path1 + path2) / 2 / 3), 9) AS score FROM (
+  SELECT event_id, CASE WHEN user_id < 200 THEN CASE WHEN value < 20 THEN 2 ELSE 3.5 END
+      ELSE CASE WHEN value < 60 THEN 2.5 ELSE 2 END END::DOUBLE AS path1,
+    CASE WHEN value < 45 THEN CASE WHEN user_id < 80 THEN 4 ELSE 2 END ELSE 3 END::DOUBLE AS path2 FROM events)""")
+def forest_score_fixed(spark, sf):
+    """Scoring alone, with trees that are given."""
+    forest = {k: np.array(v) if isinstance(v, list) else v for k, v in FIXED_FOREST.items()}
+    data = table(spark, sf, "events")
+    score = forest_score(data, ["user_id", "value"], forest)
+    return data.select("event_id", F.round(score, 9).alias("score"))
+
+
 @query("iforest_score")
 def iforest_score(spark, sf):
     config = Config(detectors=("isolation_forest",))
@@ -866,7 +963,8 @@ def pca_recon_score(spark, sf):
 @query("pca_recon_error")
 def pca_recon_error(spark, sf):
     data = table(spark, sf, "embeddings")
-    wide = data.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
+    width = data.agg(F.max(F.size("embedding"))).first()[0]
+    wide = data.select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(width)])
     columns = wide.columns[1:]
     return wide.select("vec_id", pca_error(wide, columns, fit_pca(wide, columns)).alias("error"))
 
@@ -883,6 +981,83 @@ def anomaly_ensemble(spark, sf):
     return anomaly.detect(dirty(spark, sf), KEY).rows
 
 
+def _facts(section: str, frame: DataFrame, *names: str) -> DataFrame:
+    """Rows of section, name (the first column) and value (the others), numbers with six decimals."""
+    def text(name: str):
+        kind = dict(frame.dtypes)[name]
+        return F.format_string("%.6f", F.col(name)) if kind == "double" else F.col(name).cast("string")
+    values = [F.coalesce(text(c), F.lit("-")) for c in names[1:]]
+    return frame.select(F.lit(section).alias("section"), F.col(names[0]).cast("string").alias("name"),
+                        F.concat_ws(" ", *values).alias("value"))
+
+
+def _number_sql(value: str) -> str:
+    return f"coalesce(printf('%.6f', ({value})::DOUBLE), '-')"
+
+
+REPORT_SQL = DIRTY + f""", typed AS (SELECT * FROM {TYPES_SQL})
+SELECT 'rows' AS section, 'n_rows' AS name, count(*)::VARCHAR AS value FROM dirty
+UNION ALL SELECT 'duplicates', 'n_duplicates', n_duplicates::VARCHAR FROM (SELECT sum(n - 1)::BIGINT AS n_duplicates FROM (
+  SELECT count(*) AS n FROM dirty GROUP BY {', '.join(DIRTY_COLUMNS)}))
+UNION ALL SELECT 'missing', "column", missing::VARCHAR || ' ' || {_number_sql("printf('%.2f', missing / n_rows * 100)::DOUBLE")}
+  FROM {MISSING_SQL} WHERE missing > 0
+UNION ALL SELECT 'outliers', "column", outliers::VARCHAR || ' ' || {_number_sql('lower')} || ' ' || {_number_sql('upper')} FROM {OUTLIERS_SQL}
+UNION ALL SELECT 'classes', target::VARCHAR, count(*)::VARCHAR FROM dirty GROUP BY target
+UNION ALL SELECT 'high_correlations', feature1, feature2 || ' ' || {_number_sql('correlation')} FROM {PAIRS_SQL} WHERE abs(correlation) > 0.8
+UNION ALL SELECT 'weights', c, '0.250000' FROM (VALUES ('completeness'), ('consistency'), ('balance'), ('integrity')) v(c)
+UNION ALL SELECT 'types', "column" || ': numeric values stored as strings', '' FROM typed WHERE numeric_as_string
+UNION ALL SELECT 'statistics', c, n::VARCHAR || ' ' || {_number_sql('mean')} || ' ' || {_number_sql('median')} FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS c, count({c}) AS n, avg({c}) AS mean, quantile_cont({c}::DOUBLE, 0.5) AS median FROM dirty"
+    for c in DIRTY_NUMERIC) + ")"
+
+
+@query("audit_report_facts", REPORT_SQL)
+def audit_report_facts(spark, sf):
+    """The report without detectors, its sections as rows."""
+    report = audit_table(dirty(spark, sf), KEY, Config(detectors=())).report
+
+    def rows(path: str) -> DataFrame:
+        return report.select(F.inline(path))
+
+    weights = report.select("scores.weights.*")
+    parts = [
+        _facts("rows", report.select(F.lit("n_rows").alias("k"), "profile.basic_info.n_rows"), "k", "n_rows"),
+        _facts("duplicates", report.select(F.lit("n_duplicates").alias("k"), "profile.duplicates.n_duplicates"), "k", "n_duplicates"),
+        _facts("missing", rows("profile.missing_values.columns"), "column", "missing", "missing_pct"),
+        _facts("outliers", rows("checks.outliers_per_column"), "column", "outliers", "lower", "upper"),
+        _facts("classes", rows("checks.class_distribution"), "label", "count"),
+        _facts("high_correlations", rows("profile.high_correlations"), "feature1", "feature2", "correlation"),
+        _facts("weights", weights.select(F.inline(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v"))
+                                                            for c in weights.columns]))), "k", "v"),
+        _facts("types", report.select(F.explode("checks.types_issues").alias("k")), "k"),
+        _facts("statistics", rows("profile.statistics"), "column", "n", "mean", "median"),
+    ]
+    return union_all(parts)
+
+
+PLOT_SQL = DIRTY + f"""SELECT 'missing_values' AS plot, "column" AS name, missing::VARCHAR AS value FROM {MISSING_SQL} WHERE missing > 0
+UNION ALL SELECT 'correlations', feature1 || ' ' || feature2, {_number_sql('correlation')} FROM {PAIRS_SQL}
+UNION ALL SELECT 'correlations', feature2 || ' ' || feature1, {_number_sql('correlation')} FROM {PAIRS_SQL}
+UNION ALL SELECT 'correlations', c || ' ' || c, '1.000000' FROM (VALUES {', '.join(f"('{c}')" for c in DIRTY_NUMERIC)}) v(c)
+UNION ALL SELECT 'class_distribution', target::VARCHAR, count(*)::VARCHAR FROM dirty GROUP BY target
+UNION ALL SELECT 'feature_distributions', "column", count(*)::VARCHAR FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {c}::DOUBLE AS x FROM dirty WHERE {c} IS NOT NULL" for c in DIRTY_NUMERIC) + """) GROUP BY "column"
+"""
+
+
+@query("plot_table_facts", PLOT_SQL)
+def plot_table_facts(spark, sf):
+    """The plot tables that need no detector; the histograms by their totals."""
+    tables = plot_tables(audit_table(dirty(spark, sf), KEY, Config(detectors=())))
+    pairs = tables["correlations"].withColumn("pair", F.concat_ws(" ", "feature1", "feature2"))
+    bars = tables["feature_distributions"].groupBy("column").agg(F.sum("count").alias("count"))
+    parts = [_facts("missing_values", tables["missing_values"], "column", "missing"),
+             _facts("correlations", pairs, "pair", "correlation"),
+             _facts("class_distribution", tables["class_distribution"], "label", "count"),
+             _facts("feature_distributions", bars, "column", "count")]
+    return union_all(parts).withColumnRenamed("section", "plot")
+
+
 @query("plot_tables")
 def plot_tables_query(spark, sf):
     """The numbers behind all plots, as rows of plot name and JSON."""

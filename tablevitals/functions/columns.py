@@ -55,6 +55,12 @@ def as_double(df: DataFrame, name: str) -> Column:
     return clean(df, name).cast("double")
 
 
+def finite_double(df: DataFrame, name: str) -> Column:
+    """The numeric column as double, everything not finite as NULL."""
+    value = as_double(df, name)
+    return F.when(F.abs(value) <= MAX_DOUBLE, value)
+
+
 def normalize(df: DataFrame) -> DataFrame:
     """NaN -> NULL on every float and double column; the other columns pass through."""
     return df.select([clean(df, c).alias(c) for c in df.columns])

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.config import Config
-from tablevitals.functions.columns import clean, col, numeric_columns
+from tablevitals.functions.columns import col, numeric_columns
+from tablevitals.functions.scalars import round_exact
 from tablevitals.operators.anomaly.forest import fit_forest, forest_score
 from tablevitals.operators.anomaly.network import fit_network, network_error
 from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
 from tablevitals.operators.quantiles import quantile_values
-from tablevitals.session import materialize, spread_small
+from tablevitals.session import materialize, spread as spread_rows
 
 #: Added to the span of a min-max score (fixed value).
 SPAN_GUARD = 1e-8
@@ -52,7 +53,7 @@ def anomaly_summary(rows: DataFrame, label: str = "anomaly_label") -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("n_anomalies"),
-        F.bround(F.try_divide(F.sum(label), F.count(F.lit(1))) * 100, 2).alias("anomaly_percentage"),
+        round_exact(F.try_divide(F.sum(label), F.count(F.lit(1))) * 100, 2).alias("anomaly_percentage"),
     )
 
 
@@ -62,9 +63,6 @@ def anomaly_threshold(rows: DataFrame, label: str = "anomaly_label", score: str
     return rows.agg(F.coalesce(lowest, F.lit(DEFAULT_THRESHOLD)).alias("threshold"))
 
 
-#: Distinct keys per row, by a sketch, that a key identifying rows has at least.
-DISTINCT_KEY_SHARE = 0.8
-
 
 @dataclass
 class Detection:
@@ -76,6 +74,8 @@ class Detection:
 
     rows: DataFrame | None
     status: dict[str, str]
+    #: The raw score above which a detector labels a row.
+    thresholds: dict[str, float] = field(default_factory=dict)
 
     @property
     def usable(self) -> bool:
@@ -91,36 +91,33 @@ def _fit(name: str, df: DataFrame, columns: list[str], key: Sequence[str], confi
     if name != "autoencoder":
         raise ValueError(f"unknown detector {name}")
     if config.autoencoder.kind == "pca":
-        return pca_error(df, columns, fit_pca(df, columns))
+        return pca_error(df, columns, fit_pca(df, columns, config.autoencoder))
     return network_error(df, columns, fit_network(df, columns, config.autoencoder, key))
 
 
 def detect(df: DataFrame, key: Sequence[str] = (), columns: Sequence[str] | None = None,
-           config: Config = Config(), spread: bool = True) -> Detection:
+           config: Config = Config(), spread: bool = True, n_rows: int | None = None) -> Detection:
     """Run the configured detectors over the numeric columns.
 
     The raw scores of all detectors are computed side by side in one pass and stored (reliably, with
     the key columns, not the whole rows); thresholds, scaling and labels then read that narrow table.
-    A detector that fails does not stop the other one. ``spread`` lets a small table use all cores.
+    A detector that fails does not stop the other one. ``spread`` lets a table of few partitions use all
+    cores; ``n_rows`` saves counting where it is known.
     """
     columns = list(columns if columns is not None else numeric_columns(df, config.exclude))
     status: dict[str, str] = {}
     if not columns:
         return Detection(None, {name: "skipped: no numeric columns" for name in config.detectors})
-    identity = F.xxhash64(*[clean(df, k) for k in key]) if key else F.lit(0)
-    counted = df.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(identity).alias("keys")).first()
-    n_rows = counted["rows"]
+    n_rows = df.count() if n_rows is None else n_rows
     if not n_rows:
         return Detection(None, {name: "skipped: no rows" for name in config.detectors})
-    # A key many rows share cannot draw for them; every row then draws for itself.
-    draw_key = key if counted["keys"] >= DISTINCT_KEY_SHARE * n_rows else ()
     df = df.select(*[col(c) for c in dict.fromkeys([*key, *columns])])
     if spread:
-        df = spread_small(df, n_rows * 8 * len(df.columns))
+        df = spread_rows(df)
     raw: dict[str, Column] = {}
     with ThreadPoolExecutor(len(config.detectors)) as pool:  # the fits share the cluster
         fit_in_thread = inheritable_thread_target(df.sparkSession)(_fit)
-        fits = {name: pool.submit(fit_in_thread, name, df, columns, draw_key, config, n_rows)
+        fits = {name: pool.submit(fit_in_thread, name, df, columns, key, config, n_rows)
                 for name in config.detectors}
     for name, fit in fits.items():
         try:
@@ -131,23 +128,31 @@ def detect(df: DataFrame, key: Sequence[str] = (), columns: Sequence[str] | None
     if scored is None:
         return Detection(None, status)
     names = [c for c in config.detectors if c in scored.columns]
+    rows, cuts = labelled(scored, key, names, config)
+    status.update(dict.fromkeys(names, "ok"))
+    return Detection(rows, status, cuts)
+
+
+def labelled(scored: DataFrame, key: Sequence[str], names: Sequence[str],
+             config: Config) -> tuple[DataFrame, dict[str, float]]:
+    """From stored raw scores, a column per detector, to the result rows; and each detector's threshold."""
     ends = scored.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
     percentile = {"isolation_forest": 1 - config.forest.contamination,
                   "autoencoder": config.autoencoder.threshold_percentile / 100}
-    # Both thresholds in the same passes; each detector then takes its own percentile.
-    wanted = [percentile[n] for n in names]
-    cuts = quantile_values(scored, wanted, names, config.quantile_method)
+    # Detectors that share a percentile share the passes.
+    cuts: dict[str, float] = {}
+    for p in {percentile[n] for n in names}:
+        same = [n for n in names if percentile[n] == p]
+        found = quantile_values(scored, [p], same, config.quantile_method)
+        cuts.update({n: found[n][0] for n in same})
     labels, scores = {}, {}
-    for i, name in enumerate(names):
-        threshold = cuts[name][i]
+    for name in names:
         low, high = ends[f"min_{name}"], ends[f"max_{name}"]
-        labels[name] = (F.col(name) > threshold).cast("int")
+        labels[name] = (F.col(name) > cuts[name]).cast("int")
         scores[name] = (F.col(name) - low) / (high - low + SPAN_GUARD)
-        status[name] = "ok"
     label, score = combine(list(labels.values()), list(scores.values()))
     parts = [c for n in names for c in (labels[n].alias(f"{n}_label"), scores[n].alias(f"{n}_score"))]
-    rows = scored.select(*[col(k) for k in key], *parts, label.alias("anomaly_label"), score.alias("anomaly_score"))
-    return Detection(rows, status)
+    return scored.select(*[col(k) for k in key], *parts, label.alias("anomaly_label"), score.alias("anomaly_score")), cuts
 
 
 def _store(df: DataFrame, key: Sequence[str], raw: dict[str, Column], status: dict[str, str]) -> DataFrame | None:

@@ -43,27 +43,29 @@ def draw_samples(df: DataFrame, columns: Sequence[str], params: ForestParams, n_
                  key: Sequence[str] = ()) -> DataFrame:
     """The rows of all trees: tree, f0..fk.
 
-    With a ``key`` that identifies rows the draw depends on the key alone, whatever the partitioning.
-    Without one every row draws for itself, so copies of a row count as often as they occur.
+    The draw depends on the key and the features of a row alone, whatever the partitioning. Without a key that
+    identifies rows, those with the same features are counted first and draw by their number. Rows serve as many
+    trees as their share of the draw asks for, rounded up or down at random: none or one in a large table, all
+    of them where a tree needs every row.
     """
-    psi = min(params.max_samples, n_rows)
-    seed = params.random_state
-    draw = F.xxhash64(F.lit(seed), *[clean(df, k) for k in key]) if key else (F.rand(seed) * 2.0 ** 62).cast("long")
-    features = [zero_imputed(df, c).alias(f"f{i}") for i, c in enumerate(columns)]
-    rows = df.select(*features, draw.alias("draw"))
-    share = min(1.0, OVERDRAW * psi / n_rows + 64.0 / n_rows)  # of the rows, per tree
-    if params.n_estimators * share <= 1.0:
-        # Large table: one draw gives a row to one tree at most.
-        tree = F.floor(_uniform(F.xxhash64("draw", F.lit(seed))) / share)
-        drawn = rows.withColumn("tree", tree).filter(F.col("tree") < params.n_estimators)
-        drawn = drawn.withColumn("tree", F.col("tree").cast("int"))
-    else:
-        # Small table: a row may serve several trees; only the chosen pairs are produced.
-        trees = F.sequence(F.lit(0), F.lit(params.n_estimators - 1))
-        chosen = F.filter(trees, lambda t: _uniform(F.xxhash64("draw", t)) < share)
-        drawn = rows.withColumn("tree", F.explode(chosen))
-    order = F.xxhash64("draw", "tree")
+    psi, trees = min(params.max_samples, n_rows), params.n_estimators
     names = [f"f{i}" for i in range(len(columns))]
+    rows = df.select(*[zero_imputed(df, c).alias(f) for f, c in zip(names, columns)],
+                     F.xxhash64(F.lit(params.random_state), *[clean(df, k) for k in key]).alias("of_key"))
+    rows = (rows.withColumn("copies", F.lit(1)) if key
+            else rows.groupBy(*names, "of_key").agg(F.count(F.lit(1)).alias("copies")))
+    rows = rows.withColumn("draw", F.xxhash64("of_key", *names))
+    share = min(1.0, OVERDRAW * psi / n_rows + 64.0 / n_rows)  # of the rows, per tree
+    serves = F.floor(F.col("copies") * (trees * share) + _uniform(F.xxhash64("draw", F.lit(0)))).cast("int")
+    # Steps that share no factor with the number of trees meet every tree before any one twice.
+    steps = [s for s in range(1, trees + 1) if math.gcd(s, trees) == 1]
+    step = F.get(F.array(*[F.lit(s) for s in steps]), F.pmod(F.xxhash64("draw", F.lit(1)), F.lit(len(steps))).cast("int"))
+    first = F.pmod(F.xxhash64("draw", F.lit(2)), F.lit(trees)).cast("int")
+    rows = rows.withColumn("serves", serves).filter("serves > 0").withColumns({"step": step, "first": first})
+    # All trees together draw n_estimators x (2 x max_samples + 64) rows or so, whatever the table's size.
+    drawn = rows.withColumn("k", F.explode(F.expr("sequence(0, serves - 1)"))).withColumn(
+        "tree", F.expr(f"CAST((first + CAST(k AS BIGINT) * step) % {trees} AS INT)"))
+    order = F.xxhash64("draw", "tree", "k")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(order, *names))
     return drawn.withColumn("rank", rank).filter(F.col("rank") <= psi).select("tree", "rank", *names)
 

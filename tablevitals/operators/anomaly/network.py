@@ -21,7 +21,7 @@ from tablevitals.config import AutoencoderParams
 from tablevitals.functions.columns import clean
 from tablevitals.operators.anomaly.forest import as_matrix
 from tablevitals.operators.anomaly.reconstruction import feature_stats, standardized
-from tablevitals.session import few_partials
+from tablevitals.session import materialize
 
 #: Partial averages on the way to the final one.
 AVERAGING_GROUPS = 64
@@ -147,11 +147,9 @@ def fit_network(df: DataFrame, columns: Sequence[str], params: AutoencoderParams
     parts = 1000
     hold = F.pmod(F.xxhash64(F.lit(params.random_state), *identity), F.lit(parts)) < int(
         params.validation_split * parts)
-    data = few_partials(df.select(*z, hold.cast("int").alias("hold"))).persist()  # recomputed where an executor is lost
-    try:
-        return {"mean": mean, "sd": sd, **_train(data, layer_sizes(len(columns), params), params)}
-    finally:
-        data.unpersist()
+    # Every epoch reads the standardised features; written once, they outlive lost executors.
+    data = materialize(df.select(*z, hold.cast("int").alias("hold")))
+    return {"mean": mean, "sd": sd, **_train(data, layer_sizes(len(columns), params), params)}
 
 
 def _train(data: DataFrame, sizes: list[int], params: AutoencoderParams) -> dict:

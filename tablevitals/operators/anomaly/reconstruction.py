@@ -13,17 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablevitals.config import AutoencoderParams
 from tablevitals.functions.columns import chunks, zero_imputed
 from tablevitals.operators.anomaly.forest import as_matrix
-from tablevitals.session import few_partials
 
-#: Up to this many columns the products are plain SQL sums in generated code.
-NARROW_COLUMNS = 12
-
-#: Larger products than this are left to numpy instead of one Column expression.
-MAX_TERMS = 256
-
-MAX_COMPONENTS = 16
+#: The directions are worked out on the driver from a matrix of this many columns squared at most (128 MB).
+MAX_FEATURES = 4096
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +38,10 @@ def standardized(df: DataFrame, columns: Sequence[str], mean: np.ndarray, sd: np
 
 
 def _products(data: DataFrame) -> np.ndarray:
-    """The k x k matrix of summed products and, in its last row, the row count."""
+    """The k x k matrix of mean products. Each task hands in k * k / 2 sums."""
     k = len(data.columns)
-    if k <= NARROW_COLUMNS:
-        pairs = [(i, j) for i in range(k) for j in range(i, k)]
-        row = data.agg(F.count(F.lit(1)), *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i, j in pairs]).first()
-        out = np.zeros((k, k))
-        for (i, j), value in zip(pairs, row[1:]):
-            out[i, j] = out[j, i] = value
-        return out / row[0]
+    if k > MAX_FEATURES:
+        raise ValueError(f"{k} features; principal components take {MAX_FEATURES} at most")
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros((k, k)), 0
@@ -64,7 +54,7 @@ def _products(data: DataFrame) -> np.ndarray:
             [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j]),
              pa.array(np.full(len(i), rows), pa.int64())], names=["i", "j", "s", "n"])
 
-    summed = few_partials(data).mapInArrow(matrix, "i int, j int, s double, n long").groupBy("i", "j").agg(
+    summed = data.mapInArrow(matrix, "i int, j int, s double, n long").groupBy("i", "j").agg(
         F.sum("s").alias("s"), F.sum("n").alias("n"))
     out = np.zeros((k, k))
     for row in summed.collect():  # k * k / 2 rows
@@ -72,15 +62,15 @@ def _products(data: DataFrame) -> np.ndarray:
     return out
 
 
-def fit_pca(df: DataFrame, columns: Sequence[str]) -> dict:
+def fit_pca(df: DataFrame, columns: Sequence[str], params: AutoencoderParams = AutoencoderParams()) -> dict:
     """Fit; returns mean, sd and the discarded directions (``residual``, one column each).
 
-    Half of the directions are kept, 16 at most: keeping all would reproduce every row.
+    ``params.encoding_dim`` directions are kept, but half of them at most: keeping all would reproduce every row.
     """
     mean, sd = feature_stats(df, columns)
     data = df.select([z.alias(f"z{i}") for i, z in enumerate(standardized(df, columns, mean, sd))])
     _, vectors = np.linalg.eigh(_products(data))  # ascending eigenvalues
-    kept = min(MAX_COMPONENTS, len(columns) // 2)
+    kept = min(params.encoding_dim, len(columns) // 2)
     return {"mean": mean, "sd": sd, "residual": vectors[:, :len(columns) - kept], "n_components": kept}
 
 
@@ -88,14 +78,6 @@ def pca_error(df: DataFrame, columns: Sequence[str], model: dict) -> Column:
     """Mean squared reconstruction error per row: the energy along the discarded directions."""
     z = standardized(df, columns, model["mean"], model["sd"])
     residual, k = model["residual"], len(columns)
-    if residual.size <= MAX_TERMS:
-        energy = F.lit(0.0)
-        for direction in residual.T:
-            along = F.lit(0.0)
-            for weight, value in zip(direction, z):
-                along = along + value * float(weight)
-            energy = energy + along * along
-        return energy / float(k)
 
     @F.pandas_udf("double")
     def error(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

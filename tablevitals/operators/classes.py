@@ -75,7 +75,8 @@ def categorical_columns(df: DataFrame, threshold: int = 10) -> DataFrame:
         rows = [(df.columns.index(c), c, None) for c in texts]
         parts.append(df.sparkSession.createDataFrame(rows, "position int, column string, n_distinct long"))
     for group in chunks(small, 10):
-        counted = df.agg(*[F.count_distinct(clean(df, c)).alias(f"n{i}") for i, c in enumerate(group)])
+        # The sketch leaves columns of few values, so that a set per column stays small.
+        counted = df.agg(*[F.size(F.collect_set(clean(df, c))).cast("long").alias(f"n{i}") for i, c in enumerate(group)])
         rows = [F.struct(F.lit(df.columns.index(c)).alias("position"), F.lit(c).alias("column"),
                          F.col(f"n{i}").alias("n_distinct")) for i, c in enumerate(group)]
         parts.append(counted.select(F.inline(F.array(*rows))).filter(F.col("n_distinct") <= threshold))

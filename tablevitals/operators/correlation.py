@@ -9,32 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.functions.columns import as_double, numeric_columns
+from tablevitals.functions.columns import finite_double, numeric_columns
 from tablevitals.operators.moments import centers
-from tablevitals.session import few_partials
 
 #: Pairs above this absolute correlation are reported (fixed value).
 HIGH_CORRELATION = 0.8
 
-#: Up to this many columns the pair sums are plain SQL sums in generated code.
-NARROW_COLUMNS = 6
-
 PAIR_SUMS = "i int, j int, n double, si double, sj double, sii double, sjj double, sij double"
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per pair i < j in column order: feature1, feature2, correlation.
 
-    NULL where a column is constant over the shared rows.
+    NULL where a column is constant over the shared rows. Infinite cells count as missing.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
     # Deviations from the column means keep the sums of products free of cancellation.
-    data = df.select(*[as_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)],
-                     centers(df, columns).alias("center"))
+    data = df.select(*[finite_double(df, c).alias(f"x{i}") for i, c in enumerate(columns)],
+                     centers(df, columns, finite_double).alias("center"))
     data = data.select([(F.col(f"x{i}") - F.col(f"center.c{i}")).alias(f"d{i}") for i in range(len(columns))])
-    sums = _narrow_sums(data) if len(columns) <= NARROW_COLUMNS else _wide_sums(data)
+    sums = _pair_sums(data)
     n = F.col("n")
     cross = F.col("sij") - F.try_divide(F.col("si") * F.col("sj"), n)
     var_i = F.col("sii") - F.try_divide(F.col("si") * F.col("si"), n)
@@ -50,20 +46,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         bounded.alias("correlation"))
 
 
-def _narrow_sums(data: DataFrame) -> DataFrame:
-    k = len(data.columns)
-    sums, rows = [], []
-    for i, j in [(i, j) for i in range(k) for j in range(i + 1, k)]:
-        a, b = f"d{i}", f"d{j}"
-        terms = {"n": "1D", "si": a, "sj": b, "sii": f"{a} * {a}", "sjj": f"{b} * {b}", "sij": f"{a} * {b}"}
-        both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
-        sums += [f"coalesce(sum(CASE WHEN {both} THEN {t} END), 0D) AS {s}_{i}_{j}" for s, t in terms.items()]
-        rows.append(f"struct({i} AS i, {j} AS j, " + ", ".join(f"{s}_{i}_{j} AS {s}" for s in terms) + ")")
-    return data.selectExpr(*sums).selectExpr(f"inline(array({', '.join(rows)}))")
-
-
-def _wide_sums(data: DataFrame) -> DataFrame:
-    """Pair sums by matrix products: one small matrix set per task instead of k * k / 2 aggregates."""
+def _pair_sums(data: DataFrame) -> DataFrame:
+    """Pair sums by matrix products: each task hands in one small matrix set, k * k / 2 rows."""
     k = len(data.columns)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +55,7 @@ def _wide_sums(data: DataFrame) -> DataFrame:
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
             present = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
+            x = np.nan_to_num(x)
             n += present.T @ present
             si += x.T @ present
             sii += (x * x).T @ present
@@ -82,7 +66,7 @@ def _wide_sums(data: DataFrame) -> DataFrame:
              *[pa.array(m) for m in (n[i, j], si[i, j], si[j, i], sii[i, j], sii[j, i], sij[i, j])]],
             names=["i", "j", "n", "si", "sj", "sii", "sjj", "sij"])
 
-    parts = few_partials(data).mapInArrow(matrices, PAIR_SUMS)
+    parts = data.mapInArrow(matrices, PAIR_SUMS)
     return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in ("n", "si", "sj", "sii", "sjj", "sij")])
 
 
@@ -95,7 +79,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     pairs = correlation_pairs(df, columns)
     if len(columns) < 2:
         return pairs
-    spread = df.agg(*[F.struct(F.min(as_double(df, c)).alias("lo"), F.max(as_double(df, c)).alias("hi")).alias(f"e{i}")
+    spread = df.agg(*[F.struct(F.min(finite_double(df, c)).alias("lo"), F.max(finite_double(df, c)).alias("hi")).alias(f"e{i}")
                       for i, c in enumerate(columns)])
     own = spread.select(F.inline(F.array(*[F.struct(
         F.lit(c).alias("feature1"), F.lit(c).alias("feature2"),

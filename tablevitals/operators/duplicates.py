@@ -1,7 +1,8 @@
 """Duplicate rows: counting and listing.
 
-Equal rows are found by grouping, so Spark pre-aggregates inside every map task: a row repeated a
-billion times leaves each task as one record, and no task ever holds a whole group.
+Rows are compared by a digest of 16 bytes, so wide rows and long texts never enter a shuffle. Equal digests are found
+by grouping, which Spark pre-aggregates inside every map task: a row repeated a billion times leaves each task as
+one record, and no task ever holds a whole group.
 """
 
 from __future__ import annotations
@@ -12,40 +13,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablevitals.functions.columns import clean, col
+from tablevitals.functions.columns import chunks, clean, col
+from tablevitals.functions.scalars import round_exact
 
-#: Strings of this many bytes and more are grouped by their 32-byte SHA-256 digest.
-DIGEST_FROM_BYTES = 32
 
+def _comparable(df: DataFrame, name: str) -> Column:
+    """What equal values share: NaN as NULL, 0.0 as -0.0 (by the hash itself), nested values as JSON.
 
-def _is_text(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.StringType, T.CharType, T.VarcharType, T.BinaryType))
+    Hashes skip NULLs inside nested values, which JSON spells out; maps go by their sorted entries.
+    """
+    kind, value = df.schema[name].dataType, clean(df, name)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        value = F.array_sort(F.map_entries(value)) if isinstance(kind, T.MapType) else value
+        return F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}))
+    return value
 
 
-def _identity(df: DataFrame, name: str) -> Column:
-    """What two equal values share, in at most 32 bytes for text.
+def row_digest(df: DataFrame, subset: Sequence[str] | None = None) -> list[Column]:
+    """Two independent 64-bit hashes of the compared columns: d0, d1.
 
-    Grouping by a digest keeps long documents out of the shuffle. Shorter strings stay themselves,
-    and as a digest has 32 bytes and they have fewer, the two cannot be mistaken for one another.
+    Spark's hashes skip NULLs, so bits that tell which values are NULL are hashed along. Two unequal rows of a
+    table of 10^12 rows are taken for copies with a probability of about 10^-15.
     """
-    value = clean(df, name)
-    if _is_text(df, name):
-        return F.when(F.octet_length(value) < DIGEST_FROM_BYTES, value.cast("binary")).otherwise(
-            F.unhex(F.sha2(value.cast("binary"), 256)))
-    return value
+    names = list(subset or df.columns)
+    values = [_comparable(df, c) for c in names]
+    missing = []
+    for group in chunks(range(len(names)), 60):
+        bits = F.lit(0).cast("long")
+        for place, i in enumerate(group):
+            bits = bits + F.when(values[i].isNull(), F.lit(1 << place).cast("long")).otherwise(F.lit(0).cast("long"))
+        missing.append(bits)
+    return [F.xxhash64(F.lit(seed), *missing, *values).alias(f"d{seed}") for seed in (0, 1)]
 
 
-def _identity_columns(df: DataFrame, subset: Sequence[str] | None) -> list[Column]:
-    return [_identity(df, c).alias(f"id_{i}") for i, c in enumerate(subset or df.columns)]
+def _copy_groups(df: DataFrame, subset: Sequence[str] | None, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct row: d0, d1, copies, and the smallest of each ``keep`` column as k0, k1, ..."""
+    rows = df.select(*row_digest(df, subset), *[col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    kept = [F.min(f"k{i}").alias(f"k{i}") for i in range(len(keep))]
+    return rows.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("copies"), *kept)
 
 
-def _copy_groups(df: DataFrame, subset: Sequence[str] | None, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct row: id_0, id_1, ..., ``keep`` columns, copies.
+def copies_of(df: DataFrame, subset: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """The rows that occur more than once, see ``_copy_groups``: what ``count_of`` and ``list_of`` read."""
+    return _copy_groups(df, subset, keep).filter("copies > 1")
 
-    Summary and listing group alike, so that Spark shuffles once where one query needs both.
-    """
-    kept = [col(c).alias(f"key_{i}") for i, c in enumerate(keep)]
-    return df.groupBy(*_identity_columns(df, subset), *kept).agg(F.count(F.lit(1)).alias("copies"))
+
+def count_of(copies: DataFrame) -> int:
+    """Copies beyond the first."""
+    return copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
+
+
+def list_of(copies: DataFrame, key: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` copies in ``key`` order: the key columns and ``copy``."""
+    names = [f"k{i}" for i in range(len(key))]
+    first = copies.orderBy(*names, "d0", "d1").limit(n)
+    numbers = F.sequence(F.lit(1), F.least(F.col("copies") - 1, F.lit(n)).cast("int"))
+    listed = first.select(*[F.col(x).alias(c) for x, c in zip(names, key)], F.explode(numbers).alias("copy"))
+    return listed.orderBy(*[col(c) for c in key], "copy").limit(n)
 
 
 def duplicate_summary(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -57,33 +81,27 @@ def duplicate_summary(df: DataFrame, subset: Sequence[str] | None = None) -> Dat
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"),
     )
-    share = F.bround(F.try_divide("n_duplicates", "n_rows") * 100, 2)
-    return totals.withColumn("duplicate_percentage", share)
+    return totals.withColumn("duplicate_percentage", round_exact(
+        F.try_divide("n_duplicates", "n_rows") * 100, 2))
 
 
 def duplicate_rows(df: DataFrame, key: Sequence[str], subset: Sequence[str] | None = None,
                    n: int = 100) -> DataFrame:
     """The first ``n`` duplicate rows in ``key`` order: the key columns and ``copy`` (1, 2, ...).
 
-    Without ``subset`` whole rows are compared, key included, so the copies of a row are
-    interchangeable: the first ``n`` groups already hold the first ``n`` copies, and a group of any
-    size is one counter. With ``subset`` the first row by ``key`` counts as the original; at most
-    ``n + 1`` rows of a group can matter, which Spark cuts before the shuffle (window group limit).
+    Without ``subset`` whole rows are compared, key included, so the copies of a row share its key: the first
+    ``n`` groups hold the first ``n`` copies. With ``subset`` the row with the smallest key, which must identify
+    rows, is the original. Any other row of a group that precedes a listed one is listed itself, so the place of a
+    copy within its group is counted among the ``n`` rows alone.
     """
     key = list(key)
+    names = [f"k{i}" for i in range(len(key))]
     if subset is None:
-        # A text key may be grouped by its digest only, so its value comes along.
-        texts = [c for c in key if _is_text(df, c)]
-        names = [f"key_{texts.index(c)}" if c in texts else f"id_{df.columns.index(c)}" for c in key]
-        ids = [f"id_{i}" for i in range(len(df.columns))]
-        groups = _copy_groups(df, None, texts).filter("copies > 1")
-        first = groups.orderBy(*names, *ids).limit(n)
-        copies = F.sequence(F.lit(1), F.least(F.col("copies") - 1, F.lit(n)).cast("int"))
-        listed = first.select(*[F.col(x).alias(c) for x, c in zip(names, key)], F.explode(copies).alias("copy"))
-        return listed.orderBy(*[col(c) for c in key], "copy").limit(n)
-    ids = [f"id_{i}" for i in range(len(subset))]
-    rows = df.select(*[col(c) for c in key], *_identity_columns(df, subset))
-    keys = [col(c) for c in key]
-    rank = F.row_number().over(Window.partitionBy(*ids).orderBy(*keys))
-    ranked = rows.withColumn("rank", rank).filter(f"rank <= {n + 1}").filter("rank > 1")
-    return ranked.select(*keys, (F.col("rank") - 1).alias("copy")).orderBy(*keys, "copy").limit(n)
+        return list_of(copies_of(df, None, key), key, n)
+    rows = df.select(*[col(c).alias(x) for x, c in zip(names, key)], *row_digest(df, subset))
+    groups = rows.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*names)).alias("original"))
+    others = (rows.join(groups.filter("copies > 1").drop("copies"), ["d0", "d1"])
+              .filter(F.struct(*names) > F.col("original")).orderBy(*names, "d0", "d1").limit(n))
+    place = F.row_number().over(Window.partitionBy("d0", "d1").orderBy(*names))  # among n rows
+    listed = others.withColumn("copy", place).select(*[F.col(x).alias(c) for x, c in zip(names, key)], "copy")
+    return listed.orderBy(*[col(c) for c in key], "copy")

@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 
 from tablevitals.functions.columns import as_double, numeric_columns
 
-#: Feature plots show this many columns (fixed value).
-MAX_PLOTTED = 9
-
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
-    """Bin counts of the first nine numeric columns (or the given ones): column, bin, low, high, count.
+    """Bin counts of all numeric columns (or the given ones): column, bin, low, high, count.
 
     Bins split min..max evenly and the last one is closed; a constant column sits in the middle of a
     range of width 1. Infinite values have no bin. Empty bins have no row.
     """
-    columns = list(columns if columns is not None else numeric_columns(df)[:MAX_PLOTTED])
+    columns = list(columns if columns is not None else numeric_columns(df))
     infinite = [F.lit(float("inf")), F.lit(float("-inf"))]
     finite = df.select([F.when(~as_double(df, c).isin(infinite), as_double(df, c)).alias(f"v{i}")
                         for i, c in enumerate(columns)])

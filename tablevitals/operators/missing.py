@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablevitals.functions.columns import chunks, clean, col, role_of, union_all
-from tablevitals.functions.scalars import percentage
+from tablevitals.functions.columns import chunks, clean, col, finite_double, union_all
+from tablevitals.functions.scalars import percentage, round_exact
 
 #: One aggregate keeps at most this many counters, so that it stays in whole-stage code generation
 #: and its methods below the 8000 bytes that the JVM compiles.
@@ -37,12 +37,6 @@ def basic_info(df: DataFrame) -> DataFrame:
     )
 
 
-def column_roles(df: DataFrame) -> DataFrame:
-    """One row per column from the schema alone: position, column, type, role (NULL for none)."""
-    rows = [(i, f.name, f.dataType.simpleString(), role_of(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string, role string")
-
-
 def missing_counts(df: DataFrame) -> DataFrame:
     """One row per column: column, n_rows, missing. Zero rows give missing 0."""
     parts = []
@@ -73,21 +67,23 @@ def missing_total(df: DataFrame) -> DataFrame:
         F.max("n_rows").alias("n_rows"),
         F.count(F.lit(1)).cast("int").alias("n_columns"),
         F.sum("missing").alias("total_missing"),
-        F.bround(F.try_divide(F.sum("missing"), F.sum("n_rows")) * 100, 2).alias("missing_percentage"),
+        round_exact(F.try_divide(F.sum("missing"), F.sum("n_rows")) * 100, 2).alias("missing_percentage"),
     )
 
 
 def missing_pattern(df: DataFrame, key: str, buckets: int = 50) -> DataFrame:
     """Null rate per equal-width range of a numeric ``key`` x column.
 
-    Stands for the null-mask heat map: the picture's resolution is fixed, whatever the row count.
+    Stands for the null-mask heat map: the picture's resolution is fixed, whatever the row count. Rows whose
+    key isn't a finite number have no place.
     """
-    ends = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi")).alias("ends")).scalar()
-    share = F.try_divide(col(key) - ends["lo"], ends["hi"] - ends["lo"])
+    place = finite_double(df, key)
+    ends = df.agg(F.struct(F.min(place).alias("lo"), F.max(place).alias("hi")).alias("ends")).scalar()
+    share = F.try_divide(place - ends["lo"], ends["hi"] - ends["lo"])
     bucket = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * buckets), F.lit(buckets - 1)).cast("int")
     parts = []
     for group in chunks(df.columns, COUNTERS_PER_AGGREGATE):
-        counted = df.filter(col(key).isNotNull()).groupBy(bucket.alias("bucket")).agg(
+        counted = df.filter(place.isNotNull()).groupBy(bucket.alias("bucket")).agg(
             F.count(F.lit(1)).alias("n_rows"),
             *[F.count(clean(df, c)).alias(f"present_{i}") for i, c in enumerate(group)],
         )
@@ -98,7 +94,7 @@ def missing_pattern(df: DataFrame, key: str, buckets: int = 50) -> DataFrame:
         "bucket", "column", "n_rows", "missing", F.round(F.col("missing") / F.col("n_rows"), 6).alias("null_rate"))
 
 
-def _value_bytes(df: DataFrame, name: str) -> Column:
+def value_bytes(df: DataFrame, name: str) -> Column:
     """Summed bytes of one column."""
     dtype = df.schema[name].dataType
     width = TYPE_WIDTHS.get(dtype.simpleString())
@@ -117,8 +113,8 @@ def logical_size(df: DataFrame) -> DataFrame:
     """One row per column: column, bytes, mb. Text counts its UTF-8 bytes, the rest their width."""
     parts = []
     for group in chunks(df.columns, COUNTERS_PER_AGGREGATE):
-        sized = df.agg(*[_value_bytes(df, c).alias(f"b{i}") for i, c in enumerate(group)])
+        sized = df.agg(*[value_bytes(df, c).alias(f"b{i}") for i, c in enumerate(group)])
         rows = [F.struct(F.lit(c).alias("column"), F.col(f"b{i}").cast("long").alias("bytes"))
                 for i, c in enumerate(group)]
         parts.append(sized.select(F.inline(F.array(*rows))))
-    return union_all(parts).withColumn("mb", F.bround(F.col("bytes") / float(1024 ** 2), 2))
+    return union_all(parts).withColumn("mb", round_exact(F.col("bytes") / float(1024 ** 2), 2))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +17,9 @@ COLUMNS_PER_AGGREGATE = 9
 ZERO_MOMENT = 1e-14
 
 
-def centers(df: DataFrame, columns: Sequence[str]) -> Column:
+def centers(df: DataFrame, columns: Sequence[str], value: Callable[[DataFrame, str], Column] = as_double) -> Column:
     """The column means as one struct, computed by a scalar subquery of the using query."""
-    means = [F.coalesce(F.avg(as_double(df, c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]
+    means = [F.coalesce(F.avg(value(df, c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]
     return df.agg(F.struct(*means).alias("centers")).scalar()
 
 

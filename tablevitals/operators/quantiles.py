@@ -1,55 +1,43 @@
 """Exact quantiles with bounded memory.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer of one task, which no
-memory holds once a column has billions of distinct values. Here the wanted ranks are narrowed down
-instead: count the values in a few thousand equal-width bins, keep the bins holding the ranks, repeat
-inside them until few values are left, and read the ranks off those. Every pass is one scan with a
-map-side combined aggregate; what is shuffled and collected depends on the number of columns and bins
-only. Bins are computed by subtraction, multiplication and floor, which keep the order of the
-doubles, so the ranks stay exact.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer of one task, which no memory holds once a
+column has billions of distinct values. Here a sketch gives two values around every wanted rank, counting tells
+how many values lie below, on, between and above them, and the rank is then either one of the two values or among the
+few rows strictly between. Those are sketched again while they are many, and read off by counting once they are
+few. Three scans serve most tables; what is shuffled and collected depends on the number of columns and ranks only.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevitals.functions.columns import MAX_DOUBLE, as_double, chunks, numeric_columns
+from tablevitals.functions.columns import as_double, chunks, numeric_columns
 
-#: Bins per interval and pass.
-BINS = 4096
-
-#: An interval with at most this many rows is read off by counting its values.
+#: A range with at most this many rows is read off by counting its values.
 FEW_ROWS = 200_000
 
-#: Up to this many rows Spark's own ``percentile`` is the quickest way.
-SMALL_TABLE_ROWS = 100_000
+#: Accuracy of the sketches: ranks are off by one part in so many at most.
+ACCURACY = 10_000
 
 #: Columns per scan: the JVM compiles generated methods up to 8000 bytes only.
 COLUMNS_PER_SCAN = 10
 
-#: A pass that keeps more than this share of an interval is followed by a split at sketched quantiles.
-POOR_SHRINK = 0.5
-
-#: Ranges per aggregate of their ends.
-ENDS_PER_AGGREGATE = 40
-
 SCHEMA = "column string, p double, value double"
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Range:
-    """Neighbouring values of ``column``, ``rows`` many with ``below`` smaller ones, that hold the ranks.
+    """The values of ``column`` strictly between ``low`` and ``high`` (None: no limit), which hold the ranks.
 
-    ``holds`` is the SQL condition for them. The ends are None where they do not matter any more.
+    ``rows`` of them are there, with ``below`` values up to ``low``.
     """
 
     column: str
-    holds: str
     low: float | None
     high: float | None
     below: int
@@ -57,17 +45,10 @@ class _Range:
     ranks: tuple[int, ...]
 
     @property
-    def single(self) -> bool:
-        return self.low is not None and self.low == self.high
-
-    @property
-    def done(self) -> bool:
-        return self.single or self.rows <= FEW_ROWS
-
-
-def _between(column: str, low: float, high: float, below: int, rows: int, ranks: tuple[int, ...]) -> _Range:
-    holds = f"({column} >= {_literal(low)} AND {column} <= {_literal(high)})"
-    return _Range(column, holds, low, high, below, rows, ranks)
+    def holds(self) -> str:
+        limits = [f"{self.column} {sign} {_literal(end)}" for sign, end in ((">", self.low), ("<", self.high))
+                  if end is not None]
+        return f"({' AND '.join(limits or [f'{self.column} IS NOT NULL'])})"
 
 
 def _literal(value: float) -> str:
@@ -77,220 +58,159 @@ def _literal(value: float) -> str:
 
 
 def quantiles(df: DataFrame, probabilities: Sequence[float], columns: Sequence[str] | None = None,
-              method: str = "exact", small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+              method: str = "exact", few_rows: int = FEW_ROWS) -> DataFrame:
     """Quantiles with linear interpolation over the non-null values: column, p, value.
 
     ``method="approx"`` uses ``percentile_approx`` (rank error 1/10000) in a single pass.
     """
-    found = quantile_values(df, probabilities, columns, method, small_rows)
+    found = quantile_values(df, probabilities, columns, method, few_rows)
     rows = [(c, float(p), found[c][i]) for c in found for i, p in enumerate(probabilities)]
     return df.sparkSession.createDataFrame(rows, SCHEMA)
 
 
 def quantile_values(df: DataFrame, probabilities: Sequence[float], columns: Sequence[str] | None = None,
-                    method: str = "exact", small_rows: int = SMALL_TABLE_ROWS) -> dict[str, list[float | None]]:
+                    method: str = "exact", few_rows: int = FEW_ROWS) -> dict[str, list[float | None]]:
     """The same as plain values: per column one number per probability (None without values)."""
     columns = list(columns if columns is not None else numeric_columns(df))
     found: dict[str, list[float | None]] = {}
     for group in chunks(columns, COLUMNS_PER_SCAN):
         # Short aliases keep odd column names out of the expressions below.
         data = df.select([as_double(df, c).alias(f"v{i}") for i, c in enumerate(group)])
-        if method == "approx":
-            values = _builtin(data, probabilities, exact=False)
-        else:
-            values = _exact(data, probabilities, small_rows)
+        values = _approximate(data, probabilities) if method == "approx" else _exact(data, probabilities, few_rows)
         found.update({c: values[f"v{i}"] for i, c in enumerate(group)})
     return found
 
 
-def value_at_rank(df: DataFrame, column: str, rank: int) -> float:
+def value_at_rank(df: DataFrame, column: str, rank: int, few_rows: int = FEW_ROWS) -> float:
     """The ``rank``-th smallest non-null value of a column, counted from 0."""
     data = df.select(as_double(df, column).alias("v0"))
-    stats = data.selectExpr("count(v0) AS n", "min(v0) AS low", "max(v0) AS high").first()
-    if not 0 <= rank < stats["n"]:
-        raise ValueError(f"rank {rank} of {stats['n']} values")
-    return _select(data, [_between("v0", stats["low"], stats["high"], 0, stats["n"], (rank,))])["v0", rank]
+    rows = data.selectExpr("count(v0) AS n").first()["n"]
+    if not 0 <= rank < rows:
+        raise ValueError(f"rank {rank} of {rows} values")
+    whole = _Range("v0", None, None, 0, rows, (rank,))
+    return _select(data, [whole], _sketched(data, [whole]), few_rows)["v0", rank]
 
 
-def _builtin(data: DataFrame, probabilities: Sequence[float], exact: bool) -> dict[str, list[float | None]]:
+def _approximate(data: DataFrame, probabilities: Sequence[float]) -> dict[str, list[float | None]]:
     points = F.array(*[F.lit(float(p)) for p in probabilities])
-    if exact:
-        row = data.agg(*[F.percentile(c, points).alias(c) for c in data.columns]).first()
-    else:
-        row = data.agg(*[F.percentile_approx(c, points, 10_000).alias(c) for c in data.columns]).first()
+    row = data.agg(*[F.percentile_approx(c, points, ACCURACY).alias(c) for c in data.columns]).first()
     return {c: list(row[c]) if row[c] is not None else [None] * len(probabilities) for c in data.columns}
 
 
-def _exact(data: DataFrame, probabilities: Sequence[float], small_rows: int) -> dict[str, list[float | None]]:
-    columns = data.columns
-    stats = data.selectExpr(
-        "count(1) AS n", *[f"{f}({c}) AS {c}_{f}" for c in columns for f in ("count", "min", "max")]).first()
-    if stats["n"] <= small_rows:
-        return _builtin(data, probabilities, exact=True)
-    ranges = []
-    for c in columns:
-        n = stats[f"{c}_count"]
-        if n:
-            wanted = {r for p in probabilities for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
-            ranges.append(_between(c, stats[f"{c}_min"], stats[f"{c}_max"], 0, n, tuple(sorted(wanted))))
-    at_rank = _select(data, ranges)
+def _around(share: float) -> tuple[float, float]:
+    """Shares whose sketched values have the wanted rank between them."""
+    return max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)
+
+
+def _exact(data: DataFrame, probabilities: Sequence[float], few_rows: int) -> dict[str, list[float | None]]:
+    # The first sketch asks by share, so that it needs no row count and joins the counting pass.
+    points = ", ".join(f"{x!r}D" for p in probabilities for x in _around(p))
+    row = data.selectExpr(*[e for c in data.columns for e in (
+        f"count({c}) AS n_{c}", f"percentile_approx({c}, array({points}), {ACCURACY}) AS s_{c}")]).first()
+    wanted, ranges, ends = {}, [], []
+    for c in data.columns:
+        n = row[f"n_{c}"]
+        for i, p in enumerate(probabilities if n else ()):
+            wanted[c, i] = (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
+            ranges.append(_Range(c, None, None, 0, n, tuple(sorted(set(wanted[c, i])))))
+            ends.append((row[f"s_{c}"][2 * i], row[f"s_{c}"][2 * i + 1]))
+    at_rank = _select(data, ranges, ends, few_rows)
     out: dict[str, list[float | None]] = {}
-    for c in columns:
-        n = stats[f"{c}_count"]
+    for c in data.columns:
         out[c] = []
-        for p in probabilities:
-            if not n:
+        for i, p in enumerate(probabilities):
+            if (c, i) not in wanted:
                 out[c].append(None)
                 continue
-            low, high = math.floor(p * (n - 1)), math.ceil(p * (n - 1))
+            low, high = wanted[c, i]
             a, b = at_rank[c, low], at_rank[c, high]
-            out[c].append(a if a == b else a + (b - a) * (p * (n - 1) - low))
+            out[c].append(a if a == b else a + (b - a) * (p * (row[f"n_{c}"] - 1) - low))
     return out
 
 
-def _select(data: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], float]:
-    """The value at every wanted rank (0-based) of every range."""
-    pending = ranges
-    finished: list[_Range] = []
-    while True:
-        finished += [r for r in pending if r.done]
-        pending = [r for r in pending if not r.done]
-        if not pending:
-            break
-        narrowed = _by_bins(data, pending)
-        rows_before = {(r.column, k): r.rows for r in pending for k in r.ranks}
-        stuck = [r for r in narrowed if not r.done and r.rows > POOR_SHRINK * rows_before[r.column, r.ranks[0]]]
-        pending = [r for r in narrowed if r not in stuck]
-        if stuck:
-            pending += _by_sketch(data, stuck)
-    return _read_off(data, finished)
+def _sketched(data: DataFrame, ranges: Sequence[_Range]) -> list[tuple[float, float]]:
+    """Two values around the ranks of every range, from within the range."""
+    asked = []
+    for i, r in enumerate(ranges):
+        low, high = _around((r.ranks[0] - r.below) / r.rows)[0], _around((r.ranks[-1] - r.below) / r.rows)[1]
+        asked.append(f"percentile_approx(CASE WHEN {r.holds} THEN {r.column} END, array({low!r}D, {high!r}D), "
+                     f"{ACCURACY}) AS q{i}")
+    return [tuple(q) for q in data.selectExpr(*asked).first()]
+
 
+def _select(data: DataFrame, ranges: list[_Range], ends: list[tuple[float, float]],
+            few_rows: int) -> dict[tuple[str, int], float]:
+    """The value at every wanted rank (0-based) of every range; ``ends`` are two values around its ranks."""
+    found: dict[tuple[str, int], float] = {}
+    few: list[_Range] = []
+    while ranges:
+        narrowed = _counted(data, ranges, ends, found)
+        few += [r for r in narrowed if r.rows <= few_rows]
+        ranges = [r for r in narrowed if r.rows > few_rows]
+        ends = _sketched(data, ranges) if ranges else []
+    return found | _read_off(data, few)
 
-# The expressions below are SQL text over the short column names v0, v1, ...: with dozens of ranges,
-# building them Column by Column would take longer than running them.
 
-def _cells(ranges: list[_Range], tag: Callable[[int, _Range], str]) -> str:
-    """An array with, per column, ``tag(number, range)`` of the range a value falls into, else NULL.
+def _counted(data: DataFrame, ranges: list[_Range], ends: list[tuple[float, float]],
+             found: dict[tuple[str, int], float]) -> list[_Range]:
+    """Places every rank on one of the two end values (then it is found), or in a range beside or between them.
 
-    The ranges of a column are disjoint, so a cell has one tag at most.
+    A value's place among all limits of its column is one number: twice the limits below it, one more if it
+    is a limit itself. One row per column and place comes back.
     """
+    limits: dict[str, list[float]] = {}
+    for r, pair in zip(ranges, ends):
+        limits.setdefault(r.column, []).extend(x for x in (r.low, r.high, *pair) if x is not None)
+    limits = {c: sorted(set(values)) for c, values in limits.items()}
+    width = 2 * max(map(len, limits.values())) + 1
+    places = []
+    for i, (c, values) in enumerate(limits.items()):
+        passed = " + ".join(f"CAST({c} >= {_literal(x)} AS INT) + CAST({c} > {_literal(x)} AS INT)" for x in values)
+        places.append(f"CASE WHEN {c} IS NOT NULL THEN {i * width} + {passed} END")
+    counted = (data.selectExpr(f"explode(array({', '.join(places)})) AS place").filter("place IS NOT NULL")
+               .groupBy("place").agg(F.count(F.lit(1)).alias("rows")))
+    rows = {row["place"]: row["rows"] for row in counted.collect()}
+    out: dict[tuple, _Range] = {}
+    for r in ranges:
+        column, values = list(limits).index(r.column), limits[r.column]
+        below = 0
+        for place in range(2 * len(values) + 1):
+            n = rows.get(column * width + place, 0)
+            ranks = tuple(k for k in r.ranks if below <= k < below + n)
+            if ranks and place % 2:
+                found.update({(r.column, k): values[place // 2] for k in ranks})
+            elif ranks:
+                low = values[place // 2 - 1] if place else None
+                high = values[place // 2] if place < 2 * len(values) else None
+                held = out.get((r.column, low))
+                merged = tuple(sorted({*ranks, *(held.ranks if held else ())}))
+                out[r.column, low] = _Range(r.column, low, high, below, n, merged)
+            below += n
+    return list(out.values())
+
+
+def _read_off(data: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], float]:
+    """The values at the ranks of ranges with few rows."""
+    if not ranges:
+        return {}
+    names = list(dict.fromkeys(r.column for r in ranges))
     cells = []
-    for name in dict.fromkeys(r.column for r in ranges):
-        cases = [f"WHEN {r.holds} THEN {tag(i, r)}" for i, r in enumerate(ranges) if r.column == name]
+    for name in names:
+        cases = [f"WHEN {r.holds} THEN {i}" for i, r in enumerate(ranges) if r.column == name]
         cells.append(f"CASE {' '.join(cases)} END")
-    return f"array({', '.join(cells)})"
-
-
-def _bin(r: _Range) -> str:
-    """Bin -1..BINS of a value inside the range."""
-    x, span = r.column, r.high - r.low
-    if math.isfinite(span) and math.isfinite(BINS / span):
-        return f"least(int(floor(({x} - {_literal(r.low)}) * {_literal(BINS / span)})), {BINS - 1})"
-    # Infinite ends get bins of their own; a span no double can hold, or can divide, is scaled first.
-    low, high = max(r.low, -MAX_DOUBLE), min(r.high, MAX_DOUBLE)
-    unit = 0.25 if math.isinf(high - low) else 1.0
-    span = max(high * unit - low * unit, 5e-324)
-    share = f"({x} * {_literal(unit)} - {_literal(low * unit)}) / {_literal(span)}"
-    steps = f"least(int(floor(greatest(0D, least(1D, {share})) * {BINS})), {BINS - 1})"
-    return f"CASE WHEN {x} < {_literal(low)} THEN -1 WHEN {x} > {_literal(high)} THEN {BINS} ELSE {steps} END"
-
-
-def _by_bins(data: DataFrame, ranges: list[_Range]) -> list[_Range]:
-    """Narrow every range to the bins that hold its ranks, and those bins to their actual ends."""
-    # Range and bin as one number: the map-side hash tables stay as small and fast as can be.
-    width = BINS + 2
-    keys = _cells(ranges, lambda i, r: f"{_bin(r)} + {i * width + 1}")
+    column_of = ", ".join(str(names.index(r.column)) for r in ranges)
+    value = f"get(array({', '.join(names)}), get(array({column_of}), range)) AS x"
     counted = (
-        data.selectExpr(f"explode({keys}) AS key").filter("key IS NOT NULL")
-        .groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-        .selectExpr(f"int(key DIV {width}) AS range", f"key % {width} - 1 AS bin", "rows")
+        data.filter(" OR ".join(r.holds for r in ranges))
+        .selectExpr(*names, f"explode(array({', '.join(cells)})) AS range").filter("range IS NOT NULL")
+        .selectExpr("range", value).groupBy("range", "x").agg(F.count(F.lit(1)).alias("rows"))
     )
-    narrowed, large = [], []
-    for i, bin_number, below, rows, ranks in _at_ranks(counted, "bin", ranges):
-        r = ranges[i]
-        holds = f"({r.holds} AND {_bin(r)} = {bin_number})"
-        found = _Range(r.column, holds, None, None, below, rows, ranks)
-        (narrowed if found.done else large).append(found)
-    # A bin with many rows needs its ends: to see a single value, and to be cut into bins itself.
-    for group in chunks(large, ENDS_PER_AGGREGATE):
-        inside = [f"CASE WHEN {r.holds} THEN {r.column} END" for r in group]
-        row = data.selectExpr(*[f"{f}({x}) AS {f}{i}" for i, x in enumerate(inside) for f in ("min", "max")]).first()
-        narrowed += [_between(r.column, row[f"min{i}"], row[f"max{i}"], r.below, r.rows, r.ranks)
-                     for i, r in enumerate(group)]
-    return narrowed
-
-
-def _at_ranks(counted: DataFrame, position: str, ranges: list[_Range]) -> list[tuple]:
-    """Where the ranks lie in rows (range, position, rows): number, position, below, rows, ranks."""
-    upto = F.sum("rows").over(Window.partitionBy("range").orderBy(position))  # a few thousand rows each
+    upto = F.sum("rows").over(Window.partitionBy("range").orderBy("x"))  # few_rows rows each at most
     keep = " OR ".join(f"(range = {i} AND upto > {k - r.below} AND upto - rows <= {k - r.below})"
                        for i, r in enumerate(ranges) for k in r.ranks)
-    out = []
+    found = {}
     for row in counted.withColumn("upto", upto).filter(keep).collect():  # one row per wanted rank at most
         r = ranges[row["range"]]
-        below = r.below + row["upto"] - row["rows"]
-        ranks = tuple(k for k in r.ranks if below <= k < below + row["rows"])
-        out.append((row["range"], row[position], below, row["rows"], ranks))
-    return out
-
-
-def _by_sketch(data: DataFrame, ranges: list[_Range]) -> list[_Range]:
-    """Narrow ranges whose values crowd together, whatever their distribution.
-
-    ``percentile_approx`` gives two values around each rank, and counting verifies them; a rank
-    outside them keeps its old range.
-    """
-    accuracy = 10_000
-    asked = [(r, k) for r in ranges for k in r.ranks]
-    points = [[min(1.0, max(0.0, (k - r.below) / r.rows + step / accuracy)) for step in (-2, 2)] for r, k in asked]
-    row = data.selectExpr(*[
-        f"percentile_approx(CASE WHEN {r.holds} THEN {r.column} END, array({a!r}D, {b!r}D), {accuracy}) AS q{i}"
-        for i, ((r, _), (a, b)) in enumerate(zip(asked, points))]).first()
-    ends = [(_literal(row[i][0]), _literal(row[i][1])) for i in range(len(asked))]
-    counts = data.selectExpr(*[c for i, ((r, _), (low, high)) in enumerate(zip(asked, ends)) for c in (
-        f"count_if({r.holds} AND {r.column} < {low}) AS b{i}",
-        f"count_if({r.column} BETWEEN {low} AND {high}) AS m{i}")]).first()
-    out: list[_Range] = []
-    for i, (r, k) in enumerate(asked):
-        below, rows = r.below + counts[f"b{i}"], counts[f"m{i}"]
-        if below <= k < below + rows and rows < r.rows:
-            out.append(_between(r.column, row[i][0], row[i][1], below, rows, (k,)))
-        else:
-            out.append(_between(r.column, r.low, r.high, r.below, r.rows, (k,)))
-    return _disjoint(out)
-
-
-def _disjoint(ranges: list[_Range]) -> list[_Range]:
-    """Merge overlapping ranges of a column, as each value may be counted in one range only."""
-    merged: list[_Range] = []
-    for r in sorted(ranges, key=lambda r: (r.column, r.low)):
-        last = merged[-1] if merged else None
-        if last and last.column == r.column and r.low <= last.high:
-            top = max((last, r), key=lambda x: x.high)
-            rows = max(last.below + last.rows, top.below + top.rows) - last.below
-            merged[-1] = _between(r.column, last.low, top.high, last.below, rows, tuple(sorted({*last.ranks, *r.ranks})))
-        else:
-            merged.append(r)
-    return merged
-
-
-def _read_off(data: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], float]:
-    """The values at the ranks of small or single-value ranges."""
-    found = {(r.column, k): r.low for r in ranges if r.single for k in r.ranks}
-    open_ranges = [r for r in ranges if not r.single]
-    if not open_ranges:
-        return found
-    names = list(dict.fromkeys(r.column for r in open_ranges))
-    cells = _cells(open_ranges, lambda i, r: str(i))
-    # The value is looked up after the range: one number per cell keeps the generated code small.
-    column_of = ", ".join(str(names.index(r.column)) for r in open_ranges)
-    x = f"get(array({', '.join(names)}), get(array({column_of}), range)) AS x"
-    # At most FEW_ROWS rows per range are left, and few of the table's rows hold one.
-    counted = (
-        data.filter(" OR ".join(r.holds for r in open_ranges))
-        .selectExpr(*names, f"explode({cells}) AS range").filter("range IS NOT NULL")
-        .selectExpr("range", x).groupBy("range", "x").agg(F.count(F.lit(1)).alias("rows"))
-    )
-    for i, x, _, _, ranks in _at_ranks(counted, "x", open_ranges):
-        found.update({(open_ranges[i].column, k): x for k in ranks})
+        first = r.below + row["upto"] - row["rows"]
+        found.update({(r.column, k): row["x"] for k in r.ranks if first <= k < first + row["rows"]})
     return found

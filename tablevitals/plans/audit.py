@@ -7,31 +7,32 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablevitals.config import Config
-from tablevitals.functions.columns import columns_with_role, pick_target
+from tablevitals.functions.columns import pick_target
+from tablevitals.functions.scalars import round_exact
 from tablevitals.operators.anomaly.detect import Detection, anomaly_threshold, detect
-from tablevitals.operators.classes import class_balance, class_distribution
-from tablevitals.operators.correlation import correlation_matrix, high_correlations
-from tablevitals.operators.duplicates import duplicate_rows, duplicate_summary
+from tablevitals.operators.classes import MAX_CLASSES, class_distribution
+from tablevitals.operators.correlation import HIGH_CORRELATION, correlation_matrix
+from tablevitals.operators.duplicates import copies_of, count_of, list_of
 from tablevitals.operators.histogram import histogram
-from tablevitals.operators.missing import basic_info, logical_size, missing_by_column, missing_pattern
+from tablevitals.operators.missing import missing_pattern
 from tablevitals.operators.moments import numeric_moments
-from tablevitals.operators.outliers import fences_of
+from tablevitals.operators.outliers import fences_of, iqr_outliers
+from tablevitals.operators.profile import column_profile
 from tablevitals.operators.quantiles import quantile_values
-from tablevitals.plans.checks import table_metrics
+from tablevitals.plans.checks import rated, table_metrics
 from tablevitals.plans.scoring import (COMPONENTS, health_score, key_findings, recommendations, score_details,
                                        score_formula, weighted_components)
-from tablevitals.session import materialize, spread_small
+from tablevitals.session import delete, materialize, scratch, spread
 from tablevitals.sources.metadata import dataset_metadata
 from tablevitals.sources.readers import Dataset, load
 from tablevitals.sources.writers import save_flags, save_json
 
 
-#: The report lists all column pairs up to this many numeric columns; ``correlations`` always has them.
-MAX_LISTED_COLUMNS = 100
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -41,53 +42,49 @@ SCORE_BINS = 50
 
 @dataclass
 class Profile:
-    """The profile sections; the DataFrames are lazy, ``bytes`` and ``quartiles`` are small values."""
+    """What an audit has found out about a table: small tables, worked out once and kept.
+
+    ``columns``: see ``column_profile``; ``statistics``: moments and median per numeric column; ``correlations``: the
+    whole matrix; ``outliers``: per numeric column; ``classes``: rows per label, if the table has a label column;
+    ``first_duplicates``: the first hundred, if a key was given.
+    """
 
     df: DataFrame
-    roles: dict[str, list[str]]
-    bytes: dict[str, int]
+    columns: DataFrame
+    statistics: DataFrame
     quartiles: dict[str, list[float | None]]
+    correlations: DataFrame
+    outliers: DataFrame
+    classes: DataFrame
+    target: str
+    n_rows: int
+    n_duplicates: int
+    first_duplicates: DataFrame | None = None
     key: Sequence[str] = ()
 
-    @property
-    def basic_info(self) -> DataFrame:
-        return basic_info(self.df)
-
     @property
     def missing(self) -> DataFrame:
-        return missing_by_column(self.df)
-
-    @property
-    def duplicates(self) -> DataFrame:
-        return duplicate_summary(self.df)
-
-    @property
-    def duplicate_rows(self) -> DataFrame | None:
-        return duplicate_rows(self.df, self.key) if self.key else None
-
-    @property
-    def statistics(self) -> DataFrame:
-        """Moments and median per numeric column."""
-        medians = [(c, values[1]) for c, values in self.quartiles.items()]
-        median = self.df.sparkSession.createDataFrame(medians, "column string, median double")
-        return numeric_moments(self.df).join(F.broadcast(median), "column")  # one row per column
-
-    @property
-    def correlations(self) -> DataFrame:
-        return correlation_matrix(self.df)
+        return (self.columns.filter("missing > 0").select("column", "missing", "missing_pct")
+                .orderBy(F.desc("missing_pct"), "column"))
 
     @property
     def high_correlations(self) -> DataFrame:
-        return high_correlations(self.df)
+        """Each pair once, as the matrix holds it in column order."""
+        place = {row["column"]: row["position"] for row in self.columns.collect()}
+        places = F.create_map(*[F.lit(x) for item in place.items() for x in item])
+        return self.correlations.filter(
+            (F.abs("correlation") > HIGH_CORRELATION) & (places[F.col("feature1")] < places[F.col("feature2")]))
 
-    @property
-    def fences(self) -> dict[str, tuple[float | None, float | None]]:
-        return {c: fences_of(q[0], q[2]) for c, q in self.quartiles.items()}
+    def names(self, role: str) -> list[str]:
+        return [row["column"] for row in self.columns.filter(F.col("role") == role).orderBy("position").collect()]
 
 
 @dataclass
 class AuditResult:
-    """``report`` is one nested row; ``detection`` holds the labels and scores per row."""
+    """``report`` and ``scores`` are one row each; ``detection`` holds the labels and scores per row.
+
+    What isn't written to an output folder lies in ``scratch`` until ``close``.
+    """
 
     report: DataFrame
     scores: DataFrame | None
@@ -95,22 +92,93 @@ class AuditResult:
     detection: Detection | None
     metadata: DataFrame | None = None
     paths: dict[str, str] = field(default_factory=dict)
-
-
-def profile_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config()) -> Profile:
-    """Profile a table. A small one is first spread over all cores (``profile.df``)."""
-    sizes, df = _prepare(df)
-    return _profile(df, sizes, quantile_values(df, QUARTILES, method=config.quantile_method), key)
-
-
-def _prepare(df: DataFrame) -> tuple[dict[str, int], DataFrame]:
-    sizes = {row["column"]: row["bytes"] for row in logical_size(df).collect()}  # one row per column
-    return sizes, spread_small(df, sum(sizes.values()))
-
-
-def _profile(df: DataFrame, sizes: dict[str, int], quartiles: dict, key: Sequence[str]) -> Profile:
-    roles = {role: columns_with_role(df, role) for role in ("numeric", "categorical", "datetime")}
-    return Profile(df, roles, sizes, quartiles, key)
+    scratch: str | None = None
+
+    def close(self) -> None:
+        if self.scratch:
+            delete(self.report.sparkSession, self.scratch)
+            self.scratch = None
+
+
+def _kept(rows: list[Row], like: DataFrame) -> DataFrame:
+    """A small table as plain rows: no later use computes it again."""
+    return like.sparkSession.createDataFrame(rows, like.schema)
+
+
+def profile_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config(),
+                  target: str | None = None) -> Profile:
+    """Profile a table, every part of it once. A table of few partitions is first spread over all cores."""
+    return _profile(spread(df), key, config, target)
+
+
+def _profile(df: DataFrame, key: Sequence[str], config: Config, target: str | None) -> Profile:
+    spark, target = df.sparkSession, target or pick_target(df)
+    columns = column_profile(df)
+    found = columns.collect()  # one row per column
+    columns = _kept(found, columns)
+    numeric = [row["column"] for row in found if row["role"] == "numeric"]
+    n_rows = found[0]["n_rows"] if found else 0
+    few_values = next(row["few_values"] for row in found if row["column"] == target)
+    checked = [c for c in numeric if c not in config.exclude]
+
+    def kept(frame: DataFrame) -> DataFrame:
+        return _kept(frame.collect(), frame)
+
+    def outlier_counts(quartiles: dict) -> DataFrame:
+        fences = {c: fences_of(q[0], q[2]) for c, q in quartiles.items()}
+        return kept(iqr_outliers(df, checked, fences=fences))
+
+    def label_counts() -> DataFrame:
+        """At most MAX_CLASSES rows, one more than a label column may have."""
+        counts = class_distribution(df, target)
+        return kept(counts.limit(MAX_CLASSES) if few_values else counts.limit(0))
+
+    with ThreadPoolExecutor(4) as pool:  # independent jobs, which fill each other's idle cores
+        def start(work, *args, **options):
+            return pool.submit(inheritable_thread_target(spark)(work), *args, **options)
+
+        quartiles = start(quantile_values, df, QUARTILES, method=config.quantile_method)
+        moments = start(lambda: kept(numeric_moments(df)))
+        correlations = start(lambda: materialize(correlation_matrix(df)))
+        copies = start(lambda: materialize(copies_of(df, keep=key)))
+        labels = start(label_counts)
+        outliers = start(outlier_counts, quartiles.result())
+        repeated = copies.result()
+        medians = [(c, values[1]) for c, values in quartiles.result().items()]
+        median = spark.createDataFrame(medians, "column string, median double")
+        first = list_of(repeated, key, 100) if key else None
+        return Profile(
+            df, columns, kept(moments.result().join(F.broadcast(median), "column")), quartiles.result(),
+            correlations.result(), outliers.result(), labels.result(), target, n_rows, count_of(repeated),
+            kept(first) if key else None, key)
+
+
+def _measured(profile: Profile) -> DataFrame:
+    """The row that the rules rate, from what the profile holds."""
+    found, outliers, classes = (frame.collect() for frame in (profile.columns, profile.outliers, profile.classes))
+    is_label = 0 < len(classes) < MAX_CLASSES
+    counts = [row["count"] for row in classes]
+    texts = [row["column"] for row in found if row["numeric_as_string"]]
+    values = (profile.n_rows, len(found), sum(row["missing"] for row in found), sum(row["n_rows"] for row in found),
+              profile.n_duplicates, profile.target, len(classes) if is_label else None,
+              max(counts) / min(counts) if is_label else None,
+              sum(row["outliers"] for row in outliers) if outliers else None,
+              sum(row["n_rows"] for row in outliers), [f"{c}: numeric values stored as strings" for c in sorted(texts)])
+    row = profile.df.sparkSession.createDataFrame(
+        [values], "n_rows long, n_columns int, total_missing long, cells long, n_duplicates long, target string, "
+                  "n_classes long, imbalance_ratio double, total_outliers long, checked long, issues array<string>")
+
+    def percent(part: str, whole: str):
+        return F.try_divide(part, whole) * 100
+
+    return row.select(
+        F.struct("n_rows", "n_columns", "total_missing",
+                 round_exact(percent("total_missing", "cells"), 2).alias("missing_percentage")).alias("missing"),
+        F.struct("n_duplicates", round_exact(percent("n_duplicates", "n_rows"), 2).alias("duplicate_percentage")).alias(
+            "duplicates"),
+        F.struct("target", "n_classes", "imbalance_ratio").alias("balance"),
+        F.struct("total_outliers", percent("total_outliers", "checked").alias("outlier_share")).alias("outliers"),
+        F.struct(F.when(F.size("issues") == 0, "good").otherwise("fair").alias("status"), "issues").alias("types"))
 
 
 def score_table(df: DataFrame, detection: Detection | None = None, config: Config = Config(),
@@ -126,108 +194,154 @@ def score_table(df: DataFrame, detection: Detection | None = None, config: Confi
 
 def audit_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config(),
                 target: str | None = None) -> AuditResult:
-    """Audit a table. ``key`` names the columns that identify a row, for the per-row results."""
-    sizes, data = _prepare(df)
-    with ThreadPoolExecutor(2) as pool:  # independent jobs, which fill each other's idle cores
-        in_thread = inheritable_thread_target(df.sparkSession)
-        quartiles = pool.submit(in_thread(quantile_values), data, QUARTILES, method=config.quantile_method)
-        found = pool.submit(in_thread(detect), data, key, config=config, spread=False) if config.detectors else None
-    profile = _profile(data, sizes, quartiles.result(), key)
-    detection = found.result() if found else None
-    scores = score_table(profile.df, detection, config, target, profile.fences)
-    statuses = [F.struct(F.lit(k).alias("detector"), F.lit(v).alias("status"))
-                for k, v in (detection.status if detection else {}).items()]
-
-    def listed(frame: DataFrame) -> Column:
-        """A section with one entry per column or column pair, as an array."""
-        return frame.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("rows")).scalar()
-
-    def texts(values: Sequence[str]) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """Audit a table. ``key`` names the columns that identify a row, for the per-row results.
 
+    The profile, the detectors' scores and the scored row are worked out here, once each; the report and the plot
+    tables are put together from them.
+    """
+    data = spread(df)
+    profile = _profile(data, key, config, target)
+    detection = detect(data, key, config=config, spread=False, n_rows=profile.n_rows) if config.detectors else None
+    metrics = rated(_measured(profile), config.thresholds)
+    summary = detection.summary().first() if detection and detection.usable else None
+    if summary:
+        metrics = metrics.withColumns({"anomaly_percentage": F.lit(summary["anomaly_percentage"]),
+                                       "n_anomalies": F.lit(summary["n_anomalies"])})
+    scored = score_details(health_score(metrics, config.weights))
+    scores = _kept(scored.collect(), scored)
+    return AuditResult(_report(scores, profile, detection, config), scores, profile, detection)
+
+
+def _report(scores: DataFrame, profile: Profile, detection: Detection | None, config: Config) -> DataFrame:
+    """One nested row, all of it from values that are known by now."""
+    spark = scores.sparkSession
+    lists: dict[str, tuple[list, T.DataType]] = {}
+
+    def listed(name: str, frame: DataFrame | None) -> None:
+        if frame is not None:
+            lists[name] = (frame.collect(), frame.schema)
+
+    listed("missing_columns", profile.missing)
+    listed("first", profile.first_duplicates)
+    listed("statistics", profile.statistics.orderBy("column"))
+    listed("high_correlations", profile.high_correlations.orderBy("feature1", "feature2"))
+    listed("outliers_per_column", profile.outliers.select("column", "lower", "upper", "outliers"))
+    label = profile.classes if profile.classes.count() < MAX_CLASSES else profile.classes.limit(0)
+    listed("class_distribution", label.withColumn("label", F.col("label").cast("string")))
+    lists["detectors"] = (_detector_rows(detection), T._parse_datatype_string(
+        "detector string, status string, n_anomalies bigint, anomaly_percentage double, threshold double"))
+    shares = config.weights.normalized()
+    weights = T._parse_datatype_string(", ".join(f"{c} double" for c in shares))
+    roles = {f"{role}_columns": profile.names(role) for role in ("numeric", "categorical", "datetime")}
+    names = [row["column"] for row in profile.columns.orderBy("position").collect()]
+    n_bytes = sum(row["bytes"] or 0 for row in profile.columns.collect())
+    known = spark.createDataFrame(
+        [(*[rows for rows, _ in lists.values()], tuple(shares.values()), *roles.values(), names, n_bytes,
+          *scores.first())],
+        T.StructType([*[T.StructField(n, T.ArrayType(kind)) for n, (_, kind) in lists.items()],
+                      T.StructField("weights", weights),
+                      *[T.StructField(n, T.ArrayType(T.StringType())) for n in (*roles, "column_names")],
+                      T.StructField("bytes", T.LongType()), *scores.schema.fields]))
     check_columns = ["missing_percentage", "duplicate_percentage", "imbalance_ratio", "outlier_percentage"]
     check_columns += [c for c in scores.columns if c.endswith(("_status", "_severity", "_issues"))]
     score_columns = ["overall_score", "rating", "recommendation", "integrity_source", *COMPONENTS]
     score_columns += [f"{c}_details" for c in COMPONENTS]
-    report = scores.select(
+    return known.select(
         F.struct(
-            F.struct("n_rows", "n_columns", F.lit(sum(profile.bytes.values())).alias("bytes"),
-                     texts(df.columns).alias("columns")).alias("basic_info"),
-            F.struct("total_missing", "missing_percentage", listed(profile.missing).alias("columns")).alias(
-                "missing_values"),
-            F.struct("n_duplicates", "duplicate_percentage", *(
-                [listed(profile.duplicate_rows).alias("first")] if key else [])).alias("duplicates"),
-            F.struct(*[texts(v).alias(f"{k}_columns") for k, v in profile.roles.items()]).alias("data_types"),
-            listed(profile.statistics).alias("statistics"),
-            *([listed(profile.correlations).alias("correlations")]
-              if len(profile.roles["numeric"]) <= MAX_LISTED_COLUMNS else []),
+            F.struct("n_rows", "n_columns", "bytes", F.col("column_names").alias("columns")).alias("basic_info"),
+            F.struct("total_missing", "missing_percentage", F.col("missing_columns").alias("columns")).alias("missing_values"),
+            F.struct("n_duplicates", "duplicate_percentage", *["first"] * ("first" in lists)).alias("duplicates"),
+            F.struct(*roles).alias("data_types"),
+            "statistics", "high_correlations",
         ).alias("profile"),
-        F.struct(*check_columns).alias("checks"),
-        F.struct("anomaly_percentage", "n_anomalies", F.array(*statuses).cast(
-            "array<struct<detector:string,status:string>>").alias("detectors")).alias("anomalies"),
-        F.struct(*score_columns, score_formula(config.weights).alias("calculation")).alias("scores"),
+        F.struct(*check_columns, "target", "class_distribution", "outliers_per_column").alias("checks"),
+        F.struct("anomaly_percentage", "n_anomalies", "detectors").alias("anomalies"),
+        F.struct(*score_columns, "weights", score_formula(config.weights).alias("calculation")).alias("scores"),
         recommendations().alias("recommendations"),
         key_findings().alias("key_findings"),
         F.current_timestamp().alias("timestamp"),
     )
-    return AuditResult(report, scores, profile, detection)
+
+
+def _detector_rows(detection: Detection | None) -> list[tuple]:
+    """detector, status, n_anomalies, anomaly_percentage, threshold of each detector."""
+    if detection is None:
+        return []
+    good = [n for n, state in detection.status.items() if state == "ok"]
+    counted = {}
+    if good:
+        row = detection.rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"{n}_label").alias(n) for n in good]).select(
+            *[F.struct(F.col(n).alias("n"), round_exact(F.try_divide(n, "n") * 100, 2).alias("share")).alias(n)
+              for n in good]).first()
+        counted = {n: (row[n]["n"], row[n]["share"], float(detection.thresholds[n])) for n in good}
+    return [(n, state, *counted.get(n, (None, None, None))) for n, state in detection.status.items()]
 
 
 def plot_tables(result: AuditResult) -> dict[str, DataFrame]:
     """The numbers behind each plot of an audited table: small tables whatever the table's size."""
     profile, detection = result.profile, result.detection
-    df = profile.df
+    numeric = profile.names("numeric")
     tables = {
         "components": weighted_components(result.scores, ["overall_score", "rating"]),
         "missing_values": profile.missing,
         "correlations": profile.correlations,
     }
-    if profile.roles["numeric"]:
-        tables["feature_distributions"] = histogram(df)
-    position = next((k for k in profile.key if k in profile.roles["numeric"]), None)
+    if numeric:
+        tables["feature_distributions"] = histogram(profile.df)
+    position = next((k for k in profile.key if k in numeric), None)
     if position:
-        tables["missing_pattern"] = missing_pattern(df, position)
-    target = pick_target(df)
-    label = class_balance(df, target)
+        tables["missing_pattern"] = missing_pattern(profile.df, position)
     # Only a label column has a class plot; the others would have as many bars as values.
-    is_label = label.select("n_classes").scalar().isNotNull()
-    tables["class_distribution"] = class_distribution(df.filter(is_label), target)
+    is_label = 0 < profile.classes.count() < MAX_CLASSES
+    tables["class_distribution"] = profile.classes if is_label else profile.classes.limit(0)
     if detection and detection.usable:
-        cut = anomaly_threshold(detection.rows).scalar()
+        cut = anomaly_threshold(detection.rows).first()["threshold"]
         scores = histogram(detection.rows, ["anomaly_score"], SCORE_BINS)
-        tables["anomaly_scores"] = scores.withColumn("threshold", cut)
+        tables["anomaly_scores"] = scores.withColumn("threshold", F.lit(cut))
     return tables
 
 
 def audit_dataset(spark: SparkSession, path: str, output: str | None = None, key: Sequence[str] = (),
-                  config: Config = Config(), kind: str | None = None, format: str | None = None) -> AuditResult:
+                  config: Config = Config(), kind: str | None = None, format: str | None = None,
+                  multiline: bool = False) -> AuditResult:
     """Load a dataset, audit it and write report, plot tables and per-row flags below ``output``.
 
-    Texts and images have no table checks; their report holds the metadata and no score.
+    Texts and images have no table checks; their report holds the metadata and no score. What the audit itself
+    writes goes when it is done; without ``output`` the result needs it, so it goes with ``result.close()``.
     """
-    dataset: Dataset = load(spark, path, kind, format)
+    with scratch(spark, keep=output is None) as folder:
+        result = _audit_dataset(spark, path, output, key, config, kind, format, multiline)
+        result.scratch = None if output else folder
+        return result
+
+
+def _audit_dataset(spark, path, output, key, config, kind, format, multiline) -> AuditResult:
+    dataset: Dataset = load(spark, path, kind, format, multiline)
     metadata = dataset_metadata(dataset)
+    metadata = _kept(metadata.collect(), metadata)
     if dataset.kind != "tabular":
         result = AuditResult(metadata, None, None, None, metadata)
         if output:
             result.paths["report"] = f"{output.rstrip('/')}/audit_report"
             save_json(metadata, result.paths["report"])
         return result
-    data = dataset.data
-    if not path.rstrip("/").endswith(".parquet"):
-        # An audit reads the table a dozen times: text formats are parsed once, then read by column.
-        data = materialize(data)
-    result = audit_table(data, key, config)
+    # An audit reads the table several times, a few columns at a time; what can't be read so is copied once.
+    result = audit_table(dataset.data if dataset.columnar else materialize(dataset.data), key, config)
     result.metadata = metadata
     described = metadata.select(F.struct("*").alias("r")).scalar()
     result.report = result.report.select(described.alias("metadata"), "*")
-    if output:
-        result.paths["report"] = f"{output.rstrip('/')}/audit_report"
-        save_json(result.report, result.paths["report"])
-        for name, plot in plot_tables(result).items():
-            result.paths[name] = f"{output.rstrip('/')}/plots/{name}"
-            save_json(plot, result.paths[name])
-        if result.detection and result.detection.usable:
-            result.paths["flags"] = f"{output.rstrip('/')}/anomaly_flags"
-            save_flags(result.detection.rows, result.paths["flags"])
+    if not output:
+        return result
+    result.paths["report"] = f"{output.rstrip('/')}/audit_report"
+    save_json(result.report, result.paths["report"])
+    for name, plot in plot_tables(result).items():
+        result.paths[name] = f"{output.rstrip('/')}/plots/{name}"
+        save_json(plot, result.paths[name])
+    profile = result.profile
+    profile.correlations = spark.read.schema(profile.correlations.schema).json(result.paths["correlations"])
+    profile.df = dataset.data
+    if result.detection and result.detection.usable:
+        result.paths["flags"] = f"{output.rstrip('/')}/anomaly_flags"
+        save_flags(result.detection.rows, result.paths["flags"])
+        result.detection.rows = spark.read.parquet(result.paths["flags"])
     return result

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablevitals.config import Cascade, Thresholds
 from tablevitals.functions.columns import numeric_columns
+from tablevitals.functions.scalars import round_exact
 from tablevitals.operators.classes import class_balance
 from tablevitals.operators.duplicates import duplicate_summary
 from tablevitals.operators.missing import logical_size, missing_total
@@ -61,7 +62,7 @@ def check_outliers(df: DataFrame, thresholds: Thresholds = Thresholds(), method:
     state = status(F.col("outlier_share"), thresholds.outliers)
     return outlier_total(iqr_outliers(df, method=method)).select(
         state.alias("status"), outlier_severity(state).alias("severity"),
-        F.bround("outlier_share", 2).alias("outlier_percentage"))
+        round_exact(F.col("outlier_share"), 2).alias("outlier_percentage"))
 
 
 def check_types(df: DataFrame) -> DataFrame:
@@ -90,6 +91,14 @@ def table_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), method:
         one(outlier_total(outliers)).alias("outliers"),
         one(check_types(df)).alias("types"),
     )
+    return rated(parts, thresholds)
+
+
+def rated(parts: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
+    """Statuses and severities of a measured row: structs missing, duplicates, balance, outliers and types.
+
+    Columns of other names pass through.
+    """
     states = {
         "missing": status(F.col("missing.missing_percentage"), thresholds.missing_values),
         "duplicates": status(F.col("duplicates.duplicate_percentage"), thresholds.duplicates),
@@ -97,7 +106,7 @@ def table_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), method:
         "outliers": status(F.col("outliers.outlier_share"), thresholds.outliers),
     }
     # A table with rows and no numeric column has no outliers, though the check does not apply.
-    outlier_percentage = F.coalesce(F.bround("outliers.outlier_share", 2),
+    outlier_percentage = F.coalesce(round_exact(F.col("outliers.outlier_share"), 2),
                                     F.when(F.col("missing.n_rows") > 0, F.lit(0.0)))
     return parts.select(
         "missing.n_rows", "missing.n_columns", "missing.total_missing", "missing.missing_percentage",
@@ -108,6 +117,7 @@ def table_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), method:
         F.col("types.status").alias("types_status"), F.col("types.issues").alias("types_issues"),
         F.lit(None).cast("double").alias("anomaly_percentage"),
         F.lit(None).cast("long").alias("n_anomalies"),
+        *[c for c in parts.columns if c not in ("missing", "duplicates", "balance", "outliers", "types")],
     ).withColumns({
         f"{name}_severity": (outlier_severity if name == "outliers" else severity)(F.col(f"{name}_status"))
         for name in states
@@ -125,5 +135,6 @@ def validate_table(df: DataFrame) -> DataFrame:
         missing["n_columns"].alias("n_cols"),
         (doubles["n_duplicates"] > 0).alias("has_duplicates"),
         (missing["total_missing"] > 0).alias("has_missing"),
-        F.bround(size / float(1024 ** 2), 2).alias("size_mb"),
-    )
+        size.alias("bytes"),
+    ).select("is_valid", "n_rows", "n_cols", "has_duplicates", "has_missing",
+             round_exact(F.col("bytes") / float(1024 ** 2)).alias("size_mb"))

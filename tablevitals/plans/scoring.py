@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.config import Weights
+from tablevitals.functions.scalars import round_exact
 
 COMPONENTS = ("completeness", "consistency", "balance", "integrity")
 
@@ -83,9 +84,9 @@ CLOSING = [
 
 
 def _text(pattern: str, *values: Column) -> Column:
-    """Formatted text; floats are rounded half to even first, as Java's own rule is half up."""
+    """Formatted text; floats are rounded exactly first, as Java's own rule goes by the decimal text."""
     digits = [int(d) if d else None for d in re.findall(r"%(?:[.](\d))?[dfs]", pattern)]
-    return F.format_string(pattern, *[v if d is None else F.bround(v, d) for v, d in zip(values, digits)])
+    return F.format_string(pattern, *[v if d is None else round_exact(v, d) for v, d in zip(values, digits)])
 
 
 def _below(value: Column, steps: list[tuple[float, float]], beyond: Column) -> Column:
@@ -181,7 +182,7 @@ def health_score(metrics: DataFrame, weights: Weights = Weights()) -> DataFrame:
     overall = F.col("overall")
     return scored.select(
         *[c for c in scored.columns if c != "overall"],
-        F.bround(overall, 2).alias("overall_score"),
+        round_exact(overall, 2).alias("overall_score"),
         rating(overall).alias("rating"),
         _advice(overall).alias("recommendation"),
     )
@@ -193,11 +194,11 @@ def interpretation(component: str) -> Column:
 
 def score_details(scored: DataFrame) -> DataFrame:
     """Add one struct per component: score, the metric behind it, interpretation."""
-    source = F.when(F.col("integrity_source") == "detectors", F.col("anomaly_percentage")).otherwise(
-        F.col("outlier_percentage"))
+    # Without a detector nothing was flagged; the outlier share that the score then uses has its own column.
+    source = F.coalesce(F.col("anomaly_percentage"), F.lit(0.0))
     measured = {"completeness": F.col("missing_percentage"), "consistency": F.col("duplicate_percentage"),
                 "balance": F.col("imbalance_ratio"), "integrity": source}
-    details = [F.struct(F.bround(F.col(c), 2).alias("score"), measured[c].cast("double").alias("metric"),
+    details = [F.struct(round_exact(F.col(c), 2).alias("score"), measured[c].cast("double").alias("metric"),
                         interpretation(c).alias("interpretation")).alias(f"{c}_details") for c in COMPONENTS]
     return scored.select("*", *details)
 
@@ -205,7 +206,7 @@ def score_details(scored: DataFrame) -> DataFrame:
 def weighted_components(scored: DataFrame, keep: list[str], weights: Weights = Weights()) -> DataFrame:
     """Long form: ``keep`` columns, component, score, weighted (score x weight, two decimals)."""
     rows = [F.struct(F.lit(c).alias("component"), F.col(c).alias("score"),
-                     F.bround(F.col(c) * F.lit(w), 2).alias("weighted"))
+                     round_exact(F.col(c) * F.lit(w), 2).alias("weighted"))
             for c, w in weights.normalized().items()]
     return scored.select(*keep, F.inline(F.array(*rows)))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +46,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Local property that names the folder of the running audit.
+SCRATCH = "tablevitals.scratch"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/tablevitals-{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder, or below the folder that ``scratch`` has opened."""
+    folder = spark.sparkContext.getLocalProperty(SCRATCH) or shared_folder(spark)
+    return f"{folder}/tablevitals-{uuid.uuid4().hex}/{name}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it lies."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop_path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: bool = False) -> Iterator[str]:
+    """Everything written to ``scratch_path`` in here lies in one folder, which goes at the end.
+
+    With ``keep`` it goes on failure only. Threads started through ``inheritable_thread_target`` share it.
+    """
+    context = spark.sparkContext
+    outer, folder = context.getLocalProperty(SCRATCH), scratch_path(spark, "scratch").rsplit("/", 1)[0]
+    context.setLocalProperty(SCRATCH, folder)
+    done = False
+    try:
+        yield folder
+        done = True
+    finally:
+        context.setLocalProperty(SCRATCH, outer)
+        if not (keep and done):
+            delete(spark, folder)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -65,31 +97,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables up to this size may be rewritten whole to spread their rows, in parts of at least this size.
-SPREAD_UP_TO_BYTES = 256 * 1024 ** 2
-SPREAD_PART_BYTES = 1024 ** 2
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that has fewer partitions than there are cores one for each.
 
-
-def spread_small(df: DataFrame, n_bytes: int) -> DataFrame:
-    """Give a small table enough partitions for all cores; a larger one is returned as it is.
-
-    A small table often sits in a single file split, which leaves one task to do every pass. Tables
-    beyond the limit have splits enough, and copying them would cost more than it saves.
-    """
-    if n_bytes > SPREAD_UP_TO_BYTES:
-        return df
-    parts = min(df.sparkSession.sparkContext.defaultParallelism, 1 + n_bytes // SPREAD_PART_BYTES)
-    return materialize(df.repartition(parts))
-
-
-#: Tasks that hand in a large partial result each, at least.
-MIN_PARTIAL_TASKS = 1000
-
-
-def few_partials(df: DataFrame) -> DataFrame:
-    """Merge partitions (without a shuffle) where every task hands in a matrix or a weight vector.
-
-    A hundred thousand tasks would shuffle that many copies; two per core keep all cores busy.
+    Such a table, of whatever size, leaves cores idle in every pass over it: a small file is one split, and so is a
+    large compressed text. It is copied once; any other table is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(MIN_PARTIAL_TASKS, 2 * cores))
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return materialize(df.repartition(cores))

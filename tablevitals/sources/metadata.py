@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevitals.functions.columns import col
+from tablevitals.functions.scalars import round_exact
 from tablevitals.sources.readers import Dataset, list_files
 
 
@@ -27,7 +28,7 @@ def label_metadata(df: DataFrame, label: str) -> DataFrame:
 def files_size(spark: SparkSession, path: str) -> DataFrame:
     """One row: n_files, file_size_mb of all files below the path."""
     return list_files(spark, path).agg(
-        F.count(F.lit(1)).alias("n_files"), F.bround(F.sum("bytes") / float(1024 ** 2), 2).alias("file_size_mb"))
+        F.count(F.lit(1)).alias("n_files"), round_exact(F.sum("bytes") / float(1024 ** 2), 2).alias("file_size_mb"))
 
 
 def dataset_metadata(dataset: Dataset) -> DataFrame:

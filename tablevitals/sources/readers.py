@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablevitals.functions.columns import chunks, col
 from tablevitals.functions.scalars import FILE_TYPES, KINDS, NUMERIC_TEXT, dataset_kind, strip
+from tablevitals.session import materialize
 
 #: Cell texts that mean "missing" in a CSV file (fixed values).
 NA_TOKENS = (
@@ -29,44 +31,79 @@ IMAGE_GLOB = "*.{jpg,jpeg,png,bmp,JPG,JPEG,PNG,BMP}"
 
 @dataclass
 class Dataset:
+    """``columnar`` tells whether reading a few columns again is cheap, as it is from Parquet."""
+
     data: DataFrame
     kind: str
     path: str
+    columnar: bool = True
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_json(spark: SparkSession, path: str, lines: bool = False, schema: T.StructType | str | None = None) -> DataFrame:
-    """An array of records per file, or with ``lines`` one record per line.
+def scan_json(spark: SparkSession, path: str, lines: bool | None = None,
+              schema: T.StructType | str | None = None) -> DataFrame:
+    """Records as one per line (``lines=True``), as an array or a record per file (``False``), or as each file has them.
+
+    Line files split into many tasks; a document is read as a whole, so prefer lines at scale, and pass a
+    ``schema`` to spare the inference pass. A record that cannot be parsed stops the scan.
+    """
+    if lines is None:
+        by_kind = json_files(spark, path)
+        parts = [_json(spark, paths, kind, schema) for kind, paths in by_kind.items() if paths]
+        if not parts:
+            raise ValueError(f"no records below {path}")
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return _json(spark, [path], lines, schema)
+
+
+def _json(spark: SparkSession, paths: list[str], lines: bool, schema: T.StructType | str | None) -> DataFrame:
+    reader = spark.read.option("multiLine", str(not lines).lower()).option("mode", "FAILFAST")
+    return (reader if schema is None else reader.schema(schema)).json(paths)
+
 
-    Line files split into many tasks; a document is read as a whole, so prefer lines at scale, and
-    pass a ``schema`` to spare the inference pass.
+def json_files(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The files below a path that hold one record per line (True), and the others (False).
+
+    A file of lines starts with a whole record on its first line that isn't blank; blank files hold nothing.
     """
-    reader = spark.read.option("multiLine", str(not lines).lower())
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.json(path)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"), strip(F.col("value")).alias("line")).filter("line <> ''")
+    first = lines.groupBy("file").agg(F.min_by(
+        F.col("line").startswith("{") & F.get_json_object("line", "$").isNotNull(), F.struct("start", "place")).alias("lines"))
+    found: dict[bool, list[str]] = {True: [], False: []}
+    for row in first.collect():  # one row per file, as many as the reader's own file list
+        found[row["lines"]].append(row["file"])
+    # A folder of one kind is read as a folder.
+    return {k: [path] if v and not found[not k] else sorted(v) for k, v in found.items()}
 
 
 def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A CSV file with header; NA texts become NULL and column types follow the values.
 
-    Types come from one aggregate over all rows: bigint if every value is an integer, double if every
-    value is a number or none is present, boolean if every value is a truth word, else string. Dates
-    stay strings. ``multiline`` allows line breaks in quoted cells, at the price of unsplit files.
+    The text is parsed once and kept as Parquet in the shared folder. Types come from one aggregate over all
+    rows: bigint if every value is an integer, double if every value is a number or none is present, boolean if
+    every value is a truth word, else string. Dates stay strings. Rows with fewer cells than the header end in
+    missing values; rows with more stop the scan. ``multiline`` allows line breaks in quoted cells, at the price of
+    unsplit files.
     """
-    raw = (
-        spark.read.option("header", "true").option("inferSchema", "false").option("escape", '"')
-        .option("multiLine", str(multiline).lower()).csv(path)
-    )
-    texts = raw.select([F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in raw.columns])
+    reader = spark.read.option("header", "true").option("escape", '"').option("multiLine", str(multiline).lower())
+    names = reader.option("inferSchema", "false").csv(path).columns
+    surplus = "_more_cells"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, surplus]])
+    texts = materialize(reader.schema(schema).csv(path).select(
+        *[F.when(~col(c).isin(*NA_TOKENS), col(c)).alias(c) for c in names], col(surplus)))
     kinds: list[str] = []
-    for group in chunks(texts.columns, 25):
-        flags = texts.agg(*[f for i, c in enumerate(group) for f in _type_flags(col(c), i)]).first()
+    for group in chunks(names, 25):
+        flags = texts.agg(F.count(col(surplus)).alias("surplus"),
+                          *[f for i, c in enumerate(group) for f in _type_flags(col(c), i)]).first()
+        if flags["surplus"]:
+            raise ValueError(f"{flags['surplus']} rows of {path} have more cells than the header")
         kinds += [_csv_type(flags, i) for i in range(len(group))]
-    return texts.select([_convert(col(c), kind).alias(c) for c, kind in zip(texts.columns, kinds)])
+    return texts.select([_convert(col(c), kind).alias(c) for c, kind in zip(names, kinds)])
 
 
 def _type_flags(value: Column, i: int) -> list[Column]:
@@ -141,12 +178,12 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return listing.select("path", F.col("length").alias("bytes"), dataset_kind(F.col("path")).alias("kind"))
 
 
-def directory_kind(files: DataFrame) -> DataFrame:
-    """One row over ``list_files``: n_files, n_images, n_texts, kind.
+def directory_kind(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row over ``list_files``, or per group of ``by``: n_files, n_images, n_texts, kind.
 
     image or text if more than half of the files are of that kind, else tabular; NULL without files.
     """
-    counted = files.agg(
+    counted = files.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_files"),
         F.count_if(F.col("kind") == "image").alias("n_images"),
         F.count_if(F.col("kind") == "text").alias("n_texts"),
@@ -162,11 +199,13 @@ def _suffix(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
 
 
-def load(spark: SparkSession, path: str, kind: str | None = None, format: str | None = None) -> Dataset:
+def load(spark: SparkSession, path: str, kind: str | None = None, format: str | None = None,
+         multiline: bool = False) -> Dataset:
     """Open a file or folder with the reader its suffix, or its files' majority, asks for.
 
-    ``kind`` (tabular, image, text) and ``format`` (csv, json, jsonl, parquet) override the guess;
-    an unknown suffix is read as CSV.
+    ``kind`` (tabular, image, text) and ``format`` (csv, json, jsonl, parquet) override the guess; an unknown suffix
+    is read as CSV. JSON files are read as lines or documents, whichever each of them is. ``multiline`` allows
+    line breaks in the cells of a CSV file.
     """
     suffix = _suffix(path)
     file_type = format or FILE_TYPES.get(suffix)
@@ -184,8 +223,8 @@ def load(spark: SparkSession, path: str, kind: str | None = None, format: str |
     if file_type == "parquet":
         return Dataset(scan_parquet(spark, path), "tabular", path)
     if file_type in ("json", "jsonl"):
-        return Dataset(scan_json(spark, path, lines=file_type == "jsonl"), "tabular", path)
-    return Dataset(scan_csv(spark, path), "tabular", path)
+        return Dataset(scan_json(spark, path, lines=True if format == "jsonl" else None), "tabular", path, columnar=False)
+    return Dataset(scan_csv(spark, path, multiline), "tabular", path)
 
 
 def _guess(spark: SparkSession, path: str, file_type: str | None) -> tuple[str, str | None]:

@@ -152,12 +152,8 @@ def test_pca_error_against_numpy(planted, monkeypatch):
     expected = np.square(z - z @ kept @ kept.T).mean(axis=1)
     found = [r["e"] for r in planted.select("id", pca_error(planted, FEATURES, model).alias("e")).orderBy("id").collect()]
     assert found == pytest.approx(list(expected), rel=1e-6, abs=1e-9)
-    from tablevitals.operators.anomaly import reconstruction
-    monkeypatch.setattr(reconstruction, "NARROW_COLUMNS", 0)
-    monkeypatch.setattr(reconstruction, "MAX_TERMS", 0)
-    wide = fit_pca(planted, FEATURES)
-    again = [r["e"] for r in planted.select("id", pca_error(planted, FEATURES, wide).alias("e")).orderBy("id").collect()]
-    assert again == pytest.approx(found, rel=1e-6, abs=1e-9)
+    wider = fit_pca(planted, [*FEATURES, *FEATURES], AutoencoderParams(encoding_dim=2))
+    assert (model["n_components"], wider["n_components"], wider["residual"].shape) == (1, 2, (6, 4))
 
 
 def test_network_gradient_against_differences():
@@ -225,25 +221,28 @@ def test_failed_scoring_is_told_apart(planted, monkeypatch):
     assert found.usable
 
 
-def test_shared_key_does_not_starve_its_rows(spark, monkeypatch):
-    """A third of the rows share one key: they must turn up in the samples all the same."""
+def test_shared_key_does_not_starve_its_rows(spark):
+    """A third of the rows share one key: they draw by their features, and turn up in the samples all the same."""
     frame = spark.range(60_000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"),
         F.when(F.col("id") % 3 == 0, F.randn(1) + 50).otherwise(F.randn(2)).alias("x"))
-    seen = {}
-    original = detect_module.fit_forest
-
-    def spy(df, columns, params, key, n_rows):
-        seen["key"] = key
-        return original(df, columns, params, key, n_rows)
-
-    monkeypatch.setattr(detect_module, "fit_forest", spy)
     found = detect(frame, ["k"], ["x"], Config(detectors=("isolation_forest",)))
-    assert seen["key"] == ()
     labelled = found.rows.filter("k = 0").agg(F.avg("anomaly_label")).first()[0]
     assert labelled < 0.3 and found.rows.count() == 60_000
 
 
+@pytest.mark.parametrize("n_rows", [3, 200, 700, 20_000])
+def test_one_draw_rule_for_every_size(spark, n_rows):
+    """Each tree gets its number of distinct rows, and the draw doesn't depend on the partitions."""
+    frame = spark.range(n_rows).select("id", (F.col("id") * 7.5).alias("x"))
+    params = ForestParams(n_estimators=20, max_samples=64)
+    drawn = draw_samples(frame, ["x"], params, n_rows, ["id"])
+    counts = drawn.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("f0").alias("d")).collect()
+    assert len(counts) == 20 and {(r["n"], r["d"]) for r in counts} == {(min(64, n_rows),) * 2}
+    again = draw_samples(frame.repartition(7), ["x"], params, n_rows, ["id"])
+    assert sorted(drawn.collect()) == sorted(again.collect())
+
+
 @pytest.mark.parametrize("kind", ["pca", "mlp"])
 def test_one_feature(planted, kind):
     config = Config(autoencoder=AutoencoderParams(kind=kind, epochs=1))
@@ -298,7 +297,13 @@ def test_audit_of_a_table(planted):
     assert report["scores"]["integrity_source"] == "detectors"
     assert [d["status"] for d in report["anomalies"]["detectors"]] == ["ok", "ok"]
     assert report["recommendations"] and report["key_findings"]
-    assert result.profile.duplicate_rows.count() == 0
+    assert result.profile.first_duplicates.count() == 0
+    assert report["scores"]["weights"] == dict.fromkeys(["completeness", "consistency", "balance", "integrity"], 0.25)
+    assert {r["label"]: r["count"] for r in report["checks"]["class_distribution"]} == {"x": 250, "y": 1750}
+    assert {r["column"] for r in report["checks"]["outliers_per_column"]} == {"id", "a", "b", "c"}
+    for found in report["anomalies"]["detectors"]:
+        assert found["n_anomalies"] > 0 and found["threshold"] is not None
+        assert found["anomaly_percentage"] == pytest.approx(found["n_anomalies"] / 20, abs=0.006)
     assert {(r["feature1"], r["feature2"]) for r in result.profile.high_correlations.collect()} <= {
         ("a", "c"), ("b", "c")}
 
@@ -315,6 +320,23 @@ def test_audit_without_the_label_and_key(planted):
     assert plot_tables(audit_table(planted, ["id"]))["class_distribution"].count() == 0
 
 
+def test_report_and_scores_read_no_table_again(planted):
+    """All that report and scores need is known when the audit is done."""
+    result = audit_table(planted, ["id"], Config(detectors=()))
+    for frame in (result.report, result.scores, result.profile.missing, result.profile.statistics):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan and "InMemory" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_many_columns_keep_their_sections(spark):
+    frame = spark.range(40).select("id", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).alias(f"x{i}") for i in range(110)])
+    result = audit_table(frame, ["id"], Config(detectors=()))
+    assert result.profile.correlations.count() == 111 ** 2
+    report = result.report.first()
+    assert len(report["profile"]["statistics"]) == len(report["checks"]["outliers_per_column"]) == 111
+    assert plot_tables(result)["feature_distributions"].select("column").distinct().count() == 111
+
+
 def test_audit_of_texts_only(spark):
     frame = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "x")], "s string, label string")
     row = audit_table(frame).scores.first()

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablevitals.functions import scalars
 from tablevitals.functions.columns import normalize, pick_target
 from tablevitals.operators import (classes, correlation, duplicates, features, histogram, missing, moments, outliers,
-                                   quantiles, text_types)
+                                   profile, quantiles, text_types)
 from tablevitals.plans import checks
 
 NAN = float("nan")
@@ -77,21 +77,20 @@ def test_standard_scale_zero_sd_divides_by_one(spark):
     assert [r["x"] for r in scaled] == [-1.0, 1.0]
 
 
-@pytest.mark.parametrize("small_rows", [10**9, 0])
-def test_quantiles_match_pandas(mixed, small_rows):
+@pytest.mark.parametrize("few_rows", [10**9, 0])
+def test_quantiles_match_pandas(mixed, few_rows):
     data, frame = mixed
     probabilities = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    found = quantiles.quantile_values(frame, probabilities, small_rows=small_rows)
+    found = quantiles.quantile_values(frame, probabilities, few_rows=few_rows)
     for c in data.columns:
         assert found[c] == pytest.approx(list(data[c].quantile(probabilities)), rel=1e-12), c
 
 
 def test_quantiles_narrow_repeatedly(mixed, monkeypatch):
-    """Tiny bins and budgets force many passes and the sketch fallback; the ranks stay exact."""
+    """Coarse sketches and small budgets force many passes; the ranks stay exact."""
     data, frame = mixed
-    monkeypatch.setattr(quantiles, "BINS", 4)
-    monkeypatch.setattr(quantiles, "FEW_ROWS", 3)
-    found = quantiles.quantile_values(frame, [0.1, 0.5, 0.9], small_rows=0)
+    monkeypatch.setattr(quantiles, "ACCURACY", 8)
+    found = quantiles.quantile_values(frame, [0.1, 0.5, 0.9], few_rows=3)
     for c in data.columns:
         assert found[c] == pytest.approx(list(data[c].quantile([0.1, 0.5, 0.9])), rel=1e-12), c
 
@@ -100,7 +99,7 @@ def test_quantiles_with_infinities_and_extremes(spark):
     values = [-INF, -1e308, -5.0, 0.0, 5e-324, 1.0, 2.0, 1e308, INF, INF]
     frame = spark.createDataFrame([(v,) for v in values], "x double")
     expected = [sorted(values)[i] for i in (0, 3, 9)]
-    found = quantiles.quantile_values(frame, [0.0, 3 / 9, 1.0], small_rows=0)["x"]
+    found = quantiles.quantile_values(frame, [0.0, 3 / 9, 1.0], few_rows=0)["x"]
     assert found == expected
 
 
@@ -108,13 +107,13 @@ def test_quantiles_one_hot_value(spark):
     """A third and more of the rows share a value."""
     frame = spark.range(30000).select(F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("x"))
     expected = frame.toPandas()["x"].quantile([0.25, 0.5, 0.9]).tolist()
-    assert quantiles.quantile_values(frame, [0.25, 0.5, 0.9], small_rows=0)["x"] == pytest.approx(expected)
+    assert quantiles.quantile_values(frame, [0.25, 0.5, 0.9], few_rows=0)["x"] == pytest.approx(expected)
 
 
 def test_quantiles_of_nothing(spark):
     frame = spark.createDataFrame([], "x double")
     assert quantiles.quantile_values(frame, [0.5])["x"] == [None]
-    assert quantiles.quantile_values(frame, [0.5], small_rows=-1)["x"] == [None]
+    assert quantiles.quantile_values(frame, [0.5], few_rows=-1)["x"] == [None]
 
 
 def test_approximate_quantiles_are_close(mixed):
@@ -123,10 +122,8 @@ def test_approximate_quantiles_are_close(mixed):
     assert abs(found - data["normal"].median()) < 0.05
 
 
-@pytest.mark.parametrize("limit", [0, 6])
-def test_correlations_match_pandas(mixed, monkeypatch, limit):
+def test_correlations_match_pandas(mixed):
     data, frame = mixed
-    monkeypatch.setattr(correlation, "NARROW_COLUMNS", limit)
     expected = data.corr()
     found = {(r["feature1"], r["feature2"]): r["correlation"] for r in rows(correlation.correlation_matrix(frame))}
     assert len(found) == 25
@@ -140,6 +137,54 @@ def test_correlations_match_pandas(mixed, monkeypatch, limit):
     assert [(r["feature1"], r["feature2"]) for r in high] == [("normal", "linked")]
 
 
+def test_correlations_leave_infinite_cells_out(spark):
+    data = [(1.0, 2.0), (2.0, 4.5), (3.0, INF), (4.0, 7.5), (-INF, 1.0), (5.0, 11.0)]
+    frame = spark.createDataFrame(data, "x double, y double")
+    found = rows(correlation.correlation_pairs(frame))[0]["correlation"]
+    assert found == pytest.approx(np.corrcoef(np.array([r for r in data if abs(r[0]) + abs(r[1]) < INF]).T)[0, 1])
+
+
+def test_rounding_goes_by_the_binary_value(spark):
+    values = [2.675, 1.005, 0.125, 0.375, 52.45, -2.675, 107 / 4000 * 100, 1e300, 0.0, INF, 5e-324, 123456789.125, None]
+    values += [k / 1000 for k in range(-3000, 3000, 5)]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    found = [r["r"] for r in rows(frame.select(scalars.round_exact(F.col("x")).alias("r")))]
+    assert found == [None if v is None else v if abs(v) > 1e16 else round(v, 2) for v in values]
+
+
+def test_dotted_names(spark):
+    frame = spark.createDataFrame([(1.0, None), (2.0, "x"), (NAN, "y"), (3.0, None)], "`a.b` double, `c d` string")
+    found = rows(missing.missing_pattern(frame, "a.b", 2))
+    assert sum(r["missing"] for r in found if r["column"] == "c d") == 2 and sum(r["n_rows"] for r in found) == 6
+    assert [r["normalized"] for r in rows(scalars.normalize_scores(frame, "a.b"))][:2] == [0.0, 50.0]
+    assert rows(duplicates.duplicate_rows(frame, ["a.b"], ["c d"])) == [{"a.b": 3.0, "copy": 1}]
+
+
+def test_null_elements_are_told_apart(spark):
+    data = [([1, None], (None, 2)), ([None, 1], (None, 2)), ([1, None], (2, None)), ([1, None], (None, 2)), (None, None)]
+    frame = spark.createDataFrame(data, "a array<int>, s struct<x:int,y:int>")
+    assert rows(duplicates.duplicate_summary(frame))[0]["n_duplicates"] == 1
+
+
+def test_exchange_carries_digest_and_count_only(spark, sf):
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    text = duplicates.duplicate_summary(frame)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and all("d0" in line and "d1" in line and "text" not in line for line in shuffled)
+
+
+def test_column_profile_of_odd_columns(spark):
+    schema = "f double, m map<string,int>, a array<int>, s string, b boolean, d decimal(10,2), n string"
+    frame = spark.createDataFrame([(NAN, {"k": 1}, [1], "1", True, None, None), (INF, None, None, " 2 ", None, None, None)], schema)
+    found = {r["column"]: r for r in rows(profile.column_profile(frame).orderBy("position"))}
+    assert list(found) == ["f", "m", "a", "s", "b", "d", "n"]
+    assert [found[c]["missing"] for c in found] == [1, 1, 1, 0, 1, 2, 2]
+    assert found["f"]["max"] == INF and found["s"]["numeric_as_string"] and found["n"]["numeric_as_string"]
+    assert found["m"]["few_values"] is None and found["b"]["role"] is None and found["d"]["min"] is None
+    empty = rows(profile.column_profile(frame.limit(0)))
+    assert {r["n_rows"] for r in empty} == {0} and {r["missing_pct"] for r in empty} == {0.0}
+
+
 def test_correlation_needs_two_columns(spark):
     assert rows(correlation.correlation_matrix(spark.createDataFrame([(1.0,)], "x double"))) == []
 
@@ -298,7 +343,7 @@ def test_missing_pattern_is_whole(spark):
 
 def test_roles(spark):
     schema = "i int, d decimal(5,2), s string, t timestamp_ntz, day date, b boolean, a array<int>"
-    found = {r["column"]: r["role"] for r in rows(missing.column_roles(spark.createDataFrame([], schema)))}
+    found = {r["column"]: r["role"] for r in rows(profile.column_profile(spark.createDataFrame([], schema)))}
     assert found == {"i": "numeric", "d": "numeric", "s": "categorical", "t": "datetime", "day": "datetime",
                      "b": None, "a": None}
 

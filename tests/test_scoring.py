@@ -55,7 +55,7 @@ def test_details(scored):
     assert scored["example"]["balance_details"].asDict() == {
         "score": 75.0, "metric": 6.0, "interpretation": "Mild imbalance"}
     assert scored["fallback"]["integrity_source"] == "outliers"
-    assert scored["fallback"]["integrity_details"]["metric"] == 2.12
+    assert scored["fallback"]["integrity_details"]["metric"] == 0.0
     assert scored["poor"]["completeness_details"]["interpretation"] == "High missing values"
 
 

@@ -6,6 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from tablevitals import session
 from tablevitals.__main__ import main
 from tablevitals.plans.audit import audit_dataset
 from tablevitals.sources import metadata, readers, writers
@@ -61,6 +62,69 @@ def test_json_array_and_lines(spark, tmp_path):
     assert rows(readers.load(spark, str(lines), format="jsonl").data) == expected
 
 
+@pytest.mark.parametrize("name", ["x.json", "x.jsonl", "folder"])
+def test_load_tells_lines_from_documents(spark, tmp_path, name):
+    expected = [{"a": i, "b": f"t{i}"} for i in range(100)]
+    frame = spark.createDataFrame([(r["a"], r["b"]) for r in expected], "a long, b string")
+    path = tmp_path / name
+    writers.save_json(frame.repartition(2), str(path))
+    if name == "folder":
+        for part in path.glob("part-*"):
+            part.rename(part.with_suffix(".json"))
+    assert sorted(rows(readers.load(spark, str(path)).data), key=lambda r: r["a"]) == expected
+
+
+def test_load_a_folder_of_both(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "lines.json").write_text('\n \n{"a": 1}\n{"a": 2}\n')
+    (folder / "array.json").write_text('[{"a": 3},\n{"a": 4, "b": "x"}]')
+    (folder / "pretty.json").write_text('{\n  "a": 5\n}\n')
+    (folder / "blank.json").write_text("\n")
+    found = readers.load(spark, str(folder)).data
+    assert sorted((r["a"], r["b"] or "") for r in rows(found)) == [(1, ""), (2, ""), (3, ""), (4, "x"), (5, "")]
+
+
+def test_broken_json_stops_the_scan(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text('{"a": 1}\n{"a": \n{"a": 3}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.load(spark, str(path)).data.collect()
+
+
+def test_csv_rows_with_too_many_cells(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b\n1,2\n3\n4,5,6\n")
+    with pytest.raises(ValueError, match="1 rows"):
+        readers.scan_csv(spark, str(path))
+    path.write_text("a,b\n1,2\n3\n")
+    assert rows(readers.scan_csv(spark, str(path))) == [{"a": 1, "b": 2}, {"a": 3, "b": None}]
+
+
+def test_load_passes_multiline(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,b\n"x\ny",1\nz,2\n')
+    assert readers.load(spark, str(path), multiline=True).data.count() == 2
+
+
+def test_audit_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(shared))
+    (tmp_path / "x.jsonl").write_text("".join(f'{{"id": {i}, "v": {i % 7}}}\n' for i in range(50)))
+    result = audit_dataset(spark, str(tmp_path / "x.jsonl"), str(tmp_path / "out"), ["id"])
+    assert not any(shared.rglob("*.parquet")) and not any(shared.rglob("part-*"))
+    assert result.report.count() == 1 and result.detection.rows.count() == 50 and result.profile.correlations.count() == 4
+    kept = audit_dataset(spark, str(tmp_path / "x.jsonl"), key=["id"])
+    assert kept.detection.rows.count() == 50
+    kept.close()
+    assert not any(shared.rglob("part-*"))
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\n{"id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        audit_dataset(spark, str(tmp_path / "bad.jsonl"), str(tmp_path / "out2"))
+    assert not any(shared.rglob("part-*"))
+
+
 def test_text_lines(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_text("  one \n\n\t\ntwo\n")
