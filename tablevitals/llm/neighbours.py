@@ -89,7 +89,7 @@ def fit_router(points: np.ndarray, parts: int, k: int, recall: float, hidden: in
     """Learns where neighbours lie; ``visits`` is the least number of parts that reaches ``recall`` on the sample."""
     points = points.astype(np.float64)
     dims = points.shape[1]
-    mean, scale = points.mean(axis=0), float(points.std()) or 1.0
+    mean, scale = (points.mean(axis=0), float(points.std()) or 1.0) if len(points) else (np.zeros(dims), 1.0)
     if parts == 1 or len(points) <= k:
         return Router(mean, scale, [np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1)
     graph = nearest(points, k)

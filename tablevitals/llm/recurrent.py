@@ -21,6 +21,8 @@ WIDTH, STATE = 12, 10
 #: Words per window, and how far the next window starts.
 WINDOW, STEP = 32, 24
 BATCH = 4096
+#: Words whose n-grams' vectors are held at once.
+WORDS_AT_ONCE = 1 << 14
 
 _draw = np.random.Generator(np.random.PCG64(55))
 _BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64)
@@ -136,11 +138,15 @@ class Network:
             for at in range(0, len(text), BATCH)] or [np.zeros(0, np.float32)])
 
     def word_vectors(self, words: Words) -> np.ndarray:
+        """The vectors of the distinct words, some words at a time as their n-grams' vectors take much room."""
         counts = np.diff(words.gram_start)
-        if not len(counts):
-            return np.zeros((0, WIDTH), np.float32)
-        sums = np.add.reduceat(self.p["gram"][words.grams], words.gram_start[:-1], axis=0)
-        return self.p["word"][words.bucket] + sums / counts[:, None].astype(np.float32)
+        vectors = self.p["word"][words.bucket]
+        for at in range(0, len(counts), WORDS_AT_ONCE):
+            block = slice(at, at + WORDS_AT_ONCE)
+            starts = words.gram_start[at:at + WORDS_AT_ONCE + 1]
+            grams = self.p["gram"][words.grams[starts[0]:starts[-1]]]
+            vectors[block] += np.add.reduceat(grams, starts[:-1] - starts[0], axis=0) / counts[block, None].astype(grams.dtype)
+        return vectors
 
     def _read(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, side: str, keep: list | None) -> np.ndarray:
         """States after each word: WINDOW x windows x STATE. keep: gets what the way back needs."""
