@@ -438,13 +438,12 @@ def duplicate_texts_top100(spark, sf):
     return duplicates.duplicate_rows(table(spark, sf, "documents"), ["doc_id"], ["text"])
 
 
-@query("duplicate_parts_top5000", """SELECT l_orderkey, l_linenumber, (rn - 1)::INTEGER AS copy FROM (
-  SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag, l_quantity ORDER BY l_orderkey, l_linenumber) AS rn
-  FROM lineitem)
-WHERE rn > 1 ORDER BY l_orderkey, l_linenumber LIMIT 5000""")
-def duplicate_parts_top5000(spark, sf):
+@query("duplicate_orders_top5000", """SELECT o_orderkey, (rn - 1)::INTEGER AS copy FROM (
+  SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS rn FROM orders)
+WHERE rn > 1 ORDER BY o_orderkey LIMIT 5000""")
+def duplicate_orders_top5000(spark, sf):
     """A few groups that hold all rows, and a long list."""
-    return duplicates.duplicate_rows(table(spark, sf, "lineitem"), KEY, ["l_returnflag", "l_quantity"], n=5000)
+    return duplicates.duplicate_rows(table(spark, sf, "orders"), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"], n=5000)
 
 
 @query("iqr_keep_mask", DIRTY + """SELECT l_orderkey, l_linenumber,

@@ -100,8 +100,13 @@ def duplicate_rows(df: DataFrame, key: Sequence[str], subset: Sequence[str] | No
         return list_of(copies_of(df, None, key), key, n)
     rows = df.select(*[col(c).alias(x) for x, c in zip(names, key)], *row_digest(df, subset))
     groups = rows.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*names)).alias("original"))
+    # The join has brought a group's rows together, so counting those of one key moves nothing.
     others = (rows.join(groups.filter("copies > 1").drop("copies"), ["d0", "d1"])
-              .filter(F.struct(*names) > F.col("original")).orderBy(*names, "d0", "d1").limit(n))
-    place = F.row_number().over(Window.partitionBy("d0", "d1").orderBy(*names))  # among n rows
-    listed = others.withColumn("copy", place).select(*[F.col(x).alias(c) for x, c in zip(names, key)], "copy")
+              .groupBy("d0", "d1", *names, "original").agg(F.count(F.lit(1)).alias("rows"))
+              .withColumn("rows", F.col("rows") - F.when(F.struct(*names) == F.col("original"), 1).otherwise(0))
+              .filter("rows > 0").orderBy(*names, "d0", "d1").limit(n))
+    numbers = F.sequence(F.lit(1), F.least("rows", F.lit(n)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("d0", "d1").orderBy(*names, "number"))  # among n rows per key
+    listed = others.withColumn("number", F.explode(numbers)).withColumn("copy", place).select(
+        *[F.col(x).alias(c) for x, c in zip(names, key)], "copy").orderBy(*[col(c) for c in key], "copy").limit(n)
     return listed.orderBy(*[col(c) for c in key], "copy")

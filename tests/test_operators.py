@@ -236,6 +236,14 @@ def test_duplicate_rows_over_a_subset(spark):
     assert found == [{"id": 300, "copy": 1}, {"id": 301, "copy": 1}, {"id": 302, "copy": 1}]
 
 
+def test_duplicate_rows_of_a_key_that_repeats(spark):
+    data = [(1, "a"), (1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (3, "b")]
+    frame = spark.createDataFrame(data, "k int, v string")
+    found = rows(duplicates.duplicate_rows(frame, ["k"], ["v"]))
+    assert [(r["k"], r["copy"]) for r in found] == [(1, 1), (1, 2), (2, 3), (3, 1), (3, 2)]
+    assert found[:2] == rows(duplicates.duplicate_rows(frame, ["k"], ["v"], n=2))
+
+
 @pytest.mark.parametrize("n_values, applicable", [(19, True), (20, False), (21, False)])
 def test_class_limit(spark, n_values, applicable):
     frame = spark.range(100).select((F.col("id") % n_values).alias("y"))
