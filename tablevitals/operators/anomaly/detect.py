@@ -139,12 +139,10 @@ def labelled(scored: DataFrame, key: Sequence[str], names: Sequence[str],
     ends = scored.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
     percentile = {"isolation_forest": 1 - config.forest.contamination,
                   "autoencoder": config.autoencoder.threshold_percentile / 100}
-    # Detectors that share a percentile share the passes.
-    cuts: dict[str, float] = {}
-    for p in {percentile[n] for n in names}:
-        same = [n for n in names if percentile[n] == p]
-        found = quantile_values(scored, [p], same, config.quantile_method)
-        cuts.update({n: found[n][0] for n in same})
+    # All thresholds come from the same passes; each detector takes its own.
+    asked = sorted({percentile[n] for n in names})
+    found = quantile_values(scored, asked, names, config.quantile_method)
+    cuts = {n: found[n][asked.index(percentile[n])] for n in names}
     labels, scores = {}, {}
     for name in names:
         low, high = ends[f"min_{name}"], ends[f"max_{name}"]

@@ -165,8 +165,10 @@ def _counted(data: DataFrame, ranges: list[_Range], ends: list[tuple[float, floa
     width = 2 * max(map(len, limits.values())) + 1
     places = []
     for i, (c, values) in enumerate(limits.items()):
-        passed = " + ".join(f"CAST({c} >= {_literal(x)} AS INT) + CAST({c} > {_literal(x)} AS INT)" for x in values)
-        places.append(f"CASE WHEN {c} IS NOT NULL THEN {i * width} + {passed} END")
+        first = i * width
+        steps = " ".join(f"WHEN {c} < {_literal(x)} THEN {first + 2 * k} WHEN {c} = {_literal(x)} THEN {first + 2 * k + 1}"
+                         for k, x in enumerate(values))
+        places.append(f"CASE {steps} WHEN {c} IS NOT NULL THEN {first + 2 * len(values)} END")
     counted = (data.selectExpr(f"explode(array({', '.join(places)})) AS place").filter("place IS NOT NULL")
                .groupBy("place").agg(F.count(F.lit(1)).alias("rows")))
     rows = {row["place"]: row["rows"] for row in counted.collect()}

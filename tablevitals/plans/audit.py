@@ -33,7 +33,6 @@ from tablevitals.sources.readers import Dataset, load
 from tablevitals.sources.writers import save_flags, save_json
 
 
-
 QUARTILES = (0.25, 0.5, 0.75)
 
 #: Bins of the anomaly score plot (fixed value).
@@ -113,44 +112,39 @@ def profile_table(df: DataFrame, key: Sequence[str] = (), config: Config = Confi
 
 def _profile(df: DataFrame, key: Sequence[str], config: Config, target: str | None) -> Profile:
     spark, target = df.sparkSession, target or pick_target(df)
-    columns = column_profile(df)
-    found = columns.collect()  # one row per column
-    columns = _kept(found, columns)
-    numeric = [row["column"] for row in found if row["role"] == "numeric"]
-    n_rows = found[0]["n_rows"] if found else 0
-    few_values = next(row["few_values"] for row in found if row["column"] == target)
-    checked = [c for c in numeric if c not in config.exclude]
 
     def kept(frame: DataFrame) -> DataFrame:
         return _kept(frame.collect(), frame)
 
-    def outlier_counts(quartiles: dict) -> DataFrame:
-        fences = {c: fences_of(q[0], q[2]) for c, q in quartiles.items()}
-        return kept(iqr_outliers(df, checked, fences=fences))
-
-    def label_counts() -> DataFrame:
-        """At most MAX_CLASSES rows, one more than a label column may have."""
-        counts = class_distribution(df, target)
-        return kept(counts.limit(MAX_CLASSES) if few_values else counts.limit(0))
-
-    with ThreadPoolExecutor(4) as pool:  # independent jobs, which fill each other's idle cores
-        def start(work, *args, **options):
-            return pool.submit(inheritable_thread_target(spark)(work), *args, **options)
+    def start(work, *args, **options):
+        return pool.submit(inheritable_thread_target(spark)(work), *args, **options)
 
+    with ThreadPoolExecutor(5) as pool:  # independent jobs, which fill each other's idle cores
         quartiles = start(quantile_values, df, QUARTILES, method=config.quantile_method)
+        profiled = start(lambda: kept(column_profile(df)))
         moments = start(lambda: kept(numeric_moments(df)))
         correlations = start(lambda: materialize(correlation_matrix(df)))
         copies = start(lambda: materialize(copies_of(df, keep=key)))
-        labels = start(label_counts)
-        outliers = start(outlier_counts, quartiles.result())
+        columns = profiled.result()
+        found = columns.collect()  # one row per column
+        labels = start(lambda: kept(_label_counts(df, target, found)))
+        fences = {c: fences_of(q[0], q[2]) for c, q in quartiles.result().items()}
+        checked = [c for c in fences if c not in config.exclude]
+        outliers = start(lambda: kept(iqr_outliers(df, checked, fences=fences)))
         repeated = copies.result()
         medians = [(c, values[1]) for c, values in quartiles.result().items()]
         median = spark.createDataFrame(medians, "column string, median double")
-        first = list_of(repeated, key, 100) if key else None
+        first = kept(list_of(repeated, key, 100)) if key else None
         return Profile(
             df, columns, kept(moments.result().join(F.broadcast(median), "column")), quartiles.result(),
-            correlations.result(), outliers.result(), labels.result(), target, n_rows, count_of(repeated),
-            kept(first) if key else None, key)
+            correlations.result(), outliers.result(), labels.result(), target, found[0]["n_rows"] if found else 0,
+            count_of(repeated), first, key)
+
+
+def _label_counts(df: DataFrame, target: str, profiled: list[Row]) -> DataFrame:
+    """Rows per label: MAX_CLASSES of them at most, one more than a label column may have."""
+    few = next(row["few_values"] for row in profiled if row["column"] == target)
+    return class_distribution(df, target).limit(MAX_CLASSES if few else 0)
 
 
 def _measured(profile: Profile) -> DataFrame:
@@ -200,8 +194,11 @@ def audit_table(df: DataFrame, key: Sequence[str] = (), config: Config = Config(
     tables are put together from them.
     """
     data = spread(df)
-    profile = _profile(data, key, config, target)
-    detection = detect(data, key, config=config, spread=False, n_rows=profile.n_rows) if config.detectors else None
+    with ThreadPoolExecutor(1) as pool:
+        found = pool.submit(inheritable_thread_target(df.sparkSession)(detect), data, key, config=config, spread=False) \
+            if config.detectors else None
+        profile = _profile(data, key, config, target)
+        detection = found.result() if found else None
     metrics = rated(_measured(profile), config.thresholds)
     summary = detection.summary().first() if detection and detection.usable else None
     if summary:
