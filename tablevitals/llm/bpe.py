@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tablevitals.llm.common import ref
+from tablevitals.llm.common import ref, slices
 
 #: Pieces a worker remembers, and the longest it does remember; beyond, pieces are encoded anew.
 REMEMBERED, LONGEST = 250_000, 64
@@ -146,8 +146,8 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(_tokenizer_path(tokenizer))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for cut in slices(batch.column("text")):
+                part = batch.slice(cut.start, cut.stop - cut.start)
                 rows = [codec.run(t.as_py() or "") for t in part.column("text")]
                 columns = [part.column("doc_id"), pa.array([r[2] for r in rows], pa.int64()),
                            pa.array([hashlib.sha256(r[0].encode()).hexdigest() for r in rows]),

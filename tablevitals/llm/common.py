@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +41,30 @@ def ascii_lower(text: Column) -> Column:
 def fold(doc_id: Column, folds: int) -> Column:
     """The fold of a document: crc32 of its id as text, by remainder; a missing id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+#: Bytes of text that a Python worker takes on at a time; a longer text stays whole.
+TEXT_BYTES = 2 << 20
+#: Size of the record batches that Spark hands to Python workers in ``small_batches``.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def slices(texts: pa.Array, most_bytes: int = TEXT_BYTES) -> Iterator[slice]:
+    """Cuts an array of texts into runs of at most ``most_bytes``, so that memory is bounded whatever their lengths."""
+    sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        yield slice(at, upto)
+        at = upto
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Queries that run in here hand their rows to Python workers in small batches."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import ref
+from tablevitals.llm.common import ref, slices
 
 #: Bytes of text that are compressed at a time; the sizes of a text's pieces add up.
 PIECE = 512
@@ -104,8 +104,8 @@ def identify_language(docs: DataFrame, lang: Column, learn: Column, id_col: str
         law = Classifier(dictionaries)
         for texts in batches:
             rows = []
-            for at in range(0, len(texts), 500):
-                plain = letters_only(texts.slice(at, 500))
+            for cut in slices(texts):
+                plain = letters_only(texts.slice(cut.start, cut.stop - cut.start))
                 rows += [law.predict(t.as_py().encode()) for t in plain]
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()),
                                               pa.array([r[1] for r in rows], pa.float64()),

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import ref
+from tablevitals.llm.common import ref, slices, small_batches
 from tablevitals.llm.components import components
 from tablevitals.llm.shingles import MinHash, shingle_sets
 from tablevitals.session import materialize
@@ -51,8 +51,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_shingles, high, low, sketch words, bands): high and low are a digest of the whole set."""
     law = MinHash(BANDS, ROWS, BITS)
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for cut in slices(batch.column("text")):
+            part = batch.slice(cut.start, cut.stop - cut.start)
             sets = shingle_sets(part.column("text"))
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             filled = [k for k, s in enumerate(sets) if len(s)]
@@ -71,8 +71,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for cut in slices(batch.column("text")):
+            part = batch.slice(cut.start, cut.stop - cut.start)
             sets = shingle_sets(part.column("text"))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -255,6 +255,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one document. A document without an id has no component and is kept. Other columns are ignored whatever their
     names; an empty table gives none.
     """
+    with small_batches(docs.sparkSession):  # all steps that use Python run in here
+        return _near_dedup(docs, id_col, text_col)
+
+
+def _near_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(text_col).alias("text"))
     words = ", ".join(f"{c} long" for c in SKETCH)
     described = materialize(texts.mapInArrow(

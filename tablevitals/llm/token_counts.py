@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import ref, whole_text
+from tablevitals.llm.common import ref, slices, small_batches, whole_text
+from tablevitals.session import materialize
 
 WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
@@ -41,15 +42,16 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, width: int = 2, t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
+            for cut in slices(batch.column("text")):
                 ids = [np.asarray(encoding.encode_ordinary(t.as_py())).astype(WIDTHS[width]).tobytes()
-                       for t in batch.column("text").slice(at, 1000)]
+                       for t in batch.column("text")[cut]]
                 yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
 
-    (docs.select(whole_text(ref(text_col)).alias("text")).mapInArrow(encode, "ids binary")
-     .select(F.col("ids").cast("string"))
-     .write.option("encoding", "ISO-8859-1").option("lineSep", end_id.to_bytes(width, "little").decode("latin-1"))
-     .text(path))
+    lines = (docs.select(whole_text(ref(text_col)).alias("text")).mapInArrow(encode, "ids binary")
+             .select(F.col("ids").cast("string")))
+    line_end = end_id.to_bytes(width, "little").decode("latin-1")
+    with small_batches(docs.sparkSession):
+        lines.write.option("encoding", "ISO-8859-1").option("lineSep", line_end).text(path)
 
 
 def _blocks(spark: SparkSession, path: str, block_bytes: int) -> DataFrame:
@@ -92,9 +94,10 @@ def token_counts(spark: SparkSession, path: str, end_id: int, width: int = 2, bl
     ``closed``; documents don't run on into another file. Empty files hold none. A file must be under 2 GB, the most
     Spark hands over of one file, and a whole number of tokens long. ``block_bytes`` is a multiple of ``width``.
     """
-    summaries = _blocks(spark, path, block_bytes).mapInArrow(
-        _summaries(end_id, width), "file string, block int, n_ids long, n_ends long, tail long, starts array<long>, "
-                                   "counts array<long>")
+    with small_batches(spark):
+        summaries = materialize(_blocks(spark, path, block_bytes).mapInArrow(
+            _summaries(end_id, width), "file string, block int, n_ids long, n_ends long, tail long, starts array<long>, "
+                                       "counts array<long>"))
     # A file has 2 GB / block_bytes summaries at most.
     ordered = Window.partitionBy("file").orderBy("block")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)

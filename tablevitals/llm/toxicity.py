@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.llm import recurrent
-from tablevitals.llm.common import ref
+from tablevitals.llm.common import ref, slices
 from tablevitals.llm.recurrent import Adam, Network, Words, read_words, window_words, windows
 
 #: Texts by which the odds of a rare word are drawn towards those of all words.
@@ -118,8 +118,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = [np.zeros(0)]
-            for at in range(0, len(texts), 1000):
-                part = texts.slice(at, 1000)
+            for cut in slices(texts):
+                part = texts.slice(cut.start, cut.stop - cut.start)
                 if network is None:
                     parts.append(np.zeros(len(part)))
                 else:
