@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from tablevitals.config import AutoencoderParams, Config, Thresholds
 from tablevitals.functions import scalars
 from tablevitals.functions.columns import normalize, union_all
-from tablevitals.operators import (classes, correlation, duplicates, features, histogram, missing, moments, outliers,
+from tablevitals.operators import (classes, correlation, drift, duplicates, features, histogram, missing, moments, outliers,
                                    profile, quantiles, text_types)
 from tablevitals.operators.anomaly import detect as anomaly
+from tablevitals.operators.anomaly.embeddings import embedding_outliers
 from tablevitals.operators.anomaly.forest import fit_forest, forest_score
 from tablevitals.operators.anomaly.network import fit_network, network_error
 from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
@@ -28,6 +29,7 @@ from tablevitals.plans.audit import audit_table, plot_tables, score_table
 from tablevitals.session import scratch_path
 from tablevitals.sources import metadata, readers, writers
 from tablevitals.sources.sample_data import sample_rows
+from tablevitals.streaming.quality import run_to_end, window_quality
 
 KEY = ["l_orderkey", "l_linenumber"]
 DIRTY_NUMERIC = ["l_orderkey", "l_linenumber", "quantity", "qty_scaled", "price", "target"]
@@ -642,6 +644,67 @@ def histogram_numeric(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
+# Optional extensions ------------------------------------------------------------------------------
+
+@query("zscore_outliers", DIRTY + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, round(min(m), 6) AS mean, round(min(s), 6) AS std,
+  count(*) FILTER (abs({c} - m) > 3 * s) AS outliers
+FROM dirty, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM dirty)""" for c in DIRTY_NUMERIC))
+def zscore_outliers(spark, sf):
+    found = outliers.zscore_outliers(dirty(spark, sf))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+DRIFT_COLUMNS = ["c_acctbal", "c_nationkey"]
+
+
+@query("drift", """WITH cells AS (
+  SELECT 'c_acctbal' AS "column", true AS old, c_acctbal AS x FROM customer UNION ALL SELECT 'c_acctbal', false, s_acctbal FROM supplier
+  UNION ALL SELECT 'c_nationkey', true, c_nationkey::DOUBLE FROM customer UNION ALL SELECT 'c_nationkey', false, s_nationkey::DOUBLE / 2 FROM supplier),
+ends AS (SELECT "column", min(x) AS lo, max(x) AS hi FROM cells WHERE old GROUP BY "column"),
+counted AS (SELECT "column", greatest(0, least(9, floor((x - lo) / (hi - lo) * 10))) AS bin, count(*) FILTER (old) AS b,
+  count(*) FILTER (NOT old) AS n FROM cells JOIN ends USING ("column") GROUP BY ALL),
+shares AS (SELECT "column", b / sum(b) OVER w AS p, n / sum(n) OVER w AS q,
+  abs(sum(b) OVER o / sum(b) OVER w - sum(n) OVER o / sum(n) OVER w) AS gap
+  FROM counted WINDOW w AS (PARTITION BY "column"), o AS (PARTITION BY "column" ORDER BY bin))
+SELECT "column", round(sum((greatest(p, 1e-4::DOUBLE) - greatest(q, 1e-4::DOUBLE)) * ln(greatest(p, 1e-4::DOUBLE) / greatest(q, 1e-4::DOUBLE))), 6) AS psi,
+  round(max(gap), 6) AS ks, sum((greatest(p, 1e-4::DOUBLE) - greatest(q, 1e-4::DOUBLE)) * ln(greatest(p, 1e-4::DOUBLE) / greatest(q, 1e-4::DOUBLE))) > 0.2 AS drifted
+FROM shares GROUP BY "column\"""")
+def drift_query(spark, sf):
+    """Suppliers held against customers."""
+    now = table(spark, sf, "supplier").select(F.col("s_acctbal").alias("c_acctbal"), (F.col("s_nationkey") / 2).alias("c_nationkey"))
+    found = drift.drift(table(spark, sf, "customer"), now, DRIFT_COLUMNS)
+    return found.withColumns({c: F.round(c, 6) for c in ("psi", "ks")})
+
+
+@query("text_checks", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS missing, count(*) FILTER (trim({c}) = '') AS blank,
+  count(*) FILTER (length({c}) < 100) AS too_short, count(*) FILTER (length({c}) > 5000) AS too_long,
+  count(*) FILTER (contains({c}, chr(65533)) OR contains({c}, chr(0))) AS broken, min(length({c}))::INTEGER AS min_length,
+  round(avg(length({c})), 6) AS mean_length, max(length({c}))::INTEGER AS max_length FROM documents""" for c in ("text", "lang", "source")))
+def text_checks(spark, sf):
+    found = text_types.text_checks(table(spark, sf, "documents"), shortest=100, longest=5000)
+    return found.withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query("stream_quality", """WITH e AS (SELECT date_trunc('day', ts) AS day, event_type, CASE WHEN event_id % 5 > 0 THEN value END AS value FROM events)
+SELECT strftime(day, '%Y-%m-%d') AS day, 'value' AS "column", count(*) AS n_rows, count(*) - count(value) AS missing,
+  count(*) FILTER (value > 100) AS invalid, printf('%.2f', (count(*) - count(value))::DOUBLE / count(*) * 100)::DOUBLE AS missing_pct FROM e GROUP BY day
+UNION ALL SELECT strftime(day, '%Y-%m-%d'), 'event_type', count(*), 0, 0, 0.0::DOUBLE FROM e GROUP BY day""")
+def stream_quality(spark, sf):
+    """events as a stream of files, every fifth value missing."""
+    source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+    events = source.withColumn("value", F.when(F.col("event_id") % 5 > 0, F.col("value")))
+    quality = window_quality(events, "ts", ["value", "event_type"], {"value": F.col("value") <= 100})
+    found = run_to_end(quality, scratch_path(spark, "checkpoint"), scratch_path(spark, "windows"))
+    return found.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
+
+
+@query("embedding_outliers")
+def embedding_outliers_query(spark, sf):
+    return embedding_outliers(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
 # Scalar functions ---------------------------------------------------------------------------------
 
 @query("fn_percentage", """SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 0.0::DOUBLE

@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.functions.columns import as_double, chunks, col, numeric_columns, union_all
+from tablevitals.functions.columns import as_double, chunks, col, finite_double, numeric_columns, union_all
 from tablevitals.operators.quantiles import quantile_values
 
 #: Fences lie this many interquartile ranges outside the quartiles (fixed value).
 IQR_MULTIPLIER = 1.5
 
+#: A z-score beyond this marks an outlier (fixed value).
+ZSCORE_LIMIT = 3.0
+
 COLUMNS_PER_AGGREGATE = 30
 
 
@@ -57,6 +60,29 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, multiplier
     return union_all(parts)
 
 
+def zscore_outliers(df: DataFrame, columns: Sequence[str] | None = None, limit: float = ZSCORE_LIMIT) -> DataFrame:
+    """One row per numeric column: n, mean, std (n-1), outliers (more than ``limit`` deviations off the mean).
+
+    A constant column has none. Infinite cells are left out.
+    """
+    columns = list(columns if columns is not None else numeric_columns(df))
+    parts = []
+    for group in chunks(columns, COLUMNS_PER_AGGREGATE // 2):
+        cells = [finite_double(df, c) for c in group]
+        spread = df.agg(F.struct(*[f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(cells)
+                                   for f in (F.avg, F.stddev_samp)]).alias("s")).scalar()
+        data = df.select(*[x.alias(f"x{i}") for i, x in enumerate(cells)], spread.alias("s"))
+        far = [F.count_if(F.abs(F.col(f"x{i}") - F.col(f"s.avg{i}")) > limit * F.col(f"s.stddev_samp{i}")).alias(f"o{i}")
+               for i in range(len(group))]
+        counted = data.agg(F.any_value("s").alias("s"), *far, *[F.count(f"x{i}").alias(f"n{i}") for i in range(len(group))])
+        rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"s.avg{i}").alias("mean"),
+                         F.col(f"s.stddev_samp{i}").alias("std"), F.col(f"o{i}").alias("outliers")) for i, c in enumerate(group)]
+        parts.append(counted.select(F.inline(F.array(*rows))))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, n long, mean double, std double, outliers long")
+    return union_all(parts)
+
+
 def outlier_total(outliers: DataFrame) -> DataFrame:
     """One row over ``iqr_outliers``: total_outliers and the unrounded share of all numeric cells."""
     return outliers.agg(

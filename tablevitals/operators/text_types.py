@@ -38,3 +38,32 @@ def find_text_column(df: DataFrame) -> DataFrame:
     label = F.when(F.col("text_column") == first, F.lit(second)).when(
         F.col("text_column").isNotNull(), F.lit(first))
     return lengths.select(found.alias("text_column")).withColumn("label_column", label)
+
+
+def text_checks(df: DataFrame, columns: list[str] | None = None, shortest: int = 1, longest: int = 100_000) -> DataFrame:
+    """One row per string column: column, n, missing, blank, too_short, too_long, broken, min, mean and max length.
+
+    Lengths are in characters. ``broken`` texts hold the replacement character, the mark of a wrong decoding, or a
+    NUL character.
+    """
+    parts = []
+    for group in chunks(columns if columns is not None else string_columns(df), 10):
+        measured = []
+        for i, c in enumerate(group):
+            text, length = col(c), F.char_length(col(c))
+            measured += [
+                F.count(text).alias(f"n{i}"), F.count_if(F.btrim(text) == "").alias(f"blank{i}"),
+                F.count_if(length < shortest).alias(f"short{i}"), F.count_if(length > longest).alias(f"long{i}"),
+                F.count_if(F.contains(text, F.lit("\ufffd")) | F.contains(text, F.lit("\0"))).alias(f"broken{i}"),
+                F.min(length).alias(f"min{i}"), F.avg(length).alias(f"mean{i}"), F.max(length).alias(f"max{i}")]
+        counted = df.agg(F.count(F.lit(1)).alias("rows"), *measured)
+        rows = [F.struct(
+            F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), (F.col("rows") - F.col(f"n{i}")).alias("missing"),
+            F.col(f"blank{i}").alias("blank"), F.col(f"short{i}").alias("too_short"), F.col(f"long{i}").alias("too_long"),
+            F.col(f"broken{i}").alias("broken"), F.col(f"min{i}").alias("min_length"), F.col(f"mean{i}").alias("mean_length"),
+            F.col(f"max{i}").alias("max_length")) for i, c in enumerate(group)]
+        parts.append(counted.select(F.inline(F.array(*rows))))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, n long, missing long, blank long, too_short long, "
+                                                   "too_long long, broken long, min_length int, mean_length double, max_length int")
+    return union_all(parts)

@@ -9,6 +9,7 @@ from tablevitals.config import AutoencoderParams, Config, ForestParams
 from tablevitals.operators.anomaly import detect as detect_module
 from tablevitals.operators.anomaly.detect import (anomaly_summary, anomaly_threshold, detect, minmax_score,
                                                   percentile_labels)
+from tablevitals.operators.anomaly.embeddings import embedding_outliers
 from tablevitals.operators.anomaly.forest import (draw_samples, expected_path, fit_forest, forest_score,
                                                   forest_scores, grow_tree)
 from tablevitals.operators.anomaly.network import fit_network, gradient, initial_weights, layer_sizes, network_error, reconstruct
@@ -278,6 +279,18 @@ def test_labels_and_threshold(spark):
     assert anomaly_threshold(nobody).first()["threshold"] == 0.8
 
 
+def test_embedding_outliers(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (np.eye(8)[i % 3] * 10 + rng.normal(0, 0.1, 8)).tolist()) for i in range(300)]
+    rows += [(1000, [40.0] * 8), (1001, None), (1002, [1.0]), (1003, [float("nan")] * 8), (1004, [])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    found = {r["id"]: r for r in embedding_outliers(frame, "id", "v", components=4, clusters=3, percentile=0.99).collect()}
+    assert len(found) == 301 and sum(r["label"] for r in found.values()) == 3
+    spread = [r["distance"] for r in found.values() if r["id"] != 1000]
+    assert max(spread) < 20 and all(r["distance"] >= 0 for r in found.values())
+    assert embedding_outliers(frame.filter("id > 1000 AND id <> 1002"), "id", "v").collect() == []
+
+
 def test_single_row_and_constant_table(spark):
     one = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
     assert detect(one).rows.count() == 1

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablevitals.functions import scalars
 from tablevitals.functions.columns import normalize, pick_target
-from tablevitals.operators import (classes, correlation, duplicates, features, histogram, missing, moments, outliers,
+from tablevitals.operators import (classes, correlation, drift, duplicates, features, histogram, missing, moments, outliers,
                                    profile, quantiles, text_types)
 from tablevitals.plans import checks
 
@@ -185,6 +185,30 @@ def test_column_profile_of_odd_columns(spark):
     assert {r["n_rows"] for r in empty} == {0} and {r["missing_pct"] for r in empty} == {0.0}
 
 
+def test_drift_of_equal_and_shifted_tables(spark):
+    frame = spark.range(1000).select((F.col("id") % 100).cast("double").alias("x"), F.lit(None).cast("double").alias("none"),
+                                     F.lit(4.0).alias("flat"))
+    same = by_column(drift.drift(frame, frame))
+    assert set(same) == {"x", "flat"} and same["x"] == {"column": "x", "psi": 0.0, "ks": 0.0, "drifted": False}
+    moved = by_column(drift.drift(frame, frame.withColumn("x", F.col("x") / 10 + 200)))
+    assert moved["x"]["drifted"] and moved["x"]["ks"] == pytest.approx(0.9) and not moved["flat"]["drifted"]
+    assert rows(drift.drift(frame, frame.limit(0))) == []
+
+
+def test_zscores(spark):
+    frame = spark.createDataFrame([(float(v), 1.0) for v in [0] * 50 + [1] * 50 + [40, INF, NAN]], "x double, flat double")
+    found = by_column(outliers.zscore_outliers(frame))
+    assert (found["x"]["outliers"], found["x"]["n"], found["flat"]["outliers"]) == (1, 101, 0)
+    assert rows(outliers.zscore_outliers(frame.select(F.lit("s").alias("s")))) == []
+
+
+def test_text_checks(spark):
+    frame = spark.createDataFrame([("ok",), ("",), ("  ",), (None,), ("b\ufffdd",), ("n\0l",), ("é" * 9,)], "s string")
+    found = by_column(text_types.text_checks(frame, longest=8))["s"]
+    assert found == {"column": "s", "n": 6, "missing": 1, "blank": 2, "too_short": 1, "too_long": 1, "broken": 2,
+                     "min_length": 0, "mean_length": pytest.approx(19 / 6), "max_length": 9}
+
+
 def test_correlation_needs_two_columns(spark):
     assert rows(correlation.correlation_matrix(spark.createDataFrame([(1.0,)], "x double"))) == []
 
