@@ -11,13 +11,12 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tablevitals.llm.common import ref, slices
+from tablevitals.llm.common import per_process, ref, slices
 
 #: Pieces a worker remembers, and the longest it does remember; beyond, pieces are encoded anew.
 REMEMBERED, LONGEST = 250_000, 64
@@ -120,11 +119,6 @@ class Codec:
         return " ".join(ids), " ".join(decoded), n
 
 
-@lru_cache(maxsize=2)
-def _codec(path: str) -> Codec:
-    return Codec(path)
-
-
 def _tokenizer_path(name: str) -> str:
     if os.path.sep in name:
         return name
@@ -144,7 +138,8 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
     kind = docs.select(ref(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(_tokenizer_path(tokenizer))
+        path = _tokenizer_path(tokenizer)
+        codec = per_process(("codec", path), lambda: Codec(path))
         for batch in batches:
             for cut in slices(batch.column("text")):
                 part = batch.slice(cut.start, cut.stop - cut.start)

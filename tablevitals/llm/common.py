@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,19 @@ TEXT_BYTES = 2 << 20
 #: Size of the record batches that Spark hands to Python workers in ``small_batches``.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+T = TypeVar("T")
+
+
+def per_process(key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives, once per Python process.
+
+    The package's code travels with each task, so its own globals don't outlive one; a module of Python does.
+    """
+    held = vars(sys).setdefault("_tablevitals_held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
 
 def slices(texts: pa.Array, most_bytes: int = TEXT_BYTES) -> Iterator[slice]:
     """Cuts an array of texts into runs of at most ``most_bytes``, so that memory is bounded whatever their lengths."""

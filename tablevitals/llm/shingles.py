@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from tablevitals.llm.common import per_process
+
 SHINGLE_WORDS = 5
 #: Bytes hashed in one go.
 STRETCH = 1 << 20
@@ -44,9 +46,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps)
 
 
-_POWER, _UNDO = _powers(_BASE, STRETCH), _powers(_INVERSE, STRETCH)
-
-
 def _stretches(space: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cuts at text edges or white space, about ``STRETCH`` bytes each; a longer word stays whole."""
     at, end = 0, len(space)
@@ -80,10 +79,11 @@ def word_hashes(data: np.ndarray, edges: np.ndarray, space: np.ndarray) -> tuple
     last[:-1] &= space[1:] | is_edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     hashes = np.empty(len(starts), np.uint64)
+    usual = per_process("powers", lambda: (_powers(_BASE, STRETCH), _powers(_INVERSE, STRETCH)))
     for lo, hi in _stretches(space, edges):
         a, b = np.searchsorted(starts, (lo, hi))
         n = hi - lo
-        power, undo = (_POWER, _UNDO) if n <= STRETCH else (_powers(_BASE, n), _powers(_INVERSE, n))
+        power, undo = usual if n <= STRETCH else (_powers(_BASE, n), _powers(_INVERSE, n))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_LETTER[data[lo:hi]] * power[:n], out=sums[1:])
         s = starts[a:b] - lo

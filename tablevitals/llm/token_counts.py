@@ -9,21 +9,20 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import ref, slices, small_batches, whole_text
+from tablevitals.llm.common import per_process, ref, slices, small_batches, whole_text
 from tablevitals.session import materialize
 
 WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
-@lru_cache(maxsize=2)
 def _encoding(name: str):
+    """The tokenizer of a public vocabulary file, all strings ordinary text."""
     import public_tokenizers
     import tiktoken
 
@@ -40,7 +39,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, width: int = 2, t
     A missing text is a document without tokens.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = per_process(("encoding", tokenizer), lambda: _encoding(tokenizer))
         for batch in batches:
             for cut in slices(batch.column("text")):
                 ids = [np.asarray(encoding.encode_ordinary(t.as_py())).astype(WIDTHS[width]).tobytes()
