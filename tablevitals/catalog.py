@@ -277,14 +277,18 @@ def scan_text_lines(spark, sf):
     return readers.scan_text_lines(spark, path)
 
 
-@query("scan_text_dir", f"""SELECT 'lang=' || lang AS label, doc_id, trim(text, '{scalars.WHITESPACE}') AS text
-FROM documents WHERE trim(text, '{scalars.WHITESPACE}') <> ''""")
-def scan_text_dir(spark, sf):
+def _text_files(spark, sf):
     """documents as text files, one per document, named by its id, in a folder per language."""
     path = scratch_path(spark, "corpus")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     docs.repartition(8, "doc_id").write.partitionBy("doc_id", "lang").option("lineSep", "\n").text(path)
-    files = readers.scan_text_dir(spark, path)
+    return path
+
+
+@query("scan_text_dir", f"""SELECT 'lang=' || lang AS label, doc_id, trim(text, '{scalars.WHITESPACE}') AS text
+FROM documents WHERE trim(text, '{scalars.WHITESPACE}') <> ''""")
+def scan_text_dir(spark, sf):
+    files = readers.scan_text_dir(spark, _text_files(spark, sf))
     return files.select("label", F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "text")
 
 
@@ -305,6 +309,15 @@ def dataset_metadata(spark, sf):
     return metadata.table_metadata(table(spark, sf, "documents"))
 
 
+@query("dataset_metadata_texts", f"""SELECT 'text' AS dataset_type, count(*) FILTER (trim(text, '{scalars.WHITESPACE}') <> '') AS n_samples,
+  count(DISTINCT lang) AS n_classes, printf('%.2f', (sum(strlen(text) + 1) / 1048576.0)::DOUBLE)::DOUBLE AS file_size_mb
+FROM documents""")
+def dataset_metadata_texts(spark, sf):
+    """A folder of text files, loaded as such: samples, labels and bytes of its files."""
+    found = metadata.dataset_metadata(readers.load(spark, _text_files(spark, sf), kind="text"))
+    return found.select("dataset_type", "n_samples", "n_classes", "file_size_mb")
+
+
 @query("label_metadata", "SELECT count(*) AS n_samples, count(DISTINCT lang) AS n_classes FROM documents")
 def label_metadata(spark, sf):
     return metadata.label_metadata(table(spark, sf, "documents"), "lang")

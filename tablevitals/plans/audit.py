@@ -15,7 +15,7 @@ from tablevitals.config import Config
 from tablevitals.functions.columns import pick_target
 from tablevitals.functions.scalars import round_exact
 from tablevitals.operators.anomaly.detect import Detection, anomaly_threshold, detect
-from tablevitals.operators.classes import MAX_CLASSES, class_distribution
+from tablevitals.operators.classes import MAX_CLASSES, class_distribution, label_values
 from tablevitals.operators.correlation import HIGH_CORRELATION, correlation_matrix
 from tablevitals.operators.duplicates import copies_of, count_of, list_of
 from tablevitals.operators.histogram import histogram
@@ -303,7 +303,7 @@ def audit_dataset(spark: SparkSession, path: str, output: str | None = None, key
                   multiline: bool = False) -> AuditResult:
     """Load a dataset, audit it and write report, plot tables and per-row flags below ``output``.
 
-    Texts and images have no table checks; their report holds the metadata and no score. What the audit itself
+    Texts and images have no table checks; their report holds the metadata and no score, and their labels are a table. What the audit itself
     writes goes when it is done; without ``output`` the result needs it, so it goes with ``result.close()``.
     """
     with scratch(spark, keep=output is None) as folder:
@@ -321,6 +321,9 @@ def _audit_dataset(spark, path, output, key, config, kind, format, multiline) ->
         if output:
             result.paths["report"] = f"{output.rstrip('/')}/audit_report"
             save_json(metadata, result.paths["report"])
+            if "label" in dataset.data.columns:
+                result.paths["labels"] = f"{output.rstrip('/')}/labels"
+                save_json(label_values(dataset.data, "label"), result.paths["labels"])
         return result
     # An audit reads the table several times, a few columns at a time; what can't be read so is copied once.
     result = audit_table(dataset.data if dataset.columnar else materialize(dataset.data), key, config)

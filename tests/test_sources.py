@@ -237,6 +237,9 @@ def test_audit_of_a_text_folder(spark, tmp_path):
     result = audit_dataset(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert result.scores is None
     assert spark.read.json(result.paths["report"]).first()["n_samples"] == 1
+    assert rows(spark.read.json(result.paths["labels"])) == [{"count": 1, "label": "in"}]
+    single = audit_dataset(spark, str(tmp_path / "in" / "a.txt"), str(tmp_path / "out2"))
+    assert set(single.paths) == {"report"}
 
 
 def test_json_keeps_null_fields(spark, tmp_path):
