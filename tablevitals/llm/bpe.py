@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tablevitals.llm.common import per_process, ref, slices
 
 #: Pieces a worker remembers, and the longest it does remember; beyond, pieces are encoded anew.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
 
@@ -140,6 +140,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = _tokenizer_path(tokenizer)
         codec = per_process(("codec", path), lambda: Codec(path))
+        codec.known.clear()  # pieces are learnt anew per task, so that idle workers hold no more than the tokenizer
         for batch in batches:
             for cut in slices(batch.column("text")):
                 part = batch.slice(cut.start, cut.stop - cut.start)
@@ -152,6 +153,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
                     columns.append(pa.array([[int(i) for i in r[0].split()] for r in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        codec.known.clear()
 
     return docs.select(ref(id_col).alias("doc_id"), ref(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -72,6 +72,7 @@ def slices(texts: pa.Array, most_bytes: int = TEXT_BYTES) -> Iterator[slice]:
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
         yield slice(at, upto)
         at = upto
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next batch hands back what it doesn't use
 
 
 @contextmanager
