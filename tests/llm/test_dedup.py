@@ -63,6 +63,24 @@ def test_lines_on_odd_documents(spark):
     assert by_id[3] == (0, 0) and by_id[4] == (0, 0) and by_id[5] == (2, 0) and by_id[20][1] == 0 and by_id[21] == (4, 3)
 
 
+def test_passages_inside_long_lines(spark):
+    """A passage of 60 words in the middle of one-line texts goes from the later ones if long lines are broken."""
+    def own(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    passage = own("p", 60)
+    rows = [(k, f"{own(f'a{k}x', 7 * k + 3)} {passage} {own(f'b{k}x', 30)}", "en", "s", 1) for k in range(4)]
+    rows.append((9, f"{own('c', 30)}\nshort line\n{passage}", "en", "s", 1))
+    docs = edge.documents(spark, rows)
+    assert {r.doc_id: r.text for r in line_dedup(docs).collect()} == {r[0]: r[1] for r in rows}
+    found = {r.doc_id: r for r in line_dedup(docs, break_over=20).collect()}
+    assert found[0].text == rows[0][1]
+    for doc_id, text, *_ in rows[1:]:
+        left = found[doc_id].text.split()
+        assert sum(w[0] == "p" for w in left) <= 30 and found[doc_id].n_removed == 0
+        assert [w for w in text.split() if w[0] != "p"] == [w for w in left if w[0] != "p"]
+
+
 def test_near_on_odd_documents(spark):
     rows = edge.ROWS + [(30 + k, " ".join(["w%d" % j for j in range(60)][:60 - k]), "en", "s", 9) for k in range(8)]
     found = near_dedup(edge.documents(spark, rows)).collect()
