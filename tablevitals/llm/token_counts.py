@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tablevitals.llm.common import per_process, ref, slices, small_batches, whole_text
 from tablevitals.session import materialize
 
+#: Bytes of blocks that one task reads, one block after the other.
+TASK_BYTES = 32 << 20
 WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
@@ -53,13 +55,59 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, width: int = 2, t
         lines.write.option("encoding", "ISO-8859-1").option("lineSep", line_end).text(path)
 
 
-def _blocks(spark: SparkSession, path: str, block_bytes: int) -> DataFrame:
-    """(file, block, body) of all files below ``path``."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
+def _opened(file: str):
+    """The file, open for reading at any place."""
+    if file.startswith("file:"):
+        return open("/" + file.removeprefix("file:").lstrip("/"), "rb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(file)
+    return store.open_input_file(path)
+
+
+def _readable(file: str) -> bool:
+    try:
+        _opened(file).close()
+    except (OSError, ValueError, pa.ArrowException):
+        return False
+    return True
+
+
+def _ranges(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(file, block, body) of (file, length, block), one block at a time."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            since = row["block"] * block_bytes
+            wanted = min(block_bytes, row["length"] - since)
+            with _opened(row["file"]) as source:
+                source.seek(since)
+                body = source.read(wanted)
+            if len(body) != wanted:
+                raise ValueError(f"{row['file']} has changed while it was read")
+            yield pa.RecordBatch.from_pydict({"file": [row["file"]], "block": pa.array([row["block"]], pa.int32()),
+                                              "body": pa.array([body], pa.binary())})
+
+
+def _summarized_blocks(spark: SparkSession, path: str, end_id: int, width: int, block_bytes: int) -> DataFrame:
+    """The summary of each block of all files below ``path``.
+
+    Only paths and lengths are listed; blocks are dealt out over tasks whatever file they are of, and each is read by its
+    place. Files of a store that Spark alone can read come whole from Spark.
+    """
+    summary, schema = _summaries(end_id, width), ("file string, block int, n_ids long, n_ends long, tail long, "
+                                                  "starts array<long>, counts array<long>")
+    found = spark.read.format("binaryFile").load(path).where("length > 0")
     numbers = F.sequence(F.lit(0), F.expr(f"CAST((length - 1) div {block_bytes} AS INT)"))
-    cut = F.transform(numbers, lambda k: F.struct(
-        k.alias("block"), F.substring("content", k * block_bytes + 1, F.lit(block_bytes)).alias("body")))
-    return files.select(F.col("path").alias("file"), F.explode(cut).alias("b")).select("file", "b.*")
+    listed = found.select(F.col("path").alias("file"), "length")
+    total, example = listed.agg(F.sum("length"), F.min("file")).first()
+    if example is not None and not _readable(example):
+        cut = F.transform(numbers, lambda k: F.struct(
+            k.alias("block"), F.substring("content", k * block_bytes + 1, F.lit(block_bytes)).alias("body")))
+        whole = found.select(F.col("path").alias("file"), F.explode(cut).alias("b")).select("file", "b.*")
+        return whole.mapInArrow(summary, schema)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // TASK_BYTES))
+    dealt = listed.select("file", "length", F.explode(numbers).alias("block")).repartition(tasks)
+    return dealt.mapInArrow(lambda batches: summary(_ranges(batches, block_bytes)), schema)
 
 
 def _summaries(end_id: int, width: int):
@@ -90,19 +138,18 @@ def token_counts(spark: SparkSession, path: str, end_id: int, width: int = 2, bl
     """One row per document: file, doc_no (from 0 in its file), start (its first token's place), n_tokens, closed.
 
     Two ends in a row hold a document without tokens. Tokens after a file's last end are a document that isn't
-    ``closed``; documents don't run on into another file. Empty files hold none. A file must be under 2 GB, the most
-    Spark hands over of one file, and a whole number of tokens long. ``block_bytes`` is a multiple of ``width``.
+    ``closed``; documents don't run on into another file. Empty files hold none. A file may have any length that is a whole
+    number of tokens; only in a store that neither Python nor pyarrow can read must it be under 2 GB, the most Spark
+    hands over of one file. ``block_bytes`` is a multiple of ``width``.
     """
     with small_batches(spark):
-        summaries = materialize(_blocks(spark, path, block_bytes).mapInArrow(
-            _summaries(end_id, width), "file string, block int, n_ids long, n_ends long, tail long, starts array<long>, "
-                                       "counts array<long>"))
-    # A file has 2 GB / block_bytes summaries at most.
+        summaries = materialize(_summarized_blocks(spark, path, end_id, width, block_bytes))
+    # The scan of a file sees some numbers per block, not its documents.
     ordered = Window.partitionBy("file").orderBy("block")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast("long")
-    scanned = (summaries
+    scanned = (summaries.select("file", "block", "n_ids", "n_ends", "tail")
                .withColumn("ids_before", F.coalesce(F.sum("n_ids").over(before), zero))
                .withColumn("ends_before", F.coalesce(F.sum("n_ends").over(before), zero))
                .withColumn("tails", F.sum("tail").over(upto))
@@ -111,7 +158,8 @@ def token_counts(spark: SparkSession, path: str, end_id: int, width: int = 2, bl
                .withColumn("open_before", F.coalesce(F.max("tails").over(before), zero)
                            - F.coalesce(F.last("settled", ignorenulls=True).over(before), zero))
                .withColumn("is_last", F.lead("block").over(ordered).isNull()))
-    ended = scanned.select(
+    documents = summaries.where("n_ends > 0").select("file", "block", "starts", "counts")
+    ended = documents.join(scanned, ["file", "block"]).select(
         "file", "ids_before", "ends_before", "open_before",
         F.posexplode(F.arrays_zip("starts", "counts")).alias("k", "doc"))
     first = F.when(F.col("k") == 0, F.col("open_before")).otherwise(0)

@@ -113,6 +113,27 @@ def test_blocks_are_stitched(spark, tmp_path, width, block):
     assert sorted(found["y.bin"]) == [(0, 0, 0, True), (1, 1, 0, True), (2, 2, 1, True)] and "z.bin" not in found
 
 
+def test_a_file_of_more_than_two_gigabytes(spark, tmp_path):
+    """A file with holes, which take no disk: its ends lie before, at and after 2 GB."""
+    ends, n_ids = [5, 900_000_000, (1 << 30) - 1, 1 << 30, 1_200_000_000], 1_200_000_100
+    with open(f"{tmp_path}/huge.bin", "wb") as out:
+        for end in ends:
+            out.seek(2 * end)
+            out.write(np.array([7], "<u2").tobytes())
+        out.truncate(2 * n_ids)
+    found = sorted((r.doc_no, r.start, r.n_tokens, r.closed) for r in token_counts(spark, str(tmp_path), 7).collect())
+    starts = [0, *(e + 1 for e in ends)]
+    assert found == [(k, s, e - s, k < len(ends)) for k, (s, e) in enumerate(zip(starts, [*ends, n_ids]))]
+
+
+def test_stores_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    ids = np.array([1, 7, 7, 2, 3, 4, 5, 7, 6], "<u2")
+    ids.tofile(f"{tmp_path}/x.bin")
+    want = token_counts(spark, str(tmp_path), 7, block_bytes=4).collect()
+    monkeypatch.setattr("tablevitals.llm.token_counts._readable", lambda file: False)
+    assert sorted(token_counts(spark, str(tmp_path), 7, block_bytes=4).collect()) == sorted(want) and len(want) == 4
+
+
 def test_empty_tables(spark, tmp_path):
     assert encode_decode(edge.documents(spark, [])).collect() == []
     write_token_files(edge.documents(spark, []), f"{tmp_path}/tokens", END_OF_DOCUMENT)
