@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tablevitals.llm import exact_dedup as exact
+from tablevitals.llm import near_dedup as near
 from tablevitals.llm.components import components
 from tablevitals.llm.line_dedup import line_dedup
 from tablevitals.llm.near_dedup import near_dedup
@@ -147,6 +149,20 @@ def test_odd_sketches_estimate_similarity():
         assert abs(np.mean(cells) - law.most_different_cells(similarity)) < 4
 
 
+@pytest.mark.parametrize("similarity", [0.75, 0.76, 0.78, 0.8])
+def test_sketches_lose_fewer_pairs_than_bands(similarity):
+    """Exact odds: of the samples that differ, either side's falls into a cell and turns its parity."""
+    odds, cells = np.eye(1, near.BITS + 1)[0], np.arange(near.BITS + 1) / near.BITS
+    lost, samples = 0.0, near.BANDS * near.ROWS
+    most = MinHash(near.BANDS, near.ROWS, near.BITS).most_different_cells(near.LEAST_ESTIMATE)
+    for differ in range(samples + 1):
+        lost += math.comb(samples, differ) * (1 - similarity) ** differ * similarity ** (samples - differ) * odds[most + 1:].sum()
+        for _ in range(2):
+            up, down = odds * (1 - cells), odds * cells
+            odds = np.concatenate([[0], up[:-1]]) + np.concatenate([down[1:], [0]])
+    assert lost < (1 - similarity ** near.ROWS) ** near.BANDS
+
+
 def test_components_of_a_long_path(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)]
     found = components(spark.createDataFrame(pairs, "a long, b long")).collect()
