@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablevitals.llm import recurrent
 from tablevitals.llm.common import ref, slices
 from tablevitals.llm.recurrent import Adam, Network, Words, read_words, window_words, windows
+from tablevitals.session import materialize
 
 #: Texts by which the odds of a rare word are drawn towards those of all words.
 IMAGINED = 8
@@ -19,17 +20,26 @@ IMAGINED = 8
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: tuple[int, int],
                     chars: int) -> tuple[list[str], list[int]]:
-    """``rows`` texts at most of label 0 and 1, chosen by a hash of the id, none of more than ``chars`` characters.
+    """``rows`` texts at most of label 0 and 1, chosen by a hash of the id among the documents that have a text.
 
-    labels: doc_id and toxic (0 or 1). A document with several labels counts as toxic if one says so.
+    labels: doc_id and toxic (0 or 1). A document with several labels counts as toxic if one says so. Texts of more than
+    ``chars`` characters come after the others, as only a stretch of so many, at a place given by a hash, is learnt from.
     """
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id")
              .agg(F.max("toxic").alias("toxic")))
-    chosen = [known.where(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[side])
+    length = F.char_length("text")
+    there = docs.where(length.isNotNull()).groupBy("doc_id").agg(F.min(length > chars).alias("long"))
+    known = materialize(known.join(there, "doc_id"))
+    chosen = [known.where(F.col("toxic") == side).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(rows[side])
               for side in (0, 1)]
     # At most sum(rows) ids.
-    texts = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").where(F.char_length("text") <= chars)
-    found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "toxic"))
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), length - chars + 1)).cast("int") + 1
+    texts = docs.join(ids, "doc_id").where(length.isNotNull()).select(
+        "doc_id", "toxic", F.struct((length > chars).alias("long"), F.substring("text", start, F.lit(chars)).alias("text"))
+        .alias("best"))
+    found = texts.groupBy("doc_id").agg(F.min("best").alias("best"), F.first("toxic").alias("toxic")).select(
+        "doc_id", "best.text", "toxic").collect()
     found.sort(key=lambda row: row["doc_id"])
     return [row["text"] for row in found], [int(row["toxic"]) for row in found]
 

@@ -11,7 +11,7 @@ from tablevitals.llm.catalog import QUERIES
 from tablevitals.llm.language import identify_language
 from tablevitals.llm.neighbours import cut_graph, nearest, nearest_neighbours
 from tablevitals.llm.recurrent import Adam, Network, read_words, window_words, windows
-from tablevitals.llm.toxicity import score_toxicity
+from tablevitals.llm.toxicity import labelled_sample, score_toxicity
 from tests.llm import edge
 
 
@@ -76,6 +76,20 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert all(0 <= r["score"] <= 1 and r.predicted == int(r["score"] >= 0.5) for r in found.values())
 
 
+def test_toxicity_sample_holds_places_for_texts_alone(spark):
+    """Labels without a document take no place, and texts over the length are learnt from when there are no others."""
+    rows, labels = labelled(spark)
+    docs = edge.documents(spark, rows).select("doc_id", "text")
+    missing = spark.createDataFrame([(d, d % 2) for d in range(5000, 9000)], "doc_id long, toxic int")
+    for chars in (20_000, 40, 10):
+        texts, toxic = labelled_sample(docs, labels.unionByName(missing), every_row(), (60, 50), chars)
+        assert (toxic.count(0), toxic.count(1)) == (60, 50) and max(map(len, texts)) <= chars
+    short = {r[1] for r in rows if len(r[1]) <= 300}
+    assert set(labelled_sample(docs, labels, every_row(), (5, 5), 300)[0]) <= short
+    found = score_toxicity(edge.documents(spark, rows), labels, every_row(), chars=10).collect()
+    assert len({r["score"] for r in found}) > 1
+
+
 def test_toxicity_without_examples(spark):
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     rows = score_toxicity(edge.documents(spark), labels, every_row()).collect()
