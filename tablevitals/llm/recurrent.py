@@ -18,8 +18,8 @@ from tablevitals.llm.shingles import end_to_end, mixed, word_hashes
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
 GRAMS = (3, 4)
 WIDTH, STATE = 12, 10
-#: Words per window, and how far the next window starts.
-WINDOW, STEP = 32, 24
+#: Words per window, and how far the next window starts: runs of up to 17 words lie whole in some window.
+WINDOW, STEP = 32, 16
 BATCH = 4096
 #: Words whose n-grams' vectors are held at once.
 WORDS_AT_ONCE = 1 << 14

@@ -115,6 +115,18 @@ def test_windows_cover_every_word():
     assert np.diff(np.flatnonzero(number == 0)).min() >= 1 and len(set(text.tolist())) == len(texts)
 
 
+def test_short_passages_lie_whole_in_a_window():
+    import pyarrow as pa
+
+    words = read_words(pa.array([" ".join(chr(97 + k // 26) + chr(97 + k % 26) for k in range(n)) for n in (20, 33, 100, 500)]))
+    text, number = windows(words)
+    ids = window_words(words, text, number)
+    for k in range(4):
+        own = words.ids[words.text_start[k]:words.text_start[k + 1]].tolist()
+        whole = {tuple(row[at:at + 17]) for row in ids[text == k].tolist() for at in range(16)}
+        assert all(tuple(own[at:at + 17]) in whole for at in range(len(own) - 16))
+
+
 def test_gradients_match_differences():
     import pyarrow as pa
 
