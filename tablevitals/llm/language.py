@@ -38,13 +38,15 @@ def fit_dictionaries(docs: DataFrame, lang: Column, learn: Column, text_col: str
     """A raw dictionary per language from ``rows`` rows at most, ``chars`` characters of each, chosen by hash.
 
     The stretch taken of a text starts at a place given by its hash. Dictionaries hold rows x chars characters
-    at most, all of them together most_languages times that. The commonest language comes first.
+    at most, all of them together most_languages times that. The commonest language comes first; of more than
+    most_languages the commonest ones are learnt, of equally common ones the first by name.
     """
     text = ref(text_col)
-    counts = docs.where(learn & lang.isNotNull()).groupBy(lang.alias("lang")).count().limit(most_languages + 1).collect()
+    counts = (docs.where(learn & lang.isNotNull()).groupBy(lang.alias("lang")).count()
+              .orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect())
+    common = [(-row["count"], row["lang"]) for row in counts[:most_languages]]
     if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    common = sorted((-row["count"], row["lang"]) for row in counts)
+        learn = learn & lang.isin([name for _, name in common])
     order = F.xxhash64(text)
     start = F.pmod(order, F.greatest(F.lit(1), F.char_length(text) - chars)).cast("int") + 1
     known = docs.where(learn & lang.isNotNull() & (F.char_length(text) > 0)).select(
@@ -90,7 +92,8 @@ def identify_language(docs: DataFrame, lang: Column, learn: Column, id_col: str
                       least_margin: float = 0.002) -> DataFrame:
     """The documents, all columns, with lang_pred, score, margin and rejected appended.
 
-    Learns from the rows that ``learn`` marks and whose ``lang`` isn't missing. Only the text decides: lower-cased,
+    Learns from the rows that ``learn`` marks and whose ``lang`` isn't missing, the 1000 commonest values of it at most:
+    a text of any other gets the one of these it is most like. Only the text decides: lower-cased,
     letters alone, whole. A missing text, or one without a letter, is ``und`` with score and margin 0, and so is every
     text when nothing could be learnt. ``score`` is the share of the best language when a language counts e times
     less for every three bytes more; ``margin`` is how many bytes, per byte of text, the next one needs. Rejected

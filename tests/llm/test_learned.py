@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablevitals.llm.catalog import QUERIES
-from tablevitals.llm.language import identify_language
+from tablevitals.llm.language import fit_dictionaries, identify_language
 from tablevitals.llm.neighbours import cut_graph, nearest, nearest_neighbours
 from tablevitals.llm.recurrent import Adam, Network, read_words, window_words, windows
 from tablevitals.llm.toxicity import labelled_sample, score_toxicity
@@ -49,6 +49,20 @@ def test_language_without_labels(spark):
     assert identify_language(edge.documents(spark, []), F.col("lang"), every_row()).collect() == []
 
 
+def test_more_languages_than_are_learnt(spark):
+    """Free-text labels: the commonest ones are learnt, and every document gets a prediction."""
+    rows = [(k, f"odd words {k}", f"note {k}", "s", 1) for k in range(1100)]
+    rows += [(2000 + k, " ".join(edge.WORDS[k % 5:k % 5 + 12]), "en", "s", 1) for k in range(30)]
+    docs = edge.documents(spark, rows)
+    learnt = fit_dictionaries(docs, F.col("lang"), every_row())
+    assert len(learnt) == 1000 and next(iter(learnt)) == "en"
+    assert set(learnt) == {"en", *sorted(f"note {k}" for k in range(1100))[:999]}
+    few = fit_dictionaries(docs, F.col("lang"), every_row(), most_languages=1)
+    assert list(few) == ["en"] and few["en"] == fit_dictionaries(docs, F.col("lang"), F.col("lang") == "en")["en"]
+    found = identify_language(docs.where("doc_id % 100 = 1 OR doc_id >= 2000"), F.col("lang"), every_row()).collect()
+    assert len(found) == 41 and all(r.lang_pred != "und" for r in found)
+
+
 def labelled(spark):
     """Clean and toxic texts, the toxic ones with a bad word somewhere in the middle."""
     draw = np.random.default_rng(3)
