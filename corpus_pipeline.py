@@ -34,10 +34,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; repeated rows of one id and text are one."""
-    gone = near_dedup(docs).where("NOT kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").withColumn("text_hash", F.xxhash64("text"))
-    return rest.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    """The document with the smallest id of each near-duplicate group; repeated rows of one id and text are one.
+
+    Texts that share an id are compared and go one by one. Documents without an id are compared, too, and come before
+    all others. A row is named by 64 bits of id and text.
+    """
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    places = materialize(keyed.select("row_key", "doc_id").dropDuplicates(["row_key"]))
+    groups = near_dedup(keyed.select("row_key", "text"), "row_key").select(
+        F.col("doc_id").alias("row_key"), "component_id").distinct()
+    first = groups.join(places, "row_key").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "row_key")).alias("first")).select("first.row_key")
+    return keyed.dropDuplicates(["row_key"]).join(first, "row_key", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

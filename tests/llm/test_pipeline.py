@@ -51,6 +51,17 @@ def test_stages_on_odd_documents(spark, sf):
         assert stage(spark, docs.limit(0), sf).collect() == []
 
 
+def test_near_copies_go_row_by_row(spark, sf):
+    """Of two texts of one id only the near copy goes; rows without an id are compared and come first."""
+    text = {name: " ".join(f"{name}{k}" for k in range(40)) for name in "abcd"}
+    rows = [(1, text["a"]), (5, text["a"] + " end"), (5, text["b"]), (5, text["b"]), (None, text["c"]),
+            (None, text["c"] + " end"), (7, text["c"]), (8, text["d"]), (9, text["d"] + " end"), (10, None), (11, ""), (12, "")]
+    docs = edge.documents(spark, [(d, t, "en", "s", 1) for d, t in rows])
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = collections.Counter((r.doc_id, (r.text or "")[:1]) for r in STAGES["near_dedup"](spark, docs, sf).collect())
+    assert kept == {(1, "a"): 1, (5, "b"): 1, (None, "c"): 1, (8, "d"): 1, (10, ""): 1, (11, ""): 1, (12, ""): 1}
+
+
 def test_run_goes_through_all_stages(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
