@@ -24,9 +24,9 @@ from tablevitals.operators.anomaly.embeddings import embedding_outliers
 from tablevitals.operators.anomaly.forest import fit_forest, forest_score
 from tablevitals.operators.anomaly.network import fit_network, network_error
 from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
-from tablevitals.plans import checks, scoring
+from tablevitals.plans import checks, incremental, scoring
 from tablevitals.plans.audit import audit_table, plot_tables, score_table
-from tablevitals.session import scratch_path
+from tablevitals.session import materialize, scratch_path
 from tablevitals.sources import metadata, readers, writers
 from tablevitals.sources.sample_data import sample_rows
 from tablevitals.streaming.quality import run_to_end, window_quality
@@ -700,16 +700,17 @@ def text_checks(spark, sf):
     return found.withColumn("mean_length", F.round("mean_length", 6))
 
 
-@query("stream_quality", """WITH e AS (SELECT date_trunc('day', ts) AS day, event_type, CASE WHEN event_id % 5 > 0 THEN value END AS value FROM events)
+@query("stream_quality", """WITH e AS (SELECT date_trunc('day', ts) AS day, event_type, CASE WHEN event_id % 5 > 0 THEN value END AS value
+  FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY)
 SELECT strftime(day, '%Y-%m-%d') AS day, 'value' AS "column", count(*) AS n_rows, count(*) - count(value) AS missing,
   count(*) FILTER (value > 100) AS invalid, printf('%.2f', (count(*) - count(value))::DOUBLE / count(*) * 100)::DOUBLE AS missing_pct FROM e GROUP BY day
 UNION ALL SELECT strftime(day, '%Y-%m-%d'), 'event_type', count(*), 0, 0, 0.0::DOUBLE FROM e GROUP BY day""")
 def stream_quality(spark, sf):
-    """events as a stream of files, every fifth value missing."""
+    """events as a stream of files, every fifth value missing: the days that are closed when an event may be a day late."""
     source = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
     events = source.withColumn("value", F.when(F.col("event_id") % 5 > 0, F.col("value")))
     quality = window_quality(events, "ts", ["value", "event_type"], {"value": F.col("value") <= 100})
-    found = run_to_end(quality, scratch_path(spark, "checkpoint"), scratch_path(spark, "windows"))
+    found = run_to_end(quality, scratch_path(spark, "checkpoint"), scratch_path(spark, "windows")).windows
     return found.withColumn("day", F.date_format("window_start", "yyyy-MM-dd")).drop("window_start")
 
 
@@ -718,6 +719,76 @@ def embedding_outliers_query(spark, sf):
     return embedding_outliers(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
+# Profile of growing data ----------------------------------------------------------------------------
+
+ORDERS_COLUMNS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "price": "double",
+                  "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+ORDERS_SQL = """WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+  CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice END AS price, o_orderdate, o_orderpriority FROM orders)
+"""
+
+
+def _monthly_store(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """orders as a folder of months that fills up in three steps, each followed by an update of the profile."""
+    folder, store = scratch_path(spark, "orders"), scratch_path(spark, "profile")
+    months = table(spark, sf, "orders").withColumn("price", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_totalprice"))).select(
+        *ORDERS_COLUMNS, F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    for low, high in (("0000", "1994-07"), ("1994-07", "1996-02"), ("1996-02", "9999")):
+        months.where((F.col("month") >= low) & (F.col("month") < high)).repartition("month").write.mode("append").partitionBy(
+            "month").parquet(folder)
+        incremental.update_profile(spark, folder, store, exclude=["month"])
+    return folder, store
+
+
+def _column_sql(name: str, kind: str) -> str:
+    number = kind in ("bigint", "double")
+    numbers = [f"round({f}({name}), {d})" if number else "CAST(NULL AS DOUBLE)" for f, d in (
+        ("avg", 4), ("stddev_samp", 4), ("skewness", 6), ("kurtosis", 6))]
+    ends = [f"{f}({name})::DOUBLE" if number else "CAST(NULL AS DOUBLE)" for f in ("min", "max")]
+    role = "numeric" if number else "categorical" if kind == "string" else "datetime"
+    return (f"""SELECT '{name}' AS "column", '{kind}' AS type, '{role}' AS role, count(*) AS n_rows, count(*) - count({name}) AS missing,
+  printf('%.2f', (count(*) - count({name}))::DOUBLE / count(*) * 100)::DOUBLE AS missing_pct, {numbers[0]} AS mean, {numbers[1]} AS std,
+  {ends[0]} AS min, {ends[1]} AS max, {numbers[2]} AS skewness, {numbers[3]} AS kurtosis, TRUE AS distinct_close FROM o""")
+
+
+@query("incremental_profile", ORDERS_SQL + " UNION ALL ".join(_column_sql(*c) for c in ORDERS_COLUMNS.items()))
+def incremental_profile(spark, sf):
+    """Three updates, merged. Distinct counts are estimates: within 5 % of the true number, as SQL says."""
+    folder, store = _monthly_store(spark, sf)
+    rows = spark.read.parquet(folder)
+    true = rows.agg(*[F.count_distinct(c).alias(c) for c in ORDERS_COLUMNS]).unpivot(
+        [], list(ORDERS_COLUMNS), "name", "true")
+    found = incremental.stored_profile(spark, store).join(true, F.col("column") == F.col("name"))
+    return found.select(
+        "column", "type", "role", "n_rows", "missing", "missing_pct", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
+        "min", "max", F.round("skewness", 6).alias("skewness"), F.round("kurtosis", 6).alias("kurtosis"),
+        (F.abs(F.col("n_distinct") - F.col("true")) <= 0.05 * F.col("true")).alias("distinct_close"))
+
+
+@query("incremental_correlations", ORDERS_SQL + """SELECT 'o_orderkey' AS feature1, 'o_custkey' AS feature2, round(corr(o_orderkey, o_custkey), 6) AS correlation FROM o
+UNION ALL SELECT 'o_orderkey', 'price', round(corr(o_orderkey, price), 6) FROM o
+UNION ALL SELECT 'o_custkey', 'price', round(corr(o_custkey, price), 6) FROM o""")
+def incremental_correlations(spark, sf):
+    store = _monthly_store(spark, sf)[1]
+    return incremental.stored_correlations(spark, store).withColumn("correlation", F.round("correlation", 6))
+
+
+@query("incremental_quantiles", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {p}::DOUBLE AS p, TRUE AS within FROM (SELECT 1)""" for c in ("o_orderkey", "o_custkey", "price")
+    for p in (0.05, 0.25, 0.5, 0.75, 0.95)))
+def incremental_quantiles(spark, sf):
+    """Whether the true rank of each quantile is off by 0.5 % of the rows at most; SQL states that it is."""
+    folder, store = _monthly_store(spark, sf)
+    found = materialize(incremental.stored_quantiles(spark, store, [0.05, 0.25, 0.5, 0.75, 0.95]))
+    rows = spark.read.parquet(folder)
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                                            for c in ("o_orderkey", "o_custkey", "price")])).alias("c")).select("c.*").where("x IS NOT NULL")
+    ranks = cells.join(F.broadcast(found), "column").groupBy("column", "p").agg(
+        (F.count_if(F.col("x") < F.col("value")) / F.count("x")).alias("below"),
+        (F.count_if(F.col("x") <= F.col("value")) / F.count("x")).alias("upto"))
+    return ranks.select("column", "p", ((F.col("below") - 0.005 <= F.col("p")) & (F.col("p") <= F.col("upto") + 0.005)).alias("within"))
+
+
 # Scalar functions ---------------------------------------------------------------------------------
 
 @query("fn_percentage", """SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 0.0::DOUBLE

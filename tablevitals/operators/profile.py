@@ -38,7 +38,7 @@ def _of_group(df: DataFrame, names: list[str]) -> DataFrame:
             wanted += [f(as_double(df, name)).alias(f"{f.__name__}{i}") for f in (F.min, F.max, F.avg)]
         if role == "categorical":
             wanted.append(F.coalesce(F.bool_and(is_numeric_text(col(name))), F.lit(True)).alias(f"text{i}"))
-        if _comparable(fields[name].dataType):
+        if comparable(fields[name].dataType):
             wanted.append(F.approx_count_distinct(clean(df, name)).alias(f"distinct{i}"))
     counted = df.agg(*wanted)
 
@@ -59,5 +59,5 @@ def _of_group(df: DataFrame, names: list[str]) -> DataFrame:
     return counted.select(F.inline(F.array(*rows)))
 
 
-def _comparable(kind) -> bool:
+def comparable(kind) -> bool:
     return not kind.simpleString().startswith(("map", "variant", "interval"))

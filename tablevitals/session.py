@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="tablevitals-")
     context.setCheckpointDir(folder)
@@ -56,10 +56,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/tablevitals-{uuid.uuid4().hex}/{name}"
 
 
+def _located(spark: SparkSession, path: str):
+    """The store of a path, and the path in it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store."""
+    store, hadoop_path = _located(spark, path)
+    return store.exists(hadoop_path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder in whatever store it lies."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(hadoop_path, True)
+    store, hadoop_path = _located(spark, path)
+    store.delete(hadoop_path, True)
 
 
 @contextmanager
