@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevitals.functions.columns import clean, col
 from tablevitals.functions.scalars import percentage
+from tablevitals.session import exists
 
 
 def window_quality(events: DataFrame, time: str, columns: Sequence[str], valid: Mapping[str, Column] | None = None,
@@ -16,8 +18,8 @@ def window_quality(events: DataFrame, time: str, columns: Sequence[str], valid:
     """One row per window and column: window_start, column, n_rows, missing, invalid, missing_pct.
 
     Works on streams and tables alike. A row is ``invalid`` in a column where the condition in ``valid`` is false. On
-    a stream, windows are kept until events may be ``delay`` late at most; later events are left out then. The state
-    holds a few counters per window.
+    a stream, a window is given once, when an event has come that is ``delay`` or more past its end; events that come
+    for it later are left out. The state holds a few counters per window that is still open.
     """
     rules = dict(valid or {})
     counts = [F.count(clean(events, c)).alias(f"present{i}") for i, c in enumerate(columns)]
@@ -32,15 +34,31 @@ def window_quality(events: DataFrame, time: str, columns: Sequence[str], valid:
                          F.col("r.invalid").alias("invalid"), percentage(F.col("r.missing"), F.col("n_rows")).alias("missing_pct"))
 
 
-def run_to_end(quality: DataFrame, checkpoint: str, output: str) -> DataFrame:
-    """Runs a stream over what its source holds now, and reads the windows back from ``output``.
+@dataclass(frozen=True)
+class StreamRun:
+    """Windows closed so far, with what the run itself tells: rows that came too late and most windows open at once."""
 
-    The checkpoint lets a restarted run go on where the last one ended.
-    """
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(output)
+    windows: DataFrame
+    late_rows: int
+    most_open: int
+
+
+def store_batch(batch: DataFrame, number: int, output: str) -> None:
+    """Writes a batch to a folder of its own; the same batch written again replaces it."""
+    batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
-    running = (quality.writeStream.outputMode("complete").trigger(availableNow=True)
-               .option("checkpointLocation", checkpoint).foreachBatch(store).start())
+
+def run_to_end(quality: DataFrame, checkpoint: str, output: str) -> StreamRun:
+    """Runs a stream over what its source holds now; ``windows`` are those of this run and of all before it.
+
+    The checkpoint lets a restarted run go on where the last one ended. A batch that a run had begun when it died is
+    done again with the same events and number, and replaces what it had written, so each window is there once.
+    """
+    running = (quality.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint)
+               .foreachBatch(lambda batch, number: store_batch(batch, number, output)).start())
     running.awaitTermination()
-    return quality.sparkSession.read.schema(quality.schema).parquet(output)
+    states = [s for p in running.recentProgress for s in p["stateOperators"]]
+    spark = quality.sparkSession
+    windows = (spark.read.schema(quality.schema).parquet(output).drop("batch") if exists(spark, output)
+               else spark.createDataFrame([], quality.schema))
+    return StreamRun(windows, sum(s["numRowsDroppedByWatermark"] for s in states), max((s["numRowsTotal"] for s in states), default=0))
