@@ -1,11 +1,12 @@
 """Reconstruction error of a linear autoencoder, which principal components give in closed form.
 
-Two small aggregates fit it at any table size; scoring stays a Column expression.
+The components come from a matrix sketch of a few hundred rows: Frequent Directions, which merges, so every task
+sketches its own rows and the sketches meet in a tree. Up to ``SKETCH_ROWS`` features it loses nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,11 @@ from tablevitals.config import AutoencoderParams
 from tablevitals.functions.columns import chunks, zero_imputed
 from tablevitals.operators.anomaly.forest import as_matrix
 
-#: The directions are worked out on the driver from a matrix of this many columns squared at most (128 MB).
-MAX_FEATURES = 4096
+#: Rows of a sketch. With A for the table, B for the sketch, and what is left of A without its c strongest components,
+#: no direction's energy in A'A and B'B differs by more than |A - A_c|^2 / (SKETCH_ROWS - c) for any c below.
+SKETCH_ROWS = 512
+#: Sketches that one task merges.
+FAN_IN = 32
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,52 +41,84 @@ def standardized(df: DataFrame, columns: Sequence[str], mean: np.ndarray, sd: np
     return [(zero_imputed(df, c) - float(m)) / float(s) for c, m, s in zip(columns, mean, sd)]
 
 
-def _products(data: DataFrame) -> np.ndarray:
-    """The k x k matrix of mean products. Each task hands in k * k / 2 sums."""
-    k = len(data.columns)
-    if k > MAX_FEATURES:
-        raise ValueError(f"{k} features; principal components take {MAX_FEATURES} at most")
+def shrunk(rows: np.ndarray, most: int) -> np.ndarray:
+    """``most`` rows at most with nearly the same products: the energy of the strongest one left out is taken from all."""
+    k = rows.shape[1]
+    if k <= most:  # the products themselves are no larger
+        values, vectors = np.linalg.eigh(rows.T @ rows)
+        return np.sqrt(np.maximum(values, 0.0))[:, None] * vectors.T
+    if len(rows) <= most:
+        return rows
+    _, strength, axes = np.linalg.svd(rows, full_matrices=False)
+    return np.sqrt(strength[:most] ** 2 - strength[most] ** 2)[:, None] * axes[:most]
+
 
-    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros((k, k)), 0
+def _sketcher(k: int, most: int, columns: Callable[[pa.RecordBatch], np.ndarray]) -> Callable:
+    """Sketches all rows of a partition; gives rows of components, and no more of them than a sketch has."""
+    step = max(4 * most, 4096) if k <= most else 2 * most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            total += z.T @ z
-            rows += len(z)
-        i, j = np.triu_indices(k)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j]),
-             pa.array(np.full(len(i), rows), pa.int64())], names=["i", "j", "s", "n"])
-
-    summed = data.mapInArrow(matrix, "i int, j int, s double, n long").groupBy("i", "j").agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"))
-    out = np.zeros((k, k))
-    for row in summed.collect():  # k * k / 2 rows
-        out[row["i"], row["j"]] = out[row["j"], row["i"]] = row["s"] / row["n"]
-    return out
+            rows = columns(batch)
+            for at in range(0, len(rows), step):
+                held.append(rows[at:at + step])
+                if sum(map(len, held)) >= step:
+                    held = [shrunk(np.concatenate(held), most)]
+        if held:
+            rows = shrunk(np.concatenate(held), most)
+            rows = rows[np.abs(rows).max(axis=1) > 0]
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), k).cast(
+                pa.list_(pa.float64()))], names=["row"])
+    return run
+
+
+def sketch_of(data: DataFrame, most: int = SKETCH_ROWS) -> np.ndarray:
+    """Frequent Directions of a table of doubles: ``most`` rows, or one per column if these are fewer.
+
+    Partitions are sketched where they lie, and ``FAN_IN`` sketches at a time are merged; the driver gets the last.
+    """
+    k = len(data.columns)
+
+    def stacked(batch: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+
+    def listed(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+    parts = data.rdd.getNumPartitions()
+    sketches = data.mapInArrow(_sketcher(k, most, stacked), "row array<double>")
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        sketches = sketches.repartition(parts).mapInArrow(_sketcher(k, most, listed), "row array<double>")
+    found = sketches.toArrow()["row"].combine_chunks()
+    return found.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
 def fit_pca(df: DataFrame, columns: Sequence[str], params: AutoencoderParams = AutoencoderParams()) -> dict:
-    """Fit; returns mean, sd and the discarded directions (``residual``, one column each).
+    """Fit; returns mean, sd and the directions that are kept (``axes``, one column each).
 
     ``params.encoding_dim`` directions are kept, but half of them at most: keeping all would reproduce every row.
     """
     mean, sd = feature_stats(df, columns)
     data = df.select([z.alias(f"z{i}") for i, z in enumerate(standardized(df, columns, mean, sd))])
-    _, vectors = np.linalg.eigh(_products(data))  # ascending eigenvalues
     kept = min(params.encoding_dim, len(columns) // 2)
-    return {"mean": mean, "sd": sd, "residual": vectors[:, :len(columns) - kept], "n_components": kept}
+    axes = np.zeros((len(columns), kept))
+    found = np.linalg.svd(sketch_of(data), full_matrices=False)[2][:kept].T
+    axes[:, :found.shape[1]] = found
+    return {"mean": mean, "sd": sd, "axes": axes, "n_components": kept}
 
 
 def pca_error(df: DataFrame, columns: Sequence[str], model: dict) -> Column:
-    """Mean squared reconstruction error per row: the energy along the discarded directions."""
+    """Mean squared reconstruction error per row: what its projection on the kept directions leaves."""
     z = standardized(df, columns, model["mean"], model["sd"])
-    residual, k = model["residual"], len(columns)
+    axes, k = model["axes"], len(columns)
 
     @F.pandas_udf("double")
     def error(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            along = as_matrix(batch) @ residual
-            yield pd.Series((along * along).sum(axis=1) / k)
+            rows = as_matrix(batch)
+            left = rows - (rows @ axes) @ axes.T
+            yield pd.Series((left * left).sum(axis=1) / k)
 
     return error(*z)

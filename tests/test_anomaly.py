@@ -13,7 +13,7 @@ from tablevitals.operators.anomaly.embeddings import embedding_outliers
 from tablevitals.operators.anomaly.forest import (draw_samples, expected_path, fit_forest, forest_score,
                                                   forest_scores, grow_tree)
 from tablevitals.operators.anomaly.network import fit_network, gradient, initial_weights, layer_sizes, network_error, reconstruct
-from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
+from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error, sketch_of
 from tablevitals.plans.audit import audit_table, plot_tables, score_table
 
 FEATURES = ["a", "b", "c"]
@@ -154,7 +154,35 @@ def test_pca_error_against_numpy(planted, monkeypatch):
     found = [r["e"] for r in planted.select("id", pca_error(planted, FEATURES, model).alias("e")).orderBy("id").collect()]
     assert found == pytest.approx(list(expected), rel=1e-6, abs=1e-9)
     wider = fit_pca(planted, [*FEATURES, *FEATURES], AutoencoderParams(encoding_dim=2))
-    assert (model["n_components"], wider["n_components"], wider["residual"].shape) == (1, 2, (6, 4))
+    assert (model["n_components"], wider["n_components"], wider["axes"].shape) == (1, 2, (6, 2))
+
+
+@pytest.mark.parametrize("most", [30, 200])
+def test_sketch_keeps_its_error_bound(spark, most):
+    """Frequent Directions over many partitions, against the exact products."""
+    draw, k = np.random.default_rng(3), 120
+    a = draw.normal(size=(3000, 8)) @ draw.normal(size=(8, k)) * 3 + draw.normal(size=(3000, k))
+    frame = spark.createDataFrame(pd.DataFrame(a, columns=[f"c{i}" for i in range(k)])).repartition(70)
+    b = sketch_of(frame, most)
+    assert len(b) <= min(most, k)
+    off, energy = np.linalg.norm(a.T @ a - b.T @ b, 2), np.linalg.svd(a, compute_uv=False) ** 2
+    if most >= k:
+        assert off < 1e-8 * energy.sum()
+    else:
+        assert off <= min(energy[c:].sum() / (most - c) for c in range(most))
+        strong = np.linalg.svd(b)[2][:8]
+        assert np.square(a - a @ strong.T @ strong).sum() <= 1.02 * energy[8:].sum()
+
+
+def test_components_of_many_columns(spark):
+    """More columns than a sketch has rows: the planted rows still stand out most."""
+    draw, k, names = np.random.default_rng(4), 560, [f"c{i}" for i in range(560)]
+    a = draw.normal(size=(900, 3)) @ draw.normal(size=(3, k)) + 0.1 * draw.normal(size=(900, k))
+    a[:5] = 3 * draw.normal(size=(5, k))
+    frame = spark.createDataFrame(pd.DataFrame(a, columns=names).assign(id=range(900)))
+    model = fit_pca(frame, names, AutoencoderParams(encoding_dim=3))
+    top = frame.select("id", pca_error(frame, names, model).alias("e")).orderBy(F.desc("e")).limit(5).collect()
+    assert {r.id for r in top} == set(range(5))
 
 
 def test_network_gradient_against_differences():
