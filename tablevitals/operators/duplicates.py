@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 from tablevitals.functions.columns import chunks, clean, col
 from tablevitals.functions.scalars import round_exact
 
+#: Up to this many rows per group, Spark cuts groups before the shuffle (its own default).
+GROUP_LIMIT = 1000
+#: Portions of a group for longer lists.
+PORTIONS = 64
+
 
 def _comparable(df: DataFrame, name: str) -> Column:
     """What equal values share: NaN as NULL, 0.0 as -0.0 (by the hash itself), nested values as JSON.
@@ -91,22 +96,26 @@ def duplicate_rows(df: DataFrame, key: Sequence[str], subset: Sequence[str] | No
 
     Without ``subset`` whole rows are compared, key included, so the copies of a row share its key: the first
     ``n`` groups hold the first ``n`` copies. With ``subset`` the row with the smallest key, which must identify
-    rows, is the original. Any other row of a group that precedes a listed one is listed itself, so the place of a
-    copy within its group is counted among the ``n`` rows alone.
+    rows, is the original, and the others are its copies in order. Only the first ``n`` + 1 rows of a group matter, so a
+    task hands on no more of each, whatever the length of the group.
     """
     key = list(key)
     names = [f"k{i}" for i in range(len(key))]
     if subset is None:
         return list_of(copies_of(df, None, key), key, n)
     rows = df.select(*[col(c).alias(x) for x, c in zip(names, key)], *row_digest(df, subset))
-    groups = rows.groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*names)).alias("original"))
-    # The join has brought a group's rows together, so counting those of one key moves nothing.
-    others = (rows.join(groups.filter("copies > 1").drop("copies"), ["d0", "d1"])
-              .groupBy("d0", "d1", *names, "original").agg(F.count(F.lit(1)).alias("rows"))
-              .withColumn("rows", F.col("rows") - F.when(F.struct(*names) == F.col("original"), 1).otherwise(0))
-              .filter("rows > 0").orderBy(*names, "d0", "d1").limit(n))
-    numbers = F.sequence(F.lit(1), F.least("rows", F.lit(n)).cast("int"))
-    place = F.row_number().over(Window.partitionBy("d0", "d1").orderBy(*names, "number"))  # among n rows per key
-    listed = others.withColumn("number", F.explode(numbers)).withColumn("copy", place).select(
-        *[F.col(x).alias(c) for x, c in zip(names, key)], "copy").orderBy(*[col(c) for c in key], "copy").limit(n)
-    return listed.orderBy(*[col(c) for c in key], "copy")
+    if n >= GROUP_LIMIT:
+        # Spark cuts groups before the shuffle up to that length only; longer lists are cut in portions first.
+        rows = _first_of_groups(rows.withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(PORTIONS))), ["d0", "d1", "salt"],
+                                names, n + 1).drop("salt")
+    ranked = _first_of_groups(rows, ["d0", "d1"], names, n + 1).filter("place > 1")
+    listed = ranked.select(*[F.col(x).alias(c) for x, c in zip(names, key)], (F.col("place") - 1).cast("int").alias("copy"),
+                           "d0", "d1")
+    first = listed.orderBy(*[col(c) for c in key], "copy", "d0", "d1").limit(n).drop("d0", "d1")
+    return first.orderBy(*[col(c) for c in key], "copy")
+
+
+def _first_of_groups(rows: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group, numbered as ``place``; what is past them leaves no task that reads it."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= n)
