@@ -11,8 +11,7 @@ __version__ = "0.1.0"
 
 from tablevitals.config import FILE_THRESHOLDS, Config, Thresholds, Weights  # noqa: E402
 from tablevitals.operators.anomaly.detect import detect  # noqa: E402
-from tablevitals.plans.audit import audit_dataset, audit_table, profile_table, score_table  # noqa: E402
-from tablevitals.plans.checks import table_metrics  # noqa: E402
+from tablevitals.plans.audit import audit_dataset, audit_table, profile_table, score_table, table_metrics  # noqa: E402
 from tablevitals.sources.readers import load  # noqa: E402
 from tablevitals.sources.sample_data import create_sample_data  # noqa: E402
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablevitals.config import Config
+from tablevitals.config import Config, Thresholds
 from tablevitals.functions.columns import pick_target
 from tablevitals.functions.scalars import round_exact
 from tablevitals.operators.anomaly.detect import Detection, anomaly_threshold, detect
@@ -24,7 +24,7 @@ from tablevitals.operators.moments import numeric_moments
 from tablevitals.operators.outliers import fences_of, iqr_outliers
 from tablevitals.operators.profile import column_profile
 from tablevitals.operators.quantiles import quantile_values
-from tablevitals.plans.checks import rated, table_metrics
+from tablevitals.plans.checks import rated
 from tablevitals.plans.scoring import (COMPONENTS, health_score, key_findings, recommendations, score_details,
                                        score_formula, weighted_components)
 from tablevitals.session import delete, materialize, scratch, spread
@@ -50,9 +50,9 @@ class Profile:
 
     df: DataFrame
     columns: DataFrame
-    statistics: DataFrame
+    statistics: DataFrame | None
     quartiles: dict[str, list[float | None]]
-    correlations: DataFrame
+    correlations: DataFrame | None
     outliers: DataFrame
     classes: DataFrame
     target: str
@@ -69,10 +69,14 @@ class Profile:
     @property
     def high_correlations(self) -> DataFrame:
         """Each pair once, as the matrix holds it in column order."""
-        place = {row["column"]: row["position"] for row in self.columns.collect()}
-        places = F.create_map(*[F.lit(x) for item in place.items() for x in item])
-        return self.correlations.filter(
-            (F.abs("correlation") > HIGH_CORRELATION) & (places[F.col("feature1")] < places[F.col("feature2")]))
+        places = self.columns.select("column", "position")  # one row per column
+
+        def placed(pairs: DataFrame, feature: str) -> DataFrame:
+            return pairs.join(F.broadcast(places.toDF(feature, f"{feature}_place")), feature)
+
+        high = self.correlations.filter(F.abs("correlation") > HIGH_CORRELATION)
+        return placed(placed(high, "feature1"), "feature2").filter("feature1_place < feature2_place").select(
+            self.correlations.columns)
 
     def names(self, role: str) -> list[str]:
         return [row["column"] for row in self.columns.filter(F.col("role") == role).orderBy("position").collect()]
@@ -110,7 +114,9 @@ def profile_table(df: DataFrame, key: Sequence[str] = (), config: Config = Confi
     return _profile(spread(df), key, config, target)
 
 
-def _profile(df: DataFrame, key: Sequence[str], config: Config, target: str | None) -> Profile:
+def _profile(df: DataFrame, key: Sequence[str], config: Config, target: str | None, scores_only: bool = False,
+             fences: dict | None = None) -> Profile:
+    """``scores_only`` leaves out what no score needs: moments, correlations and the list of duplicates."""
     spark, target = df.sparkSession, target or pick_target(df)
 
     def kept(frame: DataFrame) -> DataFrame:
@@ -120,25 +126,27 @@ def _profile(df: DataFrame, key: Sequence[str], config: Config, target: str | No
         return pool.submit(inheritable_thread_target(spark)(work), *args, **options)
 
     with ThreadPoolExecutor(5) as pool:  # independent jobs, which fill each other's idle cores
-        quartiles = start(quantile_values, df, QUARTILES, method=config.quantile_method)
+        quartiles = start(quantile_values, df, QUARTILES, method=config.quantile_method) if fences is None else None
         profiled = start(lambda: kept(column_profile(df)))
-        moments = start(lambda: kept(numeric_moments(df)))
-        correlations = start(lambda: materialize(correlation_matrix(df)))
-        copies = start(lambda: materialize(copies_of(df, keep=key)))
+        moments = None if scores_only else start(lambda: kept(numeric_moments(df)))
+        correlations = None if scores_only else start(lambda: materialize(correlation_matrix(df)))
+        copies = start(lambda: count_of(copies_of(df)) if scores_only else materialize(copies_of(df, keep=key)))
         columns = profiled.result()
         found = columns.collect()  # one row per column
         labels = start(lambda: kept(_label_counts(df, target, found)))
-        fences = {c: fences_of(q[0], q[2]) for c, q in quartiles.result().items()}
+        if fences is None:
+            fences = {c: fences_of(q[0], q[2]) for c, q in quartiles.result().items()}
         checked = [c for c in fences if c not in config.exclude]
         outliers = start(lambda: kept(iqr_outliers(df, checked, fences=fences)))
-        repeated = copies.result()
+        n_rows, repeated = found[0]["n_rows"] if found else 0, copies.result()
+        if scores_only:
+            return Profile(df, columns, None, {}, None, outliers.result(), labels.result(), target, n_rows, repeated)
         medians = [(c, values[1]) for c, values in quartiles.result().items()]
         median = spark.createDataFrame(medians, "column string, median double")
         first = kept(list_of(repeated, key, 100)) if key else None
         return Profile(
             df, columns, kept(moments.result().join(F.broadcast(median), "column")), quartiles.result(),
-            correlations.result(), outliers.result(), labels.result(), target, found[0]["n_rows"] if found else 0,
-            count_of(repeated), first, key)
+            correlations.result(), outliers.result(), labels.result(), target, n_rows, count_of(repeated), first, key)
 
 
 def _label_counts(df: DataFrame, target: str, profiled: list[Row]) -> DataFrame:
@@ -175,6 +183,13 @@ def _measured(profile: Profile) -> DataFrame:
         F.struct(F.when(F.size("issues") == 0, "good").otherwise("fair").alias("status"), "issues").alias("types"))
 
 
+def table_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), method: str = "exact", target: str | None = None,
+                  fences: dict | None = None, exclude: Sequence[str] = ()) -> DataFrame:
+    """One metrics row for the scoring rules, worked out here: the same fused passes that an audit makes."""
+    config = Config(thresholds=thresholds, quantile_method=method, exclude=tuple(exclude))
+    return rated(_measured(_profile(spread(df), (), config, target, scores_only=True, fences=fences)), thresholds)
+
+
 def score_table(df: DataFrame, detection: Detection | None = None, config: Config = Config(),
                 target: str | None = None, fences: dict | None = None) -> DataFrame:
     """One scored row of a table; the anomaly columns are filled in when a detection is given."""

@@ -76,24 +76,6 @@ def check_types(df: DataFrame) -> DataFrame:
     )
 
 
-def table_metrics(df: DataFrame, thresholds: Thresholds = Thresholds(), method: str = "exact",
-                  target: str | None = None, fences: dict | None = None,
-                  exclude: Sequence[str] = ()) -> DataFrame:
-    """One metrics row for the scoring rules, each part a subquery that Spark runs side by side."""
-    def one(part: DataFrame) -> Column:
-        return part.select(F.struct("*").alias("row")).scalar()
-
-    outliers = iqr_outliers(df, numeric_columns(df, exclude), method=method, fences=fences)
-    parts = df.sparkSession.range(1).select(
-        one(missing_total(df)).alias("missing"),
-        one(duplicate_summary(df)).alias("duplicates"),
-        one(class_balance(df, target)).alias("balance"),
-        one(outlier_total(outliers)).alias("outliers"),
-        one(check_types(df)).alias("types"),
-    )
-    return rated(parts, thresholds)
-
-
 def rated(parts: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
     """Statuses and severities of a measured row: structs missing, duplicates, balance, outliers and types.
 
