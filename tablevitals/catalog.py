@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tablevitals.config import AutoencoderParams, Config, Thresholds
 from tablevitals.functions import scalars
 from tablevitals.functions.columns import normalize, union_all
-from tablevitals.operators import (classes, correlation, drift, duplicates, features, histogram, missing, moments, outliers,
+from tablevitals.operators import (classes, correlation, drift, duplicates, features, histogram, importance, missing, moments, outliers,
                                    profile, quantiles, text_types)
 from tablevitals.operators.anomaly import detect as anomaly
 from tablevitals.operators.anomaly.embeddings import embedding_outliers
@@ -677,12 +677,13 @@ DRIFT_COLUMNS = ["c_acctbal", "c_nationkey"]
 ends AS (SELECT "column", min(x) AS lo, max(x) AS hi FROM cells WHERE old GROUP BY "column"),
 counted AS (SELECT "column", greatest(0, least(9, floor((x - lo) / (hi - lo) * 10))) AS bin, count(*) FILTER (old) AS b,
   count(*) FILTER (NOT old) AS n FROM cells JOIN ends USING ("column") GROUP BY ALL),
-shares AS (SELECT "column", b / sum(b) OVER w AS p, n / sum(n) OVER w AS q,
-  abs(sum(b) OVER o / sum(b) OVER w - sum(n) OVER o / sum(n) OVER w) AS gap
-  FROM counted WINDOW w AS (PARTITION BY "column"), o AS (PARTITION BY "column" ORDER BY bin))
+shares AS (SELECT "column", b / sum(b) OVER w AS p, n / sum(n) OVER w AS q FROM counted WINDOW w AS (PARTITION BY "column")),
+steps AS (SELECT "column", sum(old::INTEGER) OVER o / sum(old::INTEGER) OVER w - sum((NOT old)::INTEGER) OVER o / sum((NOT old)::INTEGER) OVER w AS gap
+  FROM cells WINDOW w AS (PARTITION BY "column"), o AS (PARTITION BY "column" ORDER BY x)),
+exact AS (SELECT "column", round(max(abs(gap)), 6) AS ks FROM steps GROUP BY "column")
 SELECT "column", round(sum((greatest(p, 1e-4::DOUBLE) - greatest(q, 1e-4::DOUBLE)) * ln(greatest(p, 1e-4::DOUBLE) / greatest(q, 1e-4::DOUBLE))), 6) AS psi,
-  round(max(gap), 6) AS ks, sum((greatest(p, 1e-4::DOUBLE) - greatest(q, 1e-4::DOUBLE)) * ln(greatest(p, 1e-4::DOUBLE) / greatest(q, 1e-4::DOUBLE))) > 0.2 AS drifted
-FROM shares GROUP BY "column\"""")
+  any_value(ks) AS ks, sum((greatest(p, 1e-4::DOUBLE) - greatest(q, 1e-4::DOUBLE)) * ln(greatest(p, 1e-4::DOUBLE) / greatest(q, 1e-4::DOUBLE))) > 0.2 AS drifted
+FROM shares JOIN exact USING ("column") GROUP BY "column\"""")
 def drift_query(spark, sf):
     """Suppliers held against customers."""
     now = table(spark, sf, "supplier").select(F.col("s_acctbal").alias("c_acctbal"), (F.col("s_nationkey") / 2).alias("c_nationkey"))
@@ -700,6 +701,47 @@ def text_checks(spark, sf):
     return found.withColumn("mean_length", F.round("mean_length", 6))
 
 
+#: Well-formed UTF-8 beyond ASCII, byte by byte, as characters of the same codes.
+UTF8_RUN = ("([\u00c2-\u00df][\u0080-\u00bf]|\u00e0[\u00a0-\u00bf][\u0080-\u00bf]|[\u00e1-\u00ec\u00ee\u00ef][\u0080-\u00bf]{2}|"
+            "\u00ed[\u0080-\u009f][\u0080-\u00bf]|\u00f0[\u0090-\u00bf][\u0080-\u00bf]{2}|[\u00f1-\u00f3][\u0080-\u00bf]{3}|"
+            "\u00f4[\u0080-\u008f][\u0080-\u00bf]{2})+")
+
+
+@query("encoding_checks", f"""WITH planted AS (
+  SELECT CASE WHEN doc_id % 7 = 0 THEN replace(text, 'é', 'Ã©') WHEN doc_id % 7 = 1 THEN text || ' â€™' WHEN doc_id % 7 = 2 THEN text || chr(65533)
+    ELSE text END AS text, lang FROM documents),
+cells AS (SELECT 'text' AS "column", text AS t FROM planted UNION ALL SELECT 'lang', lang FROM planted),
+flags AS (SELECT "column", t, contains(t, chr(65533)) OR contains(t, chr(0)) AS replaced, len(list_filter(regexp_extract_all(
+    translate(t, '{"".join(text_types.WINDOWS_1252.values())}', '{"".join(map(chr, text_types.WINDOWS_1252))}'), '[\u0080-\u00ff]+'),
+    lambda r: regexp_full_match(r, '{UTF8_RUN}'))) > 0 AS doubled FROM cells)
+SELECT "column", count(t) AS n, count(*) FILTER (replaced) AS replaced, count(*) FILTER (doubled) AS double_encoded,
+  count(*) FILTER (replaced OR doubled) AS broken, printf('%.2f', (count(*) FILTER (replaced OR doubled))::DOUBLE / count(t) * 100)::DOUBLE AS broken_pct
+FROM flags GROUP BY "column\"""")
+def encoding_checks(spark, sf):
+    """documents with accents encoded twice in every seventh text, a quote in another, a replacement character in a third."""
+    part, text = F.col("doc_id") % 7, F.col("text")
+    planted = F.when(part == 0, F.replace(text, F.lit("é"), F.lit("Ã©"))).when(part == 1, F.concat(text, F.lit(" â€™"))).when(
+        part == 2, F.concat(text, F.lit("\ufffd"))).otherwise(text)
+    return text_types.encoding_checks(table(spark, sf, "documents").select(planted.alias("text"), "lang"))
+
+
+IMPORTANCE_CELLS = " UNION ALL ".join(
+    [f"""SELECT '{c}' AS "column", target AS label, least(9, floor(({c} - (SELECT min({c}) FROM dirty)) / ((SELECT max({c}) FROM dirty)
+  - (SELECT min({c}) FROM dirty)) * 10))::VARCHAR AS bin FROM dirty""" for c in ("l_orderkey", "l_linenumber", "quantity", "qty_scaled", "price")]
+    + [f"""SELECT '{c}', target, '=' || {c} FROM dirty""" for c in ("returnflag", "qty_text")])
+
+
+@query("feature_importance", DIRTY + f""", cells AS ({IMPORTANCE_CELLS}),
+counts AS (SELECT "column", bin, label, count(*)::DOUBLE AS n FROM cells GROUP BY ALL),
+parts AS (SELECT "column", n / sum(n) OVER (PARTITION BY "column") AS p, sum(n) OVER (PARTITION BY "column", bin) / sum(n) OVER (PARTITION BY "column") AS px,
+  sum(n) OVER (PARTITION BY "column", label) / sum(n) OVER (PARTITION BY "column") AS py FROM counts)
+SELECT "column", round(greatest(sum(p * ln(p / (px * py))), 0), 9) AS mutual_information,
+  round(greatest(0, least(1, sum(p * ln(p / (px * py))) / -sum(p * ln(py)))), 9) AS importance FROM parts GROUP BY "column\"""")
+def feature_importance(spark, sf):
+    found = importance.feature_importance(dirty(spark, sf), "target")
+    return found.withColumns({c: F.round(c, 9) for c in ("mutual_information", "importance")})
+
+
 @query("stream_quality", """WITH e AS (SELECT date_trunc('day', ts) AS day, event_type, CASE WHEN event_id % 5 > 0 THEN value END AS value
   FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY)
 SELECT strftime(day, '%Y-%m-%d') AS day, 'value' AS "column", count(*) AS n_rows, count(*) - count(value) AS missing,
