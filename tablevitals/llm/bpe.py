@@ -2,7 +2,7 @@
 
 A byte pair that stands side by side in no token of the vocabulary can't be joined by any merge. Where the
 pre-tokenizer is certain to break between such a pair too, a text may be cut. The pieces are encoded on their own,
-each distinct one once per worker, and their ids are strung together.
+new ones of a batch together, and their ids are strung together. A worker remembers pieces from task to task.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 
 from tablevitals.llm.common import per_process, ref, slices
 
-#: Pieces a worker remembers, and the longest it does remember; beyond, pieces are encoded anew.
-REMEMBERED, LONGEST = 150_000, 64
+#: Bytes that the pieces of one generation take up, and the length of the longest that is remembered.
+REMEMBERED, LONGEST = 96 << 20, 64
+#: Bytes of a remembered piece beside its characters: entry, tuple and string headers.
+ENTRY = 320
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
 
 
@@ -77,6 +79,7 @@ class Codec:
     """Encodes and decodes whole texts piece by piece; equal to the library on every text."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,7 +88,12 @@ class Codec:
         if self.tokenizer.decoder is not None:
             raise ValueError("only tokenizers whose decoded tokens are parted by blanks can be decoded in pieces")
         self.cuts = certain_cuts(path).reshape(-1)
-        self.known: dict[bytes, tuple[str, str, int] | None] = {}
+        self.tokens = {i: token for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.numbers = {i: str(i) for i in self.tokens}
+        # Two generations: what is met again moves to the younger one, and a full one replaces the elder.
+        self.known: dict[bytes, tuple[str, str, int]] = {}
+        self.elder: dict[bytes, tuple[str, str, int]] = {}
+        self.held = 0
 
     def pieces(self, body: bytes) -> list[bytes]:
         codes = np.frombuffer(body, np.uint8).astype(np.uint16)
@@ -93,30 +101,43 @@ class Codec:
         ends = [*at.tolist(), len(body)]
         return [body[i:j] for i, j in zip([0, *ends], ends)]
 
-    def _encoded(self, piece: bytes) -> tuple[str, str, int]:
-        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        return " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False), len(ids)
-
-    def run(self, text: str) -> tuple[str, str, int]:
-        """The ids joined by blanks, the decoded text and the number of ids."""
-        if not text:
-            return "", "", 0
-        pieces, known = self.pieces(text.encode()), self.known
-        found = [*map(known.get, pieces)]
-        if None in found:
-            for k, entry in enumerate(found):
-                if entry is None:
-                    piece = pieces[k]
-                    found[k] = entry = known.get(piece) or self._encoded(piece)
-                    if len(piece) <= LONGEST:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[piece] = entry
-        ids, decoded, counts = zip(*found)
-        n = sum(counts)
-        if 0 in counts:  # white space alone
-            ids, decoded = [i for i in ids if i], [d for d, c in zip(decoded, counts) if c]
-        return " ".join(ids), " ".join(decoded), n
+    def learn(self, pieces: set[bytes]) -> list[bytes]:
+        """Makes all pieces known, new ones in one call of the library; returns those too long to be remembered."""
+        known, elder = self.known, self.elder
+        new = []
+        for piece in pieces.difference(known):
+            entry = elder.get(piece)
+            if entry is None:
+                new.append(piece)
+            else:
+                known[piece] = entry
+                self.held += ENTRY + len(piece) + len(entry[0]) + len(entry[1])
+        numbers, tokens = self.numbers, self.tokens
+        for piece, encoded in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
+            ids = encoded.ids
+            known[piece] = entry = " ".join([numbers[i] for i in ids]), " ".join([tokens[i] for i in ids]), len(ids)
+            self.held += ENTRY + len(piece) + len(entry[0]) + len(entry[1])
+        return [p for p in new if len(p) > LONGEST]
+
+    def run(self, texts: list[str]) -> list[tuple[str, str, int]]:
+        """For each text the ids joined by blanks, the decoded text and the number of ids."""
+        cut = [self.pieces(t.encode()) if t else [] for t in texts]
+        passing = self.learn({piece for pieces in cut for piece in pieces})
+        results = []
+        for pieces in cut:
+            if not pieces:
+                results.append(("", "", 0))
+                continue
+            ids, decoded, counts = zip(*map(self.known.__getitem__, pieces))
+            if 0 in counts:  # white space alone
+                ids, decoded = [i for i in ids if i], [d for d, c in zip(decoded, counts) if c]
+            results.append((" ".join(ids), " ".join(decoded), sum(counts)))
+        for piece in passing:
+            ids, decoded, _ = self.known.pop(piece)
+            self.held -= ENTRY + len(piece) + len(ids) + len(decoded)
+        if self.held > REMEMBERED:
+            self.elder, self.known, self.held = self.known, {}, 0
+        return results
 
 
 def _tokenizer_path(name: str) -> str:
@@ -140,11 +161,10 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = _tokenizer_path(tokenizer)
         codec = per_process(("codec", path), lambda: Codec(path))
-        codec.known.clear()  # pieces are learnt anew per task, so that idle workers hold no more than the tokenizer
         for batch in batches:
             for cut in slices(batch.column("text")):
                 part = batch.slice(cut.start, cut.stop - cut.start)
-                rows = [codec.run(t.as_py() or "") for t in part.column("text")]
+                rows = codec.run([t or "" for t in part.column("text").to_pylist()])
                 columns = [part.column("doc_id"), pa.array([r[2] for r in rows], pa.int64()),
                            pa.array([hashlib.sha256(r[0].encode()).hexdigest() for r in rows]),
                            pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows])]
@@ -153,7 +173,6 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
                     columns.append(pa.array([[int(i) for i in r[0].split()] for r in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        codec.known.clear()
 
     return docs.select(ref(id_col).alias("doc_id"), ref(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from tablevitals.functions import scalars
 from tablevitals.functions.columns import normalize, pick_target
-from tablevitals.operators import (classes, correlation, drift, duplicates, features, histogram, missing, moments, outliers,
-                                   profile, quantiles, text_types)
+from tablevitals.operators import (classes, correlation, drift, duplicates, features, histogram, importance, missing, moments,
+                                   outliers, profile, quantiles, text_types)
 from tablevitals.plans import checks
 
 NAN = float("nan")
@@ -191,7 +191,7 @@ def test_drift_of_equal_and_shifted_tables(spark):
     same = by_column(drift.drift(frame, frame))
     assert set(same) == {"x", "flat"} and same["x"] == {"column": "x", "psi": 0.0, "ks": 0.0, "drifted": False}
     moved = by_column(drift.drift(frame, frame.withColumn("x", F.col("x") / 10 + 200)))
-    assert moved["x"]["drifted"] and moved["x"]["ks"] == pytest.approx(0.9) and not moved["flat"]["drifted"]
+    assert moved["x"]["drifted"] and moved["x"]["ks"] == 1.0 and not moved["flat"]["drifted"]
     assert rows(drift.drift(frame, frame.limit(0))) == []
 
 
@@ -422,3 +422,107 @@ def test_materialize_keeps_every_type(spark):
         part = frame.select(*[f"`{c}`" for c in columns])
         stored = materialize(part)
         assert stored.dtypes == part.dtypes and rows(stored) == rows(part)
+
+
+def shuffled_sizes(frame, *keys):
+    """Rows per partition where rows meet by their key."""
+    return sorted(r["count"] for r in frame.repartition(8, *keys).groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_copies_of_a_hot_group_leave_tasks_cut(spark):
+    """A text on half of all rows: its first copies are found, and no task gets more than a few of its rows."""
+    frame = spark.range(0, 40_000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    found = duplicates.duplicate_rows(frame, ["id"], ["text"], 50)
+    assert [tuple(r) for r in found.collect()] == [(2 * k, k) for k in range(1, 51)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and "WindowGroupLimit" in plan
+    rows = frame.select(F.col("id").alias("k0"), *duplicates.row_digest(frame, ["text"]))
+    handed_on = rows.mapInArrow(_cut_groups, rows.schema)  # what the partial limit does within a task
+    sizes = shuffled_sizes(handed_on, "d0", "d1")
+    assert sizes[-1] <= 2 * sizes[4]
+
+
+def _cut_groups(batches, n=51):
+    import pyarrow as pa
+
+    table = pa.Table.from_batches(batches).to_pandas().sort_values("k0")
+    for batch in pa.Table.from_pandas(table.groupby(["d0", "d1"]).head(n), preserve_index=False).to_batches():
+        yield batch
+
+
+@pytest.mark.parametrize("n", [3, 1200])
+def test_copies_by_subset_are_numbered_in_order(spark, n):
+    frame = spark.createDataFrame([(k, [None, "a", "b", "a"][k % 4]) for k in range(3000)] + [(5000, "once"), (5001, "b")], "id long, s string")
+    seen, want = {}, []
+    for row in sorted(frame.collect()):
+        if row.s in seen:
+            want.append((row.id, seen[row.s]))
+        seen[row.s] = seen.get(row.s, 0) + 1
+    assert [tuple(r) for r in duplicates.duplicate_rows(frame.repartition(5), ["id"], ["s"], n).collect()] == want[:n]
+
+
+def test_correlation_of_two_thousand_columns(spark, tmp_path, monkeypatch):
+    """Columns go in tiles: no task hands in more pairs than a tile has, and all pairs are right."""
+    k = 2000
+    draw = np.random.default_rng(1)
+    data = draw.normal(size=(40, k))
+    data[3, 7] = np.nan
+    data[:, 11] = data[:, 1500] * 2 + 1
+    pd.DataFrame(data, columns=[f"c{i}" for i in range(k)]).to_parquet(f"{tmp_path}/wide.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/wide.parquet")
+    means = np.nanmean(data, axis=0)
+    sums = correlation.pair_sums(frame, frame.columns, means)
+    most = correlation.TILE ** 2
+    parts = sums.groupBy(F.floor(F.col("i") / correlation.TILE), F.floor(F.col("j") / correlation.TILE)).count().collect()
+    assert len(parts) == 10 and max(r["count"] for r in parts) <= most and sum(r["count"] for r in parts) == k * (k - 1) // 2
+    some = sums.where("(i = 11 AND j = 1500) OR (i = 7 AND j = 1999) OR (i = 0 AND j = 1)").collect()
+    for r in some:
+        both = data[~np.isnan(data[:, r.i]) & ~np.isnan(data[:, r.j])]
+        want = np.corrcoef(both[:, r.i], both[:, r.j])[0, 1]
+        got = (r.sij - r.si * r.sj / r.n) / np.sqrt((r.sii - r.si ** 2 / r.n) * (r.sjj - r.sj ** 2 / r.n))
+        assert got == pytest.approx(want, abs=1e-9)
+    assert len(some) == 3
+
+
+def test_tiles_change_no_correlation(spark, monkeypatch):
+    frame = spark.range(200).select(*[F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(7)], F.when(
+        F.col("id") % 3 > 0, F.cos("id")).alias("gaps"))
+    whole = {(r.feature1, r.feature2): r.correlation for r in correlation.correlation_pairs(frame).collect()}
+    monkeypatch.setattr(correlation, "TILE", 3)
+    tiled = {(r.feature1, r.feature2): r.correlation for r in correlation.correlation_pairs(frame).collect()}
+    assert tiled == pytest.approx(whole, abs=1e-12) and len(tiled) == 28
+
+
+def test_exact_two_sample_distance(spark):
+    draw = np.random.default_rng(6)
+    old, new = np.round(draw.normal(size=500), 1), np.round(draw.normal(0.3, 2, size=300), 1)
+    frames = [spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("inf"),)], "x double").repartition(4) for x in (old, new)]
+    values = np.unique(np.concatenate([old, new]))
+    want = max(abs((old <= v).mean() - (new <= v).mean()) for v in values)
+    row = drift.kolmogorov_smirnov(*frames, ["x"]).first()
+    assert row.ks == pytest.approx(want, abs=1e-12)
+
+
+def test_texts_that_were_decoded_twice(spark):
+    good = ["plain", "café", "«É» dit-il", "naïve – “quote”", "Straße", "漢字", "", "price €5", "tilde ˜", "é"]
+    bad = ["cafÃ©", "naÃ¯ve and 漢", "itâ€™s", "StraÃŸe", "æ¼¢å­—", "ðŸ˜€"]
+    frame = spark.createDataFrame([(t, t in bad) for t in good + bad], "t string, bad boolean")
+    wrong = frame.where(text_types.double_encoded(F.col("t")) != F.col("bad")).collect()
+    assert wrong == []
+    row = text_types.encoding_checks(frame.unionByName(frame.sparkSession.createDataFrame([(None, None), ("x�", None)], frame.schema))).first()
+    assert (row.column, row.n, row.replaced, row.double_encoded, row.broken) == ("t", len(good + bad) + 1, 1, len(bad), len(bad) + 1)
+    assert text_types.encoding_checks(spark.range(3)).collect() == []
+
+
+def test_importance_of_columns(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") % 2).alias("label"), (F.col("id") % 2 * 3.0).alias("same"), F.lit(1.5).alias("constant"), F.lit(None).cast("double").alias("empty"),
+        F.when(F.col("id") % 2 == 0, "even").alias("word"), F.concat(F.lit("n"), "id").alias("name"),
+        F.when(F.col("id") % 4 < 2, float("inf")).otherwise(1.0).alias("infinite"), (F.floor(F.col("id") / 2) % 7).alias("nothing"))
+    found = by_column(importance.feature_importance(rows.union(rows.limit(3).withColumn("label", F.lit(None).cast("long"))), "label"))
+    assert found["same"]["importance"] == pytest.approx(1) and found["word"]["mutual_information"] == pytest.approx(np.log(2), rel=1e-3)
+    for name in ("constant", "empty", "nothing", "infinite"):
+        assert found[name]["importance"] == pytest.approx(0, abs=1e-5)
+    assert found["name"]["importance"] is None and "label" not in found
+    flat = by_column(importance.feature_importance(rows.withColumn("label", F.lit(1)), "label"))
+    assert flat["same"]["importance"] is None and importance.feature_importance(rows.select("label"), "label").collect() == []
