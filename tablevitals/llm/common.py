@@ -6,6 +6,8 @@ import string
 import sys
 from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 from typing import TypeVar
 
 import numpy as np
@@ -50,6 +52,9 @@ TEXT_BYTES = 2 << 20
 #: Size of the record batches that Spark hands to Python workers in ``small_batches``.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+#: A key of more than one in so many rows is hot.
+SHARES = 1000
+
 T = TypeVar("T")
 
 
@@ -84,3 +89,34 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         yield
     finally:
         spark.conf.set(BATCH_BYTES, before)
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], counts: DataFrame | None = None,
+             shares: int = SHARES) -> DataFrame:
+    """Inner join of ``rows`` (any number per key) with ``facts`` (one row per key); keys aren't missing.
+
+    Keys of more than one in ``shares`` rows, less than ``shares`` of them, are split: their rows are dealt by
+    ``spread`` over as many tasks as they have such portions, and their fact is copied to each. Nothing but the list of
+    these keys goes to the driver and is broadcast. ``counts`` (keys, n) is how many rows each key that has a fact has,
+    where that is known already.
+    """
+    if counts is None:
+        total, counts = rows.agg(F.count("*")).scalar(), rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    else:
+        total = counts.agg(F.sum("n")).scalar()
+    salted = counts.where(F.col("n") * shares > total).select(
+        *[F.col(k).alias(f"hot_{k}") for k in keys], F.ceil(F.col("n") * shares / total).alias("salts"))
+    hot = salted.collect()
+    if not hot:
+        return rows.join(facts, keys)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, salted.schema))
+    same = reduce(and_, [F.col(k) == F.col(f"hot_{k}") for k in keys])
+    salts = F.coalesce("salts", F.lit(1))
+
+    def with_salt(frame: DataFrame, salt: Column) -> DataFrame:
+        known = frame.join(few, same, "left").withColumn("salt", salt)
+        return known.drop("salts", *[f"hot_{k}" for k in keys])
+
+    left = with_salt(rows, F.pmod(F.xxhash64(*spread), salts))
+    right = with_salt(facts, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    return left.join(right, [*keys, "salt"]).drop("salt")

@@ -6,9 +6,11 @@ of the buckets are first held against that estimate, then confirmed on the full
 
 A bucket is never expanded into all its pairs. First every text is held against the smallest one of each of its
 buckets. What is linked then forms components; only buckets whose texts lie in several components are looked at
-again, block by block: first each text is held against its most similar partner in another component. When these
-have been linked too, each text that the sketches leave near some text of another component visits that component:
-it is held, exactly, against all its texts, and one link is enough.
+again: each text is held against its most similar partner in another component. When these have been linked too,
+texts that the sketches still leave near some text of another component are clustered over the buckets in which they
+are. Each goes into its cluster once, with its whole set, and there all that lie in different components are compared
+exactly. Such comparisons happen inside tasks, in a grid of bounded blocks: what leaves a task is one row for each
+text, or links that join two components.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import ref, slices, small_batches
+from tablevitals.llm.common import hot_join, ref, slices, small_batches
 from tablevitals.llm.components import components
 from tablevitals.llm.shingles import MinHash, shingle_sets
 from tablevitals.session import materialize
@@ -35,10 +37,10 @@ PERCENT = 75
 #: Estimates from 128 samples and 256 cells are off by 0.045; pairs that seem this far below are let go. That
 #: loses a pair of similarity 0.75 once in 500,000, less often than the bands.
 LEAST_ESTIMATE = 0.46
-#: Texts of one bucket whose sketches one step compares with those of other components.
-BLOCK = 4096
-#: Shingles of one component that one step compares with those of its visitors.
-BLOCK_ITEMS = 1_000_000
+#: Texts of a bucket, and shingles of a cluster, that a task compares at once with as many outside the main component.
+BLOCK, BLOCK_ITEMS = 16_384, 2_000_000
+#: Texts whose comparisons with a block are held at once.
+STRIP = 256
 #: Ids that may be broadcast at once (8 bytes each); more are shuffled.
 MOST_BROADCAST = 1_000_000
 SKETCH = [f"sketch{k}" for k in range(BITS // 64)]
@@ -96,155 +98,210 @@ def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Adds ``linked`` to pairs (a, b): whether their full sets share 75 of 100 shingles."""
-    pairs = materialize(pairs)
+    """Adds ``linked`` to distinct pairs (a, b): whether their full sets share 75 of 100 shingles."""
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), texts)
     own, other = sets.toDF("a", "items_a"), sets.toDF("b", "items_b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
-    return materialize(pairs.join(own, "a").join(other, "b").groupBy("a", "b").agg(
-        F.max(100 * shared >= PERCENT * (F.size("items_a") + F.size("items_b") - shared)).alias("linked")))
+    return materialize(hot_join(pairs, other, ["b"], ["a"]).join(own, "a").select("a", "b", (
+        100 * shared >= PERCENT * (F.size("items_a") + F.size("items_b") - shared)).alias("linked")))
 
 
-class _Postings:
-    """Which of some sets hold an item."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by ``keys``."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if held.num_rows == 0:
+            continue
+        new = np.zeros(held.num_rows - 1, bool)
+        for key in keys:
+            values = held[key].to_numpy()
+            new |= values[1:] != values[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield held.slice(lo, hi - lo)
+        held = held.slice(cuts[-1]).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _best(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b): the most similar member of another component for each guest, as far as sketches leave a link possible."""
+    for doc, members, cells, most in _cells(rows):
+        j = cells.argmin(axis=1)
+        near = cells[np.arange(len(doc)), j] <= most
+        x, y = doc[near], members[j[near]]
+        yield np.maximum(x, y), np.minimum(x, y)
+
+
+def _open(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bucket, doc_id): guests and members that sketches leave near each other across components, each once."""
+    near_members = None
+    for doc, members, cells, most in _cells(rows):
+        near = cells <= most
+        near_members = near.any(axis=0) if near_members is None else near_members | near.any(axis=0)
+        doc = doc[near.any(axis=1)]
+        yield np.repeat(rows["bucket"][0].as_py(), len(doc)), doc
+    if near_members is not None:
+        doc = members[near_members]
+        yield np.repeat(rows["bucket"][0].as_py(), len(doc)), doc
+
+
+def _cells(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Strips of guests: their ids, those of all members, and how many cells differ (too many within a component)."""
+    most = MinHash(BANDS, ROWS, BITS).most_different_cells(LEAST_ESTIMATE)
+    doc, comp, guest = (rows[c].to_numpy() for c in ("doc_id", "comp", "guest"))
+    sketch = np.stack([rows[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+    x, y = np.flatnonzero(guest), np.flatnonzero(~guest)
+    for at in range(0, len(x) if len(y) else 0, STRIP):
+        mine = x[at:at + STRIP]
+        cells = np.zeros((len(mine), len(y)), np.int32)
+        for k in range(sketch.shape[1]):
+            cells += np.bitwise_count(sketch[mine, k][:, None] ^ sketch[y, k][None, :])
+        cells[comp[mine][:, None] == comp[y][None, :]] = most + 1
+        yield doc[mine], doc[y], cells, most
+
+
+class _Overlaps:
+    """How many shingles the guests of a block share with each of its members.
+
+    Shingles that many of both have are columns of 0/1 matrices, whose product counts them; for the others, the
+    members that have them are looked up. Both counts are exact.
+    """
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]):
-        items = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(items, kind="stable")
-        self.items, self.owner = items[order], owner[order]
-        self.ids, self.sizes = np.array(ids), np.array([len(s) for s in sets])
+    def __init__(self, guests: list[np.ndarray], members: list[np.ndarray]):
+        self.n = len(members)
+        items, self.sizes = np.concatenate(members), np.array([len(s) for s in members])
+        owner = np.repeat(np.arange(self.n), self.sizes)
+        common = np.intersect1d(np.unique(np.concatenate(guests)), np.unique(items), assume_unique=True)
+        self.common = common
+        item, inside = self._places(items)
+        item, owner = item[inside], owner[inside]
+        in_guests = np.bincount(np.concatenate([p[i] for p, i in map(self._places, guests)]), minlength=len(common))
+        in_members = np.bincount(item, minlength=len(common))
+        dense = in_guests * in_members > len(guests) * self.n / 32
+        self.column = np.where(dense, np.cumsum(dense) - 1, -1)
+        column = self.column[item]
+        self.matrix = np.zeros((int(dense.sum()), self.n), np.float32)
+        self.matrix[column[column >= 0], owner[column >= 0]] = 1
+        rare, self.owner = item[column < 0], owner[column < 0]
+        order = np.argsort(rare, kind="stable")
+        self.owner, self.begin = self.owner[order], np.searchsorted(rare[order], np.arange(len(common) + 1))
+
+    def _places(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(self.common, items), max(len(self.common) - 1, 0))
+        return place, (self.common[place] == items) if len(self.common) else np.zeros(len(items), bool)
+
+    def of(self, guests: list[np.ndarray]) -> np.ndarray:
+        item, inside = self._places(np.concatenate(guests))
+        row = np.repeat(np.arange(len(guests)), [len(s) for s in guests])[inside]
+        item = item[inside]
+        column = self.column[item]
+        mine = np.zeros((len(guests), len(self.matrix)), np.float32)
+        mine[row[column >= 0], column[column >= 0]] = 1
+        shared = (mine @ self.matrix).astype(np.int64)
+        row, item = row[column < 0], item[column < 0]
+        n = self.begin[item + 1] - self.begin[item]
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(n):  # a few million lookups at a time
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 22), "right")))
+            many, before = n[at:upto], ends[at:upto] - n[at:upto]
+            found = np.repeat(self.begin[item[at:upto]], many) + np.arange(int(many.sum())) - np.repeat(before - before[0], many)
+            flat = np.repeat(row[at:upto], many) * self.n + self.owner[found]
+            shared += np.bincount(flat, minlength=shared.size).reshape(shared.shape)
+            at = upto
+        return shared
+
+
+def _linked(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b): links between guests and members of different components, enough to join what they join."""
+    doc, comp, guest = (rows[c].to_numpy() for c in ("doc_id", "comp", "guest"))
+    lists = rows["items"].combine_chunks()
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    sets = np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+    x, y = np.flatnonzero(guest), np.flatnonzero(~guest)
+    if not len(x) or not len(y):
+        return
+    _, comp = np.unique(comp, return_inverse=True)
+    root = np.arange(comp.max() + 1)
+    overlaps = _Overlaps([sets[k] for k in x], [sets[k] for k in y])
+    for at in range(0, len(x), STRIP):
+        mine = x[at:at + STRIP]
+        shared = overlaps.of([sets[k] for k in mine])
+        sizes = np.array([len(sets[k]) for k in mine])[:, None] + overlaps.sizes[None, :]
+        i, j = np.nonzero(100 * shared >= PERCENT * (sizes - shared))
+        while True:  # one link per guest and round, until all that is linked is one
+            apart = root[comp[mine[i]]] != root[comp[y[j]]]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                break
+            _, first = np.unique(i, return_index=True)
+            found = []
+            for a, b in zip(mine[i[first]].tolist(), y[j[first]].tolist()):
+                one, two = sorted((root[comp[a]], root[comp[b]]))
+                if one != two:
+                    root[root == two] = one
+                    found.append((max(doc[a], doc[b]), min(doc[a], doc[b])))
+            yield tuple(np.array(found, np.int64).T)
+
+
+def _each_group(step: Callable, keys: tuple[str, ...], names: list[str]) -> Callable:
+    """``step`` for every group of a sorted partition, as record batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, keys):
+            for columns in step(rows):
+                for at in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 100_000]) for c in columns], names=names)
+    return run
 
-    def linked(self, items: np.ndarray) -> int | None:
-        """The smallest id whose set is linked with this one."""
-        lo, hi = np.searchsorted(self.items, items, "left"), np.searchsorted(self.items, items, "right")
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        shared = np.bincount(self.owner[at], minlength=len(self.ids))
-        near = 100 * shared >= PERCENT * (self.sizes + len(items) - shared)
-        return int(self.ids[near].min()) if near.any() else None
 
+def _grid(placed: DataFrame, key: str, weight: str, most: int) -> DataFrame:
+    """Texts (key, doc_id, comp, weight) of keys with several components, dealt to a grid: key, block, chunk, doc_id, comp, guest.
 
-def _held_against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a > b) between visitors and the texts of a block. Rows come sorted by (comp, block, visitor)."""
-    at, ids, sets, postings = None, [], [], None
-    for batch in batches:
-        found = []
-        items = batch.column("items")
-        values, offsets = items.flatten().to_numpy(zero_copy_only=False), np.diff(items.offsets.to_numpy()).cumsum()
-        begins = [0, *offsets.tolist()]
-        rows = zip(batch.column("comp").to_pylist(), batch.column("block").to_pylist(),
-                   batch.column("visitor").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
-        for k, (comp, block, visitor, doc) in enumerate(rows):
-            own = values[begins[k]:begins[k + 1]]
-            if at != (comp, block):
-                at, ids, sets, postings = (comp, block), [], [], None
-            if not visitor:
-                ids.append(doc)
-                sets.append(own.copy())
-                continue
-            if postings is None and ids:
-                postings = _Postings(ids, sets)
-            other = postings.linked(own) if postings else None
-            if other is not None:
-                found.append((max(doc, other), min(doc, other)))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-
-
-def _visits_confirmed(visits: DataFrame, placed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of visitors: (doc_id, comp) rows; placed: the component of each text in question."""
-    visits = materialize(visits.distinct())
-    inside = materialize(placed.select("doc_id", "comp").distinct().join(
-        visits.select("comp").distinct(), "comp", "left_semi"))
-    sets = _sets_of(visits.select("doc_id").unionByName(inside.select("doc_id")), texts)
-    items = inside.join(sets.select("doc_id", F.size("items").alias("n")), "doc_id").groupBy("comp").agg(
-        F.ceil(F.sum("n") / BLOCK_ITEMS).alias("blocks"))
-    blocks = materialize(items)
-    members = inside.join(blocks, "comp").select(
-        "comp", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "doc_id", F.lit(False).alias("visitor"))
-    guests = visits.join(blocks, "comp").select(
-        "comp", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "doc_id", F.lit(True).alias("visitor"))
-    rows = members.unionByName(guests).join(sets, "doc_id").select("comp", "block", "visitor", "doc_id", "items")
-    return rows.repartition("comp", "block").sortWithinPartitions("comp", "block", "visitor").mapInArrow(
-        _held_against, "a long, b long").distinct().withColumn("linked", F.lit(True))
-
-
-def _across(visits: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What the sketches leave across components: each text's best partner (a, b), or its visits (doc_id, comp).
-
-    Rows come sorted by (bucket, block); ``other`` marks the texts outside the bucket's main component, which are
-    held against all texts of the block. Of two such texts the larger one visits.
+    Members, all texts of the key, lie in blocks of about ``most``; guests, those outside its heaviest component, in
+    chunks of about ``most``. Every chunk meets every block: rows are copied once for every ``most`` guests or members.
     """
-    most = MinHash(BANDS, ROWS, BITS).most_different_cells(LEAST_ESTIMATE)
-
-    def of_group(doc, comp, main, other, sketch):
-        found = []
-        x, y = np.flatnonzero(other), np.flatnonzero(~other)
-        y = y[np.argsort(comp[y], kind="stable")]
-        starts = np.flatnonzero(np.diff(comp[y], prepend=-1))
-        for at in range(0, len(x) if len(y) else 0, 256):
-            mine = x[at:at + 256]
-            cells = np.zeros((len(mine), len(y)), np.int32)
-            for k in range(sketch.shape[1]):
-                cells += np.bitwise_count(sketch[mine, k][:, None] ^ sketch[y, k][None, :])
-            cells[comp[mine][:, None] == comp[y][None, :]] = most + 1
-            if visits:
-                near = (cells <= most) & ((comp[y] == main)[None, :] | (doc[mine][:, None] > doc[y][None, :]))
-                i, j = np.nonzero(np.logical_or.reduceat(near, starts, axis=1))
-                found.append(np.stack([doc[mine[i]], comp[y[starts[j]]]], axis=1))
-            else:
-                j = cells.argmin(axis=1)
-                near = cells[np.arange(len(mine)), j] <= most
-                found.append(np.stack([doc[mine[near]], doc[y[j[near]]]], axis=1))
-        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-
-    def emit(table, cuts):
-        doc, comp, main = (table[c].to_numpy() for c in ("doc_id", "comp", "main"))
-        other = table["other"].to_numpy(zero_copy_only=False)
-        sketch = np.stack([table[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
-        for lo, hi in zip(cuts, cuts[1:]):
-            pairs = of_group(doc[lo:hi], comp[lo:hi], main[lo], other[lo:hi], sketch[lo:hi])
-            for at in range(0, len(pairs), 100_000):
-                part = pairs[at:at + 100_000]
-                if visits:
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["doc_id", "comp"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(part.max(axis=1)), pa.array(part.min(axis=1))], names=["a", "b"])
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            bucket, block = held["bucket"].to_numpy(), held["block"].to_numpy()
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
-            if len(cuts):
-                yield from emit(held.slice(0, cuts[-1]), [0, *cuts.tolist()])
-                held = held.slice(cuts[-1]).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from emit(held, [0, held.num_rows])
-    return run
+    def parts(of: str):
+        return F.greatest(F.lit(1).cast("long"), F.ceil(F.col(of) / most))
+
+    sizes = placed.groupBy(key, "comp").agg(F.sum(weight).alias("weight"), F.count("*").alias("n"))
+    split = (sizes.groupBy(key).agg(F.max(F.struct("weight", "comp")).alias("main"), F.sum("weight").alias("total"),
+                                    F.sum("n").alias("n"), F.count("*").alias("comps"))
+             .where("comps > 1").withColumn("outside", F.col("total") - F.col("main.weight"))
+             .select(key, "n", F.col("main.comp").alias("main"), parts("total").alias("blocks"), parts("outside").alias("chunks")))
+    split = materialize(split)
+    rows = hot_join(placed, split.drop("n"), [key], ["doc_id"], split)
+    members = rows.select(key, F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"),
+                          F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "doc_id", "comp", F.lit(0).alias("guest"))
+    guests = rows.where("comp <> main").select(
+        key, F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
+        F.pmod(F.xxhash64("doc_id", F.lit(1)), "chunks").alias("chunk"), "doc_id", "comp", F.lit(1).alias("guest"))
+    return members.unionByName(guests)
+
+
+def _compared(grid: DataFrame, facts: DataFrame, step: Callable, names: list[str]) -> DataFrame:
+    """What ``step`` finds in the cells of a grid whose texts have been given their facts."""
+    keys = (grid.columns[0], "block", "chunk")
+    rows = grid.join(facts, "doc_id")
+    rows = rows.withColumn("guest", F.col("guest") == 1).select(*keys, "doc_id", "comp", "guest", *[
+        c for c in facts.columns if c != "doc_id"])
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return materialize(rows.mapInArrow(_each_group(step, keys, names), ", ".join(f"{c} long" for c in names)).distinct())
 
 
 def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds each text's component to members (bucket, doc_id)."""
+    """Adds each text's component to members."""
     return materialize(members.join(labels, members["doc_id"] == labels["node"], "left").select(
-        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp")))
+        *members.columns, F.coalesce("component", "doc_id").alias("comp")))
 
 
-def _split_buckets(placed: DataFrame, marks: DataFrame, visits: bool) -> DataFrame:
-    """What ``_across`` finds in buckets with several components."""
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    split = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"),
-                                         F.count("*").alias("comps")).where("comps > 1")
-             .select("bucket", F.col("main.comp").alias("main"), F.ceil(F.col("total") / BLOCK).alias("blocks")))
-    rows = placed.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
-    outside = rows.where("comp <> main").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.withColumn("other", F.lit(False)).unionByName(outside.withColumn("other", F.lit(True)))
-    rows = rows.select("bucket", "block", "doc_id", "comp", "main", "other").join(marks, "doc_id")
-    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(
-        _across(visits), "doc_id long, comp long" if visits else "a long, b long").distinct()
+def _clusters(rows: DataFrame) -> DataFrame:
+    """(doc_id, cluster) of texts that buckets (bucket, doc_id) connect, without their components so far."""
+    first = materialize(rows.groupBy("bucket").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")))
+    links = hot_join(rows, first.drop("n"), ["bucket"], ["doc_id"], first).select(F.col("doc_id").alias("a"), "b")
+    return components(materialize(links)).toDF("doc_id", "cluster")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,30 +324,34 @@ def _near_dedup(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _described, f"doc_id long, n_shingles long, high long, low long, {words}, bands array<long>"))
     linkable = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Equal sets are one class, named by its smallest id; only classes are compared.
-    classes = materialize(linkable.groupBy("high", "low").agg(F.min("doc_id").alias("class")))
-    marks = materialize(linkable.join(classes.withColumnRenamed("class", "doc_id"), ["high", "low", "doc_id"], "left_semi")
-                        .select("doc_id", *SKETCH, "bands"))
-    placed = marks.select("doc_id", F.explode("bands").alias("bucket"))
-    pivots = placed.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"))
-    members = materialize(placed.join(pivots.where("pivot < last"), "bucket").select("bucket", "doc_id", "pivot"))
-    marks = marks.drop("bands")
-
-    a, b = marks.toDF("a", *SKETCH).alias("x"), marks.toDF("b", *SKETCH).alias("y")
-    stars = members.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(a, "a").join(b, "b").where(_alike("x", "y")).select("a", "b")
-    tested = _confirmed(stars, texts)
-    labels = materialize(components(tested.where("linked")))
-    members = members.drop("pivot").distinct()
-    placed = _placed(members, labels)
-    best = _split_buckets(placed, marks, visits=False).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    links = tested.unionByName(_confirmed(best, texts)).where("linked")
+    classes = materialize(linkable.groupBy("high", "low").agg(F.min(F.struct("doc_id", *SKETCH, "bands")).alias("first")).select(
+        "high", "low", "first.*"))
+    placed = materialize(classes.select("doc_id", F.explode("bands").alias("bucket")))
+    marks = classes.select("doc_id", *SKETCH)
+    pivots = materialize(placed.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
+    members = materialize(hot_join(placed, pivots.drop("n"), ["bucket"], ["doc_id"], pivots).select("bucket", "doc_id", "pivot"))
+
+    a, b = marks.toDF("a", *SKETCH).alias("x"), marks.toDF("b", *SKETCH)
+    stars = materialize(members.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
+    near = hot_join(stars, b, ["b"], ["a"]).alias("y").join(a, "a").where(_alike("x", "y"))
+    tested = _confirmed(materialize(near.select("a", "b")), texts)
+    members = members.select("bucket", "doc_id")
+    placed = _placed(members, materialize(components(tested.where("linked")))).withColumn("weight", F.lit(1))
+    best = _compared(_grid(placed, "bucket", "weight", BLOCK), marks, _best, ["a", "b"])
+    untested = materialize(best.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    links = tested.unionByName(_confirmed(untested, texts)).where("linked").select("a", "b")
     labels = materialize(components(links))
-    placed = _placed(members, labels)
-    visited = _visits_confirmed(_split_buckets(placed, marks, visits=True), placed, texts)
-    labels = materialize(components(links.unionByName(visited)))
 
-    named = classes.join(labels, F.col("class") == F.col("node"), "left").select(
-        "high", "low", F.coalesce("component", "class").alias("component"))
+    placed = _placed(members, labels).withColumn("weight", F.lit(1))
+    rest = _compared(_grid(placed, "bucket", "weight", BLOCK), marks, _open, ["bucket", "doc_id"])
+    sizes = linkable.groupBy("doc_id").agg(F.max("n_shingles").alias("weight"))
+    clusters = _placed(_clusters(rest).join(sizes, "doc_id"), labels)
+    found = _compared(_grid(clusters, "cluster", "weight", BLOCK_ITEMS), _sets_of(clusters.select("doc_id"), texts),
+                      _linked, ["a", "b"])
+    labels = materialize(components(links.unionByName(found)))
+
+    named = classes.join(labels, F.col("doc_id") == F.col("node"), "left").select(
+        "high", "low", F.coalesce("component", "doc_id").alias("component"))
     return (described.select("doc_id", "n_shingles", "high", "low").join(named, ["high", "low"], "left")
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
             .select("doc_id", "n_shingles", "component_id",
