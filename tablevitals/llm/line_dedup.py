@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.llm.common import WORD, ref, whole_text
+from tablevitals.llm.common import WORD, hot_join, ref, whole_text
 from tablevitals.session import materialize
 
 #: White space that leaves a line blank.
@@ -128,10 +128,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     windows = materialize(keyed.mapInArrow(lambda batches: _windows(batches, width, break_over),
                                            f"high long, low long, doc {kind}, tie long, start int"))
     place = F.struct("doc", "tie", "start")
-    repeated = (windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-                .where("n > 1").drop("n"))
+    repeated = materialize(windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+                           .where("n > 1"))
     same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("tie") == F.col("first.tie"))
-    later = (windows.join(repeated, ["high", "low"])
+    later = (hot_join(windows, repeated.drop("n"), ["high", "low"], ["doc", "tie", "start"], repeated)
              .withColumn("since", F.when(same, F.greatest("start", F.col("first.start") + width))
                          .otherwise(F.col("start")))
              .withColumn("until", F.col("start") + width)
