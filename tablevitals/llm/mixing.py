@@ -120,17 +120,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depends on ids, texts and ``seed`` alone, so reruns agree; rows alike in all columns are interchangeable. An
     empty table gives none; other columns are ignored whatever their names.
     """
+    # Rows alike are counted first: they enter a block once, however many they are.
     sized = materialize(docs.select(
         ref(id_col).alias("doc_id"), ref(source_col).alias("source"),
         F.regexp_count(whole_text(ref(text_col)), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(ref(text_col)).alias("text_hash")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+        F.xxhash64(ref(text_col)).alias("text_hash"))
+        .groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("alike")))
+    sizes = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("alike")).alias("source_size"), F.count("*").alias("n_docs"))
     targets = materialize(source_targets(sizes, weights).withColumn("blocks", F.ceil(F.col("n_docs") / block_rows))
                           .withColumnRenamed("source", "of"))
     whole = F.floor(F.col("share") + 1e-12)
+    # What rows alike want together beyond the whole part: some of them get one more, and a fraction is left to round.
+    more = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("share") - whole) * F.col("alike")).otherwise(0.0)
     rows = (sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "text_hash", "source_no", "size", whole.alias("whole"),
-        F.greatest(F.lit(0.0), F.col("share") - whole).alias("part"),
+        "doc_id", "text_hash", "source_no", "size", "alike", whole.alias("whole"), F.floor(more + 1e-9).alias("extra"),
+        F.greatest(F.lit(0.0), more - F.floor(more + 1e-9)).alias("part"),
         F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), "blocks").alias("block"), "blocks",
         F.lit(True).alias("open")))
     blocks = targets.agg(F.max("blocks")).first()[0] or 1
@@ -145,7 +149,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         blocks, level = -(-blocks // fan_in), level + 1
     result = reduce(DataFrame.unionByName, done)
-    return result.join(targets, "source_no").withColumn(
-        "copies", (F.col("whole") + F.col("part")).cast("long")).select(
+    each = result.withColumn("nth", F.explode(F.expr("sequence(1L, alike)")))
+    return each.join(targets, "source_no").withColumn(
+        "copies", F.col("whole") + (F.col("nth") <= F.col("extra") + F.col("part")).cast("long")).select(
         "doc_id", F.col("of").alias("source"), "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
