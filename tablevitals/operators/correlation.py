@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablevitals.functions.columns import finite_double, numeric_columns, union_all
+from tablevitals.functions.columns import as_double, chunks, finite_double, numeric_columns, union_all
 from tablevitals.operators.moments import centers
 
 #: Pairs above this absolute correlation are reported (fixed value).
@@ -57,6 +57,11 @@ def pair_sums(df: DataFrame, columns: Sequence[str], means: Sequence[float] | No
     of it holds and hands in the products of ``TILE`` x ``TILE`` columns at most, however many there are.
     """
     tiles = [range(at, min(at + TILE, len(columns))) for at in range(0, len(columns), TILE)]
+    if means is None and len(tiles) > 1:  # one number per column, found once for all tiles
+        means = []
+        for group in chunks(columns, 100):
+            found = df.agg(*[F.coalesce(F.avg(finite_double(df, c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(group)])
+            means += list(found.first())
     return union_all([_tile_sums(df, columns, means, tiles[p], tiles[q])
                       for p in range(len(tiles)) for q in range(p, len(tiles))])
 
@@ -64,16 +69,20 @@ def pair_sums(df: DataFrame, columns: Sequence[str], means: Sequence[float] | No
 def _tile_sums(df: DataFrame, columns: Sequence[str], means: Sequence[float] | None, first: range, second: range) -> DataFrame:
     places = sorted({*first, *second})
     names = [columns[k] for k in places]
-    near = centers(df, names, finite_double) if means is None else F.struct(
-        *[F.lit(float(means[k])).alias(f"c{i}") for i, k in enumerate(places)])
-    data = df.select(*[finite_double(df, c).alias(f"x{i}") for i, c in enumerate(names)], near.alias("center"))
-    data = data.select([(F.col(f"x{i}") - F.col(f"center.c{i}")).alias(f"d{i}") for i in range(len(names))])
     own, other = len(first), len(second)
+    if means is None:
+        data = df.select(*[finite_double(df, c).alias(f"x{i}") for i, c in enumerate(names)], centers(df, names, finite_double).alias("center"))
+        data = data.select([(F.col(f"x{i}") - F.col(f"center.c{i}")).alias(f"d{i}") for i in range(len(names))])
+        near = np.zeros(len(names))
+    else:
+        data = df.select([as_double(df, c).alias(f"d{i}") for i, c in enumerate(names)])
+        near = np.array([float(means[k]) for k in places])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, si, sj, sii, sjj, sij = sums = [np.zeros((own, other)) for _ in range(6)]
         for batch in batches:
             every = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            every = np.where(np.isfinite(every), every, np.nan) - near
             x, y = every[:, :own], every[:, -other:]
             in_x, in_y = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
             x, y = np.nan_to_num(x), np.nan_to_num(y)
