@@ -38,8 +38,15 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, width: int = 2, t
     """Encodes every text whole into flat token files below ``path``, one per partition.
 
     Spark's text writer does the writing: a document's ids are a line, the end-of-document id is the line's end.
-    A missing text is a document without tokens.
+    A missing text is a document without tokens. Ids that ``width`` bytes can't hold, and an ``end_id`` that stands for
+    a token, raise.
     """
+    most = _encoding(tokenizer).n_vocab - 1
+    if max(most, end_id) > np.iinfo(WIDTHS[width]).max:
+        raise ValueError(f"ids up to {max(most, end_id)} don't fit into {width} bytes")
+    if end_id <= most:
+        raise ValueError(f"{end_id} is a token of the vocabulary and can't end documents")
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = per_process(("encoding", tokenizer), lambda: _encoding(tokenizer))
         for batch in batches:

@@ -4,14 +4,17 @@ import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from tablevitals.llm.catalog import QUERIES
-from tablevitals.llm.language import fit_dictionaries, identify_language
+from tablevitals.llm.language import LEVEL, PIECE, SOFTNESS, fit_dictionaries, identify_language
 from tablevitals.llm.neighbours import cut_graph, nearest, nearest_neighbours
-from tablevitals.llm.recurrent import Adam, Network, read_words, window_words, windows
-from tablevitals.llm.toxicity import labelled_sample, score_toxicity
+from tablevitals.llm.recurrent import STATE, STEP, WINDOW, Adam, Network, read_words, window_words, windows
+from tablevitals.llm.toxicity import labelled_sample, score_toxicity, train
 from tests.llm import edge
 
 
@@ -255,3 +258,68 @@ def test_no_vectors(spark):
     assert nearest_neighbours(spark.createDataFrame([], VECTORS), every_row()).collect() == []
     one = spark.createDataFrame([(100, [1.0, 2.0], 1, 2, 3, True, 4)], VECTORS)
     assert nearest_neighbours(one, every_row()).collect() == []
+
+
+
+def plain_logit(network, text):
+    """The worst window of one text: its words one by one, without batches, masks or shared gates."""
+    p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    one = read_words(pa.array([text]))
+    vectors = []
+    for place in one.ids:
+        grams = one.grams[one.gram_start[place]:one.gram_start[place + 1]]
+        vectors.append(p["word"][one.bucket[place]] + p["gram"][grams].mean(axis=0))
+
+    def states(run, side):
+        h, out = np.zeros(STATE), []
+        for x in run:
+            given, own = x @ p[f"in_{side}"] + p[f"bias_{side}"], h @ p[f"state_{side}"]
+            z, r = (1 / (1 + np.exp(-(given + own)[k * STATE:(k + 1) * STATE])) for k in (0, 1))
+            new = np.tanh(given[2 * STATE:] + r * own[2 * STATE:])
+            h = new + z * (h - new)
+            out.append(h)
+        return out
+
+    worst = -np.inf
+    for at in range(0, max(1, len(vectors) - WINDOW + STEP), STEP):
+        run = vectors[at:at + WINDOW]
+        if not run:
+            return float(p["out_b"][0])
+        both = np.concatenate([states(run, "f"), states(run[::-1], "b")[::-1]], axis=1)
+        look = np.exp(both @ p["look"] - (both @ p["look"]).max())
+        worst = max(worst, float((look / look.sum()) @ both @ p["out"] + p["out_b"][0]))
+    return worst
+
+
+def test_toxicity_equals_a_plain_forward_pass(spark, sf):
+    """All scores of the shared table and of odd texts, from the same trained network."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + k, r[1]) for k, r in enumerate(edge.ROWS) if len(r[1] or "") < 10_000],
+                                                  "doc_id long, text string"))
+    labels = spark.createDataFrame([(r.doc_id, r.doc_id % 2) for r in docs.limit(150).collect()], "doc_id long, toxic int")
+    network = train(*labelled_sample(docs, labels, every_row(), (60, 60), 20_000))
+    assert network is not None
+    found = {r.doc_id: r["score"] for r in score_toxicity(docs, labels, every_row(), rows=(60, 60)).collect()}
+    for row in docs.where("length(text) < 3000 OR text IS NULL").collect():
+        want = 1 / (1 + np.exp(-plain_logit(network, row.text or "")))
+        assert found[row.doc_id] == pytest.approx(want, abs=2e-4), row.doc_id
+
+
+def test_language_equals_a_plain_loop(spark, sf):
+    """Every prediction of the shared table: the language whose dictionary makes a text's pieces smallest."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    dictionaries = fit_dictionaries(docs, F.col("lang"), learn)
+    found = {r.doc_id: r for r in QUERIES["op10_language"](spark, sf).collect()}
+    packers = {}
+    for name, body in dictionaries.items():
+        shared = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers[name] = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=False, write_dict_id=False)
+    for row in docs.collect():
+        plain = regex.sub(r"[^\p{L}]+", " ", (row.text or "").lower()).strip(" ").encode()
+        sizes = {name: sum(len(c.compress(plain[at:at + PIECE])) for at in range(0, len(plain), PIECE)) for name, c in packers.items()}
+        want = min(sizes, key=lambda name: (sizes[name], [*packers].index(name))) if plain else "und"
+        assert found[row.doc_id].lang_pred == want
+        if plain:
+            share = 1 / sum(np.exp(-(size - sizes[want]) / SOFTNESS) for size in sizes.values())
+            assert found[row.doc_id]["score"] == pytest.approx(share)

@@ -138,3 +138,11 @@ def test_empty_tables(spark, tmp_path):
     assert encode_decode(edge.documents(spark, [])).collect() == []
     write_token_files(edge.documents(spark, []), f"{tmp_path}/tokens", END_OF_DOCUMENT)
     assert token_counts(spark, f"{tmp_path}/tokens", END_OF_DOCUMENT).collect() == []
+
+
+def test_ids_that_do_not_fit_raise(spark, tmp_path):
+    docs = edge.documents(spark)
+    with pytest.raises(ValueError, match="don't fit"):
+        write_token_files(docs, f"{tmp_path}/a", 70_000)
+    with pytest.raises(ValueError, match="is a token"):
+        write_token_files(docs, f"{tmp_path}/b", 17)
