@@ -2,7 +2,7 @@
 
 A byte pair that stands side by side in no token of the vocabulary can't be joined by any merge. Where the
 pre-tokenizer is certain to break between such a pair too, a text may be cut. The pieces are encoded on their own,
-new ones of a batch together, and their ids are strung together. A worker remembers pieces from task to task.
+new ones of a batch together, and their ids are strung together. A task remembers pieces from batch to batch.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from tablevitals.llm.common import per_process, ref, slices
 
 #: Bytes that the pieces of one generation take up, and the length of the longest that is remembered.
-REMEMBERED, LONGEST = 96 << 20, 64
+REMEMBERED, LONGEST = 64 << 20, 64
 #: Bytes of a remembered piece beside its characters: entry, tuple and string headers.
 ENTRY = 320
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
@@ -95,6 +95,9 @@ class Codec:
         self.elder: dict[bytes, tuple[str, str, int]] = {}
         self.held = 0
 
+    def forget(self) -> None:
+        self.known, self.elder, self.held = {}, {}, 0
+
     def pieces(self, body: bytes) -> list[bytes]:
         codes = np.frombuffer(body, np.uint8).astype(np.uint16)
         at = np.flatnonzero(self.cuts[(codes[:-1] << 8) | codes[1:]]) + 1
@@ -173,6 +176,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
                     columns.append(pa.array([[int(i) for i in r[0].split()] for r in rows], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        codec.forget()  # an idle worker holds no more than the tokenizer
 
     return docs.select(ref(id_col).alias("doc_id"), ref(text_col).alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
