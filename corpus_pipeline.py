@@ -37,27 +37,44 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; repeated rows of one id and text are one.
 
     Texts that share an id are compared and go one by one. Documents without an id are compared, too, and come before
-    all others. A row is named by 64 bits of id and text.
+    all others. Rows are compared under 64 bits of id and text and told apart by 128, so that two which share the
+    former are compared as one but stay both.
     """
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    places = materialize(keyed.select("row_key", "doc_id").dropDuplicates(["row_key"]))
+    keyed = docs.withColumns({"row_key": F.xxhash64("doc_id", "text"), "row_check": F.xxhash64(F.lit(1), "text", "doc_id")})
+    names = ["row_key", "row_check"]
+    places = materialize(keyed.select(*names, "doc_id").dropDuplicates(names))
     groups = near_dedup(keyed.select("row_key", "text"), "row_key").select(
         F.col("doc_id").alias("row_key"), "component_id").distinct()
-    first = groups.join(places, "row_key").groupBy("component_id").agg(
-        F.min(F.struct("doc_id", "row_key")).alias("first")).select("first.row_key")
-    return keyed.dropDuplicates(["row_key"]).join(first, "row_key", "left_semi").select(*docs.columns)
+    first = groups.join(places, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    return keyed.dropDuplicates(names).join(first.select("first.row_key"), "row_key", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    taken = mix_sources(docs).where("copies > 0").select(
-        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "copies")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")))
-    return rows.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select(*docs.columns)
+    """Every document as often as the mix takes it.
+
+    Rows of one id, source and text give one row as often as the mix takes all of them; where they differ in another
+    column, which of them it is may be any. A missing text has no words, so it is taken no time or as often as its
+    source's whole share; an empty table gives none.
+    """
+    keys = [F.xxhash64("text").alias("text_hash"), F.xxhash64(
+        F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source").alias("id_hash")]
+    names = ["text_hash", "id_hash"]
+    taken = materialize(mix_sources(docs).select("text_hash", keys[1], "copies").groupBy(*names).agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("alike")).where("copies > 0"))
+    keyed = docs.select(*keys, F.struct(*docs.columns).alias("row"))
+    rows = keyed.join(taken.where("alike = 1").drop("alike"), names).select("row", "copies")
+    repeated = taken.where("alike > 1").drop("alike")
+    if not repeated.isEmpty():  # one row for all of a kind, chosen within tasks before the shuffle
+        kept = keyed.join(repeated, names, "left_semi").groupBy(*names).agg(F.first("row").alias("row"))
+        rows = rows.unionByName(kept.join(repeated, names).select("row", "copies"))
+    return rows.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("row.*")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of ids and of the decoded text."""
+    """Token ids of every document, with digests of ids and of the decoded text; a missing text counts as empty.
+
+    Repeated rows are encoded each, rows without an id, too; an empty table gives none.
+    """
     return encode_decode(docs, "word_bpe_49k.json", keep_ids=True)
 
 
