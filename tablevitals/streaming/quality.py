@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablevitals.functions.columns import clean, col
 from tablevitals.functions.scalars import percentage
@@ -36,7 +37,7 @@ def window_quality(events: DataFrame, time: str, columns: Sequence[str], valid:
 
 @dataclass(frozen=True)
 class StreamRun:
-    """Windows closed so far, with what the run itself tells: rows that came too late and most windows open at once."""
+    """Windows so far, with what the run itself tells: rows that came too late and most windows open at once."""
 
     windows: DataFrame
     late_rows: int
@@ -48,17 +49,28 @@ def store_batch(batch: DataFrame, number: int, output: str) -> None:
     batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
 
-def run_to_end(quality: DataFrame, checkpoint: str, output: str) -> StreamRun:
+def _newest(written: DataFrame, names: list[str]) -> DataFrame:
+    """Each window and column as its last batch gave it."""
+    last = written.groupBy("window_start", "column").agg(F.max_by(F.struct(*names), "batch").alias("last"))
+    return last.select("last.*")
+
+
+def run_to_end(quality: DataFrame, checkpoint: str, output: str, open_windows: bool = False) -> StreamRun:
     """Runs a stream over what its source holds now; ``windows`` are those of this run and of all before it.
 
+    They are the closed ones, appended as they close. With ``open_windows`` they are all: each batch writes the windows
+    that it changed, and the newest row of a window counts. Keep to one of both for a checkpoint and its output.
+
     The checkpoint lets a restarted run go on where the last one ended. A batch that a run had begun when it died is
     done again with the same events and number, and replaces what it had written, so each window is there once.
     """
-    running = (quality.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    mode = "update" if open_windows else "append"
+    running = (quality.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
                .foreachBatch(lambda batch, number: store_batch(batch, number, output)).start())
     running.awaitTermination()
     states = [s for p in running.recentProgress for s in p["stateOperators"]]
     spark = quality.sparkSession
-    windows = (spark.read.schema(quality.schema).parquet(output).drop("batch") if exists(spark, output)
+    stored = T.StructType([*quality.schema.fields, T.StructField("batch", T.LongType())])
+    windows = (_newest(spark.read.schema(stored).parquet(output), quality.columns) if exists(spark, output)
                else spark.createDataFrame([], quality.schema))
     return StreamRun(windows, sum(s["numRowsDroppedByWatermark"] for s in states), max((s["numRowsTotal"] for s in states), default=0))

@@ -89,3 +89,30 @@ def test_a_run_that_dies_gives_each_window_once(spark, tmp_path, monkeypatch, af
     run = run_to_end(quality(stream(spark, folder, 1)), f"{tmp_path}/checkpoint", f"{tmp_path}/out")
     assert calls[4] == calls[3]  # the same batch again
     assert sorted(run.windows.collect()) == closed(spark, folder, "2024-01-06")
+
+
+def test_open_windows_are_given_as_they_are(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+
+    def run():
+        return run_to_end(quality(stream(spark, folder, 1)), f"{tmp_path}/checkpoint", f"{tmp_path}/out", open_windows=True)
+
+    write(spark, folder, [("2024-01-01 01:00:00", 1.0), ("2024-01-02 05:00:00", -4.0)])
+    assert sorted(run().windows.collect()) == closed(spark, folder, "2025-01-01")
+    write(spark, folder, [("2024-01-02 06:00:00", float("nan")), ("2024-01-05 00:00:00", 2.0)])
+    write(spark, folder, [("2024-01-06 06:00:00", None)])
+    second = run()
+    assert sorted(second.windows.collect()) == closed(spark, folder, "2025-01-01")
+    write(spark, folder, [("2024-01-02 07:00:00", 9.0), ("2024-01-06 07:00:00", 9.0)])
+    third = run()
+    assert third.late_rows == 1 and third.windows.count() == 4
+    assert [r.n_rows for r in third.windows.orderBy("window_start").collect()] == [1, 2, 1, 2]
+
+
+def test_query_covers_every_day(spark, sf):
+    from tablevitals import catalog
+
+    days = spark.read.parquet(f"{sf}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    found = catalog.QUERIES["stream_quality"](spark, sf)
+    assert found.agg(F.max("day")).first() == days.agg(F.max("day")).first()
+    assert found.where("column = 'value'").agg(F.sum("n_rows")).first()[0] == days.count()
