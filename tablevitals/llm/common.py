@@ -6,8 +6,6 @@ import string
 import sys
 from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
-from functools import reduce
-from operator import and_
 from typing import TypeVar
 
 import numpy as np
@@ -97,26 +95,23 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[st
 
     Keys of more than one in ``shares`` rows, less than ``shares`` of them, are split: their rows are dealt by
     ``spread`` over as many tasks as they have such portions, and their fact is copied to each. Nothing but the list of
-    these keys goes to the driver and is broadcast. ``counts`` (keys, n) is how many rows each key that has a fact has,
-    where that is known already.
+    these keys goes to the driver, and back as constants by the keys' hashes, so no row is joined to be looked up; a key
+    that shares a hot one's hash is split like it, which changes nothing but its tasks. ``counts`` (keys, n) is how many
+    rows each key that has a fact has, where that is known already.
     """
     if counts is None:
         total, counts = rows.agg(F.count("*")).scalar(), rows.groupBy(*keys).agg(F.count("*").alias("n"))
     else:
         total = counts.agg(F.sum("n")).scalar()
     salted = counts.where(F.col("n") * shares > total).select(
-        *[F.col(k).alias(f"hot_{k}") for k in keys], F.ceil(F.col("n") * shares / total).alias("salts"))
-    hot = salted.collect()
+        F.xxhash64(*keys).alias("place"), F.ceil(F.col("n") * shares / total).alias("salts"))
+    hot = dict(sorted(tuple(r) for r in salted.collect()))
     if not hot:
         return rows.join(facts, keys)
-    few = F.broadcast(rows.sparkSession.createDataFrame(hot, salted.schema))
-    same = reduce(and_, [F.col(k) == F.col(f"hot_{k}") for k in keys])
-    salts = F.coalesce("salts", F.lit(1))
+    place = F.xxhash64(*keys)
+    known = F.expr(f"map({', '.join(f'{k}L, {n}L' for k, n in hot.items())})")
+    salts = F.when(place.isin(list(hot)), F.element_at(known, place)).otherwise(F.lit(1).cast("long"))
 
-    def with_salt(frame: DataFrame, salt: Column) -> DataFrame:
-        known = frame.join(few, same, "left").withColumn("salt", salt)
-        return known.drop("salts", *[f"hot_{k}" for k in keys])
-
-    left = with_salt(rows, F.pmod(F.xxhash64(*spread), salts))
-    right = with_salt(facts, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    left = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), salts))
+    right = facts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     return left.join(right, [*keys, "salt"]).drop("salt")

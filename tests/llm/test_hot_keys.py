@@ -119,3 +119,14 @@ def test_overlaps_count_common_and_rare_shingles():
     for guests, members in ((sets[:30], sets[30:]), (sets[:1], sets[1:2]), ([np.array([1])], [np.array([2])])):
         found = near._Overlaps(guests, members).of(guests)
         assert found.tolist() == [[len(np.intersect1d(a, b)) for b in members] for a in guests]
+
+
+def test_hot_keys_are_told_without_a_join(spark, as_planned):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3 - 9).otherwise(F.col("id")).alias("k"),
+                                    F.lit("x").alias("l"), F.col("id").alias("v"))
+    facts = rows.where("k < 6000").select("k", "l").distinct().withColumn("fact", F.col("k") * 10)
+    joined = hot_join(rows, facts, ["k", "l"], ["v"])
+    assert {(r.k, r.v, r.fact) for r in joined.collect()} == {(r.k, r.v, r.k * 10) for r in rows.where("k < 6000").collect()}
+    assert joined.count() == rows.where("k < 6000").count()
+    steps = joined._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("Join") == 1 and "Outer" not in steps
