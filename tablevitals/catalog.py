@@ -281,7 +281,7 @@ def _text_files(spark, sf):
     """documents as text files, one per document, named by its id, in a folder per language."""
     path = scratch_path(spark, "corpus")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    docs.repartition(8, "doc_id").write.partitionBy("doc_id", "lang").option("lineSep", "\n").text(path)
+    writers.save_text_files(docs, path, "text", ["doc_id", "lang"])
     return path
 
 

@@ -62,6 +62,15 @@ def _located(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder, made if need be, as ``open`` knows it; None in a store that isn't a file system."""
+    store, hadoop_path = _located(spark, path)
+    if store.getScheme() != "file":
+        return None
+    store.mkdirs(hadoop_path)
+    return hadoop_path.toUri().getPath()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store."""
     store, hadoop_path = _located(spark, path)
@@ -74,6 +83,30 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(hadoop_path, True)
 
 
+#: Most tasks among which Spark deals the folders that it lists.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders that are opened in here are listed by eight tasks a core; else each of up to 10,000 has one of its own."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(before), 8 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """Lets a task read up to 32 partitions of a scan, one after the other, as long as each core has eight tasks.
+
+    Spark counts a file as 4 MB at least, so small files get many more tasks than their bytes ask for.
+    """
+    parts, least = df.rdd.getNumPartitions(), 8 * df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(least, -(-parts // 32))) if parts > least else df
+
+
 @contextmanager
 def scratch(spark: SparkSession, keep: bool = False) -> Iterator[str]:
     """Everything written to ``scratch_path`` in here lies in one folder, which goes at the end.

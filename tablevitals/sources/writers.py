@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablevitals.functions.columns import col
+from tablevitals.session import local_folder
+
+#: What Spark writes as %XX in the name of a partition's folder, and the name of a missing value's.
+ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def save_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -23,3 +38,36 @@ def load_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def save_flags(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Per-row anomaly labels and scores as Parquet."""
     rows.write.mode(mode).parquet(path)
+
+
+def save_text_files(rows: DataFrame, path: str, text: str, folders: list[str]) -> None:
+    """A text file for each value of ``folders``, in the folders of Spark's partitioned writer; its rows are its lines.
+
+    On a file system, which all executors share, tasks write files straight to their places, each under a name of its
+    own first, so a task done again replaces them. Spark's writer moves each folder three times on its way; it
+    serves all other stores.
+    """
+    names = [F.nullif(col(c).cast("string"), F.lit("")).alias(c) for c in folders]
+    dealt = rows.select(col(text), *names).repartition(*map(col, folders))
+    root = local_folder(rows.sparkSession, path)
+    if root is None:
+        dealt.write.mode("append").partitionBy(*folders).option("lineSep", "\n").text(path)
+        return
+
+    def place(key: tuple) -> str:
+        values = [ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else NO_VALUE for v in key]
+        return "/".join([root, *(f"{name}={value}" for name, value in zip(folders, values))])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = 0
+        lines = (line for batch in batches for line in zip(*(c.to_pylist() for c in batch.columns)))
+        for key, own in groupby(lines, lambda line: line[1:]):
+            folder, name = place(key), f"part-00000-{uuid.uuid4()}"
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{folder}/.{name}", "w", encoding="utf-8", newline="") as file:
+                file.writelines(f"{line[0] or ''}\n" for line in own)
+            os.replace(f"{folder}/.{name}", f"{folder}/part-00000.txt")
+            written += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    dealt.sortWithinPartitions(*map(col, folders)).mapInArrow(write, "files long").agg(F.sum("files")).collect()

@@ -268,3 +268,59 @@ def test_command_line(spark, tmp_path, capsys):
     flags = spark.read.parquet(f"{out}/anomaly_flags")
     assert flags.count() == 400
     assert flags.agg(F.sum("anomaly_label")).first()[0] == report["anomalies"]["n_anomalies"]
+
+
+@pytest.fixture
+def a_file_a_partition(spark):
+    """Spark's weights of many small files, without writing so many."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], "1m")
+    yield
+    for n, v in zip(names, before):
+        assert n == names[0] or spark.conf.get(n) == v
+        spark.conf.set(n, v)
+
+
+def test_many_small_files_share_tasks(spark, tmp_path, a_file_a_partition):
+    for k in range(150):
+        (tmp_path / "t" / f"of={k}").mkdir(parents=True)
+        (tmp_path / "t" / f"of={k}" / "x.txt").write_text(f"text {k}")
+        (tmp_path / "d.json" / f"of={k}").mkdir(parents=True)
+        (tmp_path / "d.json" / f"of={k}" / "x").write_text(f'[{{"a": {k}}},\n {{"a": {k}, "b{k % 2}": "é"}}]')
+    texts = readers.scan_text_dir(spark, str(tmp_path / "t"))
+    assert texts.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism < 150
+    assert {(r.label, r.text) for r in texts.collect()} == {(f"of={k}", f"text {k}") for k in range(150)}
+    assert readers.list_files(spark, str(tmp_path / "t")).rdd.getNumPartitions() < 150
+    found = readers.load(spark, str(tmp_path / "d.json")).data
+    assert found.rdd.getNumPartitions() < 150
+    assert found.dtypes == [("a", "bigint"), ("b0", "string"), ("b1", "string"), ("of", "int")]
+    assert sorted((r.a, r.b0, r.b1) for r in found.collect() if r.b0 or r.b1) == [
+        (k, *(("é", None) if k % 2 == 0 else (None, "é"))) for k in range(150)]
+
+
+def test_documents_in_other_encodings_and_compressed(spark, tmp_path):
+    import gzip
+
+    body = '[{"a": 1,\n "b": "é"},\n {"a": 2.5}]'
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "x.json").write_bytes(body.encode("utf-16"))
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "x.json.gz").write_bytes(gzip.compress(body.encode()))
+    for folder in ("w", "z"):
+        assert rows(readers.scan_json(spark, str(tmp_path / folder), lines=False)) == [{"a": 1.0, "b": "é"}, {"a": 2.5, "b": None}]
+
+
+def test_text_files_lie_as_spark_would_lay_them(spark, tmp_path, monkeypatch):
+    data = [(1, "a/b", "x\ny"), (1, "a/b", "z"), (2, None, None), (2, "", "é\r"), (3, 'q"%[^é', ""), (None, "p q", "k")]
+    frame = spark.createDataFrame(data, "id long, lang string, text string")
+    writers.save_text_files(frame, str(tmp_path / "own"), "text", ["id", "lang"])
+    monkeypatch.setattr(writers, "local_folder", lambda *a: None)
+    writers.save_text_files(frame, str(tmp_path / "spark"), "text", ["id", "lang"])
+
+    def files(folder):
+        return {(str(f.parent.relative_to(tmp_path / folder)), tuple(sorted(f.read_bytes().split(b"\n"))))
+                for f in (tmp_path / folder).rglob("*.txt")}
+
+    assert files("own") == files("spark") and len(files("own")) == 4
+    assert not any(f.name.startswith(".") for f in (tmp_path / "own").rglob("*"))
