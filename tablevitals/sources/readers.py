@@ -61,7 +61,23 @@ def scan_json(spark: SparkSession, path: str, lines: bool | None = None,
 
 def _json(spark: SparkSession, paths: list[str], lines: bool, schema: T.StructType | str | None) -> DataFrame:
     reader = spark.read.option("multiLine", str(not lines).lower()).option("mode", "FAILFAST")
-    return (reader if schema is None else reader.schema(schema)).json(paths)
+    if lines:
+        return (reader if schema is None else reader.schema(schema)).json(paths)
+    with few_listing_tasks(spark):
+        return gathered(reader.schema(_documents_schema(spark, paths) if schema is None else schema).json(paths))
+
+
+def _documents_schema(spark: SparkSession, paths: list[str]) -> T.StructType:
+    """The columns that Spark finds in JSON documents.
+
+    Its own pass over ``multiLine`` files lists them one by one on the driver; here tasks hand it their texts.
+    Compressed files take that pass, as only Spark knows their codecs.
+    """
+    reader, files = spark.read.option("mode", "FAILFAST"), spark.read.format("binaryFile").load(paths)
+    if not files.where(F.col("path").rlike(PACKED)).isEmpty():
+        return reader.option("multiLine", "true").json(paths).schema
+    texts = gathered(files.select("content")).rdd.map(lambda row: row.content.decode(json.detect_encoding(row.content)))
+    return reader.json(texts).schema
 
 
 def json_files(spark: SparkSession, path: str) -> dict[bool, list[str]]:
@@ -174,8 +190,9 @@ def _parent(path: Column) -> Column:
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """All files below a path without reading them: path, bytes, kind."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return listing.select("path", F.col("length").alias("bytes"), dataset_kind(F.col("path")).alias("kind"))
+    with few_listing_tasks(spark):
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return gathered(listing.select("path", F.col("length").alias("bytes"), dataset_kind(F.col("path")).alias("kind")))
 
 
 def directory_kind(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
