@@ -232,7 +232,7 @@ def load_json_documents(spark, sf):
     path = f"{scratch_path(spark, 'conversations')}.json"
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("*")).alias("turns"))
     body = F.replace(F.to_json("turns"), F.lit("},{"), F.lit("},\n{")).alias("value")
-    turns.select(body, F.col("conv_id").alias("of")).repartition("of").write.partitionBy("of").text(path)
+    writers.save_text_files(turns.select(body, F.col("conv_id").alias("of")), path, "value", ["of"])
     return readers.load(spark, path).data.select("conv_id", "turn", "role", "text")
 
 

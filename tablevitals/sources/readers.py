@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,6 +26,9 @@ FALSE_TOKENS = ("False", "FALSE", "false")
 
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
+#: Suffixes of compressed files.
+PACKED = r"[.](gz|gzip|bz2|deflate|lz4|snappy|zst|zstd)$"
+
 #: Image suffixes as one glob (fixed values).
 IMAGE_GLOB = "*.{jpg,jpeg,png,bmp,JPG,JPEG,PNG,BMP}"
 
@@ -85,10 +89,12 @@ def json_files(spark: SparkSession, path: str) -> dict[bool, list[str]]:
 
     A file of lines starts with a whole record on its first line that isn't blank; blank files hold nothing.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+    with few_listing_tasks(spark):
+        files = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = files.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("place"), strip(F.col("value")).alias("line")).filter("line <> ''")
-    first = lines.groupBy("file").agg(F.min_by(
+    first = gathered(lines).groupBy("file").agg(F.min_by(
         F.col("line").startswith("{") & F.get_json_object("line", "$").isNotNull(), F.struct("start", "place")).alias("lines"))
     found: dict[bool, list[str]] = {True: [], False: []}
     for row in first.collect():  # one row per file, as many as the reader's own file list
