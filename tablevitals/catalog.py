@@ -232,7 +232,7 @@ def load_json_documents(spark, sf):
     path = f"{scratch_path(spark, 'conversations')}.json"
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("*")).alias("turns"))
     body = F.replace(F.to_json("turns"), F.lit("},{"), F.lit("},\n{")).alias("value")
-    writers.save_text_files(turns.select(body, F.col("conv_id").alias("of")), path, "value", ["of"])
+    writers.save_text_files(turns.select(body, F.col("conv_id").alias("of")), path, "value", "of")
     return readers.load(spark, path).data.select("conv_id", "turn", "role", "text")
 
 
@@ -281,7 +281,7 @@ def _text_files(spark, sf):
     """documents as text files, one per document, named by its id, in a folder per language."""
     path = scratch_path(spark, "corpus")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    writers.save_text_files(docs, path, "text", ["doc_id", "lang"])
+    writers.save_text_files(docs, path, "text", "doc_id", ["lang"])
     return path
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import pyarrow as pa
@@ -40,34 +41,38 @@ def save_flags(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).parquet(path)
 
 
-def save_text_files(rows: DataFrame, path: str, text: str, folders: list[str]) -> None:
-    """A text file for each value of ``folders``, in the folders of Spark's partitioned writer; its rows are its lines.
+def save_text_files(rows: DataFrame, path: str, text: str, name: str, folders: Sequence[str] = ()) -> None:
+    """A text file for each value of ``name`` and ``folders``; its rows are its lines.
 
     On a file system, which all executors share, tasks write files straight to their places, each under a name of its
-    own first, so a task done again replaces them. Spark's writer moves each folder three times on its way; it
-    serves all other stores.
+    own first, so a task done again replaces them: part=7/folder=value/name=value.txt, 256 parts by hash. Spark's writer,
+    which needs folders of their own for each file and moves them up to three times, serves all other stores:
+    name=value/folder=value/.
     """
-    names = [F.nullif(col(c).cast("string"), F.lit("")).alias(c) for c in folders]
-    dealt = rows.select(col(text), *names).repartition(*map(col, folders))
+    keys = [name, *folders]
+    values = [F.nullif(col(c).cast("string"), F.lit("")).alias(c) for c in keys]
+    dealt = rows.select(col(text), *values).repartition(*map(col, keys))
     root = local_folder(rows.sparkSession, path)
     if root is None:
-        dealt.write.mode("append").partitionBy(*folders).option("lineSep", "\n").text(path)
+        dealt.write.mode("append").partitionBy(*keys).option("lineSep", "\n").text(path)
         return
 
-    def place(key: tuple) -> str:
-        values = [ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else NO_VALUE for v in key]
-        return "/".join([root, *(f"{name}={value}" for name, value in zip(folders, values))])
+    def place(key: tuple) -> tuple[str, str]:
+        shown = [ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else NO_VALUE for v in key]
+        file, *within = [f"{c}={v}" for c, v in zip(keys, shown)]
+        return "/".join([root, f"part={zlib.crc32(file.encode()) % 256}", *within]), f"{file}.txt"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         written = 0
         lines = (line for batch in batches for line in zip(*(c.to_pylist() for c in batch.columns)))
         for key, own in groupby(lines, lambda line: line[1:]):
-            folder, name = place(key), f"part-00000-{uuid.uuid4()}"
+            folder, file = place(key)
             os.makedirs(folder, exist_ok=True)
-            with open(f"{folder}/.{name}", "w", encoding="utf-8", newline="") as file:
-                file.writelines(f"{line[0] or ''}\n" for line in own)
-            os.replace(f"{folder}/.{name}", f"{folder}/part-00000.txt")
+            hidden = f"{folder}/.{uuid.uuid4()}"
+            with open(hidden, "w", encoding="utf-8", newline="") as out:
+                out.writelines(f"{line[0] or ''}\n" for line in own)
+            os.replace(hidden, f"{folder}/{file}")
             written += 1
         yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
 
-    dealt.sortWithinPartitions(*map(col, folders)).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    dealt.sortWithinPartitions(*map(col, keys)).mapInArrow(write, "files long").agg(F.sum("files")).collect()

@@ -311,16 +311,17 @@ def test_documents_in_other_encodings_and_compressed(spark, tmp_path):
         assert rows(readers.scan_json(spark, str(tmp_path / folder), lines=False)) == [{"a": 1.0, "b": "é"}, {"a": 2.5, "b": None}]
 
 
-def test_text_files_lie_as_spark_would_lay_them(spark, tmp_path, monkeypatch):
+def test_text_files_hold_what_spark_would_write(spark, tmp_path, monkeypatch):
     data = [(1, "a/b", "x\ny"), (1, "a/b", "z"), (2, None, None), (2, "", "é\r"), (3, 'q"%[^é', ""), (None, "p q", "k")]
     frame = spark.createDataFrame(data, "id long, lang string, text string")
-    writers.save_text_files(frame, str(tmp_path / "own"), "text", ["id", "lang"])
+    writers.save_text_files(frame, str(tmp_path / "own"), "text", "id", ["lang"])
     monkeypatch.setattr(writers, "local_folder", lambda *a: None)
-    writers.save_text_files(frame, str(tmp_path / "spark"), "text", ["id", "lang"])
+    writers.save_text_files(frame, str(tmp_path / "spark"), "text", "id", ["lang"])
 
-    def files(folder):
-        return {(str(f.parent.relative_to(tmp_path / folder)), tuple(sorted(f.read_bytes().split(b"\n"))))
-                for f in (tmp_path / folder).rglob("*.txt")}
+    def files(folder, place):
+        return {place(f): sorted(f.read_bytes().split(b"\n")) for f in (tmp_path / folder).rglob("*.txt")}
 
-    assert files("own") == files("spark") and len(files("own")) == 4
+    own = files("own", lambda f: (f.stem, f.parent.name))
+    assert own == files("spark", lambda f: (f.parent.parent.name, f.parent.name)) and len(own) == 4
+    assert sum(1 for _ in (tmp_path / "own").rglob("*")) <= 3 * 4  # a file and at most two folders for each
     assert not any(f.name.startswith(".") for f in (tmp_path / "own").rglob("*"))
