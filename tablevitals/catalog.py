@@ -26,7 +26,7 @@ from tablevitals.operators.anomaly.network import fit_network, network_error
 from tablevitals.operators.anomaly.reconstruction import fit_pca, pca_error
 from tablevitals.plans import checks, incremental, scoring
 from tablevitals.plans.audit import audit_table, plot_tables, score_table
-from tablevitals.session import materialize, scratch_path
+from tablevitals.session import materialize, scratch_path, spread
 from tablevitals.sources import metadata, readers, writers
 from tablevitals.sources.sample_data import sample_rows
 from tablevitals.streaming.quality import run_to_end, window_quality
@@ -280,7 +280,7 @@ def scan_text_lines(spark, sf):
 def _text_files(spark, sf):
     """documents as text files, one per document, named by its id, in a folder per language."""
     path = scratch_path(spark, "corpus")
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     writers.save_text_files(docs, path, "text", "doc_id", ["lang"])
     return path
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,6 +72,16 @@ def local_folder(spark: SparkSession, path: str) -> str | None:
     return hadoop_path.toUri().getPath()
 
 
+def existing_folder(spark: SparkSession, path: str) -> str | None:
+    """A folder that is there, as ``open`` knows it; None for patterns, files and what lies in a store that isn't a file system."""
+    if re.search(r"[{}\[\]*?\\]", path):
+        return None
+    store, hadoop_path = _located(spark, path)
+    if store.getScheme() != "file" or not store.isDirectory(hadoop_path):
+        return None
+    return store.makeQualified(hadoop_path).toUri().getPath()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store."""
     store, hadoop_path = _located(spark, path)

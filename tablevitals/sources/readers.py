@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tablevitals.functions.columns import chunks, col
 from tablevitals.functions.scalars import FILE_TYPES, KINDS, NUMERIC_TEXT, dataset_kind, strip
 from tablevitals.session import few_listing_tasks, gathered, materialize
+from tablevitals.sources.listing import contents, files_below
 
 #: Cell texts that mean "missing" in a CSV file (fixed values).
 NA_TOKENS = (
@@ -164,10 +165,15 @@ def scan_text_dir(spark: SparkSession, path: str, limit: int | None = None) -> D
 
     Blank files are left out. ``limit`` keeps that many files; by default all are read.
     """
-    with few_listing_tasks(spark):
-        read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    files = gathered(
-        read.select(F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("text"))
+    listed = files_below(spark, path)
+    if listed is None:
+        with few_listing_tasks(spark):
+            read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+        found = gathered(read.select(F.col("_metadata.file_path").alias("path"), "value"))
+    else:
+        found = contents(listed.filter(F.endswith("path", F.lit(".txt")))).select("path", F.col("content").cast("string").alias("value"))
+    files = (
+        found.select("path", strip(F.col("value")).alias("text"))
         .filter(F.length("text") > 0)
         .select("path", _parent(F.col("path")).alias("label"), "text")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevitals.functions.columns import col
-from tablevitals.session import local_folder
+from tablevitals.session import local_folder, materialize
 
 #: What Spark writes as %XX in the name of a partition's folder, and the name of a missing value's.
 ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
@@ -44,6 +44,8 @@ def save_flags(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def save_text_files(rows: DataFrame, path: str, text: str, name: str, folders: Sequence[str] = ()) -> None:
     """A text file for each value of ``name`` and ``folders``; its rows are its lines.
 
+    Only rows that share a file are brought together, the others stay in their tasks; to tell them, ``rows`` is computed
+    twice, or three times where files have several rows.
     On a file system, which all executors share, tasks write files straight to their places, each under a name of its
     own first, so a task done again replaces them: part=7/folder=value/name=value.txt, 256 parts by hash. Spark's writer,
     which needs folders of their own for each file and moves them up to three times, serves all other stores:
@@ -51,9 +53,10 @@ def save_text_files(rows: DataFrame, path: str, text: str, name: str, folders: S
     """
     keys = [name, *folders]
     values = [F.nullif(col(c).cast("string"), F.lit("")).alias(c) for c in keys]
-    dealt = rows.select(col(text), *values).repartition(*map(col, keys))
+    lines = rows.select(col(text), *values)
     root = local_folder(rows.sparkSession, path)
     if root is None:
+        dealt = lines.repartition(*map(col, keys))
         dealt.write.mode("append").partitionBy(*keys).option("lineSep", "\n").text(path)
         return
 
@@ -64,8 +67,8 @@ def save_text_files(rows: DataFrame, path: str, text: str, name: str, folders: S
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         written = 0
-        lines = (line for batch in batches for line in zip(*(c.to_pylist() for c in batch.columns)))
-        for key, own in groupby(lines, lambda line: line[1:]):
+        found = (line for batch in batches for line in zip(*(c.to_pylist() for c in batch.columns)))
+        for key, own in groupby(found, lambda line: line[1:]):
             folder, file = place(key)
             os.makedirs(folder, exist_ok=True)
             hidden = f"{folder}/.{uuid.uuid4()}"
@@ -75,4 +78,12 @@ def save_text_files(rows: DataFrame, path: str, text: str, name: str, folders: S
             written += 1
         yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
 
-    dealt.sortWithinPartitions(*map(col, keys)).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    counted = lines.groupBy(*map(col, keys)).agg(F.count(F.lit(1)).alias("_lines")).filter("_lines > 1")
+    shared = materialize(counted.select(*[col(c).alias(f"_shared_{c}") for c in keys]))
+    parts = [lines]
+    if not shared.isEmpty():
+        same = [col(c).eqNullSafe(col(f"_shared_{c}")) for c in keys]
+        alone, together = lines.join(shared, same, "left_anti"), lines.join(shared, same, "left_semi")
+        parts = [alone, together.repartition(*map(col, keys)).sortWithinPartitions(*map(col, keys))]
+    for part in parts:
+        part.mapInArrow(write, "files long").agg(F.sum("files")).collect()

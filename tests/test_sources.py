@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tablevitals import session
 from tablevitals.__main__ import main
 from tablevitals.plans.audit import audit_dataset
-from tablevitals.sources import metadata, readers, writers
+from tablevitals.sources import listing, metadata, readers, writers
 from tablevitals.sources.sample_data import create_sample_data, sample_rows
 
 
@@ -325,3 +326,82 @@ def test_text_files_hold_what_spark_would_write(spark, tmp_path, monkeypatch):
     assert own == files("spark", lambda f: (f.parent.parent.name, f.parent.name)) and len(own) == 4
     assert sum(1 for _ in (tmp_path / "own").rglob("*")) <= 3 * 4  # a file and at most two folders for each
     assert not any(f.name.startswith(".") for f in (tmp_path / "own").rglob("*"))
+
+
+def test_rows_that_are_alone_in_their_file_are_not_shuffled(spark, tmp_path):
+    """Texts would be on the disk twice, as files and as shuffled rows."""
+    tracker = spark.sparkContext.statusTracker()
+    frame = spark.range(4000).selectExpr("id", "array_join(transform(sequence(1, 50), i -> md5(id || '-' || i)), '') AS text")
+    manager = spark._jsc.sc().statusStore()
+
+    def shuffled(rows, folder):
+        spark.sparkContext.setJobGroup(folder, folder)
+        writers.save_text_files(rows, str(tmp_path / folder), "text", "id")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for job in tracker.getJobIdsForGroup(folder) for s in tracker.getJobInfo(job).stageIds}
+        return sum(manager.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s))
+
+    try:
+        assert shuffled(frame, "alone") < 500_000 < 4000 * 50 * 32 / 4
+        shuffled(frame.union(frame.filter("id % 100 = 0").withColumn("text", F.lit("more"))), "some")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    files = {int(f.stem[3:]): f.read_text().split() for f in (tmp_path / "some").rglob("*.txt")}
+    assert len(files) == 4000 == sum(1 for _ in (tmp_path / "alone").rglob("*.txt"))
+    assert all(len(lines) == (1 if k % 100 else 2) and ("more" in lines) == (k % 100 == 0) for k, lines in files.items())
+
+
+def same_files(spark, folder, monkeypatch):
+    """The texts and files below a folder as tasks find them, and as Spark's readers do."""
+    def found():
+        texts, files = readers.scan_text_dir(spark, str(folder)), readers.list_files(spark, str(folder))
+        return sorted(map(tuple, texts.collect())), sorted(map(tuple, files.collect()))
+
+    own = found()
+    with monkeypatch.context() as patch:
+        patch.setattr(readers, "files_below", lambda *a: None)
+        assert own == found()
+    return own
+
+
+def test_tasks_find_the_files_that_spark_finds(spark, tmp_path, monkeypatch):
+    for name, body in [("a.txt", "top"), ("d é+%[x] #/b c.txt", " é\n"), ("d é+%[x] #/deep/er/z.txt", "z"), ("B.TXT", "no"),
+                       ("k/_hidden.txt", "h"), ("k/_a=b.txt", "shown"), ("k/.dot.txt", "h"), ("k/x.txt._COPYING_", "h"),
+                       ("k/_metadata.txt", "h"), ("_no/x.txt", "h"), ("_p=1/x.txt", "p"), ("_metadata/x.txt", "m"), (".no/x.txt", "h"),
+                       ("k/empty.txt", ""), ("k/blank.txt", " \n\t"), ("k/data.csv", "1,2"), ("k/y.txt/in.txt", "folder")]:
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(body)
+    (tmp_path / "t" / "k" / "bytes.txt").write_bytes(b"\xff\xfe\x00caf\xe9 ")
+    (tmp_path / "t" / "k" / "gone.txt").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "t" / "link").symlink_to(tmp_path / "t" / "k")
+    texts, files = same_files(spark, tmp_path / "t", monkeypatch)
+    assert len(texts) == 11 and len(files) == 16
+    assert ("d é+%[x] #", "é") in {t[1:] for t in texts}
+    (tmp_path / "none").mkdir()
+    assert same_files(spark, tmp_path / "none", monkeypatch) == ([], [])
+
+
+@pytest.mark.parametrize("walk", [1, 3, 10_000])
+def test_folders_left_over_are_listed_in_further_rounds(spark, tmp_path, monkeypatch, walk):
+    for k in range(30):
+        (tmp_path / f"{k % 3}" / f"{k}" / "x").mkdir(parents=True)
+        (tmp_path / f"{k % 3}" / f"{k}" / "x" / "a.txt").write_text(f"{k}")
+        (tmp_path / f"{k % 3}" / f"{k}.txt").write_text(f"{k}")
+    monkeypatch.setattr(listing, "_listed", partial(listing._listed, walk=walk))
+    assert len(same_files(spark, tmp_path, monkeypatch)[0]) == 60
+
+
+@pytest.fixture
+def folder_of_texts(tmp_path):
+    for k in range(300):
+        (tmp_path / "t" / f"{k % 7}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / f"{k % 7}" / f"{k}.txt").write_text(f"text {k}")
+    (tmp_path / "t" / "1" / "long.txt").write_text("x" * 50_000)
+    return str(tmp_path / "t")
+
+
+def test_the_driver_holds_no_text_file_of_a_folder(spark, folder_of_texts, monkeypatch):
+    monkeypatch.setattr(listing, "TASK_BYTES", 10_000)
+    texts = readers.scan_text_dir(spark, folder_of_texts)
+    assert not any(f.endswith(".txt") for f in texts.inputFiles()) and len(texts.inputFiles()) < 100
+    assert texts.count() == 301 and texts.agg(F.sum(F.length("text"))).first()[0] == 50_000 + 300 * 5 + 10 + 90 * 2 + 200 * 3
