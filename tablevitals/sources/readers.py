@@ -202,9 +202,14 @@ def _parent(path: Column) -> Column:
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """All files below a path without reading them: path, bytes, kind."""
-    with few_listing_tasks(spark):
-        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return gathered(listing.select("path", F.col("length").alias("bytes"), dataset_kind(F.col("path")).alias("kind")))
+    listed = files_below(spark, path)
+    if listed is None:
+        with few_listing_tasks(spark):
+            read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        listed = gathered(read.select("path", F.col("length").alias("bytes")))
+    else:
+        listed = listed.select(F.concat(F.lit("file:"), "path").alias("path"), "bytes")
+    return listed.select("path", "bytes", dataset_kind(F.col("path")).alias("kind"))
 
 
 def directory_kind(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:

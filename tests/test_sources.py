@@ -405,3 +405,11 @@ def test_the_driver_holds_no_text_file_of_a_folder(spark, folder_of_texts, monke
     texts = readers.scan_text_dir(spark, folder_of_texts)
     assert not any(f.endswith(".txt") for f in texts.inputFiles()) and len(texts.inputFiles()) < 100
     assert texts.count() == 301 and texts.agg(F.sum(F.length("text"))).first()[0] == 50_000 + 300 * 5 + 10 + 90 * 2 + 200 * 3
+
+
+def test_the_driver_holds_no_file_whose_size_it_sums(spark, folder_of_texts):
+    files = readers.list_files(spark, folder_of_texts)
+    assert not any(f.endswith(".txt") for f in files.inputFiles()) and len(files.inputFiles()) < 100
+    assert files.count() == 301
+    described = rows(metadata.dataset_metadata(readers.load(spark, folder_of_texts, kind="text")))[0]
+    assert (described["n_samples"], described["n_classes"], described["file_size_mb"]) == (301, 7, 0.05)
