@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tablevitals.session import existing_folder, scratch_path
 
-ENTRIES = "path string, bytes long, folder boolean"
+#: Paths are bytes, as names need not be UTF-8.
+ENTRIES = "path binary, bytes long, folder boolean"
 CONTENTS = "path string, content binary"
 
 #: Entries that a task lists below a folder it was given, before it hands on the folders that are left.
@@ -38,7 +39,7 @@ def files_below(spark: SparkSession, path: str) -> DataFrame | None:
     root = existing_folder(spark, path)
     if root is None:
         return None
-    level, written = spark.range(0, 1, 1, 1).select(F.lit(root).alias("path")), []
+    level, written = spark.range(0, 1, 1, 1).select(F.lit(root).cast("binary").alias("path")), []
     while True:
         written.append(scratch_path(spark, "files"))
         level.mapInArrow(_listed, ENTRIES).write.parquet(written[-1])
@@ -59,7 +60,7 @@ def contents(files: DataFrame) -> DataFrame:
 
 def _listed(batches: Iterator[pa.RecordBatch], walk: int = WALK) -> Iterator[pa.RecordBatch]:
     found: list[tuple[str, int, bool]] = []
-    for folder in (path for batch in batches for path in batch.column(0).to_pylist()):
+    for folder in (os.fsdecode(path) for batch in batches for path in batch.column(0).to_pylist()):
         pending, seen = [folder], 0
         while pending:
             inside = pending.pop()
@@ -97,7 +98,7 @@ def _size(entry: os.DirEntry) -> int | None:
 def _entries(found: list[tuple[str, int, bool]]) -> pa.RecordBatch:
     path, size, folder = zip(*found) if found else ((), (), ())
     return pa.RecordBatch.from_arrays(
-        [pa.array(path, pa.string()), pa.array(size, pa.int64()), pa.array(folder, pa.bool_())], ["path", "bytes", "folder"])
+        [pa.array(map(os.fsencode, path), pa.binary()), pa.array(size, pa.int64()), pa.array(folder, pa.bool_())], ["path", "bytes", "folder"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if paths and held + len(text) > HELD_BYTES or len(paths) >= HELD_FILES:
             yield _contents(paths, texts)
             paths, texts, held = [], [], 0
-        paths.append("file:" + QUOTED.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), path))
+        paths.append("file:" + QUOTED.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), path.decode(errors="replace")))
         texts.append(text)
         held += len(text)
     yield _contents(paths, texts)

@@ -171,7 +171,7 @@ def scan_text_dir(spark: SparkSession, path: str, limit: int | None = None) -> D
             read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
         found = gathered(read.select(F.col("_metadata.file_path").alias("path"), "value"))
     else:
-        found = contents(listed.filter(F.endswith("path", F.lit(".txt")))).select("path", F.col("content").cast("string").alias("value"))
+        found = contents(listed.filter(F.endswith("path", F.lit(b".txt")))).select("path", F.col("content").cast("string").alias("value"))
     files = (
         found.select("path", strip(F.col("value")).alias("text"))
         .filter(F.length("text") > 0)
@@ -208,7 +208,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
             read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         listed = gathered(read.select("path", F.col("length").alias("bytes")))
     else:
-        listed = listed.select(F.concat(F.lit("file:"), "path").alias("path"), "bytes")
+        listed = listed.select(F.concat(F.lit("file:"), F.make_valid_utf8(F.col("path").cast("string"))).alias("path"), "bytes")
     return listed.select("path", "bytes", dataset_kind(F.col("path")).alias("kind"))
 
 

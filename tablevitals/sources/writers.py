@@ -45,7 +45,7 @@ def save_text_files(rows: DataFrame, path: str, text: str, name: str, folders: S
     """A text file for each value of ``name`` and ``folders``; its rows are its lines.
 
     Only rows that share a file are brought together, the others stay in their tasks; to tell them, ``rows`` is computed
-    twice, or three times where files have several rows.
+    twice, or three times where files have several rows, and must be the same each time.
     On a file system, which all executors share, tasks write files straight to their places, each under a name of its
     own first, so a task done again replaces them: part=7/folder=value/name=value.txt, 256 parts by hash. Spark's writer,
     which needs folders of their own for each file and moves them up to three times, serves all other stores:

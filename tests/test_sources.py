@@ -1,5 +1,6 @@
 """Readers, type detection, metadata, sample data, writers, command line."""
 
+import os
 import struct
 import zlib
 from functools import partial
@@ -391,6 +392,18 @@ def test_folders_left_over_are_listed_in_further_rounds(spark, tmp_path, monkeyp
     assert len(same_files(spark, tmp_path, monkeypatch)[0]) == 60
 
 
+def test_names_in_other_encodings_are_read(spark, tmp_path):
+    (tmp_path / "t" / "é").mkdir(parents=True)
+    for folder, name in ((b"\xc3\xa9", b"caf\xe9.txt"), (b"f\xfcr", b"a.txt")):
+        os.makedirs(inside := os.path.join(os.fsencode(tmp_path), b"t", folder), exist_ok=True)
+        with open(os.path.join(inside, name), "wb") as file:
+            file.write(folder)
+    found = {(r.path.rsplit("/", 1)[-1], r.label) for r in readers.scan_text_dir(spark, str(tmp_path / "t")).collect()}
+    assert found == {("caf\ufffd.txt", "é"), ("a.txt", "f\ufffdr")}
+    listed = {r.path.rsplit("/", 1)[-1] for r in readers.list_files(spark, str(tmp_path / "t")).collect()}
+    assert listed == {"caf\ufffd.txt", "a.txt"}
+
+
 @pytest.fixture
 def folder_of_texts(tmp_path):
     for k in range(300):
